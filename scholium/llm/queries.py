@@ -7,17 +7,48 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import bpe, language_id, simhash, token_counts, toxicity
 from .common import read
 
 
+def tokenizer(name: str) -> str:
+    """The path of an installed vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return simhash.near_duplicates(docs, words_per_shingle=3).withColumnRenamed("id", "doc_id")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.fit(docs))
+    return found.select(F.col("id").alias("doc_id"), language_id.held_out("id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode_digests(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+    return found.select(F.col("id").alias("doc_id"), toxicity.held_out("id").alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_language_id": op2_language_id,
+    "op3_bpe": op3_bpe,
+    "op6_token_counts": op6_token_counts,
+    "op7_toxicity": op7_toxicity,
 }
 
 #: None of the operators' results can be computed by SQL alone at these sizes; tests/llm compares them with brute force.
