@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, recompression, simhash, token_counts, toxicity
+from . import bpe, fm_index, language_id, recompression, simhash, token_counts, token_files, toxicity
 from .common import read
 
 
@@ -47,6 +47,16 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.repeat_digests(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_files.write(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return token_files.read_back(manifest).withColumnRenamed("id", "doc_id")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fm_index.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_language_id": op2_language_id,
@@ -54,6 +64,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_token_files": op9_token_files,
+    "op10_decontamination": op10_decontamination,
 }
 
 #: None of the operators' results can be computed by SQL alone at these sizes; tests/llm compares them with brute force.
