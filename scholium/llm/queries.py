@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fm_index, language_id, recompression, simhash, token_counts, token_files, toxicity
+from . import bpe, chunk_fingerprint, fm_index, language_id, recompression, simhash, token_counts, token_files, toxicity
 from .common import read
 
 
@@ -33,6 +33,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode_digests(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
 
 
+def op4_chunk_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_fingerprint.with_edited(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_language_id": op2_language_id,
     "op3_bpe": op3_bpe,
+    "op4_chunk_fingerprint": op4_chunk_fingerprint,
     "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
     "op8_substring_dedup": op8_substring_dedup,
