@@ -1,8 +1,62 @@
-"""Cleaning a text corpus in stages."""
+"""Cleaning a text corpus in stages: each keeps, cuts or encodes all that the one before it kept.
 
-STAGES = []
+Columns of ``documents`` stay as they are but for text and n_chars, which follow what is cut; the last
+stage returns what becomes of each document as tokens. Empty tables pass through; null texts are
+rejected by the first stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from scholium.llm import bpe, fm_index, language_id, recompression, simhash
+from scholium.llm.common import materialize, read, ship
+from scholium.llm.queries import tokenizer
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised with the calibrated confidence."""
+    ship(spark)
+    return language_id.keep_identified(docs, language_id.fit(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each near-duplicate group, over five-word shingles."""
+    ship(spark)
+    return simhash.drop_near_duplicates(docs, words_per_shingle=5)
+
+
+def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of 20 words or more that occur earlier; texts that are nothing else go."""
+    ship(spark)
+    return recompression.remove_repeats(docs, length_col="n_chars")
+
+
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the benchmark's passages."""
+    return fm_index.decontaminate(docs, read(spark, sf_dir, "benchmark"), length_col="n_chars")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of each document's ids and of what they decode to."""
+    ship(spark)
+    return bpe.encode_decode_digests(docs, tokenizer("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("identify_language", identify_language),
+    ("drop_near_duplicates", drop_near_duplicates),
+    ("remove_repeated_passages", remove_repeated_passages),
+    ("remove_benchmark", remove_benchmark),
+    ("encode", encode),
+]
+
+#: Several stages can't be expressed in SQL; tests/llm/test_pipeline.py compares run() with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunk_fingerprint, fm_index, language_id, recompression, simhash, token_counts, token_files, toxicity
+from . import bpe, chunk_fingerprint, fm_index, html_extract, language_id, recompression, simhash, token_counts, token_files, toxicity
 from .common import read
 
 
@@ -37,6 +37,11 @@ def op4_chunk_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_fingerprint.with_edited(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.fit(pages)).withColumnRenamed("id", "page_id")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_bpe": op3_bpe,
     "op4_chunk_fingerprint": op4_chunk_fingerprint,
+    "op5_html_extract": op5_html_extract,
     "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
     "op8_substring_dedup": op8_substring_dedup,
