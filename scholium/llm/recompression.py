@@ -296,15 +296,15 @@ def _covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
 
 
 def with_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Rows (id, h, text, c0, c1, ..., seen, pos): each row of ``docs`` with its columns renamed in order.
+    """Rows (id, h, text, c0, c1, ..., copy, pos): each row of ``docs``, its other columns renamed in order.
 
     pos lists the starts (in words) of windows whose words also start earlier, in a row with a smaller id
-    or in the same row; null if none. seen holds WHOLE where an earlier text equals this one, whose windows
-    all repeat and aren't listed. h tells apart rows that share an id; a null id counts as the smallest.
+    or in the same row; null if none. copy: an earlier text equals this one, so that all of its windows
+    repeat; they aren't listed. h tells apart rows that share an id; a null id counts as the smallest.
     """
     own = [F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("id"), F.hash(F.col(text_col)).alias("h"), F.col(text_col).alias("text")]
-    rest = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
-    texts = docs.select(*own, *rest).repartition("id", "h")
+    rest = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col]
+    texts = docs.select(*own, *rest).repartition("id", "h")  # moved once: both joins below read it
     symbols = docs.select(*own).mapInArrow(lambda it: _symbols(it, window), "route long, id long, h int, ix int, known byte")
     seen = symbols.repartition("route").sortWithinPartitions("route", F.expr("ix = -1"), "id").mapInArrow(_repeated, "id long, h int, ix int")
     seen = seen.groupBy("id", "h").agg(F.collect_list("ix").alias("seen")).hint("shuffle_hash")
@@ -342,10 +342,12 @@ def repeat_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for rows, data, offsets in chunks(batches, "text"):
             out = [(len(gone), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest()) for gone, kept in _removed(rows, data, offsets, window)]
             n, removed, sha = zip(*out)
-            yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index("real")), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], schema=schema)
+            ids = rows.column(0).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == _LOWEST), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], schema=schema)
 
-    found = with_repeats(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", window)
-    return found.select(F.col("c0").cast("long").alias("real"), "text", "copy", "pos").mapInArrow(run, "id long, n_words long, n_removed long, kept_sha256 string")
+    own = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"))
+    found = with_repeats(own.select("text", F.col("id").alias("key")), "key", "text", window)
+    return found.select("id", "text", "copy", "pos").mapInArrow(run, "id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, window: int = WINDOW) -> DataFrame:
@@ -357,11 +359,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     at = docs.columns.index(text_col)
     length = docs.columns.index(length_col) if length_col else None
     found = with_repeats(docs, id_col, text_col, window)
-    cols = [f"c{i}" for i in range(len(docs.columns))]
+    cols = [f"c{i}" if i != at else "text" for i in range(len(docs.columns))]
     shaped = found.select(*cols).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in chunks(batches, f"c{at}"):
+        for rows, data, offsets in chunks(batches, "text"):
             new = [(gone.any(), b" ".join(kept).decode()) for gone, kept in _removed(rows, data, offsets, window)]
             out = [rows.column(i) for i in range(len(cols))]
             out[at] = pa.array([t if changed else old for (changed, t), old in zip(new, out[at].to_pylist())], out[at].type)
