@@ -25,7 +25,7 @@ GRAMS = (2, 3, 4)
 UNKNOWN = "und"
 #: Bound of the training sample: rows for each language, and the longest text taken.
 SAMPLE_PER_LANGUAGE = 1_500
-SAMPLE_LONGEST = 50_000
+SAMPLE_LONGEST = 20_000
 #: Share of the calibration rows (all of known language) that may be rejected.
 REJECTED_SHARE = 0.001
 
@@ -98,6 +98,16 @@ class Model:
         return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), has_letter.tolist())], np.where(has_letter, p.max(axis=1), 0.0)
 
 
+def _flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+
+
+def _buckets(texts: list[str]) -> list[np.ndarray]:
+    grams, _ = features(*_flat(texts))
+    return [np.concatenate([b[f[i] : f[i] + c[i]] for b, f, c in grams]) for i in range(len(texts))]
+
+
 def train(rows: list[tuple[str, str]], seed: int = 7, dim: int = 16, epochs: int = 6, pieces: int = 4, batch: int = 64, rate: float = 0.5) -> Model:
     """A model from (text, language) rows: random pieces of the texts are the training examples.
 
@@ -118,10 +128,9 @@ def train(rows: list[tuple[str, str]], seed: int = 7, dim: int = 16, epochs: int
             at = int(rng.integers(0, max(1, len(text) - n + 1)))
             xs.append(text[at : at + n])
             ys.append(languages.index(lang))
-    raw = [x.encode() for x in xs]
-    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    grams, _ = features(np.frombuffer(b"".join(raw), np.uint8), offsets)
-    own = [np.concatenate([b[f[i] : f[i] + c[i]] for b, f, c in grams]) for i in range(len(xs))]
+    own = []
+    for at in range(0, len(xs), 500):
+        own += _buckets(xs[at : at + 500])
     y = np.array(ys)
     table = rng.normal(0, 0.1, (BUCKETS, dim))
     weights, bias = np.zeros((dim, len(languages))), np.zeros(len(languages))
@@ -147,10 +156,13 @@ def train(rows: list[tuple[str, str]], seed: int = 7, dim: int = 16, epochs: int
     model = Model(languages, (table @ weights).astype(np.float32), bias, 1.0, 0.0)
     held_rows = [rows[i] for i in sorted(held)]
     if held_rows:
-        raw = [t.encode() for t, _ in held_rows]
-        offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-        grams, ok = features(np.frombuffer(b"".join(raw), np.uint8), offsets)
-        logits = (averaged(model.table, grams) + bias)[ok]
+        logits, ok = [], []
+        for at in range(0, len(held_rows), 100):
+            grams, letters = features(*_flat([t for t, _ in held_rows[at : at + 100]]))
+            logits.append(averaged(model.table, grams))
+            ok.append(letters)
+        ok = np.concatenate(ok)
+        logits = np.concatenate(logits)[ok] + bias
         truth = np.array([languages.index(lang) for _, lang in held_rows])[ok]
         if len(truth):
             top = logits - logits.max(axis=1, keepdims=True)
