@@ -35,7 +35,7 @@ MAGIC = b"TOKSHRD1"
 SHARD_BYTES = 16 << 20
 SHARD_IDS = 32 << 20
 #: Distinct pre-tokens whose ids a worker remembers.
-CACHE = 1_000_000
+CACHE = 500_000
 _NULL_KEY = -(2**63)
 
 
@@ -275,7 +275,7 @@ def write(docs: DataFrame, path: str, folder: str | None = None, end_id: int | N
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = encoder(path)
         edge = np.array(cuts, np.int64)
-        for rows, data, offsets in chunks(batches, "text"):
+        for rows, data, offsets in chunks(batches, "text", 2 << 20):
             ids, counts = run(data, offsets)
             if end_id is not None:
                 ids = np.insert(ids, np.cumsum(counts), end_id)
