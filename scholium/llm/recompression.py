@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .ragged import SliceHash, chunks, mix, spans
 
 WINDOW = 20
@@ -307,8 +308,9 @@ def with_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = docs.select(*own, *rest).repartition("id", "h")  # moved once: both joins below read it
     symbols = docs.select(*own).mapInArrow(lambda it: _symbols(it, window), "route long, id long, h int, ix int, known byte")
     seen = symbols.repartition("route").sortWithinPartitions("route", F.expr("ix = -1"), "id").mapInArrow(_repeated, "id long, h int, ix int")
-    seen = seen.groupBy("id", "h").agg(F.collect_list("ix").alias("seen")).hint("shuffle_hash")
-    marked = texts.join(seen, ["id", "h"], "left")
+    # stored: both joins below read it, and Spark would otherwise parse all texts once for each
+    seen = materialize(seen.groupBy("id", "h").agg(F.collect_list("ix").alias("seen")), "repeated-symbols")
+    marked = texts.join(seen.hint("shuffle_hash"), ["id", "h"], "left")
     windows = marked.mapInArrow(lambda it: _windows(it, window), "route long, check int, id long, h int, pos int, known array<int>")
     later = windows.repartition("route", "check").sortWithinPartitions("route", "check", "id", "pos").mapInArrow(_later, "id long, h int, pos array<int>")
     later = later.groupBy("id", "h").agg(F.flatten(F.collect_list("pos")).alias("pos")).hint("shuffle_hash")
