@@ -60,9 +60,9 @@ def unpivot(table: DataFrame, names: tuple[str, ...] | list[str], key: str, valu
 def correlations(features: DataFrame, weights: DataFrame, names: tuple[str, ...] = FEATURES) -> DataFrame:
     """Pearson's r over domains for each (feature, weight key); 0 where either hardly varies or fewer than two domains are known."""
     x, y = unpivot(features, names, "feature", "x"), unpivot(weights, KEYS, "key", "y", "w_")
-    both = x.join(y, "domain_id").groupBy("feature", "key").agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
+    both = x.join(y, "domain_id").groupBy("feature", "key").agg(F.count("*").alias("n"), F.covar_pop("x", "y").alias("c"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
     flat = (F.col("n") < 2) | (F.col("sx") < 1e-12) | (F.col("sy") < 1e-12)
-    return both.select("feature", "key", F.when(flat, 0.0).otherwise(F.col("r")).alias("r"))
+    return both.select("feature", "key", F.when(flat, 0.0).otherwise(F.col("c") / (F.col("sx") * F.col("sy"))).alias("r"))
 
 
 def feature_order(r: DataFrame, strong: float = 0.4) -> DataFrame:
