@@ -102,6 +102,8 @@ def certain(p: Parse, window: int = WINDOW, least_span: int = LEAST_SPAN) -> np.
     return np.flatnonzero((p.cb - p.ca <= window) & (p.b - p.a >= least_span))
 
 
+#: Repeated windows that a task gathers before it lists them by text.
+HELD_ROWS = 1_000_000
 #: Ordinal of the symbol that is a whole text.
 WHOLE = -1
 _LOWEST = -(2**63)
@@ -270,6 +272,18 @@ def _later(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows in order (route, check, id, pos): windows that an equal one precedes, and the lists of known ones."""
     schema = pa.schema([("id", pa.int64()), ("h", pa.int32()), ("pos", pa.list_(pa.int32()))])
     lead: tuple | None = None
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def listed() -> pa.RecordBatch:
+        """What is held, one row for each text."""
+        ids, hs, pos = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        order = np.lexsort((hs, ids))
+        ids, hs, pos = ids[order], hs[order], pos[order]
+        cut = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (hs[1:] != hs[:-1])])) if len(ids) else np.zeros(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(cut, len(ids)).astype(np.int32)), pa.array(pos))
+        return pa.RecordBatch.from_arrays([pa.array(ids[cut]), pa.array(hs[cut]), lists], schema=schema)
+
     for rows in batches:
         if not rows.num_rows:
             continue
@@ -281,11 +295,15 @@ def _later(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if lead is not None and lead[:2] == (route[0], check[0]):
             lead_id, lead_pos = np.where(start == 0, lead[2], lead_id), np.where(start == 0, lead[3], lead_pos)
         lead = (route[-1], check[-1], lead_id[-1], lead_pos[-1])
-        out = np.flatnonzero((check >= 0) & ((ids > lead_id) | (pos > lead_pos)))
-        lists = np.flatnonzero(check < 0)
-        one = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32)), pa.array(pos[out]))
-        both = np.concatenate([out, lists])
-        yield pa.RecordBatch.from_arrays([pa.array(ids[both]), pa.array(hs[both]), pa.concat_arrays([one, rows.column(5).take(pa.array(lists))])], schema=schema)
+        out = (check >= 0) & ((ids > lead_id) | (pos > lead_pos))
+        held.append((ids[out], hs[out], pos[out]))
+        lists = pa.array(np.flatnonzero(check < 0))
+        if len(lists):
+            yield pa.RecordBatch.from_arrays([rows.column(2).take(lists), rows.column(3).take(lists), rows.column(5).take(lists)], schema=schema)
+        if sum(len(h[0]) for h in held) > HELD_ROWS:
+            yield listed()
+    if held:
+        yield listed()
 
 
 def _covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
