@@ -7,7 +7,7 @@ left is verified.
 
 Pairs to look at come from an equality join, not from all pairs: of 5 blocks of a fingerprint, 3
 differing bits leave at least 2 untouched, so linked fingerprints share one of 10 keys of two
-blocks each. Rows with the same key (a bucket) are streamed in key order through the tasks. Of a
+blocks each (more blocks make longer keys for more fingerprints). Rows with the same key (a bucket) are streamed in key order through the tasks. Of a
 bucket, only a spanning forest of its links is emitted, so that thousands of near copies give
 thousands of edges rather than millions. A bucket of more than ``HOT_BUCKET`` fingerprints is cut
 into chunks, and each two chunks meet in a task of their own. Equal fingerprints are one node.
@@ -205,6 +205,14 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -
     return cut.repartition(*by).sortWithinPartitions(*by, "fp").mapInArrow(run, "u long, v long").distinct()
 
 
+def key_blocks(n: int, max_bits: int = MAX_BITS) -> int:
+    """How many untouched blocks make a key, so that n spread fingerprints give buckets of few rows. It changes the cost, not the result."""
+    k = 2
+    while 64 * k / (max_bits + k) < np.log2(max(n, 1)) - 4:
+        k += 1
+    return k
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, max_bits: int = MAX_BITS) -> DataFrame:
     """(id, fingerprint, component_id): one row for each row of ``docs``.
 
@@ -215,7 +223,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     own = materialize(fingerprints(docs, id_col, text_col, words_per_shingle), "fingerprints")
     distinct = own.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(links(distinct.select("fp"), max_bits))
+    roots = components(links(distinct.select("fp"), max_bits, max_bits + key_blocks(distinct.count(), max_bits)))
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     found = named.join(least, "root").select("fp", "component_id")

@@ -15,7 +15,7 @@ def brute_fp(text, k):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def brute(rows, k):
+def brute(rows, k, bits=3):
     fps = [brute_fp(t, k) for _, t in rows]
     comp = list(range(len(rows)))
     changed = True
@@ -23,7 +23,7 @@ def brute(rows, k):
         changed = False
         for i in range(len(rows)):
             for j in range(len(rows)):
-                if bin(fps[i] ^ fps[j]).count("1") <= 3 and comp[j] < comp[i]:
+                if bin(fps[i] ^ fps[j]).count("1") <= bits and comp[j] < comp[i]:
                     comp[i] = comp[j]
                     changed = True
     out = []
@@ -60,6 +60,16 @@ def test_matches_brute_force(spark):
     assert {r.doc_id for r in kept.collect()} == {c for _, _, c in brute(rows, 3)}
 
 
+def test_more_bits_and_longer_keys(spark, monkeypatch):
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [simhash.key_blocks(n) for n in (0, 10**5, 10**9, 10**12)] == [2, 2, 3, 4]
+    for k in (1, 3):
+        monkeypatch.setattr(simhash, "key_blocks", lambda n, b, k=k: k)
+        got = simhash.near_duplicates(df, max_bits=5).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute(rows, 5, 5)))
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(df).collect() == []
