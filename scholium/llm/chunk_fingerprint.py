@@ -160,7 +160,7 @@ def in_order_with_next(docs: DataFrame, id_col: str, text_col: str, part_bytes:
     dealt = own.withColumn("p", part_of("key")).withColumn("c", carried_to("key", "p"))
     both = F.when(F.col("c") < 0, F.array(F.struct(F.col("p").alias("part"), F.lit(0).alias("carried")))).otherwise(F.array(F.struct(F.col("p").alias("part"), F.lit(0).alias("carried")), F.struct(F.col("c").alias("part"), F.lit(1).alias("carried"))))
     dealt = dealt.select(F.explode(both).alias("to"), "key", "text").select("to.part", "to.carried", "key", "text")
-    return dealt.repartition(parts, "part").sortWithinPartitions("part", "carried", "key", "text")
+    return dealt.repartitionById(parts, "part").sortWithinPartitions("part", "carried", "key", "text")
 
 
 def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
