@@ -321,7 +321,7 @@ def write(docs: DataFrame, path: str, folder: str | None = None, end_id: int | N
             yield close()
 
     coded = own.mapInArrow(encode, "key long, n long, part int, ids binary")
-    return materialize(coded.repartition(parts, "part").sortWithinPartitions("part", "key", "ids").mapInArrow(save, fields), "token-manifest")
+    return materialize(coded.repartitionById(parts, "part").sortWithinPartitions("part", "key", "ids").mapInArrow(save, fields), "token-manifest")
 
 
 def read_back(manifest: DataFrame) -> DataFrame:
