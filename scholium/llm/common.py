@@ -8,7 +8,8 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 _shipped: set[str] = set()
@@ -54,3 +55,27 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a scratch path through Hadoop's file system, wherever it lies."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+_SPREAD = 1 << 31
+
+
+def spread(key: str = "id") -> Column:
+    """A hash of the key, even over 0 to 2**31: rows with the smallest values are a random sample."""
+    return F.pmod(F.xxhash64(key), F.lit(_SPREAD))
+
+
+def likely(n: int, total: Column) -> Column:
+    """Whether a row of ``total`` can be among the n with the smallest spread(): about 4 n rows are.
+
+    Filtering by this first keeps what tasks send for a bounded sample from growing with their number.
+    """
+    return spread().cast("double") * total < F.lit(4.0 * n * _SPREAD)
+
+
+def sample(rows: DataFrame, group: str, n: int) -> DataFrame:
+    """At most n rows (id, group, ...) of each value of group: those with the smallest spread(), ties by id."""
+    size = rows.groupBy(group).agg(F.count("*").alias("__n"))
+    order = Window.partitionBy(group).orderBy(spread(), "id")
+    few = rows.join(size, group).where(likely(n, F.col("__n"))).drop("__n")
+    return few.withColumn("__at", F.row_number().over(order)).where(F.col("__at") <= n).drop("__at")

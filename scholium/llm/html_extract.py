@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import likely, spread
+
 #: Bound of the training sample: pages, and the longest page taken.
 SAMPLE_PAGES = 300
 SAMPLE_LONGEST = 200_000
@@ -333,7 +335,8 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Mo
     leaves the layouts.
     """
     own = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).where(F.col("html").rlike("(?i)<(article|main)[\\s>]") & (F.length("html") <= SAMPLE_LONGEST))
-    rows = own.orderBy(F.xxhash64("id"), "id", "html").limit(SAMPLE_PAGES).collect()
+    few = own.where(likely(SAMPLE_PAGES, F.lit(float(pages.count()))))
+    rows = few.orderBy(spread(), "id", "html").limit(SAMPLE_PAGES).collect()
     found, labels = layouts()
     hide = [i % 3 == 2 for i in range(len(found))]
     for r in rows:

@@ -15,9 +15,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sample
 from .ragged import LETTER, SliceHash, chunks, classes, codepoints
 
 BUCKETS = 1 << 16
@@ -188,8 +189,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     null text, language or id, and texts of over SAMPLE_LONGEST characters, are not in it.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id") & (F.length("text") <= SAMPLE_LONGEST))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = known.select("id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_PER_LANGUAGE).select("id").distinct()
+    chosen = sample(known.select("id", "lang"), "lang", SAMPLE_PER_LANGUAGE).select("id").distinct()
     rows = known.join(F.broadcast(chosen), "id").select("id", "text", "lang").collect()  # at most a few thousand rows: see the bounds
     return train([(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.id, r.lang, r.text))])
 

@@ -19,9 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sample as sample_rows
 from .language_id import _lower
 from .ragged import SliceHash, chunks, codepoints, owners, spans
 
@@ -123,8 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     spark = docs.sparkSession
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out("id"))
-    order = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")
-    chosen = known.groupBy("id").agg(F.max("y").alias("y")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_PER_CLASS)
+    chosen = sample_rows(known.groupBy("id").agg(F.max("y").alias("y")), "y", SAMPLE_PER_CLASS)
     chosen = chosen.select("id", "y", (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)) == 0).alias("for_scores"))
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_LONGEST)).join(F.broadcast(chosen), "id")
 
