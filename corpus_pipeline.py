@@ -20,15 +20,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language_id.keep_identified(docs, language_id.fit(docs))
 
 
-#: Differing fingerprint bits up to which five-word shingle sets count as similar by 0.8 or more: measured on
-#: the provided tables, nearly all pairs from 0.9, half of those from 0.8 to 0.9, and hardly any below.
-NEAR_BITS = 5
+#: Differing fingerprint bits up to which texts are candidates; links are the pairs of them whose five-word
+#: shingle sets have Jaccard similarity of NEAR_LEAST or more.
+NEAR_BITS = 12
+NEAR_LEAST = 0.8
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group, over five-word shingles."""
     ship(spark)
-    return simhash.drop_near_duplicates(docs, words_per_shingle=5, max_bits=NEAR_BITS)
+    return simhash.drop_near_duplicates(docs, words_per_shingle=5, max_bits=NEAR_BITS, least=NEAR_LEAST)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,9 @@ blocks each (more blocks make longer keys for more fingerprints). Rows with the
 bucket, only a spanning forest of its links is emitted, so that thousands of near copies give
 thousands of edges rather than millions. A bucket of more than ``HOT_BUCKET`` fingerprints is cut
 into chunks, and each two chunks meet in a task of their own. Equal fingerprints are one node.
+
+``verified_groups`` takes what such links connect as candidates only, and links two texts where
+their exact shingle sets are similar enough. One representative of each shingle set moves.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 from .components import components
-from .ragged import chunks, texts
+from .ragged import chunks, mix, texts
 
 MAX_BITS = 3
 BLOCKS = 5
@@ -34,6 +37,12 @@ HOT_BUCKET = 50_000
 CHUNK = 8_192
 SMALL = 48
 _SHINGLES = 1 << 17
+#: Groups of candidates are dealt in pieces of so many sets, but at most GROUP_PIECES unless those exceed GROUP_CHUNK.
+GROUP_PIECE = 64
+GROUP_PIECES = 8
+GROUP_CHUNK = 1_024
+#: Bits of the table that tells which rows may be representatives.
+_MARKS = 1 << 24
 
 
 def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -130,6 +139,23 @@ def link_bucket(fp: np.ndarray, max_bits: int = MAX_BITS, references: np.ndarray
     return (np.concatenate(us), np.concatenate(vs)) if us else (empty, empty)
 
 
+def _pairs(fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links among distinct fingerprints by blocks of all distances: few links as they are, many as a spanning forest."""
+    step = max(1, (1 << 20) // len(fp))
+    us, vs, n = [], [], 0
+    touched = np.zeros(len(fp), bool)
+    for lo in range(0, len(fp), step):
+        i, j = np.nonzero(np.bitwise_count(fp[lo : lo + step, None] ^ fp[None, lo + 1 :]) <= max_bits)
+        later = j >= i
+        i, j = i[later] + lo, j[later] + lo + 1
+        touched[i] = touched[j] = True
+        n += len(i)
+        if n <= 4 * len(fp):
+            us.append(fp[i])
+            vs.append(fp[j])
+    return (np.concatenate(us), np.concatenate(vs)) if n <= 4 * len(fp) else link_bucket(fp[touched], max_bits)
+
+
 def _link_sorted(bucket: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links within runs of equal ``bucket``: short runs by shifted comparison of all at once."""
     references = pivots()
@@ -137,7 +163,8 @@ def _link_sorted(bucket: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.
     size = np.diff(np.concatenate([start, [len(bucket)]]))
     us, vs = [], []
     for s, n in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
-        u, v = link_bucket(fp[s : s + n], max_bits, references)
+        # far limits discard little by pivots, and comparing all is cheaper than walking
+        u, v = link_bucket(fp[s : s + n], max_bits, references) if max_bits <= MAX_BITS else _pairs(fp[s : s + n], max_bits)
         us.append(u)
         vs.append(v)
     of = np.repeat(size, size)
@@ -230,12 +257,147 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(found, "fp").select(F.col("id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, max_bits: int = MAX_BITS) -> DataFrame:
+def _sets(texts_: list[bytes], words_per_shingle: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """For each text its shingles' hashes, the sorted distinct ones, and one hash of these."""
+    from xxhash import xxh64_intdigest
+
+    each = [np.array(_hashes(t, words_per_shingle), np.uint64) for t in texts_]
+    own = [np.unique(x) for x in each]
+    return each, own, np.array([xxh64_intdigest(x.tobytes(), 7) for x in own], np.uint64)
+
+
+def _tags(ids: pa.Array, keys: np.ndarray) -> np.ndarray:
+    """One number for each id and set: rows with equal ones are the same."""
+    return mix(keys ^ mix(ids.fill_null(-1).to_numpy(zero_copy_only=False).view(np.uint64)))
+
+
+def set_keys(docs: DataFrame, id_col: str, text_col: str, words_per_shingle: int) -> DataFrame:
+    """(id, fp, set, tag) for each row: its fingerprint, the hash of its shingle set, and that of id and set."""
+    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("set", pa.int64()), ("tag", pa.int64())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in chunks(batches, "text"):
+            each, _, keys = _sets(texts(data, offsets), words_per_shingle)
+            fp = _majority(np.concatenate(each), np.array([len(x) for x in each]))
+            columns = (fp, keys, _tags(rows.column(0), keys))
+            yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(x.view(np.int64)) for x in columns)], schema=schema)
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long, set long, tag long")
+
+
+def _marked_sets(docs: DataFrame, tags: DataFrame, id_col: str, text_col: str, words_per_shingle: int) -> DataFrame:
+    """(set, shingles binary) of the rows with these tags, and of few others."""
+    bit = F.col("tag").bitwiseAND(F.lit(_MARKS - 1))
+    words = tags.groupBy(F.shiftright(bit, 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(tag & 31 as int))")).alias("bits")).collect()  # at most _MARKS / 32 rows
+    table = np.zeros(_MARKS // 32, np.uint32)
+    table[[r.w for r in words]] = [r.bits for r in words]
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+    schema = pa.schema([("set", pa.int64()), ("shingles", pa.binary())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = shared.value
+        for rows, data, offsets in chunks(batches, "text"):
+            _, own, keys = _sets(texts(data, offsets), words_per_shingle)
+            at = (_tags(rows.column(0), keys) & np.uint64(_MARKS - 1)).astype(np.int64)
+            hit = np.flatnonzero(marks[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1))
+            if len(hit):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[hit].view(np.int64)), pa.array([own[i].tobytes() for i in hit], pa.binary())], schema=schema)
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "set long, shingles binary")
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is ``least`` or more."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    few, many = (a, b) if len(a) < len(b) else (b, a)
+    if not len(few):
+        return not len(many)
+    at = np.minimum(np.searchsorted(many, few), len(many) - 1)
+    both = int((many[at] == few).sum())
+    return both >= least * (len(a) + len(b) - both)
+
+
+def link_sets(keys: list[int], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets that are similar by ``least`` or more."""
+    size = np.array([len(x) for x in sets])
+    left = np.arange(len(sets))
+    out = []
+    while len(left) > 1:
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            x = queue.pop()
+            near = np.flatnonzero((size[left] >= least * size[x]) & (size[x] >= least * size[left]))
+            found = [i for i in near if similar(sets[x], sets[left[i]], least)]
+            out += [(keys[x], keys[left[i]]) for i in found]
+            queue.extend(left[found].tolist())
+            left = np.delete(left, found)
+    return out
+
+
+def set_links(sets: DataFrame, least: float) -> DataFrame:
+    """(u, v): edges among the sets (root, set, shingles) of a root that give the same components as all similar pairs."""
+    n = F.col("n")
+    pieces = F.greatest(F.least(F.ceil(n / GROUP_PIECE), F.lit(GROUP_PIECES)), F.ceil(n / GROUP_CHUNK)).cast("int")
+    cut = (
+        sets.withColumn("pieces", pieces)
+        .withColumn("own", F.pmod(F.xxhash64("set"), F.col("pieces")).cast("int"))
+        .select("root", "set", "shingles", F.explode(F.expr("transform(sequence(0, pieces - 1), i -> named_struct('a', least(i, own), 'b', greatest(i, own)))")).alias("pair"))
+        .select("root", "pair.a", "pair.b", "set", "shingles")
+    )
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, keys, own = None, [], []
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            edges = link_sets(keys, own, least)
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges)], schema=schema)
+
+        for batch in batches:
+            group = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+            for g, key, shingles in zip(group, batch.column(3).to_pylist(), batch.column(4)):
+                if g != held:
+                    yield from emit()
+                    held, keys, own = g, [], []
+                keys.append(key)
+                own.append(np.frombuffer(shingles.as_py(), np.uint64))
+        yield from emit()
+
+    return cut.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b", "set").mapInArrow(run, "u long, v long").distinct()
+
+
+def verified_groups(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, max_bits: int = 12) -> DataFrame:
+    """(id, component_id) of each row: the smallest id that links of exact Jaccard similarity >= ``least`` reach.
+
+    Candidates are all pairs of texts that chains of at most ``max_bits`` differing bits connect. Ids, null
+    ids and texts without words are treated as by near_duplicates().
+    """
+    own = materialize(set_keys(docs, id_col, text_col, words_per_shingle), "sets")
+    distinct = own.select("fp").distinct()
+    # Two blocks make the buckets of long keys longer, but fewer; comparing costs less than moving more keys.
+    blocks = 2 if distinct.count() < 1 << 22 else key_blocks(distinct.count(), max_bits)
+    roots = components(links(distinct, max_bits, max_bits + blocks))
+    each = own.groupBy("set").agg(F.min("fp").alias("fp"), F.min("id").alias("least"), F.min("tag").alias("tag"))
+    named = each.join(roots, each.fp == roots.node, "left").select("set", "least", "tag", F.coalesce("root", "fp").alias("root"))
+    named = materialize(named, "named")
+    many = named.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
+    wanted = named.join(many, "root").select("root", "n", "set", "tag")
+    shingles = _marked_sets(docs, wanted.select("tag"), id_col, text_col, words_per_shingle)
+    edges = set_links(wanted.drop("tag").join(shingles.dropDuplicates(["set"]), "set"), least)
+    found = components(edges)
+    linked = named.join(found, named.set == found.node, "left").select("set", "least", F.coalesce(found.root, named.set).alias("group"))
+    lowest = linked.groupBy("group").agg(F.min("least").alias("component_id"))
+    return own.select("id", "set").join(linked.join(lowest, "group").select("set", "component_id"), "set").select("id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, max_bits: int = MAX_BITS, least: float | None = None) -> DataFrame:
     """Rows of ``docs``, all columns, of the one document with the smallest id in each group.
 
     Rows that repeat one id are the same document: all of them stay or go. Rows with a null id stay
-    only where their whole group has no id.
+    only where their whole group has no id. With ``least``, groups are verified_groups().
     """
-    found = near_duplicates(docs, id_col, text_col, words_per_shingle, max_bits)
+    found = near_duplicates(docs, id_col, text_col, words_per_shingle, max_bits) if least is None else verified_groups(docs, least, id_col, text_col, words_per_shingle, max_bits)
     keep = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__kept")).distinct()
     return docs.join(keep, docs[id_col].cast("long").eqNullSafe(keep["__kept"]), "left_semi")

@@ -116,3 +116,72 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(path, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 150: 150, 200: 150}
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_verified_groups(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = []
+    for n in (60, 80, 120, 300):
+        t = [f"w{rng.randrange(900)}" for _ in range(n)]
+        for edits in (0, 0, 1, 2, 3, 4, 6, 8, 12, 20):
+            w = list(t)
+            for i in rng.sample(range(n), edits * n // 200 if n > 200 else edits // 4):
+                w[i] = f"new{rng.randrange(900)}"
+            rows.append(" ".join(w))
+    rows += [None, "", "one", "one two", "ONE two"]
+    rows = [(i * 7 % 501, t) for i, t in enumerate(rows)] + [(None, rows[3]), (None, "without an id")]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+    sets = [shingles(t) for _, t in rows]
+    fps = [brute_fp(t, 5) for _, t in rows]
+
+    def closure(linked):
+        comp = list(range(len(rows)))
+        for _ in rows:
+            for i in range(len(rows)):
+                for j in range(len(rows)):
+                    if comp[j] < comp[i] and linked(i, j):
+                        comp[i] = comp[j]
+        return comp
+
+    chained = closure(lambda i, j: bin(fps[i] ^ fps[j]).count("1") <= 12)
+    comp = closure(lambda i, j: chained[i] == chained[j] and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])))
+    assert comp != closure(lambda i, j: bin(fps[i] ^ fps[j]).count("1") <= 5) and comp != chained
+    want = []
+    for i, (d, _) in enumerate(rows):
+        ids = [rows[j][0] for j in range(len(rows)) if comp[j] == comp[i] and rows[j][0] is not None]
+        want.append((d, min(ids) if ids else None))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for piece in (64, 3):
+        monkeypatch.setattr(simhash, "GROUP_PIECE", piece)
+        got = simhash.verified_groups(df, 0.8).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    kept = simhash.drop_near_duplicates(df, max_bits=12, least=0.8)
+    assert {r.doc_id for r in kept.collect()} == {c for _, c in want}
+    assert simhash.verified_groups(df.limit(0), 0.8).collect() == []
+
+
+def test_pairs_connect_as_the_walk():
+    rng = np.random.default_rng(9)
+    for n, near in ((300, 0), (300, 5), (400, 200)):
+        fp = rng.integers(0, 2**64, n, dtype=np.uint64)
+        for i in range(near):
+            fp[i] = fp[0] ^ np.uint64(1 << int(rng.integers(64))) ^ np.uint64(1 << int(rng.integers(64)))
+        fp = np.unique(fp)
+        groups = []
+        for links in (simhash._pairs(fp, 12), simhash.link_bucket(fp, 12)):
+            root = {int(x): int(x) for x in fp}
+
+            def find(x):
+                while root[x] != x:
+                    x = root[x]
+                return x
+
+            for u, v in zip(*links):
+                assert bin(int(u) ^ int(v)).count("1") <= 12 or near
+                root[find(int(u))] = find(int(v))
+            groups.append({frozenset(y for y in root if find(y) == r) for r in map(find, list(root))})
+        assert groups[0] == groups[1]
