@@ -13,7 +13,7 @@ from ..functions.generation import relative_improvement
 from .metrics import gain, ideal
 
 LOW, HIGH = 0.05, 0.60
-#: Candidates are broadcast to every task: at most so many rows of six numbers.
+#: Candidates are broadcast to every task, in blocks of at most so many rows of six numbers.
 MOST_CANDIDATES = 10_000
 
 
@@ -22,15 +22,28 @@ def _weighted(scores: DataFrame) -> DataFrame:
     return scores.withColumn("score", F.floor(score * 1e9 + 0.5) / 1e9)
 
 
+def _blocks(vectors: DataFrame) -> list[DataFrame]:
+    """All rows of ``vectors`` in tables of at most MOST_CANDIDATES."""
+    n = vectors.count()
+    if n <= MOST_CANDIDATES:
+        return [vectors]
+    at = F.row_number().over(Window.orderBy(*vectors.columns)) - 1
+    placed = vectors.withColumn("__block", F.floor(at / MOST_CANDIDATES))
+    return [placed.where(F.col("__block") == i).drop("__block") for i in range(-(-n // MOST_CANDIDATES))]
+
+
 def apply_weights(scores: DataFrame, vectors: DataFrame) -> DataFrame:
     """(domain_id, method, article_id, score): every method's vector on every work of its domain.
 
     ``vectors`` has (method, w_<key>) and, if vectors differ by domain, domain_id. Vectors for all domains
-    must be at most MOST_CANDIDATES and are broadcast; vectors by domain are joined by it.
+    are broadcast in blocks of MOST_CANDIDATES; vectors by domain are joined by it.
     """
     cols = [f"w_{k}" for k in KEYS]
     narrow = scores.select("domain_id", F.col("id").alias("article_id"), *(f"{k}_score" for k in KEYS))
-    joined = narrow.join(vectors.select("domain_id", "method", *cols), "domain_id") if "domain_id" in vectors.columns else narrow.crossJoin(F.broadcast(vectors.select("method", *cols).limit(MOST_CANDIDATES)))
+    if "domain_id" in vectors.columns:
+        joined = narrow.join(vectors.select("domain_id", "method", *cols), "domain_id")
+    else:
+        joined = reduce(DataFrame.union, (narrow.crossJoin(F.broadcast(v)) for v in _blocks(vectors.select("method", *cols))))
     return _weighted(joined).select("domain_id", "method", "article_id", "score")
 
 
@@ -55,10 +68,10 @@ def grid(spark: SparkSession) -> DataFrame:
 
 
 def sampled(spark: SparkSession, n: int, seed: int = 42, around: list[tuple[float, ...]] | None = None, spread: float = 0.05) -> DataFrame:
-    """n random candidates with each weight in [LOW, HIGH] before they are normalised; or near the given ones."""
+    """n random candidates with each weight in [LOW, HIGH] before they are normalised; or near the given ones, in turn."""
     rng = np.random.default_rng(seed)
     if around:
-        w = np.array(around)[rng.integers(0, len(around), n)] + rng.normal(0, spread, (n, 6))
+        w = np.array(around)[np.arange(n) % len(around)] + rng.normal(0, spread, (n, 6))
     else:
         w = rng.uniform(LOW, HIGH, (n, 6))
     w = np.clip(w, LOW, HIGH)
@@ -74,8 +87,8 @@ def best_of(results: DataFrame, baseline: str, least_gain_pct: float = 1.0) -> D
     return best.withColumn("improvement_pct", relative_improvement(F.col("best"), F.col("baseline"))).withColumn("saved", F.col("improvement_pct") >= least_gain_pct)
 
 
-def search(scores: DataFrame, gold: DataFrame, default: dict[str, float], n: int = 60, rounds: int = 2, keep: int = 8, seed: int = 42) -> DataFrame:
-    """Population search for all domains at once: random candidates, then rounds near the overall best ones.
+def search(scores: DataFrame, gold: DataFrame, default: dict[str, float], n: int = 60, rounds: int = 2, seed: int = 42) -> DataFrame:
+    """Population search for all domains at once: random candidates, then rounds near the best one of each domain.
 
     Candidates of every round stay in the running, with the default as baseline. Returns best_of() with
     the winning weights. The loop keeps only candidates on the driver, never works.
@@ -88,9 +101,9 @@ def search(scores: DataFrame, gold: DataFrame, default: dict[str, float], n: int
     results = ndcg(narrow, pool, gold)
     for r in range(1, rounds):
         place = F.row_number().over(Window.partitionBy("domain_id").orderBy(F.desc("ndcg15"), "method"))
-        good = results.withColumn("p", place).where("p = 1").select("method").distinct().limit(keep)
-        around = [tuple(x[c] for c in cols) for x in pool.join(good, "method").orderBy("method").collect()]  # at most ``keep`` rows
-        more = sampled(spark, n, seed + r, around)
+        good = results.withColumn("p", place).where("p = 1").select("method").distinct()
+        around = [tuple(x[c] for c in cols) for x in pool.join(good, "method").orderBy("method").collect()]  # at most one a domain, of the pool's candidates
+        more = sampled(spark, max(n, len(around)), seed + r, around)
         results = results.union(ndcg(narrow, more, gold))
         pool = pool.union(more)
     return best_of(results, "default").join(pool.withColumnRenamed("method", "best_method"), "best_method")

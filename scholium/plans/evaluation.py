@@ -233,7 +233,7 @@ def h1_weight_search_grid(spark, d):
 
 @query()
 def h1_weight_search_sampled(spark, d):
-    return weights.search(scored(spark, d), b.gold(spark, d), DEFAULT_WEIGHTS, n=30)
+    return weights.search(scored(spark, d), b.gold(spark, d), DEFAULT_WEIGHTS, n=75)
 
 
 def _domains(spark, d):

@@ -256,3 +256,22 @@ def test_queries_agree_with_sql(spark):
         key = lambda t: str([round(x, 6) if isinstance(x, float) else x for x in t])
         assert sorted(map(key, (tuple(r[n] for n in names) for r in df.collect()))) == sorted(map(key, r.fetchall())), name
     assert e.entry(spark).count() > 0
+
+
+def test_all_candidates_are_scored_and_every_winner_refined(spark, monkeypatch):
+    monkeypatch.setattr(weights, "MOST_CANDIDATES", 5)
+    rng = np.random.default_rng(4)
+    cols = ", ".join(f"{k}_score double" for k in fx.KEYS)
+    one = spark.createDataFrame([("d", 1, *map(float, rng.random(6)))], "domain_id string, id long, " + cols)
+    assert {r.method for r in weights.apply_weights(one, weights.sampled(spark, 12)).collect()} == {f"c42_{i}" for i in range(12)}
+    monkeypatch.undo()
+    rows = [(f"d{d}", i, *map(float, rng.random(6))) for d in range(40) for i in range(30)]
+    s = spark.createDataFrame(rows, "domain_id string, id long, " + cols)
+    gold = spark.createDataFrame([(f"d{d}", int(i), 2) for d in range(40) for i in rng.choice(30, 5, replace=False)], "domain_id string, article_id long, grade int")
+    seeds = []
+    own = weights.sampled
+    monkeypatch.setattr(weights, "sampled", lambda spark, n, seed=42, around=None, **k: (seeds.append((n, around)), own(spark, n, seed, around, **k))[1])
+    weights.search(s, gold, {k: 1 / 6 for k in fx.KEYS}, n=40)
+    pool = own(spark, 40).union(spark.createDataFrame([("default", *[1 / 6] * 6)], "method string, " + ", ".join(f"w_{k} double" for k in fx.KEYS)))
+    winners = {r.best_method for r in weights.best_of(weights.ndcg(s, pool, gold), "default").collect()}
+    assert len(winners) > 8 and len(seeds[1][1]) == len(winners) <= seeds[1][0]
