@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .features import half_up
+
 QUALITY_ORDER = ("poor", "acceptable", "good", "excellent")
 NEUTRAL_JUDGE = 0.5
 #: US dollars for a million input and output tokens.
@@ -27,10 +29,6 @@ PRICES = (
 )
 
 
-def half_up(value: Column, places: int) -> Column:
-    return F.floor(value * 10**places + 0.5) / 10**places
-
-
 def composite(rouge1: Column, rouge2: Column, rouge_l: Column, faithfulness: Column, coverage: Column) -> Column:
     """With overlap and judge .4/.4/.2; judge alone .6/.4; overlap alone the mean of the three. Null if neither is there."""
     overlap, judge = (rouge1 + rouge2 + rouge_l) / 3, faithfulness.isNotNull() & coverage.isNotNull()

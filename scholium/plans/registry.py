@@ -6,10 +6,7 @@ to six places on both sides.
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,6 +16,7 @@ from ..functions import generation as gx
 from ..functions import text as tx
 from ..operators import corpus_stats, enrich, generation, meta, metrics, ranking, reports, significance, weights
 from ..sources import stores
+from ..sources.shared import ship
 from ..sources import works as sources
 from . import bindings as b
 from .bindings import DEFAULT_WEIGHTS, NOW, RECENT_YEAR, with_sql
@@ -26,18 +24,6 @@ from .bindings import DEFAULT_WEIGHTS, NOW, RECENT_YEAR, with_sql
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-_shipped: set[str] = set()
-
-
-def _ship(spark: SparkSession) -> None:
-    """Send this package's source to the executors, once an application: some queries have pandas functions."""
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        package = Path(__file__).resolve().parents[1]
-        folder = Path(tempfile.mkdtemp(prefix="spark-code-"))
-        shutil.copytree(package, folder / "src" / package.name, ignore=shutil.ignore_patterns("__pycache__"))
-        spark.sparkContext.addPyFile(shutil.make_archive(str(folder / package.name), "zip", folder / "src"))
-        _shipped.add(app)
 
 
 def query(sql: str | None = None, parts: list[str] | None = None, more: dict[str, str] | None = None, python: bool = False) -> Callable[[Query], Query]:
@@ -46,7 +32,7 @@ def query(sql: str | None = None, parts: list[str] | None = None, more: dict[str
     def put(f: Query) -> Query:
         def run(spark: SparkSession, d: str) -> DataFrame:
             if python:
-                _ship(spark)
+                ship(spark)
             return f(spark, d)
 
         QUERIES[f.__name__] = run

@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.features import KEYS, REQUIRED
 from ..functions.text import slug
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir; a local one only where it is unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+from .shared import scratch  # noqa: F401  stores lie there unless a path is given
 
 
 def save_weights(weights: DataFrame, path: str) -> None:
