@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ragged import LETTER, NUMBER, OTHER, SPACE, SliceHash, chunks, classes, codepoints, distinct, gather, owners
+from .ragged import NUMBER, SPACE, chunks, codepoints, distinct, gather, library_classes, owners, slice_hashes
 
 NO_RANK = np.int32(2**31 - 1)
 #: The parts after an apostrophe that are pre-tokens of their own.
@@ -54,6 +54,7 @@ class Vocabulary:
         for token, i in [*ids.items(), *self.special.items()]:
             self.tokens[i] = token.encode()
         self.base = np.int64(size)
+        self.normalise = Normaliser(path)
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         left = np.array([ids[a] for a, _ in pairs], np.int64)
         right = np.array([ids[b] for _, b in pairs], np.int64)
@@ -144,6 +145,31 @@ def normalise(text: str) -> str:
     return text.replace("Σ", "σ").lower()
 
 
+class Normaliser:
+    """The vocabulary's normal form of texts, as the library gives it.
+
+    Characters of Unicode 3.2 have kept their canonical forms in all later versions, so texts of those whose
+    own form is the same here and there are normalised here; other texts are left to the library, whose
+    tables are of another Unicode version.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path).normalizer
+        kind = library_classes()
+        self.shared = np.zeros(0x110000, bool)
+        for c in [*range(0xD800), *range(0xE000, 0x30000), 0xE0001, *range(0xE0020, 0xE0080)]:
+            x = chr(c)
+            self.shared[c] = kind[c] == SPACE or (unicodedata.ucd_3_2_0.category(x) != "Cn" and self.library.normalize_str(x) == normalise(x))
+
+    def __call__(self, text: str) -> str:
+        if text.isascii():
+            return text.lower()
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        return normalise(text) if self.shared[points].all() else self.library.normalize_str(text)
+
+
 def pretokens(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of pre-tokens in normalised code points.
 
@@ -152,7 +178,7 @@ def pretokens(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     n = len(flat)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    kind = classes()[flat]
+    kind = library_classes()[flat]
     first = np.zeros(n + 1, bool)
     first[offsets] = True
     change = np.ones(n, bool)
@@ -177,11 +203,11 @@ def pretokens(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return cut[words], cut_end[words]
 
 
-def _segments(data: np.ndarray, offsets: np.ndarray, special: dict[str, int]) -> tuple[list[str], np.ndarray, np.ndarray]:
+def _segments(data: np.ndarray, offsets: np.ndarray, vocab: Vocabulary) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Normalised stretches between special strings; for each its text, and the special id after it or -1."""
     import re
 
-    raw, cut = data.tobytes(), offsets.tolist()
+    raw, cut, special = data.tobytes(), offsets.tolist(), vocab.special
     pattern = re.compile(b"(" + b"|".join(re.escape(s.encode()) for s in special) + b")") if special else None
     if pattern is None or not pattern.search(raw):
         pattern = None
@@ -191,7 +217,7 @@ def _segments(data: np.ndarray, offsets: np.ndarray, special: dict[str, int]) ->
     for i, (a, b) in enumerate(zip(cut, cut[1:])):
         pieces = pattern.split(raw[a:b]) if pattern else [raw[a:b]]
         for j in range(0, len(pieces), 2):
-            parts.append(normalise(pieces[j].decode()))
+            parts.append(vocab.normalise(pieces[j].decode()))
             doc.append(i)
             after.append(special[pieces[j + 1].decode()] if j + 1 < len(pieces) else -1)
     return parts, np.array(doc, np.int64), np.array(after, np.int64)
@@ -202,13 +228,13 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, vocab: Vocabulary):
         self.docs = len(offsets) - 1
-        parts, self.part_doc, self.part_after = _segments(data, offsets, vocab.special)
+        parts, self.part_doc, self.part_after = _segments(data, offsets, vocab)
         flat_bytes = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
         cuts = np.concatenate([[0], np.cumsum(lengths)])
         starts, ends = pretokens(flat_bytes, cuts)
         self.part_of = owners(starts, cuts)
-        chosen, self.which = distinct(SliceHash(flat_bytes)(starts, ends))
+        chosen, self.which = distinct(*slice_hashes(flat_bytes, starts, ends))
         s, size = starts[chosen], ends[chosen] - starts[chosen]
         points = flat_bytes[gather(s, size)]
         utf8 = np.frombuffer(points.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ragged import SliceHash
+from .ragged import slice_hashes
 
 LEAST, NORMAL, GREATEST = 16, 48, 192
 #: Bits of the 16-bit hash that must be zero: its highest depend on the most bytes.
@@ -88,7 +88,7 @@ class Fingerprints:
         starts = np.empty_like(ends)
         starts[1:] = ends[:-1]
         starts[(np.cumsum(counts) - counts)[counts > 0]] = offsets[:-1][counts > 0]
-        digest = SliceHash(data)(starts, ends) >> np.uint64(64 - 8 * DIGEST_BYTES)
+        digest = slice_hashes(data, starts, ends)[0] >> np.uint64(64 - 8 * DIGEST_BYTES)
         order = np.lexsort((digest, owner))
         owner, digest, length = owner[order], digest[order], (ends - starts)[order]
         new = np.ones(len(order), bool)

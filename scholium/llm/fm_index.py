@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .ragged import SliceHash, chunks, distinct, gather, spans
+from .ragged import chunks, distinct, gather, slice_hashes, spans
 
 WINDOW = 10
 SAMPLE = 8
@@ -34,11 +34,11 @@ _WORD = np.zeros(256, bool)
 _WORD[ord("0") : ord("9") + 1] = _WORD[ord("a") : ord("z") + 1] = _WORD[0x80:] = True
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of each word (digits, letters a-z after lowering A-Z, anything beyond ASCII), and each text's first word."""
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes, start and end of each word (digits, letters a-z after lowering A-Z, anything beyond ASCII), and each text's first word."""
     low = _LOWER[data]
     starts, ends = spans(_WORD[low], offsets)
-    return SliceHash(low)(starts, ends), starts, ends, np.searchsorted(starts, offsets)
+    return slice_hashes(low, starts, ends), starts, ends, np.searchsorted(starts, offsets)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -158,6 +158,7 @@ class Benchmark:
     """A block of benchmark windows as phrases of word numbers, and the items each comes from."""
 
     vocabulary: np.ndarray  # sorted hashes; a word's number is its place here, above BREAK
+    second: np.ndarray  # the words' other hashes
     phrases: np.ndarray
     lengths: np.ndarray
     item_first: np.ndarray
@@ -169,7 +170,7 @@ class Benchmark:
         raw = [t.encode() for _, t in rows]
         offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
         hashes, _, _, first = words(np.frombuffer(b"".join(raw), np.uint8), offsets)
-        vocabulary, number = np.unique(hashes, return_inverse=True)
+        known, number = distinct(*hashes)
         number = number + BREAK + 1
         size = np.diff(first)
         length = np.minimum(size, window)
@@ -180,19 +181,19 @@ class Benchmark:
         for j in range(window):
             on = length > j
             phrases[on, j] = number[starts[on] + j]
-        chosen, which = distinct(SliceHash(number.astype(np.uint64))(starts, starts + length))
+        chosen, which = distinct(*slice_hashes(number.astype(np.uint64), starts, starts + length))
         pairs = np.unique(np.stack([which, item], axis=1), axis=0)
-        return cls(vocabulary, phrases[chosen], length[chosen], np.searchsorted(pairs[:, 0], np.arange(len(chosen) + 1)), pairs[:, 1], [i for i, _ in rows])
+        return cls(hashes[0][known], hashes[1][known], phrases[chosen], length[chosen], np.searchsorted(pairs[:, 0], np.arange(len(chosen) + 1)), pairs[:, 1], [i for i, _ in rows])
 
     def search(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]], tuple[np.ndarray, np.ndarray]]:
         """Index a shard and search it: which words are hit, each text's first word, the texts and numbers of items found, word spans."""
         hashes, starts, ends, first = words(data, offsets)
-        hit = np.zeros(len(hashes), bool)
+        hit = np.zeros(len(starts), bool)
         found: list[list[str]] = [[] for _ in range(len(offsets) - 1)]
-        if not len(hashes) or not len(self.lengths):
+        if not len(starts) or not len(self.lengths):
             return hit, first, starts, found, (starts, ends)
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
-        known = self.vocabulary[at] == hashes
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes[0]), len(self.vocabulary) - 1)
+        known = (self.vocabulary[at] == hashes[0]) & (self.second[at] == hashes[1])
         begin, end = spans(known, first)
         long = end - begin >= int(self.lengths.min())
         begin, size = begin[long], (end - begin)[long]
@@ -211,7 +212,7 @@ class Benchmark:
         times = np.maximum(high - low, 0)
         where = word[index.locate(gather(low, times))]
         phrase = np.repeat(np.arange(len(times)), times)
-        change = np.zeros(len(hashes) + 1, np.int64)
+        change = np.zeros(len(starts) + 1, np.int64)
         np.add.at(change, where, 1)
         np.add.at(change, where + self.lengths[phrase], -1)
         hit = np.cumsum(change)[:-1] > 0

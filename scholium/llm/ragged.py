@@ -65,6 +65,21 @@ def classes() -> np.ndarray:
     return out
 
 
+@lru_cache(1)
+def library_classes() -> np.ndarray:
+    """The same as classes(), but as the tokenizers library sees them: its Unicode version is another."""
+    from tokenizers import Regex, pre_tokenizers
+
+    out = np.full(0x110000, OTHER, np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        found = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+        for base in range(0, 0x110000, 2048):  # not all at once: the library counts in 32 bits, and surrogates fill one block
+            if base != 0xD800:
+                for _, (a, b) in found.pre_tokenize_str("".join(map(chr, range(base, base + 2048)))):
+                    out[base + a : base + b] = kind
+    return out
+
+
 def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of ``inside`` that don't cross a text's border."""
     if not len(inside):
@@ -110,53 +125,70 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class SliceHash:
-    """64-bit hashes of any slices of a flat array, from one prefix sum of a polynomial.
+#: Slices of more bytes than this are hashed one by one.
+_LONG = 1024
+_K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
-    The same content gives the same hash in every task. ``seed`` picks an independent function.
-    """
 
-    _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def __init__(self, flat: np.ndarray, seed: int = 1):
-        n = len(flat) + 1
-        power, inverse = self._tables(seed, n)
-        value = mix(flat.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15) & (2**64 - 1)))
-        self.sums = np.zeros(n, np.uint64)
-        np.cumsum(value * power[: n - 1], out=self.sums[1:])
-        self.inverse = inverse
-
-    @classmethod
-    def _tables(cls, seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        have = cls._powers.get(seed)
-        if have is None or len(have[0]) < n:
-            base = (0xD6E8FEB86659FD93 + 2 * seed * 0x2545F4914F6CDD1D) | 1
-            size = max(n, 1 << 16)
-            out = []
-            for b in (base & (2**64 - 1), pow(base, -1, 2**64)):
-                p = np.full(size, b, np.uint64)
-                p[0] = 1
-                out.append(np.cumprod(p))
-            have = cls._powers[seed] = (out[0], out[1])
-        return have
-
-    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        raw = (self.sums[ends] - self.sums[starts]) * self.inverse[starts]
-        return mix(raw ^ ((ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-
-
-def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of one member of each set of equal hashes, and for each element the set's number."""
-    if not len(hashes):
+def _lanes(flat: np.ndarray) -> np.ndarray:
+    """For each place the eight bytes that begin there, as one number; zeros beyond the end."""
+    if flat.itemsize == 8:
+        return flat.view(np.uint64)
+    if flat.itemsize == 4:
+        out = flat.astype(np.uint64)
+        out[:-1] |= out[1:] << np.uint64(32)
+        return out
+    padded = np.zeros(len(flat) + 8, np.uint8)
+    padded[: len(flat)] = flat
+    return np.ascontiguousarray(np.ndarray((len(flat) + 1,), "<u8", padded, strides=(1,)))
+
+
+def slice_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each slice of a flat array of 1-, 4- or 8-byte numbers.
+
+    The same content gives the same hashes in every task. Eight bytes at a time are mixed into the state of
+    all slices at once by a step that isn't linear in them, so regular texts collide no sooner than others.
+    """
+    size = (ends - starts) * flat.itemsize
+    a = size.astype(np.uint64) * _K1
+    b = size.astype(np.uint64) ^ _K3
+    lanes = _lanes(flat) if len(flat) else np.zeros(0, np.uint64)
+    per = 8 // flat.itemsize
+    at = np.flatnonzero((size > 0) & (size <= _LONG))
+    where, left = starts[at], size[at]
+    while len(at):
+        lane = lanes[where]
+        short = np.flatnonzero(left < 8)
+        if len(short):
+            lane[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+        x = (a[at] ^ lane) * _K2
+        a[at] = x ^ (x >> np.uint64(29))
+        x = (b[at] + lane * _K1) * _K3
+        b[at] = x ^ (x >> np.uint64(32))
+        more = left > 8
+        at, where, left = at[more], where[more] + per, left[more] - 8
+    long = np.flatnonzero(size > _LONG)
+    if len(long):
+        from xxhash import xxh3_128_intdigest
+
+        raw = memoryview(np.ascontiguousarray(flat)).cast("B")
+        for i, s, e in zip(long.tolist(), (starts[long] * flat.itemsize).tolist(), (ends[long] * flat.itemsize).tolist()):
+            digest = xxh3_128_intdigest(raw[s:e])
+            a[i], b[i] = digest & (2**64 - 1), digest >> 64
+    return mix(a), mix(b)
+
+
+def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of one member of each set of equal pairs of hashes, and for each element the set's number."""
+    if not len(a):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    order = np.argsort(hashes)
-    ranked = hashes[order]
+    order = np.argsort(a)
     new = np.ones(len(order), bool)
-    new[1:] = ranked[1:] != ranked[:-1]
+    new[1:] = a[order][1:] != a[order][:-1]
+    ranked = b[order]
+    if (ranked[1:][~new[1:]] != ranked[:-1][~new[1:]]).any():  # the first hashes clash: let both decide
+        order = np.lexsort((b, a))
+        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
     inverse = np.empty(len(order), np.int64)
     inverse[order] = np.cumsum(new) - 1
     return order[new], inverse
-
-
-def result(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, schema.field(k).type) for k, x in columns.items()], schema=schema)

@@ -9,8 +9,8 @@ that holds a symbol's whole context holds that symbol wherever it occurs.
 
 So a window with a symbol that occurs once in the corpus occurs once. Spark counts the names of the
 high-level symbols; documents that share some, or that have windows without any certain symbol, are
-joined with them, and only windows without a unique symbol are verified by 96-bit hashes of all
-their words. Both counts treat frequent content alike: within a chunk of documents a content is
+joined with them, and only windows without a unique symbol are verified by 95 bits of hash over all
+their words; a whole text counts as a copy by as many bits. Both counts treat frequent content alike: within a chunk of documents a content is
 reported once and its other occurrences, known to be repeats by then, travel by document.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .ragged import SliceHash, chunks, mix, spans
+from .ragged import chunks, mix, slice_hashes, spans
 
 WINDOW = 20
 ROUNDS = 3
@@ -102,14 +102,12 @@ def certain(p: Parse, window: int = WINDOW, least_span: int = LEAST_SPAN) -> np.
     return np.flatnonzero((p.cb - p.ca <= window) & (p.b - p.a >= least_span))
 
 
-#: Ordinal of the symbol that is a whole text.
-WHOLE = -1
 _LOWEST = -(2**63)
 
 
 def _names(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     starts, ends, first = word_spans(data, offsets)
-    return SliceHash(data)(starts, ends), first, starts, ends
+    return slice_hashes(data, starts, ends)[0], first, starts, ends
 
 
 def _first_of_each(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +123,7 @@ def _first_of_each(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _symbols(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Rows (route, id, h, ix, known) for each certain symbol and each whole text.
+    """Rows (route, id, h, ix, known) for each certain symbol and each whole text (ix below 0: bits of its second hash).
 
     Rows of one name have one route; a name seen twice in the chunk sends one row with known = 2 there,
     and its other rows, known = 1, go anywhere.
@@ -145,8 +143,9 @@ def _symbols(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.Reco
         # whole texts with at least one window: earlier ones first, so that those known here are copies
         full = np.flatnonzero(np.diff(first) >= window)
         full = full[np.lexsort((hs[full], ids[full]))]
-        whole = mix(SliceHash(names)(first[full], first[full + 1]) ^ _K2)
-        lead, _ = _first_of_each(whole)
+        whole, second = slice_hashes(names, first[full], first[full + 1])
+        second = -1 - (second & np.uint64(0x7FFFFFFF)).astype(np.int64)
+        lead, _ = _first_of_each(whole, second)
         twin = np.zeros(len(full), bool)  # rows of the same id aren't copies of each other: leave those to Spark
         twin[1:] = ids[full][1:] == ids[full][:-1]
         lead |= twin
@@ -155,7 +154,7 @@ def _symbols(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.Reco
                 pa.array(np.concatenate([route, np.where(lead, whole, mix(whole + full.astype(np.uint64)))]).view(np.int64)),
                 pa.array(np.concatenate([ids[p.doc[at]], ids[full]])),
                 pa.array(np.concatenate([hs[p.doc[at]], hs[full]])),
-                pa.array(np.concatenate([ix, np.full(len(full), WHOLE)]).astype(np.int32)),
+                pa.array(np.concatenate([ix, second]).astype(np.int32)),
                 pa.array(np.concatenate([known, np.where(lead, 0, 1)]).astype(np.int8)),
             ],
             schema=schema,
@@ -163,27 +162,27 @@ def _symbols(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.Reco
 
 
 def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order (route, whole or not, id, h): symbols that occur elsewhere, and whole texts that an earlier one equals.
+    """Of rows in order (route, whole text or not, id, h): symbols that occur elsewhere, and whole texts that an earlier one equals.
 
     A group's last row is held until the next batch shows whether the group goes on.
     """
     schema = pa.schema([("id", pa.int64()), ("h", pa.int32()), ("ix", pa.int32())])
     waiting: tuple | None = None  # route, id, h, ix, known of the last row so far, and whether it is known to be repeated
-    lead: tuple | None = None  # route and id of the first whole text of the last group
+    lead: tuple | None = None  # route, second hash and id of the first whole text of the last group
     for rows in batches:
         if not rows.num_rows:
             continue
         route, ids, hs, ix, known = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(5))
         if waiting is not None:
             route, ids, hs, ix, known = (np.concatenate([[w], x]).astype(x.dtype) for w, x in zip(waiting, (route, ids, hs, ix, known)))
-        whole = ix == WHOLE
+        whole, kind = ix < 0, np.minimum(ix, 0)
         same = np.zeros(len(route) + 1, bool)
-        same[1:-1] = (route[1:] == route[:-1]) & (whole[1:] == whole[:-1])
+        same[1:-1] = (route[1:] == route[:-1]) & (kind[1:] == kind[:-1])
         symbol = ~whole & (same[1:] | same[:-1] | (known > 0))
         start = np.maximum.accumulate(np.where(same[:-1], 0, np.arange(len(route))))
         lead_id = ids[start]
-        if lead is not None and whole[0] and lead[0] == route[0]:
-            lead_id = np.where(start == 0, lead[1], lead_id)
+        if lead is not None and whole[0] and lead[:2] == (route[0], ix[0]):
+            lead_id = np.where(start == 0, lead[2], lead_id)
         copy = whole & ((ids > lead_id) | (known > 0))
         out = symbol | copy
         # the last row: known to be repeated if its group has begun before it, else it waits
@@ -194,7 +193,7 @@ def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             waiting = (route[last].item(), ids[last].item(), hs[last].item(), ix[last].item(), 2)
         else:
             waiting = None
-        lead = (route[last], lead_id[last]) if whole[last] else None
+        lead = (route[last], ix[last], lead_id[last]) if whole[last] else None
         out[last] &= whole[last]
         yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (ids, hs, ix)], schema=schema)
     if waiting is not None and waiting[4] > 0:
@@ -218,7 +217,7 @@ def _windows(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.Reco
         which = seen.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         owner = np.repeat(np.arange(len(size)), size)
         skip = np.zeros(len(size), bool)
-        skip[owner[which == WHOLE]] = True
+        skip[owner[which < 0]] = True
         often = np.zeros(len(at), bool)
         often[begin[owner[which >= 0]] + which[which >= 0]] = True
         alone = at[~often]
@@ -233,8 +232,8 @@ def _windows(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.Reco
         doc = doc[pos]
         order = np.lexsort((pos, ids[doc]))
         pos, doc = pos[order], doc[order]
-        route = SliceHash(names)(pos, pos + window)
-        check = (SliceHash(names, 2)(pos, pos + window) & np.uint64(0x7FFFFFFF)).astype(np.int32)
+        route, check = slice_hashes(names, pos, pos + window)
+        check = (check & np.uint64(0x7FFFFFFF)).astype(np.int32)
         lead, _ = _first_of_each(route, check)
         local = (pos - first[doc]).astype(np.int32)
         # what is known: equal windows that start later; one that starts alike, in a row with the same id, isn't a repeat
@@ -307,14 +306,14 @@ def with_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rest = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col]
     texts = docs.select(*own, *rest).repartition("id", "h")  # moved once: both joins below read it
     symbols = docs.select(*own).mapInArrow(lambda it: _symbols(it, window), "route long, id long, h int, ix int, known byte")
-    seen = symbols.repartition("route").sortWithinPartitions("route", F.expr("ix = -1"), "id").mapInArrow(_repeated, "id long, h int, ix int")
+    seen = symbols.repartition("route").sortWithinPartitions("route", F.least("ix", F.lit(0)), "id").mapInArrow(_repeated, "id long, h int, ix int")
     # stored: both joins below read it, and Spark would otherwise parse all texts once for each
     seen = materialize(seen.groupBy("id", "h").agg(F.collect_list("ix").alias("seen")), "repeated-symbols")
     marked = texts.join(seen.hint("shuffle_hash"), ["id", "h"], "left")
     windows = marked.mapInArrow(lambda it: _windows(it, window), "route long, check int, id long, h int, pos int, known array<int>")
     later = windows.repartition("route", "check").sortWithinPartitions("route", "check", "id", "pos").mapInArrow(_later, "id long, h int, pos array<int>")
     later = later.groupBy("id", "h").agg(F.flatten(F.collect_list("pos")).alias("pos")).hint("shuffle_hash")
-    return marked.withColumn("copy", F.coalesce(F.array_contains("seen", WHOLE), F.lit(False))).drop("seen").join(later, ["id", "h"], "left")
+    return marked.withColumn("copy", F.coalesce(F.exists("seen", lambda x: x < 0), F.lit(False))).drop("seen").join(later, ["id", "h"], "left")
 
 
 def _removed(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, list[bytes]]]:

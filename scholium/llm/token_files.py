@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .bpe import CONTRACTIONS
 from .common import materialize, scratch
-from .ragged import NUMBER, OTHER, SPACE, SliceHash, chunks, classes, codepoints, distinct, gather, mix, owners
+from .ragged import SPACE, chunks, codepoints, distinct, gather, library_classes, mix, owners, slice_hashes
 
 MAGIC = b"TOKSHRD1"
 #: Text that goes into one shard, in bytes, and ids after which a shard is closed in any case.
@@ -51,7 +51,7 @@ def pretokens(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     n = len(flat)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    kind = classes()[flat]
+    kind = library_classes()[flat]
     border = np.zeros(n + 1, bool)
     border[offsets] = True
     change = np.ones(n, bool)
@@ -97,17 +97,30 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)
+        self.known, self.second = np.zeros(0, np.uint64), np.zeros(0, np.uint64)  # sorted by the first hash
         self.first = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _lookup(self, hashes: np.ndarray, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each pair of hashes, and whether it is known."""
+        if not len(self.known):
+            return np.zeros(len(a), np.int64), np.zeros(len(a), bool)
+        last = len(self.known) - 1
+        at = np.searchsorted(self.known, a)
+        while True:  # beyond the first of those whose first hashes clash
+            here = np.minimum(at, last)
+            past = (at <= last) & (self.known[here] == a) & (self.second[here] != b)
+            if not past.any():
+                return here, (at <= last) & (self.known[here] == a)
+            at = at + past
+
+    def _lookup(self, a: np.ndarray, b: np.ndarray, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of distinct pre-tokens lie in ``self.ids``, encoding those not known yet."""
-        if len(self.known) + len(hashes) > CACHE + len(hashes) // 2:
+        if len(self.known) + len(a) > CACHE + len(a) // 2:
             self._forget()
-        at = np.minimum(np.searchsorted(self.known, hashes), max(0, len(self.known) - 1))
-        new = self.known[at] != hashes if len(self.known) else np.ones(len(hashes), bool)
+        at, have = self._find(a, b)
+        new = ~have
         if new.any():
             s, e = starts[new], ends[new]
             text = flat[gather(s, e - s)].astype("<u4").tobytes().decode("utf-32-le")
@@ -115,21 +128,21 @@ class Encoder:
             got = [x.ids for x in self.library.encode_batch_fast([text[a:b] for a, b in zip(cut, cut[1:])], add_special_tokens=False)]
             size = np.fromiter(map(len, got), np.int64, len(got))
             flat_ids = np.fromiter((i for g in got for i in g), np.uint32, int(size.sum()))
-            keys = np.concatenate([self.known, hashes[new]])
+            keys, second = np.concatenate([self.known, a[new]]), np.concatenate([self.second, b[new]])
             first = np.concatenate([self.first, len(self.ids) + np.cumsum(size) - size])
             self.ids = np.concatenate([self.ids, flat_ids])
             order = np.argsort(keys)
-            self.known, self.first, self.size = keys[order], first[order], np.concatenate([self.size, size])[order]
-            at = np.searchsorted(self.known, hashes)
+            self.known, self.second, self.first, self.size = keys[order], second[order], first[order], np.concatenate([self.size, size])[order]
+            at, _ = self._find(a, b)
         return self.first[at], self.size[at]
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and each text's number of ids."""
         flat, cuts = codepoints(data, offsets)
         starts, ends = pretokens(flat, cuts)
-        chosen, which = distinct(SliceHash(flat)(starts, ends))
-        hashes = SliceHash(flat)(starts[chosen], ends[chosen])
-        first, size = self._lookup(hashes, flat, starts[chosen], ends[chosen])
+        a, b = slice_hashes(flat, starts, ends)
+        chosen, which = distinct(a, b)
+        first, size = self._lookup(a[chosen], b[chosen], flat, starts[chosen], ends[chosen])
         first, size = first[which], size[which]
         ids = self.ids[gather(first, size)]
         counts = np.bincount(owners(starts, cuts), weights=size, minlength=len(offsets) - 1).astype(np.int64) if len(starts) else np.zeros(len(offsets) - 1, np.int64)
