@@ -1,29 +1,13 @@
-"""Tables, scratch folders and materialised intermediates shared by the operators."""
+"""Tables, scratch tables and bounded samples shared by the operators."""
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
-import uuid
-from pathlib import Path
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import remove, scratch, ship
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package's source to the executors, once an application."""
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        package = Path(__file__).resolve().parents[1]
-        folder = tempfile.mkdtemp(prefix="spark-code-")
-        copy = shutil.copytree(package, os.path.join(folder, package.name, package.name), ignore=shutil.ignore_patterns("__pycache__"))
-        spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, package.name), "zip", os.path.dirname(copy)))
-        _shipped.add(app)
+_stored: list[str] = []
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,51 +15,34 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that driver and executors share.
-
-    The cluster names the folder in ``spark.checkpoint.dir``; where that is unset (tests in
-    local mode) a folder of this machine is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
+    _stored.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path through Hadoop's file system, wherever it lies."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
+def stored() -> list[str]:
+    """The paths of all tables that materialize() has written and sweep() hasn't removed, oldest first."""
+    return list(_stored)
 
-_SPREAD = 1 << 31
 
+def sweep(spark: SparkSession, paths: list[str]) -> None:
+    """Remove tables of materialize() that no DataFrame in use reads any more."""
+    for path in paths:
+        remove(spark, path)
+        _stored.remove(path)
 
-def spread(key: str = "id") -> Column:
-    """A hash of the key, even over 0 to 2**31: rows with the smallest values are a random sample."""
-    return F.pmod(F.xxhash64(key), F.lit(_SPREAD))
 
+_SPREAD = 1 << 31
 
-def likely(n: int, total: Column) -> Column:
-    """Whether a row of ``total`` can be among the n with the smallest spread(): about 4 n rows are.
 
-    Filtering by this first keeps what tasks send for a bounded sample from growing with their number.
-    """
-    return spread().cast("double") * total < F.lit(4.0 * n * _SPREAD)
+def spread(*keys: str) -> Column:
+    """A hash of the columns, even over 0 to 2**31: rows with the smallest values are a random sample."""
+    return F.pmod(F.xxhash64(*keys), F.lit(_SPREAD))
 
 
-def sample(rows: DataFrame, group: str, n: int) -> DataFrame:
-    """At most n rows (id, group, ...) of each value of group: those with the smallest spread(), ties by id."""
-    size = rows.groupBy(group).agg(F.count("*").alias("__n"))
-    order = Window.partitionBy(group).orderBy(spread(), "id")
-    few = rows.join(size, group).where(likely(n, F.col("__n"))).drop("__n")
-    return few.withColumn("__at", F.row_number().over(order)).where(F.col("__at") <= n).drop("__at")
+def within(n: int, total: int | Column) -> Column:
+    """The spread() below which about n of ``total`` rows lie, all of them if there are no more."""
+    return F.ceil(F.least(F.lit(1.0), F.lit(float(n)) / total) * _SPREAD)

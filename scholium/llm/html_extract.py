@@ -24,14 +24,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import likely, spread
+from .common import spread, within
 
 #: Bound of the training sample: pages, and the longest page taken.
 SAMPLE_PAGES = 300
 SAMPLE_LONGEST = 200_000
-_BATCH_PAGES = 400
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_BATCH_PAGES, _BATCH_CHARS = 400, 4 << 20
+#: Elements nested deeper than this hang on the one at this depth, as browsers have it.
+DEEPEST = 512
+#: Failed matches in a page after which the ends of all its tags are worked out at once.
+_FAILURES = 16
+
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+_NAME = re.compile(r"</?[a-zA-Z][a-zA-Z0-9:-]*+")
+_MARK = re.compile("[>\"']")
+_LONG_NUMBER = re.compile(r"&#[0-9]{1000,};?")
 _NAMES = re.compile(r"\b(?:class|id|role|aria-label|data-testid)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _LABEL = re.compile(r"\bdata-main\b")
@@ -47,6 +54,8 @@ TABLE = {"table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption"}
 PROSE = {"p", "blockquote", "pre", "figcaption"}
 BLOCK = {"body", "html", "div", "section", "figure", "details", "summary", "address", "center", "hgroup", "search"} | HEADINGS | MAIN | ASIDE | FORM | LIST | TABLE | PROSE
 #: Elements whose start ends an open paragraph: all blocks.
+#: And where the search for one that is still open ends.
+ENDS_SEARCH = {"ul", "ol", "dl", "table", "select", "div", "section", "article"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Words in class, id and role that hint at what an element is.
 AWAY = "ad ads advert advertisement banner breadcrumb breadcrumbs byline cookie cookies comment comments consent copyright disclaimer disqus dropdown footer gdpr header login menu meta modal nav navbar navigation newsletter notice overlay pager pagination popup promo promoted recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar tracking widget".split()
@@ -68,99 +77,181 @@ class Page:
     blocks: list[tuple[int, str, int]] = field(default_factory=list)  # element, text, characters inside links
 
 
+class _Open:
+    """The open elements of a page: the stack, and for each tag where in it its elements stand."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int]] = []
+        self.places: dict[str, list[int]] = {}
+        self.ends: list[int] = []  # places of those that end a search
+
+    def push(self, tag: str, number: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in ENDS_SEARCH:
+            self.ends.append(len(self.stack))
+        self.stack.append((tag, number))
+
+    def cut(self, at: int) -> None:
+        """Close all from a place on."""
+        while len(self.stack) > at:
+            tag, _ = self.stack.pop()
+            self.places[tag].pop()
+            if tag in ENDS_SEARCH:
+                self.ends.pop()
+
+    def last(self, tag: str) -> int:
+        found = self.places.get(tag)
+        return found[-1] if found else -1
+
+
+class _Ends:
+    """Where the tag ends that is scanned from a place on, quoted parts skipped; all worked out in one pass from the page's end."""
+
+    def __init__(self, source: str):
+        marks = [(m.start(), m[0]) for m in _MARK.finditer(source)]
+        self.at = np.array([i for i, _ in marks], np.int64)
+        self.end = [-1] * (len(marks) + 1)
+        after = {'"': -1, "'": -1}  # the next mark of either kind
+        for k in range(len(marks) - 1, -1, -1):
+            place, kind = marks[k]
+            if kind == ">":
+                self.end[k] = place
+            else:
+                self.end[k] = self.end[after[kind] + 1] if after[kind] >= 0 else -1
+                after[kind] = k
+
+    def __call__(self, start: int) -> int:
+        return self.end[int(np.searchsorted(self.at, start))]
+
+
+def _tags(source: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """(start, end, tag or None, whether it closes, attributes) of all tags, comments and declarations.
+
+    A tag that never ends is text. Whoever reads may send the place to go on from.
+    """
+    at, size, last, failed = 0, len(source), source.rfind(">"), 0
+    ends: _Ends | None = None
+    while (at := source.find("<", at)) >= 0:
+        if at > last and not source.startswith("<!--", at):
+            return
+        if ends is None:
+            m = _TOKEN.match(source, at)
+            if m:
+                found = (at, m.end(), m[2] and m[2].lower(), m[1] == "/", m[3] or "")
+            else:
+                found = None
+                failed += bool(_NAME.match(source, at))
+                ends = _Ends(source) if failed > _FAILURES else None
+        else:
+            m = _NAME.match(source, at)
+            end = ends(m.end()) if m else -1
+            if end >= 0:
+                closes = source[at + 1] == "/"
+                found = (at, end + 1, source[at + 1 + closes : m.end()].lower(), closes, source[m.end() : end])
+            else:
+                m = _TOKEN.match(source, at) if source.startswith(("<!", "<?"), at) else None
+                found = (at, m.end(), None, False, "") if m else None
+        if found is None:
+            at += 1
+            continue
+        to = yield found
+        at = max(found[1], to or 0)
+        if at >= size:
+            return
+
+
 def parse(source: str) -> Page:
-    """A page's elements and text blocks; unclosed, stray and crossed tags are mended as browsers mostly do."""
+    """A page's elements and text blocks; unclosed, stray and crossed tags are mended as browsers mostly do.
+
+    The time is linear in the page's length, whatever is in it.
+    """
     page = Page()
-    stack: list[tuple[str, int]] = []  # open elements: blocks with their number, inline ones with -1
+    open_ = _Open()
     text: list[str] = []
     linked, links = 0, 0
 
     def block(tag: str, attributes: str) -> None:
-        parent = next((i for _, i in reversed(stack) if i >= 0), -1)
         found = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes)) if attributes else ""
         page.tag.append(tag)
-        page.parent.append(parent)
+        page.parent.append(open_.stack[min(len(open_.stack), DEEPEST) - 1][1] if open_.stack else -1)
         page.names.append(found + (" hidden" if attributes and _HIDDEN.search(attributes) else ""))
-        page.labelled.append(bool(_LABEL.search(attributes)))
-        stack.append((tag, len(page.tag) - 1))
+        page.labelled.append(bool(attributes and _LABEL.search(attributes)))
+        open_.push(tag, len(page.tag) - 1)
 
     def flush() -> None:
         nonlocal linked
         if text:
-            joined = " ".join(html.unescape("".join(text)).split())
+            joined = "".join(text)
+            if "&" in joined:
+                joined = html.unescape(_LONG_NUMBER.sub("\ufffd", joined))
+            joined = " ".join(joined.split())
             if joined:
                 if not page.tag:
                     block("body", "")
-                at = next((i for _, i in reversed(stack) if i >= 0), 0)
-                page.blocks.append((at, joined, min(linked, len(joined))))
+                page.blocks.append((open_.stack[-1][1] if open_.stack else 0, joined, min(linked, len(joined))))
             text.clear()
         linked = 0
 
-    at, end = 0, len(source)
-    while at < end:
-        m = _TOKEN.search(source, at)
-        piece = source[at : m.start() if m else end]
+    def add(piece: str) -> None:
+        nonlocal linked
         if piece:
             text.append(piece)
             if links:
                 linked += len(piece.strip())
-        if not m:
-            break
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag, closing, attributes = m[2].lower(), m[1] == "/", m[3]
-        if closing:
+
+    at, tags = 0, _tags(source)
+    found = next(tags, None)
+    while found:
+        start, end, tag, closing, attributes = found
+        add(source[at:start])
+        at, skip = end, None
+        if tag is None or tag == "head":
+            pass
+        elif closing:
             if tag == "a":
                 links = max(0, links - 1)
             if tag in BLOCK:
-                if any(t == tag for t, _ in stack):
+                if (place := open_.last(tag)) >= 0:
                     flush()
-                    while stack.pop()[0] != tag:
-                        pass
-                    if not any(t == "a" for t, _ in stack):
-                        links = 0
+                    open_.cut(place)
+                    links = 0
             elif tag == "br":
                 text.append(" ")
-            continue
-        if tag in RAW:
+        elif tag in RAW:
             if not attributes.endswith("/"):
-                over = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-                at = over.end() if over else end
-            continue
-        if tag in VOID:
+                over = re.compile(rf"</{re.escape(tag)}\s*+>", re.I).search(source, at)
+                at = skip = over.end() if over else len(source)
+        elif tag in VOID:
             if tag in ("br", "hr", "img", "input"):
                 text.append(" ")
             if tag == "hr":
                 flush()
-            continue
-        if tag == "head":
-            continue
-        if tag in BLOCK:
+        elif tag in BLOCK:
             flush()
             links = 0
-            if tag in ("html", "body") and any(t == tag for t, _ in stack):
-                continue
-            if any(t == "p" for t, _ in stack):  # a paragraph holds no blocks
-                while stack.pop()[0] != "p":
-                    pass
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in CLOSES.get(tag, ()):
-                    del stack[i:]
-                    break
-                if stack[i][0] in ("ul", "ol", "dl", "table", "select", "div", "section", "article"):
-                    break
-            block(tag, attributes)
+            if tag not in ("html", "body") or open_.last(tag) < 0:
+                if (place := open_.last("p")) >= 0:  # a paragraph holds no blocks
+                    open_.cut(place)
+                if tag in CLOSES:
+                    place = max(open_.last(t) for t in CLOSES[tag])
+                    if place > (open_.ends[-1] if open_.ends else -1):
+                        open_.cut(place)
+                block(tag, attributes)
         elif tag == "a":
             links += 1
+        try:
+            found = tags.send(skip)
+        except StopIteration:
+            found = None
+    add(source[at:])
     flush()
     return page
 
 
 def _kind(tags: list[str], hidden: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(tags), len(KINDS)), np.float64)
-    for j, kind in enumerate(KINDS):
-        out[:, j] = [t in kind for t in tags]
+    names = {t: i for i, t in enumerate(dict.fromkeys(tags))}
+    rows = np.array([[t in kind for kind in KINDS] for t in names], np.float64).reshape(len(names), len(KINDS))
+    out = rows[np.fromiter(map(names.__getitem__, tags), np.int64, len(tags))]
     out[hidden, 2:4] = 0
     return out
 
@@ -178,23 +269,26 @@ class Forest:
         names = [x for p in pages for x in p.names]
         kind = _kind(tags, hidden)
         away, here, shy = np.zeros(n), np.zeros(n), np.zeros(n)
-        for i, x in enumerate(names):
-            if x and not hidden[i]:
+        for i in [i for i, x in enumerate(names) if x]:
+            if not hidden[i]:
+                x = names[i]
                 parts = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower()))
                 away[i], here[i], shy[i] = bool(parts & _AWAY), bool(parts & _HERE), "hidden" in parts
         own = np.zeros((n, 4))  # of the text right in an element: characters, in links, sentence ends, blocks
         rank = np.zeros(n)
-        for p, b in zip(pages, base):
-            for k, (i, t, linked) in enumerate(p.blocks):
-                own[b + i] += (len(t), linked, t.count(". ") + t.count(", ") + t.endswith((".", "!", "?", "…", ":", "。")), 1)
-                rank[b + i] = k / len(p.blocks)
-        depth = np.zeros(n, np.int64)
-        for _ in range(n):
-            deeper = np.where(self.parent >= 0, depth[self.parent] + 1, 0)
-            if (deeper == depth).all():
-                break
-            depth = deeper
-        self.levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1 if n else 0)]
+        for p, b in zip(pages, base.tolist()):
+            if p.blocks:
+                at, text, linked = zip(*p.blocks)
+                where = b + np.array(at, np.int64)
+                ends = [t.count(". ") + t.count(", ") + t.endswith((".", "!", "?", "…", ":", "。")) for t in text]
+                np.add.at(own, where, np.column_stack([list(map(len, text)), linked, ends, np.ones(len(text))]))
+                rank[where] = np.arange(len(text)) / len(text)
+        depths: list[int] = []  # parents come first
+        for p in self.parent.tolist():
+            depths.append(depths[p] + 1 if p >= 0 else 0)
+        depth = np.array(depths, np.int64)
+        order = np.argsort(depth, kind="stable")
+        self.levels = np.split(order, np.cumsum(np.bincount(depth))[:-1]) if n else []
         below = own.copy()  # of the whole subtree
         for level in reversed(self.levels[1:]):
             np.add.at(below, self.parent[level], below[level])
@@ -335,8 +429,8 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Mo
     leaves the layouts.
     """
     own = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).where(F.col("html").rlike("(?i)<(article|main)[\\s>]") & (F.length("html") <= SAMPLE_LONGEST))
-    few = own.where(likely(SAMPLE_PAGES, F.lit(float(pages.count()))))
-    rows = few.orderBy(spread(), "id", "html").limit(SAMPLE_PAGES).collect()
+    few = own.where(spread("id", "html") < within(4 * SAMPLE_PAGES, max(1, pages.count())))  # so that tasks send little
+    rows = few.orderBy(spread("id", "html"), "id", "html").limit(SAMPLE_PAGES).collect()
     found, labels = layouts()
     hide = [i % 3 == 2 for i in range(len(found))]
     for r in rows:
@@ -359,8 +453,12 @@ def extract(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: st
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for start in range(0, rows.num_rows, _BATCH_PAGES):
-                part = rows.slice(start, _BATCH_PAGES)
+            size = np.cumsum([len(x) if x is not None else 0 for x in rows.column(2).to_pylist()])
+            start = 0
+            while start < rows.num_rows:  # few pages, or one long one
+                full = int(np.searchsorted(size, (size[start - 1] if start else 0) + _BATCH_CHARS))
+                part = rows.slice(start, max(1, min(full - start, _BATCH_PAGES)))
+                start += part.num_rows
                 text = shared.value.extract([x or "" for x in part.column(2).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["id", "url", "text", "n_chars"])
 

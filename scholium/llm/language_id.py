@@ -3,7 +3,8 @@
 Every 2-, 3- and 4-gram of a text's lower-cased letters (other characters count as one space) is
 hashed to a row of an embedding table; a text is the mean of its rows, and a linear softmax gives
 the languages. Table and softmax are trained together by stochastic gradient descent in numpy on
-a bounded sample of labelled rows. On a held-back part of that sample a temperature is fitted, and
+pieces of a bounded sample of labelled rows, cut out by Spark wherever they lie in a text, so that no
+text travels whole. On the whole texts of a held-back part of that sample a temperature is fitted, and
 the confidence below which a text is rejected is set so that it rejects a given small share.
 """
 
@@ -18,15 +19,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sample
-from .ragged import LETTER, SliceHash, chunks, classes, codepoints
+from .common import spread, within
+from .ragged import LETTER, chunks, classes, codepoints, mix
 
 BUCKETS = 1 << 16
 GRAMS = (2, 3, 4)
 UNKNOWN = "und"
-#: Bound of the training sample: rows for each language, and the longest text taken.
+#: Bounds of the training sample: about so many rows of each language and of all; and the languages, those with the most rows.
 SAMPLE_PER_LANGUAGE = 1_500
-SAMPLE_LONGEST = 20_000
+SAMPLE_ROWS = 60_000
+MOST_LANGUAGES = 1_000
+#: Pieces cut from each row of the sample, and their least and greatest length in characters.
+PIECES, SHORTEST, LONGEST = 4, 20, 400
+#: Languages with fewer rows are learned from all of them: none is held back for calibration.
+CALIBRATED_FROM = 50
 #: Share of the calibration rows (all of known language) that may be rejected.
 REJECTED_SHARE = 0.001
 
@@ -55,12 +61,14 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[list[tuple[np.ndarr
     low, cuts = low[keep], sums[cuts]
     size = np.diff(cuts)
     letters = np.concatenate([[0], np.cumsum(low != 32)])
-    hashed = SliceHash(low)
+    grams = low.astype(np.uint64)  # the code points of a gram side by side, 21 bits each; the fourth is mixed in
     out = []
     for n in GRAMS:
         count = np.maximum(size - n + 1, 0)
-        starts = np.arange(max(0, len(low) - n + 1))
-        bucket = (hashed(starts, starts + n) & np.uint64(BUCKETS - 1)).astype(np.int32)
+        after = low[n - 1 :].astype(np.uint64)
+        grams = grams[: len(after)]
+        grams = (grams << np.uint64(21)) | after if n < 4 else mix(grams) + after
+        bucket = (mix(grams) & np.uint64(BUCKETS - 1)).astype(np.int32)
         out.append((bucket, cuts[:-1], count))
     return out, letters[cuts[1:]] > letters[cuts[:-1]]
 
@@ -109,31 +117,19 @@ def _buckets(texts: list[str]) -> list[np.ndarray]:
     return [np.concatenate([b[f[i] : f[i] + c[i]] for b, f, c in grams]) for i in range(len(texts))]
 
 
-def train(rows: list[tuple[str, str]], seed: int = 7, dim: int = 16, epochs: int = 6, pieces: int = 4, batch: int = 64, rate: float = 0.5) -> Model:
-    """A model from (text, language) rows: random pieces of the texts are the training examples.
-
-    A fifth of the rows is held back to fit the temperature and the rejection limit.
-    """
+def train(rows: list[tuple[str, str]], seed: int = 7, dim: int = 16, epochs: int = 6, batch: int = 64, rate: float = 0.5) -> Model:
+    """A model from (piece of text, language) rows, not calibrated yet."""
     languages = sorted({lang for _, lang in rows})
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(rows))
-    held = set(order[: len(rows) // 5].tolist()) if len(rows) >= 10 else set()
-    xs, ys = [], []
-    for i, (text, lang) in enumerate(rows):
-        if i in held:
-            continue
-        for _ in range(pieces):
-            n = int(rng.integers(20, 400))
-            at = int(rng.integers(0, max(1, len(text) - n + 1)))
-            xs.append(text[at : at + n])
-            ys.append(languages.index(lang))
-    own = []
-    for at in range(0, len(xs), 500):
-        own += _buckets(xs[at : at + 500])
+    number = {lang: i for i, lang in enumerate(languages)}
+    own, ys = [], []
+    for at in range(0, len(rows), 500):
+        own += _buckets([t for t, _ in rows[at : at + 500]])
+        ys += [number[lang] for _, lang in rows[at : at + 500]]
     y = np.array(ys)
-    table = rng.normal(0, 0.1, (BUCKETS, dim))
+    table = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
     weights, bias = np.zeros((dim, len(languages))), np.zeros(len(languages))
     steps, done = epochs * (-(-len(own) // batch)), 0
     for _ in range(epochs):
@@ -150,48 +146,86 @@ def train(rows: list[tuple[str, str]], seed: int = 7, dim: int = 16, epochs: int
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(part)), y[part]] -= 1
-            back = (p @ weights.T) / n[:, None]
+            back = ((p @ weights.T) / n[:, None]).astype(np.float32)
             weights -= lr * (x.T @ p) / len(part) * 8
             bias -= lr * p.mean(axis=0)
-            np.add.at(table, flat, -lr * np.repeat(back, n, axis=0))
-    model = Model(languages, (table @ weights).astype(np.float32), bias, 1.0, 0.0)
-    held_rows = [rows[i] for i in sorted(held)]
-    if held_rows:
-        logits, ok = [], []
-        for at in range(0, len(held_rows), 100):
-            grams, letters = features(*_flat([t for t, _ in held_rows[at : at + 100]]))
-            logits.append(averaged(model.table, grams))
-            ok.append(letters)
-        ok = np.concatenate(ok)
-        logits = np.concatenate(logits)[ok] + bias
-        truth = np.array([languages.index(lang) for _, lang in held_rows])[ok]
-        if len(truth):
-            top = logits - logits.max(axis=1, keepdims=True)
-
-            def loss(t: float) -> float:
-                return float(np.mean(np.log(np.exp(top / t).sum(axis=1)) - top[np.arange(len(truth)), truth] / t))
-
-            model.temperature = min(np.geomspace(0.05, 10, 60).tolist(), key=loss)
-            p = np.exp(top / model.temperature)
-            # below half, a language isn't even likelier than all others together
-            model.reject_below = float(min(np.quantile((p / p.sum(axis=1, keepdims=True)).max(axis=1), REJECTED_SHARE), 0.5))
-    return model
+            order = np.argsort(flat, kind="stable")  # a bucket's steps are summed up first
+            new = np.flatnonzero(np.diff(flat[order], prepend=-1))
+            of = np.repeat(np.arange(len(part)), n)[order]
+            table[flat[order[new]]] -= lr * np.add.reduceat(back[of], new, axis=0)
+    return Model(languages, (table @ weights).astype(np.float32), bias, 1.0, 0.0)
+
+
+def calibrate(model: Model, logits: np.ndarray, truth: np.ndarray) -> None:
+    """Set temperature and rejection limit by the logits of texts of known language (numbers) that training hasn't seen."""
+    if not len(truth):
+        return
+    top = logits - logits.max(axis=1, keepdims=True)
+
+    def loss(t: float) -> float:
+        return float(np.mean(np.log(np.exp(top / t).sum(axis=1)) - top[np.arange(len(truth)), truth] / t))
+
+    model.temperature = min(np.geomspace(0.05, 10, 60).tolist(), key=loss)
+    p = np.exp(top / model.temperature)
+    # below half, a language isn't even likelier than all others together
+    model.reject_below = float(min(np.quantile((p / p.sum(axis=1, keepdims=True)).max(axis=1), REJECTED_SHARE), 0.5))
 
 
 def held_out(id_col: str = "doc_id", parts: int = 5):
     return F.crc32(F.col(id_col).cast("string")) % parts == 0
 
 
+def sampled(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """(id, key, lang, text, calibrates): about SAMPLE_PER_LANGUAGE rows of each language, none of them held out.
+
+    A row is in the sample if the hash of its id and text is below its language's limit, wherever it lies and
+    whatever else is there: no task and no window sees more than its share. Rows alike in both are in it together.
+    """
+    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    n = min(SAMPLE_PER_LANGUAGE, SAMPLE_ROWS // max(1, len(sizes)))
+    limits = docs.sparkSession.createDataFrame([(r["lang"], r["count"]) for r in sizes], f"lang {known.schema['lang'].dataType.simpleString()}, size long")
+    chosen = known.join(F.broadcast(limits), "lang").where(spread("id", "text") < within(n, F.col("size")))  # MOST_LANGUAGES rows at most
+    keyed = chosen.withColumn("key", F.xxhash64("id", "text"))
+    return keyed.select("id", "key", "lang", "text", ((F.col("size") >= CALIBRATED_FROM) & (F.pmod(F.shiftright("key", 40), F.lit(5)) == 0)).alias("calibrates"))
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Train on at most SAMPLE_PER_LANGUAGE rows of each language, none of them held out.
+    """Train on pieces of about SAMPLE_PER_LANGUAGE rows of each language, and calibrate on the whole texts of others.
 
-    The sample is by a hash of the id, so it is the same however the table is partitioned. Rows with a
-    null text, language or id, and texts of over SAMPLE_LONGEST characters, are not in it.
+    The sample is by a hash of id and text, so it is the same however the table is partitioned. Rows with a
+    null text, language or id are not in it; texts of any length are. Repeated rows count once.
     """
-    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id") & (F.length("text") <= SAMPLE_LONGEST))
-    chosen = sample(known.select("id", "lang"), "lang", SAMPLE_PER_LANGUAGE).select("id").distinct()
-    rows = known.join(F.broadcast(chosen), "id").select("id", "text", "lang").collect()  # at most a few thousand rows: see the bounds
-    return train([(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.id, r.lang, r.text))])
+    rows = sampled(docs, id_col, text_col, lang_col)
+    pieces = []
+    for k in range(PIECES):
+        n = SHORTEST + F.pmod(F.xxhash64("key", F.lit(2 * k)), F.lit(LONGEST - SHORTEST))
+        at = F.pmod(F.xxhash64("key", F.lit(2 * k + 1)), F.greatest(F.lit(1), F.length("text") - n + 1))
+        pieces.append(F.substring(F.col("text"), (at + 1).cast("int"), n.cast("int")))
+    few = rows.where(~F.col("calibrates")).select("id", "key", "lang", F.array(*pieces).alias("pieces")).dropDuplicates(["id", "key", "lang"])
+    got = sorted(few.collect(), key=lambda r: (r.key, r.id, r.lang))  # short pieces of a bounded number of rows
+    model = train([(p, r.lang) for r in got for p in r.pieces])
+    if not model.languages:
+        return model
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    number = {lang: i for i, lang in enumerate(model.languages)}
+    schema = pa.schema([("key", pa.int64()), ("y", pa.int32()), ("logits", pa.list_(pa.float64()))])
+
+    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for rows, data, offsets in chunks(batches, "text", 2 << 20):
+            grams, has_letter = features(data, offsets)
+            y = [number.get(lang, -1) for lang in rows.column(1).to_pylist()]
+            use = np.flatnonzero(has_letter & (np.array(y) >= 0))
+            logits = (averaged(own.table, grams) + own.bias)[use]
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(use)), pa.array([y[i] for i in use], pa.int32()), pa.array(list(logits), pa.list_(pa.float64()))], schema=schema)
+
+    seen = rows.where("calibrates").select("key", "lang", "text").mapInArrow(measure, "key long, y int, logits array<double>").dropDuplicates(["key", "y"]).collect()
+    seen.sort(key=lambda r: (r.key, r.y))
+    if seen:
+        calibrate(model, np.array([r.logits for r in seen]), np.array([r.y for r in seen]))
+    shared.unpersist()
+    return model
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,15 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sample as sample_rows
+from .common import materialize, spread, stored, sweep, within
 from .language_id import _lower
-from .ragged import SliceHash, chunks, codepoints, owners, spans
+from .ragged import chunks, codepoints, owners, slice_hashes, spans
 
-#: Bound of the training sample: labelled rows of each class, and the longest text taken.
+#: Bound of the training sample: about so many labelled rows of each class. The model has all significant tokens of it.
 SAMPLE_PER_CLASS = 10_000
-SAMPLE_LONGEST = 50_000
-#: Bound of the model: scored tokens with the most significant log-odds.
-MODEL_TOKENS = 50_000
 PREFIX = 5
 #: Dirichlet prior on the numbers of texts with a token: in all, and the least for one token.
 PRIOR = 1_000.0
@@ -45,10 +42,10 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     flat, cuts = codepoints(data, offsets)
     low = _lower()[flat]
     starts, ends = spans(low != 32, cuts)
-    whole = SliceHash(low)(starts, ends)
+    whole, _ = slice_hashes(low, starts, ends)
     long = ends - starts > PREFIX
     begin = np.zeros(len(starts), np.uint64)
-    begin[long] = SliceHash(low, 2)(starts[long], starts[long] + PREFIX)
+    begin[long] = slice_hashes(low, starts[long], starts[long] + PREFIX)[1]
     return whole, begin, np.searchsorted(starts, cuts)
 
 
@@ -115,18 +112,31 @@ def held_out(id_col: str = "doc_id", parts: int = 3):
     return F.crc32(F.col(id_col).cast("string")) % parts == 1
 
 
+def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(id, key, y, text) of about SAMPLE_PER_CLASS labelled rows of either class, none of them held out, stored.
+
+    A row is in the sample if the hash of its id and text is below its class's limit; only ids and hashes meet
+    the labels. Rows alike in both count once.
+    """
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out("id")).groupBy("id").agg(F.max("y").alias("y"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
+    keyed = texts.withColumns({"key": F.xxhash64("id", "text"), "at": spread("id", "text")})
+    labelled = keyed.select("id", "key", "at").join(known, "id")
+    sizes = {r["y"]: r["count"] for r in labelled.groupBy((F.col("y") == 1).cast("int").alias("y")).count().collect()}
+    limit = F.when(F.col("y") == 1, within(SAMPLE_PER_CLASS, max(1, sizes.get(1, 0)))).otherwise(within(SAMPLE_PER_CLASS, max(1, sizes.get(0, 0))))
+    chosen = labelled.where(F.col("at") < limit).select("id", "key", "y").distinct()
+    return materialize(texts.withColumn("key", F.xxhash64("id", "text")).join(F.broadcast(chosen), ["id", "key"]).dropDuplicates(["id", "key"]), "toxicity-sample")  # about two classes' rows
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on at most SAMPLE_PER_CLASS labelled rows of either class, none of them held out.
+    """Fit on about SAMPLE_PER_CLASS labelled rows of either class, none of them held out, by their whole texts.
 
-    Half of the sample, by a hash of the id, gives token scores, the other half the extreme-value
-    constants and the logistic curve. Null ids, texts and labels are left out; an id with several
-    labels counts as toxic if one of them says so. Without rows of both classes every score is 0.5 or less.
+    Half of the sample, by a hash of id and text, gives token scores, the other half the extreme-value
+    constants and the logistic curve. Null ids, texts and labels are left out, repeated rows count once; an id with
+    several labels counts as toxic if one of them says so. Without rows of both classes every score is 0.5 or less.
     """
-    spark = docs.sparkSession
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out("id"))
-    chosen = sample_rows(known.groupBy("id").agg(F.max("y").alias("y")), "y", SAMPLE_PER_CLASS)
-    chosen = chosen.select("id", "y", (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2)) == 0).alias("for_scores"))
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_LONGEST)).join(F.broadcast(chosen), "id")
+    spark, before = docs.sparkSession, stored()
+    sample = sampled(docs, labels, id_col, text_col, label_col).withColumn("for_scores", F.pmod(F.shiftright("key", 40), F.lit(2)) == 0)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("h", pa.int64()), ("toxic", pa.int64()), ("clean", pa.int64()), ("used", pa.int64())])
@@ -149,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     prior = LEAST_PRIOR + (F.col("toxic") + F.col("clean")) * (PRIOR / (n1 + n0))
     odds = lambda c, n: F.log((F.col(c) + prior) / (n + PRIOR - F.col(c) - prior))
     scored = counts.select("h", "toxic", "clean", "used", (odds("toxic", n1) - odds("clean", n0)).alias("delta"), F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior)).alias("sd"))
-    rows = scored.where(F.abs("delta") >= LEAST_Z * F.col("sd")).orderBy(F.desc(F.abs(F.col("delta") / F.col("sd"))), "h").limit(MODEL_TOKENS).toPandas()
+    rows = scored.where(F.abs("delta") >= LEAST_Z * F.col("sd")).toPandas()
     rows = rows.assign(u=rows.h.to_numpy().view(np.uint64)).sort_values("u")
     scores = rows.delta.to_numpy() - DRIFT
     # lambda: the positive root of E[exp(lambda s)] = 1 over the words of clean texts
@@ -163,25 +173,33 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     model = Model(rows.u.to_numpy(), scores, low, 1.0, 1.0, -3.0)
     shared = spark.sparkContext.broadcast(model)
 
-    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("y", pa.int32()), ("n", pa.int64()), ("found", pa.list_(pa.float64()))])
+    def measure(batches: Iterable[pa.RecordBatch], k: float | None = None) -> Iterator[pa.RecordBatch]:
+        """For each text its number of words and its best segment's score, or with k its evidence."""
+        schema = pa.schema([("key", pa.int64()), ("y", pa.int32()), ("n", pa.int64()), ("x", pa.float64())])
+        own = shared.value
         for rows, data, offsets in chunks(batches, "text"):
-            scores, first = shared.value.walk(data, offsets)
-            found = [[x for _, _, x in segments(scores[a:b])] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(first)), pa.array(found, pa.list_(pa.float64()))], schema=schema)
-
-    seen = sample.where(~F.col("for_scores")).select("y", "text").mapInArrow(measure, "y int, n long, found array<double>").toPandas()
-    y, n = seen.y.to_numpy(float), np.maximum(1, seen.n.to_numpy(float))
-    best = np.array([max([*x, 0.0]) for x in seen.found])
+            scores, first = own.walk(data, offsets)
+            found = [np.array([x for _, _, x in segments(scores[a:b])]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+            n = np.diff(first)
+            x = [f.max(initial=0.0) if k is None else np.maximum(0.0, own.lam * f - np.log(k * max(1, m))).sum() for f, m in zip(found, n.tolist())]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(n), pa.array(x, pa.float64())], schema=schema)
+
+    def measured(k: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows = sample.where(~F.col("for_scores")).select("key", "y", "text")
+        seen = rows.mapInArrow(lambda it: measure(it, k), "key long, y int, n long, x double").toPandas().sort_values(["key", "y"])
+        return seen.y.to_numpy(float), np.maximum(1, seen.n.to_numpy(float)), seen.x.to_numpy(float)
+
+    y, n, best = measured()
     if (y == 0).any():
         model.k = float(np.clip((y == 0).sum() / np.sum((n * np.exp(-model.lam * best))[y == 0]), 1e-6, 1.0))
-    x = np.log1p([sum(max(0.0, model.lam * s - np.log(model.k * m)) for s in f) for f, m in zip(seen.found, n)])
+    x = np.log1p(measured(model.k)[2])
     w = np.array([1.0, -3.0])
     a = np.stack([x, np.ones(len(x))], axis=1)
     for _ in range(50):  # Newton steps; a slight ridge keeps separable data finite
         q = 1 / (1 + np.exp(-a @ w))
         g = a.T @ (q - y) + 0.01 * w
         w = w - np.linalg.solve((a * (q * (1 - q))[:, None]).T @ a + 0.01 * np.eye(2), g)
+    sweep(spark, [p for p in stored() if p not in before])
     model.slope, model.offset = (float(w[0]), float(w[1])) if np.isfinite(w).all() and w[0] > 0 else (1.0, -3.0)
     return model
 
