@@ -12,21 +12,25 @@ bucket, only a spanning forest of its links is emitted, so that thousands of nea
 thousands of edges rather than millions. A bucket of more than ``HOT_BUCKET`` fingerprints is cut
 into chunks, and each two chunks meet in a task of their own. Equal fingerprints are one node.
 
-``verified_groups`` takes what such links connect as candidates only, and links two texts where
-their exact shingle sets are similar enough. One representative of each shingle set moves.
+``verified_groups`` links two texts where their exact shingle sets are similar enough. Its candidates are
+what fingerprints of 128 bits connect at a far limit: so wide that unlike texts hardly ever come that near,
+however many there are. At such a limit no blocks are sure to stay untouched, so keys are samples of the bits,
+as many as it takes for all but a small share of the pairs at the least similarity to meet under one of them.
+One representative of each shingle set moves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from itertools import combinations, repeat
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_salted, materialize
 from .components import components
 from .ragged import chunks, mix, texts
 
@@ -41,6 +45,10 @@ _SHINGLES = 1 << 17
 GROUP_PIECE = 64
 GROUP_PIECES = 8
 GROUP_CHUNK = 1_024
+#: Share of the pairs at the least similarity that may meet under no key of sampled bits; nearer pairs are missed far more rarely.
+MISSED = 0.05
+#: Differing bits of 128 up to which texts are candidates: at a similarity of 0.8 about 19 are expected, give or take 4.
+FAR_BITS = 28
 #: Bits of the table that tells which rows may be representatives.
 _MARKS = 1 << 24
 
@@ -91,13 +99,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
 
 
-def pivots(n: int = PIVOTS) -> np.ndarray:
-    """Reference fingerprints: fixed and spread over the space."""
-    return np.random.default_rng(64).integers(0, 2**64, n, dtype=np.uint64)
+def pivots(n: int = PIVOTS, words: int = 1) -> np.ndarray:
+    """Reference fingerprints of so many 64-bit words: fixed and spread over the space."""
+    return np.random.default_rng(64).integers(0, 2**64, (n, words), dtype=np.uint64)
 
 
 def coordinates(fp: np.ndarray, references: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(fp[:, None] ^ references[None, :]).astype(np.int8)
+    """Hamming distances of fingerprints, rows of 64-bit words, to references of as many words."""
+    return np.bitwise_count(fp[:, None, :] ^ references[None, :, :]).sum(axis=2, dtype=np.int16)
 
 
 def _near(a: np.ndarray, b: np.ndarray, fa: np.ndarray, fb: np.ndarray, max_bits: int) -> np.ndarray:
@@ -108,17 +117,17 @@ def _near(a: np.ndarray, b: np.ndarray, fa: np.ndarray, fb: np.ndarray, max_bits
         if not len(out):
             return out
         out = out[(np.abs(pick(a, out)[..., j : j + 5] - b[out, j : j + 5]) <= max_bits).all(axis=-1)]
-    first = fa if np.ndim(fa) == 0 else fa[out]
-    return out[np.bitwise_count(first ^ fb[out]) <= max_bits]
+    first = fa if fa.ndim < fb.ndim else fa[out]
+    return out[np.bitwise_count(first ^ fb[out]).sum(axis=-1) <= max_bits]
 
 
 def link_bucket(fp: np.ndarray, max_bits: int = MAX_BITS, references: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among distinct fingerprints.
+    """A spanning forest of the links among distinct fingerprints (rows of words), as row numbers.
 
     Each component is walked from a seed; whatever is reached leaves the table, so a cluster of
     near copies costs few comparisons.
     """
-    references = pivots() if references is None else references
+    references = pivots(words=fp.shape[1]) if references is None else references
     coords = coordinates(fp, references)
     left = np.arange(len(fp))
     us: list[np.ndarray] = []
@@ -131,42 +140,25 @@ def link_bucket(fp: np.ndarray, max_bits: int = MAX_BITS, references: np.ndarray
             found = _near(coords[x], coords[left], fp[x], fp[left], max_bits)
             if len(found):
                 reached = left[found]
-                us.append(np.full(len(reached), fp[seed]))
-                vs.append(fp[reached])
+                us.append(np.full(len(reached), seed))
+                vs.append(reached)
                 queue.extend(reached.tolist())
                 left = np.delete(left, found)
-    empty = np.zeros(0, np.uint64)
+    empty = np.zeros(0, np.int64)
     return (np.concatenate(us), np.concatenate(vs)) if us else (empty, empty)
 
 
-def _pairs(fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among distinct fingerprints by blocks of all distances: few links as they are, many as a spanning forest."""
-    step = max(1, (1 << 20) // len(fp))
-    us, vs, n = [], [], 0
-    touched = np.zeros(len(fp), bool)
-    for lo in range(0, len(fp), step):
-        i, j = np.nonzero(np.bitwise_count(fp[lo : lo + step, None] ^ fp[None, lo + 1 :]) <= max_bits)
-        later = j >= i
-        i, j = i[later] + lo, j[later] + lo + 1
-        touched[i] = touched[j] = True
-        n += len(i)
-        if n <= 4 * len(fp):
-            us.append(fp[i])
-            vs.append(fp[j])
-    return (np.concatenate(us), np.concatenate(vs)) if n <= 4 * len(fp) else link_bucket(fp[touched], max_bits)
-
-
 def _link_sorted(bucket: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal ``bucket``: short runs by shifted comparison of all at once."""
-    references = pivots()
+    """Links within runs of equal ``bucket``, as row numbers: short runs by shifted comparison of all at once."""
+    references = pivots(words=fp.shape[1])
     start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     size = np.diff(np.concatenate([start, [len(bucket)]]))
-    us, vs = [], []
+    empty = np.zeros(0, np.int64)
+    us, vs = [empty], [empty]
     for s, n in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
-        # far limits discard little by pivots, and comparing all is cheaper than walking
-        u, v = link_bucket(fp[s : s + n], max_bits, references) if max_bits <= MAX_BITS else _pairs(fp[s : s + n], max_bits)
-        us.append(u)
-        vs.append(v)
+        u, v = link_bucket(fp[s : s + n], max_bits, references)
+        us.append(u + s)
+        vs.append(v + s)
     of = np.repeat(size, size)
     few = np.flatnonzero((of > 1) & (of <= SMALL))
     if len(few):
@@ -177,44 +169,34 @@ def _link_sorted(bucket: np.ndarray, fp: np.ndarray, max_bits: int) -> tuple[np.
             if not len(at):
                 break
             hit = at[_near(coords[at], coords[at + shift], f[at], f[at + shift], max_bits)]
-            us.append(f[hit])
-            vs.append(f[hit + shift])
-    empty = np.zeros(0, np.uint64)
-    return np.concatenate([empty, *us]), np.concatenate([empty, *vs])
+            us.append(few[hit])
+            vs.append(few[hit + shift])
+    return np.concatenate(us), np.concatenate(vs)
 
 
-def links(distinct: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
-    """(u, v): edges between distinct fingerprints (fp) that give the same components as all links.
-
-    ``blocks`` must exceed ``max_bits`` by at least one; more blocks make longer keys and more copies
-    of each row: blocks - max_bits of them are in a key.
-    """
-    edges = np.linspace(0, 64, blocks + 1).astype(int)
-    mask = [((1 << int(b)) - (1 << int(a))) for a, b in zip(edges, edges[1:])]
-    signed = lambda x: x - 2**64 if x >= 2**63 else x
-    keys = [signed(sum(mask[i] for i in c)) for c in combinations(range(blocks), blocks - max_bits)]
-    keyed = distinct.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(k)) for k in keys))).alias("which", "key"))
-    hot = keyed.groupBy("which", "key").count().where(F.col("count") > HOT_BUCKET)
+def _bucket_links(keyed: DataFrame, words: list[str], max_bits: int) -> DataFrame:
+    """(u, v): within each bucket of rows (key, node, words) edges that connect what links of at most max_bits connect."""
+    hot = keyed.groupBy("key").count().where(F.col("count") > HOT_BUCKET)
     pieces = F.ceil(F.col("count") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")
     cut = (
-        keyed.join(hot, ["which", "key"], "left")
+        keyed.join(hot, "key", "left")
         .withColumn("pieces", F.coalesce(pieces, F.lit(1)))
         .withColumn("own", own)
-        .select("which", "key", "fp", F.explode(F.expr("transform(sequence(0, pieces - 1), i -> named_struct('a', least(i, own), 'b', greatest(i, own)))")).alias("pair"))
-        .select("which", "key", "pair.a", "pair.b", "fp")
+        .select("key", "node", *words, F.explode(F.expr("transform(sequence(0, pieces - 1), i -> named_struct('a', least(i, own), 'b', greatest(i, own)))")).alias("pair"))
+        .select("key", "pair.a", "pair.b", "node", *words)
     )
-    by = ["which", "key", "a", "b"]
+    by = ["key", "a", "b"]
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def emit(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            new = np.concatenate([[True], (rows[1:, :4] != rows[:-1, :4]).any(axis=1)])
-            u, v = _link_sorted(np.cumsum(new), rows[:, 4].view(np.uint64), max_bits)
+            new = np.concatenate([[True], (rows[1:, :3] != rows[:-1, :3]).any(axis=1)])
+            u, v = _link_sorted(np.cumsum(new), np.ascontiguousarray(rows[:, 4:]).view(np.uint64), max_bits)
             if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[u, 3]), pa.array(rows[v, 3])], schema=schema)
 
         for batch in batches:
             if not batch.num_rows:
@@ -222,14 +204,60 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -
             rows = np.ascontiguousarray(np.stack([c.cast(pa.int64()).to_numpy(zero_copy_only=False) for c in batch.columns], axis=1))
             if held:
                 rows = np.concatenate([held.pop(), rows])
-            last = int(np.flatnonzero((rows[:, :4] != rows[-1, :4]).any(axis=1))[-1:].sum() + 1) if (rows[0, :4] != rows[-1, :4]).any() else 0
+            last = int(np.flatnonzero((rows[:, :3] != rows[-1, :3]).any(axis=1))[-1:].sum() + 1) if (rows[0, :3] != rows[-1, :3]).any() else 0
             if last:  # the last bucket may go on in the next batch
                 yield from emit(rows[:last])
             held.append(rows[last:])
         if held:
             yield from emit(held.pop())
 
-    return cut.repartition(*by).sortWithinPartitions(*by, "fp").mapInArrow(run, "u long, v long").distinct()
+    return cut.repartition(*by).sortWithinPartitions(*by, "node").mapInArrow(run, "u long, v long").distinct()
+
+
+def _signed(x: int) -> int:
+    return x - 2**64 if x >= 2**63 else x
+
+
+def links(distinct: DataFrame, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
+    """(u, v): edges between distinct fingerprints (fp) that give the same components as all links.
+
+    ``blocks`` must exceed ``max_bits`` by at least one; more blocks make longer keys and more copies
+    of each row: blocks - max_bits of them are in a key.
+    """
+    edges = np.linspace(0, 64, blocks + 1).astype(int)
+    mask = [((1 << int(b)) - (1 << int(a))) for a, b in zip(edges, edges[1:])]
+    keys = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(sum(mask[i] for i in c))))) for i, c in enumerate(combinations(range(blocks), blocks - max_bits))]
+    return _bucket_links(distinct.select(F.explode(F.array(*keys)).alias("key"), F.col("fp").alias("node"), "fp"), ["fp"], max_bits)
+
+
+def sampled_keys(n: int, least: float) -> list[tuple[int, int]]:
+    """Masks over two 64-bit words, so many that a pair of the similarity ``least`` shares a key but for MISSED of the cases.
+
+    A bit of two fingerprints differs with probability angle / pi. More bits make a key for more fingerprints, so
+    that buckets stay short; it takes more keys then.
+    """
+    bits = max(14, int(np.ceil(np.log2(max(n, 2)))) - 6)
+    apart = np.arccos(min(1.0, 2 * least / (1 + least))) / np.pi
+    differing = np.arange(129)
+    chance = np.array([comb(128, d) * apart**d * (1 - apart) ** (128 - d) for d in differing])
+    clear = np.prod([np.maximum(0, 128 - differing - i) / (128 - i) for i in range(bits)], axis=0)  # no differing bit is in a key
+    tables = 1
+    while float(chance @ (1 - clear) ** tables) > MISSED:
+        tables += 1
+    rng = np.random.default_rng(128)
+    out: list[tuple[int, int]] = []
+    while len(out) < tables:
+        order = rng.permutation(128)
+        for at in range(0, 128 - bits + 1, bits):
+            mask = sum(1 << int(i) for i in order[at : at + bits])
+            out.append((mask & (2**64 - 1), mask >> 64))
+    return out[:tables]
+
+
+def candidate_links(nodes: DataFrame, max_bits: int, least: float) -> DataFrame:
+    """(u, v): edges among nodes (node, fp, fp2) at most max_bits of 128 apart, that connect what such links under a shared key connect."""
+    keys = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(a))), F.col("fp2").bitwiseAND(F.lit(_signed(b)))) for i, (a, b) in enumerate(sampled_keys(nodes.count(), least))]
+    return _bucket_links(nodes.select(F.explode(F.array(*keys)).alias("key"), "node", "fp", "fp2"), ["fp", "fp2"], max_bits)
 
 
 def key_blocks(n: int, max_bits: int = MAX_BITS) -> int:
@@ -249,21 +277,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprint zero and link like any other. Other columns of ``docs`` are not read.
     """
     own = materialize(fingerprints(docs, id_col, text_col, words_per_shingle), "fingerprints")
-    distinct = own.groupBy("fp").agg(F.min("id").alias("least"))
+    distinct = own.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("size"))
     roots = components(links(distinct.select("fp"), max_bits, max_bits + key_blocks(distinct.count(), max_bits)))
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", "size", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = named.join(least, "root").select("fp", "component_id")
-    return own.join(found, "fp").select(F.col("id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    found = named.join(least, "root").select("fp", "size", "component_id")
+    return join_salted(own, found, "fp", "size").select(F.col("id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _sets(texts_: list[bytes], words_per_shingle: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """For each text its shingles' hashes, the sorted distinct ones, and one hash of these."""
+def _sets(texts_: list[bytes], words_per_shingle: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each text its shingles' hashes, sorted and distinct, and one hash of these."""
     from xxhash import xxh64_intdigest
 
-    each = [np.array(_hashes(t, words_per_shingle), np.uint64) for t in texts_]
-    own = [np.unique(x) for x in each]
-    return each, own, np.array([xxh64_intdigest(x.tobytes(), 7) for x in own], np.uint64)
+    own = [np.unique(np.array(_hashes(t, words_per_shingle), np.uint64)) for t in texts_]
+    return own, np.array([xxh64_intdigest(x.tobytes(), 7) for x in own], np.uint64)
 
 
 def _tags(ids: pa.Array, keys: np.ndarray) -> np.ndarray:
@@ -272,17 +299,17 @@ def _tags(ids: pa.Array, keys: np.ndarray) -> np.ndarray:
 
 
 def set_keys(docs: DataFrame, id_col: str, text_col: str, words_per_shingle: int) -> DataFrame:
-    """(id, fp, set, tag) for each row: its fingerprint, the hash of its shingle set, and that of id and set."""
-    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("set", pa.int64()), ("tag", pa.int64())])
+    """(id, fp, fp2, set, tag) for each row: its fingerprint of 128 bits over distinct shingles, the hash of its shingle set, and that of id and set."""
+    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64()), ("set", pa.int64()), ("tag", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in chunks(batches, "text"):
-            each, _, keys = _sets(texts(data, offsets), words_per_shingle)
-            fp = _majority(np.concatenate(each), np.array([len(x) for x in each]))
-            columns = (fp, keys, _tags(rows.column(0), keys))
+            own, keys = _sets(texts(data, offsets), words_per_shingle)
+            flat, count = np.concatenate(own), np.array([len(x) for x in own])
+            columns = (_majority(flat, count), _majority(mix(flat), count), keys, _tags(rows.column(0), keys))
             yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(x.view(np.int64)) for x in columns)], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long, set long, tag long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long, fp2 long, set long, tag long")
 
 
 def _marked_sets(docs: DataFrame, tags: DataFrame, id_col: str, text_col: str, words_per_shingle: int) -> DataFrame:
@@ -297,7 +324,7 @@ def _marked_sets(docs: DataFrame, tags: DataFrame, id_col: str, text_col: str, w
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = shared.value
         for rows, data, offsets in chunks(batches, "text"):
-            _, own, keys = _sets(texts(data, offsets), words_per_shingle)
+            own, keys = _sets(texts(data, offsets), words_per_shingle)
             at = (_tags(rows.column(0), keys) & np.uint64(_MARKS - 1)).astype(np.int64)
             hit = np.flatnonzero(marks[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1))
             if len(hit):
@@ -368,36 +395,38 @@ def set_links(sets: DataFrame, least: float) -> DataFrame:
     return cut.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b", "set").mapInArrow(run, "u long, v long").distinct()
 
 
-def verified_groups(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, max_bits: int = 12) -> DataFrame:
+def verified_groups(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, max_bits: int = FAR_BITS) -> DataFrame:
     """(id, component_id) of each row: the smallest id that links of exact Jaccard similarity >= ``least`` reach.
 
-    Candidates are all pairs of texts that chains of at most ``max_bits`` differing bits connect. Ids, null
-    ids and texts without words are treated as by near_duplicates().
+    Candidates are the pairs of texts that chains of links connect, at most ``max_bits`` of 128 fingerprint bits
+    long each, that share a key of sampled bits. Ids, null ids, repeated rows and texts without words are treated as by
+    near_duplicates(). A very long text is one set of hashes, eight bytes a word, wherever it is compared.
     """
     own = materialize(set_keys(docs, id_col, text_col, words_per_shingle), "sets")
-    distinct = own.select("fp").distinct()
-    # Two blocks make the buckets of long keys longer, but fewer; comparing costs less than moving more keys.
-    blocks = 2 if distinct.count() < 1 << 22 else key_blocks(distinct.count(), max_bits)
-    roots = components(links(distinct, max_bits, max_bits + blocks))
-    each = own.groupBy("set").agg(F.min("fp").alias("fp"), F.min("id").alias("least"), F.min("tag").alias("tag"))
-    named = each.join(roots, each.fp == roots.node, "left").select("set", "least", "tag", F.coalesce("root", "fp").alias("root"))
-    named = materialize(named, "named")
-    many = named.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = named.join(many, "root").select("root", "n", "set", "tag")
+    each = own.groupBy(F.col("set").alias("node")).agg(F.min("fp").alias("fp"), F.min("fp2").alias("fp2"), F.min("id").alias("least"), F.min("tag").alias("tag"), F.count("*").alias("size"))
+    each = materialize(each, "shingle-sets")
+    roots = components(candidate_links(each.select("node", "fp", "fp2"), max_bits, least)).withColumnRenamed("node", "__node")
+    grouped = each.join(roots, each.node == F.col("__node")).select("root", F.col("node").alias("set"), "tag")  # sets without a candidate are alone
+    many = grouped.groupBy("root").agg(F.count("*").alias("n"))
+    wanted = materialize(grouped.join(many, "root"), "candidates")
     shingles = _marked_sets(docs, wanted.select("tag"), id_col, text_col, words_per_shingle)
     edges = set_links(wanted.drop("tag").join(shingles.dropDuplicates(["set"]), "set"), least)
-    found = components(edges)
-    linked = named.join(found, named.set == found.node, "left").select("set", "least", F.coalesce(found.root, named.set).alias("group"))
+    found = components(edges).withColumnRenamed("node", "__node")
+    linked = each.join(found, each.node == F.col("__node"), "left").select("node", "least", "size", F.coalesce("root", "node").alias("group"))
     lowest = linked.groupBy("group").agg(F.min("least").alias("component_id"))
-    return own.select("id", "set").join(linked.join(lowest, "group").select("set", "component_id"), "set").select("id", "component_id")
+    named = linked.join(lowest, "group").select(F.col("node").alias("set"), "size", "component_id")
+    return join_salted(own.select("id", "set"), named, "set", "size").select("id", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, max_bits: int = MAX_BITS, least: float | None = None) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, max_bits: int | None = None, least: float | None = None) -> DataFrame:
     """Rows of ``docs``, all columns, of the one document with the smallest id in each group.
 
     Rows that repeat one id are the same document: all of them stay or go. Rows with a null id stay
     only where their whole group has no id. With ``least``, groups are verified_groups().
     """
-    found = near_duplicates(docs, id_col, text_col, words_per_shingle, max_bits) if least is None else verified_groups(docs, least, id_col, text_col, words_per_shingle, max_bits)
+    if least is None:
+        found = near_duplicates(docs, id_col, text_col, words_per_shingle, max_bits or MAX_BITS)
+    else:
+        found = verified_groups(docs, least, id_col, text_col, words_per_shingle, max_bits or FAR_BITS)
     keep = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("__kept")).distinct()
     return docs.join(keep, docs[id_col].cast("long").eqNullSafe(keep["__kept"]), "left_semi")

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import xxhash
 
-from scholium.llm import simhash
+from scholium.llm import common, simhash
 from scholium.llm.components import components
 
 
@@ -147,9 +147,8 @@ def test_verified_groups(spark, monkeypatch):
                         comp[i] = comp[j]
         return comp
 
-    chained = closure(lambda i, j: bin(fps[i] ^ fps[j]).count("1") <= 12)
-    comp = closure(lambda i, j: chained[i] == chained[j] and (sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])))
-    assert comp != closure(lambda i, j: bin(fps[i] ^ fps[j]).count("1") <= 5) and comp != chained
+    comp = closure(lambda i, j: sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    assert comp != closure(lambda i, j: bin(fps[i] ^ fps[j]).count("1") <= 5)
     want = []
     for i, (d, _) in enumerate(rows):
         ids = [rows[j][0] for j in range(len(rows)) if comp[j] == comp[i] and rows[j][0] is not None]
@@ -159,29 +158,44 @@ def test_verified_groups(spark, monkeypatch):
         monkeypatch.setattr(simhash, "GROUP_PIECE", piece)
         got = simhash.verified_groups(df, 0.8).collect()
         assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
-    kept = simhash.drop_near_duplicates(df, max_bits=12, least=0.8)
+    kept = simhash.drop_near_duplicates(df, least=0.8)
     assert {r.doc_id for r in kept.collect()} == {c for _, c in want}
     assert simhash.verified_groups(df.limit(0), 0.8).collect() == []
 
 
-def test_pairs_connect_as_the_walk():
+def test_sampled_keys_meet():
     rng = np.random.default_rng(9)
-    for n, near in ((300, 0), (300, 5), (400, 200)):
-        fp = rng.integers(0, 2**64, n, dtype=np.uint64)
-        for i in range(near):
-            fp[i] = fp[0] ^ np.uint64(1 << int(rng.integers(64))) ^ np.uint64(1 << int(rng.integers(64)))
-        fp = np.unique(fp)
-        groups = []
-        for links in (simhash._pairs(fp, 12), simhash.link_bucket(fp, 12)):
-            root = {int(x): int(x) for x in fp}
-
-            def find(x):
-                while root[x] != x:
-                    x = root[x]
-                return x
-
-            for u, v in zip(*links):
-                assert bin(int(u) ^ int(v)).count("1") <= 12 or near
-                root[find(int(u))] = find(int(v))
-            groups.append({frozenset(y for y in root if find(y) == r) for r in map(find, list(root))})
-        assert groups[0] == groups[1]
+    keys = simhash.sampled_keys(1000, 0.8)
+    assert len(simhash.sampled_keys(10**8, 0.8)) > len(keys) == len(simhash.sampled_keys(10**6, 0.8))
+    met = 0
+    for _ in range(2000):
+        differ = sum(1 << int(i) for i in np.flatnonzero(rng.random(128) < np.arccos(8 / 9) / np.pi))
+        met += any(not (differ & 2**64 - 1) & a and not (differ >> 64) & b for a, b in keys)
+    assert met >= 0.93 * 2000
+
+
+def test_walk_with_two_words():
+    rng = np.random.default_rng(9)
+    fp = rng.integers(0, 2**64, (300, 2), dtype=np.uint64)
+    fp[200:] = fp[0] ^ (np.uint64(1) << rng.integers(0, 64, (100, 2)).astype(np.uint64))
+    want = {frozenset([0, *range(200, 300)])}
+    for links in (simhash.link_bucket(fp, 28), simhash._link_sorted(np.zeros(300, np.int64), fp, 28)):
+        root = list(range(300))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for u, v in zip(*(x.tolist() for x in links)):
+            root[find(u)] = find(v)
+        assert {frozenset(y for y in range(300) if find(y) == find(x)) for x in range(300)} - {frozenset([x]) for x in range(300)} == want
+
+
+def test_salted_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_SHARE", 4)
+    rows = [(i, 1 if i % 2 else i % 11) for i in range(300)] + [(7, 1), (7, 1)]
+    df = spark.createDataFrame(rows, "id long, k long")
+    sizes = df.groupBy("k").count().withColumnRenamed("count", "size").selectExpr("k", "size", "k * 2 as twice")
+    got = sorted((r.id, r.k, r.twice) for r in common.join_salted(df, sizes, "k", "size").collect())
+    assert got == sorted((i, k, 2 * k) for i, k in rows)
