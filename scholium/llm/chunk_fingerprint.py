@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ragged import slice_hashes
+from .ranges import place, ranges
 
 LEAST, NORMAL, GREATEST = 16, 48, 192
 #: Bits of the 16-bit hash that must be zero: its highest depend on the most bytes.
@@ -137,37 +138,38 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def in_order_with_next(docs: DataFrame, id_col: str, text_col: str, part_bytes: int = PART_BYTES) -> DataFrame:
     """(part, carried, key, text): rows of a part in order, and after them the first row of the next part, carried.
 
-    Parts are ranges of ids; after the last part's rows comes the table's first row. Only ids are read to
-    find the ranges, and each text is moved once.
+    Parts are ranges of ids, and of a hash of the text where an id has very many rows; after the last part's rows
+    comes the table's first row. Only ids and hashes are read to find the ranges, and each text is moved once.
     """
     own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-int(size) // part_bytes))
-    cuts = sorted({int(c) for c in own.approxQuantile("key", [i / parts for i in range(1, parts)], min(0.001, 0.1 / parts))}) if parts > 1 else []
+    own = own.withColumn("place", place())
+    dealt = ranges(own, "key", "text", part_bytes)
 
     @F.pandas_udf("int")
-    def part_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(np.array(cuts, np.int64), key.to_numpy(), "right").astype(np.int32))
+    def part_of(key: pd.Series, at: pd.Series) -> pd.Series:
+        return pd.Series(dealt.part(key.to_numpy(), at.to_numpy()))
 
-    least = {r.part: r.key for r in own.select("key", part_of("key").alias("part")).groupBy("part").agg(F.min("key").alias("key")).collect()}  # one row a part
+    firsts = own.select("key", "place", part_of("key", "place").alias("part")).groupBy("part").agg(F.min(F.struct("key", "place")).alias("f"))
+    least = {r.part: (r.f.key, r.f.place) for r in firsts.collect()}  # one row a part
     order = sorted(least)
     before = {p: order[i - 1] for i, p in enumerate(order)}  # the first part's first row goes to the last part
 
     @F.pandas_udf("int")
-    def carried_to(key: pd.Series, part: pd.Series) -> pd.Series:
-        return pd.Series([before[p] if k == least[p] else -1 for k, p in zip(key.tolist(), part.tolist())], dtype="int32")
+    def carried_to(key: pd.Series, at: pd.Series, part: pd.Series) -> pd.Series:
+        return pd.Series([before[p] if (k, a) == least[p] else -1 for k, a, p in zip(key.tolist(), at.tolist(), part.tolist())], dtype="int32")
 
-    dealt = own.withColumn("p", part_of("key")).withColumn("c", carried_to("key", "p"))
-    both = F.when(F.col("c") < 0, F.array(F.struct(F.col("p").alias("part"), F.lit(0).alias("carried")))).otherwise(F.array(F.struct(F.col("p").alias("part"), F.lit(0).alias("carried")), F.struct(F.col("c").alias("part"), F.lit(1).alias("carried"))))
-    dealt = dealt.select(F.explode(both).alias("to"), "key", "text").select("to.part", "to.carried", "key", "text")
-    return dealt.repartitionById(parts, "part").sortWithinPartitions("part", "carried", "key", "text")
+    placed = own.withColumn("p", part_of("key", "place")).withColumn("c", carried_to("key", "place", "p"))
+    here = F.struct(F.col("p").alias("part"), F.lit(0).alias("carried"))
+    both = F.when(F.col("c") < 0, F.array(here)).otherwise(F.array(here, F.struct(F.col("c").alias("part"), F.lit(1).alias("carried"))))
+    placed = placed.select(F.explode(both).alias("to"), "key", "place", "text").select("to.part", "to.carried", "key", "place", "text")
+    return placed.repartitionById(dealt.parts, "part").sortWithinPartitions("part", "carried", "key", "place", "text").drop("place")
 
 
 def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row.
 
     The edited text: the last floor(n_chars / 4) code points replaced by the first as many (or all) of the
-    next text, in ascending order of id, then of text; after the last comes the first, which may be the row
+    next text, in ascending order of id, then of a hash of the text; after the last comes the first, which may be the row
     itself. A null text is empty; a null id counts as the smallest.
     """
 

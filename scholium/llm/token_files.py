@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .bpe import CONTRACTIONS
 from .common import materialize, scratch
+from .ranges import place, ranges
 from .ragged import SPACE, chunks, codepoints, distinct, gather, library_classes, mix, owners, slice_hashes
 
 MAGIC = b"TOKSHRD1"
@@ -37,6 +38,8 @@ SHARD_IDS = 32 << 20
 #: Distinct pre-tokens whose ids a worker remembers.
 CACHE = 500_000
 _NULL_KEY = -(2**63)
+#: Shards that one task reads back.
+SHARDS_A_TASK = 2
 
 
 # --- encoding
@@ -272,22 +275,18 @@ def write(docs: DataFrame, path: str, folder: str | None = None, end_id: int | N
     """Write every row's ids to shard files; returns the manifest (path, part, piece, n_docs, n_ids, first_key, last_key).
 
     ``end_id`` is appended to each document. A null or empty text has the end id only, a null id counts as
-    the smallest, and rows that share an id follow one another, ordered by their texts' ids. The manifest is
-    stored, and names only files of tasks that succeeded: a lost executor's files are written anew under
+    the smallest, and rows that share an id follow one another, ordered by a hash of their texts. Rows are dealt
+    by ranges of ids; an id with very many rows fills several. The manifest is stored, and names only files of tasks that succeeded: a lost executor's files are written anew under
     other names.
     """
     spark: SparkSession = docs.sparkSession
     folder = folder or scratch(spark, "token-files")
-    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_KEY)).alias("key"), F.col(text_col).alias("text"))
-    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-int(size) // shard_bytes_of_text))
-    cuts = sorted({*own.approxQuantile("key", [i / parts for i in range(1, parts)], min(0.001, 0.1 / parts))}) if parts > 1 else []
-    cuts = [int(c) for c in cuts]
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("ids", pa.binary())])
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_KEY)).alias("key"), F.coalesce(text_col, F.lit("")).alias("text"))
+    dealt = ranges(own, "key", "text", shard_bytes_of_text)
+    schema = pa.schema([("key", pa.int64()), ("place", pa.int32()), ("n", pa.int64()), ("part", pa.int32()), ("ids", pa.binary())])
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = encoder(path)
-        edge = np.array(cuts, np.int64)
         for rows, data, offsets in chunks(batches, "text", 2 << 20):
             ids, counts = run(data, offsets)
             if end_id is not None:
@@ -295,9 +294,9 @@ def write(docs: DataFrame, path: str, folder: str | None = None, end_id: int | N
                 counts = counts + 1
             raw = ids.astype(f"<u{run.width}").tobytes()
             cut = (np.concatenate([[0], np.cumsum(counts)]) * run.width).astype(np.int32)
-            keys = rows.column(0).to_numpy(zero_copy_only=False)
+            part = dealt.part(*(rows.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)))
             binary = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(cut.tobytes()), pa.py_buffer(raw)])
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(counts), pa.array(np.searchsorted(edge, keys, "right").astype(np.int32)), binary], schema=schema)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(counts), pa.array(part), binary], schema=schema)
 
     fields = "path string, part int, piece int, n_docs long, n_ids long, first_key long, last_key long"
 
@@ -318,7 +317,7 @@ def write(docs: DataFrame, path: str, folder: str | None = None, end_id: int | N
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=[f.split()[0] for f in fields.split(", ")])
 
         for rows in batches:
-            part = rows.column(2).to_numpy(zero_copy_only=False)
+            part = rows.column(3).to_numpy(zero_copy_only=False)
             edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist() if len(part) else []
             for a, b in zip(edge, [*edge[1:], len(part)]):
                 if held and (part[a] != now or ids > SHARD_IDS):
@@ -327,23 +326,29 @@ def write(docs: DataFrame, path: str, folder: str | None = None, end_id: int | N
                     piece, ids = (piece + 1 if part[a] == now else 0), 0
                 if part[a] != now:
                     now, piece = int(part[a]), 0
-                n = rows.column(1).slice(a, b - a).to_numpy(zero_copy_only=False)
-                held.append((rows.column(0).slice(a, b - a).to_numpy(zero_copy_only=False).copy(), n.copy(), rows.column(3).slice(a, b - a).to_pylist()))
+                n = rows.column(2).slice(a, b - a).to_numpy(zero_copy_only=False)
+                held.append((rows.column(0).slice(a, b - a).to_numpy(zero_copy_only=False).copy(), n.copy(), rows.column(4).slice(a, b - a).to_pylist()))
                 ids += int(n.sum())
         if held:
             yield close()
 
-    coded = own.mapInArrow(encode, "key long, n long, part int, ids binary")
-    return materialize(coded.repartitionById(parts, "part").sortWithinPartitions("part", "key", "ids").mapInArrow(save, fields), "token-manifest")
+    coded = own.select("key", place().alias("place"), "text").mapInArrow(encode, "key long, place int, n long, part int, ids binary")
+    return materialize(coded.repartitionById(dealt.parts, "part").sortWithinPartitions("part", "key", "place", "ids").mapInArrow(save, fields), "token-manifest")
+
+
+def _numbered(manifest: DataFrame) -> DataFrame:
+    """The manifest with each shard's number in order and the ids before it."""
+    order = Window.orderBy("part", "piece")  # one row a shard
+    return manifest.withColumns({"shard": F.row_number().over(order) - 1, "before": F.coalesce(F.sum("n_ids").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
 
 
 def read_back(manifest: DataFrame) -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of every document in the files, each found through its shard's hash.
 
-    start counts the ids of all documents before it over all shards.
+    start counts the ids of all documents before it over all shards. A task reads SHARDS_A_TASK shards.
     """
-    order = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
-    placed = manifest.select("path", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("before"), "part", "piece")
+    tasks = max(1, -(-manifest.count() // SHARDS_A_TASK))
+    placed = _numbered(manifest).withColumn("task", (F.col("shard") % tasks).cast("int"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -363,7 +368,7 @@ def read_back(manifest: DataFrame) -> DataFrame:
                 ids = pa.array(shard.keys, pa.int64(), mask=shard.keys == _NULL_KEY)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(start + before), pa.array(n), pa.array(crc, pa.int64())], names=["id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.repartition("part", "piece").select("path", "before").mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartitionById(tasks, "task").select("path", "before").mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long")
 
 
 def look_up(manifest: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -372,16 +377,17 @@ def look_up(manifest: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> D
     Of several documents with one id the first is given; null ids are looked up as such; repeats are answered once.
     """
     keys = wanted.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_KEY)).alias("key")).distinct()
-    shards = manifest.orderBy("part", "piece").select("path", "last_key").collect()  # one row a shard
-    paths, last = [r.path for r in shards], np.array([r.last_key for r in shards], np.int64)
+    shards = _numbered(manifest)
+    last = shards.select("shard", "last_key").toPandas().sort_values("shard").last_key.to_numpy(np.int64)  # two numbers a shard
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             at = np.searchsorted(last, rows.column(0).to_numpy(zero_copy_only=False))  # the first shard that may hold it
-            there = np.flatnonzero(at < len(paths))
-            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(there)), pa.array([paths[i] for i in at[there]], pa.string())], names=["key", "path"])
+            there = np.flatnonzero(at < len(last))
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(there)), pa.array(at[there], pa.int32())], names=["key", "shard"])
 
-    asked = keys.mapInArrow(route, "key long, path string")
+    tasks = max(1, -(-len(last) // SHARDS_A_TASK))
+    asked = keys.mapInArrow(route, "key long, shard int").join(shards.select("shard", "path"), "shard").withColumn("task", F.col("shard") % tasks)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uri, shard = None, None
@@ -400,4 +406,4 @@ def look_up(manifest: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> D
                 got = all_keys[a:b][here]
                 yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64(), mask=got == _NULL_KEY), pa.array(found, pa.list_(pa.int32()))], names=["id", "ids"])
 
-    return asked.repartition("path").sortWithinPartitions("path").mapInArrow(run, "id long, ids array<int>")
+    return asked.repartitionById(tasks, "task").sortWithinPartitions("shard").select("key", "path").mapInArrow(run, "id long, ids array<int>")

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -47,7 +48,8 @@ def test_round_trip(spark, monkeypatch):
     got = [tuple(r) for r in T.read_back(manifest).collect()]
     t = Tokenizer.from_file(PATH)
     coded = [(i, [*t.encode(x or "", add_special_tokens=False).ids, 0]) for i, x in rows]
-    coded.sort(key=lambda r: (r[0] is not None, r[0] or 0, np.array(r[1], "<u2").tobytes()))
+    place = {tuple(ids): xxhash.xxh64_intdigest((x or "").encode(), 42) % 2**31 for (_, x), (_, ids) in zip(rows, coded)}
+    coded.sort(key=lambda r: (r[0] is not None, r[0] or 0, place[tuple(r[1])]))
     want, at = [], 0
     for i, ids in coded:
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
@@ -61,3 +63,20 @@ def test_round_trip(spark, monkeypatch):
     assert found == {i: first[i] for i in (rows[9][0], 6000, None, 5000)}
     empty = T.write(df.limit(0), PATH)
     assert T.read_back(empty).collect() == []
+
+
+def test_an_id_with_most_rows_fills_several_parts(spark):
+    rows = [(7, f"text number {i} of the same id") for i in range(400)] + [(i, "other") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    manifest = T.write(df, PATH, shard_bytes_of_text=1500)
+    assert max(r.n_docs for r in manifest.collect()) < 150
+    got = T.read_back(manifest).orderBy("start").collect()
+    t = Tokenizer.from_file(PATH)
+    coded = [(i, xxhash.xxh64_intdigest(x.encode(), 42) % 2**31, [*t.encode(x).ids, 0]) for i, x in rows]
+    want, at = [], 0
+    for i, _, ids in sorted(coded):
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert list(map(tuple, got)) == want
+    found = T.look_up(manifest, df.select("doc_id").distinct()).collect()
+    assert len(found) == 100
