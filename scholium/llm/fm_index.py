@@ -25,7 +25,7 @@ from .ragged import chunks, distinct, gather, slice_hashes, spans
 WINDOW = 10
 SAMPLE = 8
 #: Benchmark texts held in one search, in bytes; a larger benchmark is searched in several blocks.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 END, BREAK = 0, 1
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -177,7 +177,7 @@ class Benchmark:
         count = np.where(size > 0, size - length + 1, 0)
         starts = gather(first[:-1], count)
         item, length = np.repeat(np.arange(len(rows)), count), np.repeat(length, count)
-        phrases = np.zeros((len(starts), window), np.int64)
+        phrases = np.zeros((len(starts), window), np.int32)
         for j in range(window):
             on = length > j
             phrases[on, j] = number[starts[on] + j]
@@ -226,14 +226,16 @@ class Benchmark:
         return hit, first, starts, found, (starts, ends)
 
 
-def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[Benchmark]:
-    """The benchmark in blocks of about ``block_bytes``, so that none outgrows a task's memory however long it is."""
+def n_blocks(benchmark: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
+    """How many blocks of about ``block_bytes`` the benchmark's distinct rows make."""
+    return max(1, -(-int(benchmark.distinct().agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // block_bytes))
+
+
+def block(benchmark: DataFrame, k: int, n: int, id_col: str = "item_id", text_col: str = "text") -> Benchmark:
+    """The k-th of n blocks: rows by a hash of id and text, so that neither one id nor null ids gather in one."""
     own = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-int(total) // block_bytes))
-    for k in range(n):
-        rows = own.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k).collect() if n > 1 else own.collect()
-        yield Benchmark.of(sorted(((r.item, r.text) for r in rows), key=str))
+    rows = own.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).distinct().collect()  # about BLOCK_BYTES
+    return Benchmark.of(sorted(((r.item, r.text) for r in rows), key=str))
 
 
 def _spans_of(hit: np.ndarray) -> list[int]:
@@ -254,11 +256,11 @@ def _unhit(raw: bytes, starts: np.ndarray, ends: np.ndarray, spans_: list[int])
 def _marked(docs: DataFrame, benchmark: DataFrame, last) -> DataFrame:
     """Search every block; ``last`` turns (batch, text spans, items, first words, word borders) into the result of a chunk."""
     spark: SparkSession = docs.sparkSession
-    todo = list(blocks(benchmark)) if benchmark is not None else []
+    n = n_blocks(benchmark)
     now = docs.withColumns({"__spans": F.lit(None).cast("array<int>"), "__items": F.lit(None).cast("array<string>")})
-    for k, block in enumerate(todo):
-        shared = spark.sparkContext.broadcast(block)
-        final = k == len(todo) - 1
+    for k in range(n):  # one block after another on the driver and in the executors
+        shared = spark.sparkContext.broadcast(block(benchmark, k, n))
+        final = k == n - 1
         schema = last.schema if final else now.schema
         at = now.columns.index("__spans")
 
@@ -279,6 +281,7 @@ def _marked(docs: DataFrame, benchmark: DataFrame, last) -> DataFrame:
         now = now.mapInArrow(run, schema)
         if not final:
             now = materialize(now, "decontaminated")
+            shared.destroy()
     return now
 
 
