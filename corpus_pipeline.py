@@ -20,16 +20,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language_id.keep_identified(docs, language_id.fit(docs))
 
 
-#: Differing fingerprint bits up to which texts are candidates; links are the pairs of them whose five-word
-#: shingle sets have Jaccard similarity of NEAR_LEAST or more.
-NEAR_BITS = 12
+#: Documents are near duplicates where their sets of five-word shingles have this Jaccard similarity or more.
 NEAR_LEAST = 0.8
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group, over five-word shingles."""
     ship(spark)
-    return simhash.drop_near_duplicates(docs, words_per_shingle=5, max_bits=NEAR_BITS, least=NEAR_LEAST)
+    return simhash.drop_near_duplicates(docs, words_per_shingle=5, least=NEAR_LEAST)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
