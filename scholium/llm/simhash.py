@@ -49,7 +49,7 @@ GROUP_CHUNK = 1_024
 MISSED = 0.05
 #: Differing bits of 128 up to which texts are candidates: at a similarity of 0.8 about 19 are expected, give or take 4.
 FAR_BITS = 28
-#: Bits of the table that tells which rows may be representatives.
+#: Bits of the tables that tell which rows may be representatives.
 _MARKS = 1 << 24
 
 
@@ -211,7 +211,36 @@ def _bucket_links(keyed: DataFrame, words: list[str], max_bits: int) -> DataFram
         if held:
             yield from emit(held.pop())
 
-    return cut.repartition(*by).sortWithinPartitions(*by, "node").mapInArrow(run, "u long, v long").distinct()
+    found = cut.repartition(*by).sortWithinPartitions(*by, "node").mapInArrow(run, "u long, v long")
+    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).repartition("v").sortWithinPartitions("v", "u").mapInArrow(_fewer, "u long, v long").distinct()
+
+
+def _fewer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of edges in order (v, u), u smaller: each v with its smallest neighbour, and that one with the others, each pair once a batch.
+
+    What was connected stays so. A cluster that meets under many keys has an edge for each of them; after this, about one a node.
+    """
+    held: np.ndarray | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+        if held is not None:
+            rows = np.concatenate([held, rows])
+        last = int(np.searchsorted(rows[:, 1], rows[-1, 1]))  # the last node's edges may go on in the next batch
+        held = rows[last:]
+        if last:
+            yield _star(rows[:last])
+    if held is not None:
+        yield _star(held)
+
+
+def _star(rows: np.ndarray) -> pa.RecordBatch:
+    first = np.concatenate([[True], rows[1:, 1] != rows[:-1, 1]])
+    least = rows[first, 0][np.cumsum(first) - 1]
+    pairs = np.unique(np.stack([least, np.where(first, rows[:, 1], rows[:, 0])], axis=1), axis=0)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
 
 def _signed(x: int) -> int:
@@ -312,25 +341,36 @@ def set_keys(docs: DataFrame, id_col: str, text_col: str, words_per_shingle: int
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long, fp2 long, set long, tag long")
 
 
-def _marked_sets(docs: DataFrame, tags: DataFrame, id_col: str, text_col: str, words_per_shingle: int) -> DataFrame:
-    """(set, shingles binary) of the rows with these tags, and of few others."""
-    bit = F.col("tag").bitwiseAND(F.lit(_MARKS - 1))
-    words = tags.groupBy(F.shiftright(bit, 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(tag & 31 as int))")).alias("bits")).collect()  # at most _MARKS / 32 rows
+def _marks(hashes: DataFrame) -> np.ndarray:
+    """A table of _MARKS bits with those of the low bits of the hashes (h) set."""
+    bit = F.col("h").bitwiseAND(F.lit(_MARKS - 1))
+    words = hashes.groupBy(F.shiftright(bit, 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 31 as int))")).alias("bits")).collect()  # at most _MARKS / 32 rows
     table = np.zeros(_MARKS // 32, np.uint32)
     table[[r.w for r in words]] = [r.bits for r in words]
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    return table
+
+
+def _marked(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = (hashes & np.uint64(_MARKS - 1)).astype(np.int64)
+    return (table[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+
+
+def _marked_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words_per_shingle: int) -> DataFrame:
+    """(set, shingles binary) of the rows that wanted (id, tag) names, and of few others; only rows with marked ids are cut into shingles."""
+    of_id = F.xxhash64(F.coalesce(F.col("id"), F.lit(-1)))
+    shared = docs.sparkSession.sparkContext.broadcast((_marks(wanted.select(of_id.alias("h"))), _marks(wanted.select(F.col("tag").alias("h")))))
     schema = pa.schema([("set", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = shared.value
-        for rows, data, offsets in chunks(batches, "text"):
+        ids, tags = shared.value
+        few = (b.filter(pa.array(_marked(ids, b.column(2).to_numpy(zero_copy_only=False).view(np.uint64)))) for b in batches)
+        for rows, data, offsets in chunks(few, "text"):
             own, keys = _sets(texts(data, offsets), words_per_shingle)
-            at = (_tags(rows.column(0), keys) & np.uint64(_MARKS - 1)).astype(np.int64)
-            hit = np.flatnonzero(marks[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1))
+            hit = np.flatnonzero(_marked(tags, _tags(rows.column(0), keys)))
             if len(hit):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[hit].view(np.int64)), pa.array([own[i].tobytes() for i in hit], pa.binary())], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "set long, shingles binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("h", of_id).mapInArrow(run, "set long, shingles binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -403,14 +443,14 @@ def verified_groups(docs: DataFrame, least: float, id_col: str = "doc_id", text_
     near_duplicates(). A very long text is one set of hashes, eight bytes a word, wherever it is compared.
     """
     own = materialize(set_keys(docs, id_col, text_col, words_per_shingle), "sets")
-    each = own.groupBy(F.col("set").alias("node")).agg(F.min("fp").alias("fp"), F.min("fp2").alias("fp2"), F.min("id").alias("least"), F.min("tag").alias("tag"), F.count("*").alias("size"))
+    each = own.groupBy(F.col("set").alias("node")).agg(F.min("fp").alias("fp"), F.min("fp2").alias("fp2"), F.min("id").alias("least"), F.min(F.struct(F.coalesce("id", F.lit(-1)).alias("id"), "tag")).alias("row"), F.count("*").alias("size"))
     each = materialize(each, "shingle-sets")
     roots = components(candidate_links(each.select("node", "fp", "fp2"), max_bits, least)).withColumnRenamed("node", "__node")
-    grouped = each.join(roots, each.node == F.col("__node")).select("root", F.col("node").alias("set"), "tag")  # sets without a candidate are alone
+    grouped = each.join(roots, each.node == F.col("__node")).select("root", F.col("node").alias("set"), "row.id", "row.tag")  # sets without a candidate are alone
     many = grouped.groupBy("root").agg(F.count("*").alias("n"))
     wanted = materialize(grouped.join(many, "root"), "candidates")
-    shingles = _marked_sets(docs, wanted.select("tag"), id_col, text_col, words_per_shingle)
-    edges = set_links(wanted.drop("tag").join(shingles.dropDuplicates(["set"]), "set"), least)
+    shingles = _marked_sets(docs, wanted.select("id", "tag"), id_col, text_col, words_per_shingle)
+    edges = set_links(wanted.drop("id", "tag").join(shingles.dropDuplicates(["set"]), "set"), least)
     found = components(edges).withColumnRenamed("node", "__node")
     linked = each.join(found, each.node == F.col("__node"), "left").select("node", "least", "size", F.coalesce("root", "node").alias("group"))
     lowest = linked.groupBy("group").agg(F.min("least").alias("component_id"))
