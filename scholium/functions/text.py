@@ -54,11 +54,26 @@ def rouge_tokens(text: Column) -> Column:
 
 
 def _overlap_f1(a: Column, b: Column) -> Column:
-    """F1 of the multiset overlap, row by row: each distinct item counts as often as in both."""
-    count = lambda items, x: F.size(F.filter(items, lambda y: y == x))
-    shared = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, x: s + F.least(count(a, x), count(b, x)))
-    p, r = shared / F.size(a), shared / F.size(b)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0) | (shared == 0), 0.0).otherwise(2 * p * r / (p + r))
+    """F1 of the multiset overlap, row by row: both are sorted and walked side by side, in steps of one item."""
+
+    def walk(z: Column) -> Column:
+        steps = F.size(z["a"]) + F.size(z["b"])
+
+        def step(s: Column, _: Column) -> Column:
+            x, y = F.get(z["a"], s["i"]), F.get(z["b"], s["j"])  # null beyond the end: nothing moves any more
+            one = lambda c: F.when(c, 1).otherwise(0)
+            return F.struct((s["i"] + one(x <= y)).alias("i"), (s["j"] + one(y <= x)).alias("j"), (s["n"] + one(x == y)).alias("n"))
+
+        start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("n"))
+        shared = F.aggregate(F.sequence(F.lit(1), steps), start, step, lambda s: s["n"])
+        return F.when((F.size(z["a"]) == 0) | (F.size(z["b"]) == 0), 0.0).otherwise(_f1(shared, F.size(z["a"]), F.size(z["b"])))
+
+    sides = F.struct(F.array_sort(a).alias("a"), F.array_sort(b).alias("b"))
+    return F.element_at(F.transform(F.array(sides), walk), 1)  # bound once: inside, both are at hand as values
+
+
+def _f1(shared: Column, of_a: Column, of_b: Column) -> Column:
+    return F.when(shared == 0, 0.0).otherwise(2 * (shared / of_a) * (shared / of_b) / (shared / of_a + shared / of_b))
 
 
 def rouge_1(generated: Column, reference: Column) -> Column:

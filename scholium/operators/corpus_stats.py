@@ -25,16 +25,14 @@ def domain_features(works: DataFrame, gold: DataFrame, recent_year: int = RECENT
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
     first = F.get("authors", F.lit(0))
     topic_words = F.filter(F.split(F.lower("topic"), r"\s+"), lambda w: F.length(w) > 2)
-    ranked = works.withColumn("__i", F.row_number().over(Window.partitionBy("domain_id").orderBy("citation_count", "id")))
     graded = gold.groupBy("domain_id", F.col("article_id").alias("id")).agg(F.max("grade").alias("__grade"))
-    rows = ranked.join(graded, ["domain_id", "id"], "left")
-    n, total = F.count("*"), F.sum("citation_count")
+    rows = works.join(graded, ["domain_id", "id"], "left")
+    n = F.count("*")
     out = rows.groupBy("domain_id").agg(
         n.alias("corpus_size"),
         F.median("year").alias("median_year"),
         share(F.col("year") >= recent_year).alias("pct_recent"),
         F.when(F.count("year") < 2, 0.0).otherwise(F.stddev_pop("year")).alias("year_std"),
-        F.when(F.coalesce(total, F.lit(0)) == 0, 0.0).otherwise(2 * F.sum(F.col("__i") * F.col("citation_count")) / (n * total) - (n + 1) / n).alias("citation_gini"),
         F.median("citation_count").alias("citation_median"),
         share(F.col("citation_count") > high_cited).alias("pct_high_cited"),
         (F.countDistinct(first["name"]) / n).alias("unique_author_ratio"),
@@ -45,7 +43,18 @@ def domain_features(works: DataFrame, gold: DataFrame, recent_year: int = RECENT
         share(F.col("__grade").isNotNull()).alias("gold_ratio"),
         share(F.col("__grade") == 2).alias("grade2_ratio"),
     )
-    return out
+    return out.join(citation_gini(works), "domain_id").select("domain_id", "corpus_size", *FEATURES)
+
+
+def citation_gini(works: DataFrame) -> DataFrame:
+    """(domain_id, citation_gini): each domain's works are counted by citations first, so that only distinct numbers are put in order."""
+    counts = works.groupBy("domain_id", "citation_count").agg(F.count("*").alias("m"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy("domain_id").orderBy("citation_count").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    m, c = F.col("m"), F.col("citation_count")
+    # places before + 1 to before + m, summed up
+    sums = counts.withColumn("b", before).groupBy("domain_id").agg(F.sum(m).alias("n"), F.sum(m * c).alias("total"), F.sum(c * (m * F.col("b") + m * (m + 1) / 2)).alias("placed"))
+    n, total = F.col("n"), F.col("total")
+    return sums.select("domain_id", F.when(F.coalesce(total, F.lit(0)) == 0, 0.0).otherwise(2 * F.col("placed") / (n * total) - (n + 1) / n).alias("citation_gini"))
 
 
 def grade_counts(works: DataFrame, gold: DataFrame) -> DataFrame:

@@ -11,8 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.features import KEYS, clip_and_normalise
+from ..sources.shared import scratch
 from .corpus_stats import FEATURES, unpivot
 
+#: The features that predictors use.
+SELECTED = ("grade2_ratio", "mean_h_index", "citation_median", "citation_gini", "pct_high_hindex", "pct_recent", "pct_high_cited")
 ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)
 MEMBERS = ("knn1", "knn2", "knn3", "bayes")
 BLEND = tuple(round(0.1 * i, 1) for i in range(11))
@@ -37,7 +40,7 @@ def _scaled(domains: DataFrame, names: tuple[str, ...]) -> DataFrame:
     return both.select("fold", "domain_id", (F.col("fold") == F.col("domain_id")).alias("is_test"), *(x(n).alias(f"x_{n}") for n in names), *W)
 
 
-def distances(domains: DataFrame, names: tuple[str, ...] = FEATURES) -> DataFrame:
+def distances(domains: DataFrame, names: tuple[str, ...] = SELECTED) -> DataFrame:
     """(fold, domain_id, distance, place, weights): training domains by Euclidean distance from the test domain."""
     s = _scaled(domains, names)
     test = s.where("is_test").select("fold", *(F.col(f"x_{n}").alias(f"t_{n}") for n in names))
@@ -51,7 +54,7 @@ def _normalised(table: DataFrame, method: str | None = None) -> DataFrame:
     return table.select("fold", F.lit(method).alias("method") if method else F.col("method"), *(cols[w].alias(w) for w in W))
 
 
-def knn(domains: DataFrame, k: int, names: tuple[str, ...] = FEATURES) -> DataFrame:
+def knn(domains: DataFrame, k: int, names: tuple[str, ...] = SELECTED) -> DataFrame:
     """Inverse-distance mean of the k nearest domains' weights; an exact match's own."""
     near = distances(domains, names).where(F.col("place") <= k)
     least = F.min("distance").over(Window.partitionBy("fold"))
@@ -102,30 +105,58 @@ def _bayes(x: np.ndarray, y: np.ndarray, t: np.ndarray) -> tuple[float, float, f
     return float(my + (t - mx) @ w), prior / noise, 0.0
 
 
+#: Bounds of the process's amplitude, length scale and noise, in logarithms, and the first start of the search.
+GPR_LOW, GPR_HIGH, GPR_START = np.log([1e-3, 1e-2, 1e-5]), np.log([1e3, 10.0, 1.0]), np.log([1.0, 1.0, 0.1])
+GPR_RESTARTS = 3
+
+
+def _climb(f, x: np.ndarray, step: float = 1.0, least: float = 0.02, sweeps: int = 25) -> tuple[float, np.ndarray]:
+    """A greatest value near x within the bounds, by steps along each axis that grow with success and shrink without."""
+    best, steps = f(x), np.full(len(x), step)
+    for _ in range(sweeps):
+        if steps.max() <= least:
+            break
+        for j in range(len(x)):
+            for sign in (1.0, -1.0):
+                new = x.copy()
+                new[j] = np.clip(new[j] + sign * steps[j], GPR_LOW[j], GPR_HIGH[j])
+                value = f(new)
+                if value > best + 1e-12:
+                    best, x = value, new
+                    steps[j] = min(2 * steps[j], 2.0)
+                    break
+            else:
+                steps[j] /= 2
+    return best, x
+
+
 def _gauss(x: np.ndarray, y: np.ndarray, t: np.ndarray) -> tuple[float, float, float]:
-    """Gaussian process, constant times squared-exponential plus noise; the grid point of the greatest marginal likelihood."""
+    """Gaussian process, constant times squared-exponential plus noise; the kernel with the greatest marginal likelihood
+    that searches from the first start and from GPR_RESTARTS random ones find."""
     my = y.mean()
     b = y - my
     d = ((x[:, None] - x[None]) ** 2).sum(axis=-1)
     dt = ((x - t) ** 2).sum(axis=-1)
-    scale = float(np.var(y)) + 1e-12
-    best = None
-    for amplitude in (0.25, 1.0, 4.0):
-        for length in (0.3, 0.7, 1.5, 4.0):
-            for noise in (0.01, 0.1, 1.0):
-                k = amplitude * scale * np.exp(-d / (2 * length**2)) + noise * scale * np.eye(len(y))
-                c = np.linalg.cholesky(k)
-                z = np.linalg.solve(c, b)
-                like = -0.5 * float(z @ z) - float(np.log(np.diag(c)).sum())
-                if best is None or like > best[0]:
-                    best = (like, amplitude, length, noise, c, z)
-    _, amplitude, length, noise, c, z = best
-    kt = amplitude * scale * np.exp(-dt / (2 * length**2))
-    v = np.linalg.solve(c, kt)
-    return float(my + v @ z), length, float(np.sqrt(max(0.0, amplitude * scale + noise * scale - v @ v)))
-
-
-def regressions(domains: DataFrame, names: tuple[str, ...] = FEATURES) -> DataFrame:
+
+    def parts(theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        amplitude, length, noise = np.exp(theta)
+        c = np.linalg.cholesky(amplitude * np.exp(-d / (2 * length**2)) + (noise + 1e-10) * np.eye(len(y)))
+        return c, np.linalg.solve(c, b)
+
+    def likelihood(theta: np.ndarray) -> float:
+        c, z = parts(theta)
+        return -0.5 * float(z @ z) - float(np.log(np.diag(c)).sum())
+
+    rng = np.random.default_rng(42)
+    starts = [GPR_START, *rng.uniform(GPR_LOW, GPR_HIGH, (GPR_RESTARTS, 3))]
+    _, theta = max((_climb(likelihood, s) for s in starts), key=lambda r: r[0])
+    c, z = parts(theta)
+    amplitude, length, noise = np.exp(theta)
+    v = np.linalg.solve(c, amplitude * np.exp(-dt / (2 * length**2)))
+    return float(my + v @ z), float(length), float(np.sqrt(max(0.0, amplitude + noise - v @ v)))
+
+
+def regressions(domains: DataFrame, names: tuple[str, ...] = SELECTED) -> DataFrame:
     """(fold, key, method, value, chosen, std): ridge, Bayesian ridge and Gaussian process for each key of each fold.
 
     Each fits deviations of a weight from the training mean (both are centred). chosen is ridge's alpha, the
@@ -144,7 +175,8 @@ def regressions(domains: DataFrame, names: tuple[str, ...] = FEATURES) -> DataFr
             out.append((rows.fold.iloc[0], rows.key.iloc[0], name, value, chosen, std))
         return pd.DataFrame(out, columns=["fold", "key", "method", "value", "chosen", "std"])
 
-    return long.groupBy("fold", "key").applyInPandas(fit, "fold string, key string, method string, value double, chosen double, std double")
+    tasks = domains.sparkSession.sparkContext.defaultParallelism  # few rows, but each fit takes its time
+    return long.repartition(tasks, "fold", "key").groupBy("fold", "key").applyInPandas(fit, "fold string, key string, method string, value double, chosen double, std double")
 
 
 def regression_weights(fitted: DataFrame) -> DataFrame:
@@ -192,11 +224,13 @@ def reciprocal_rank_fusion(members: DataFrame, k: int = 1) -> DataFrame:
     return _wide(_places(members).groupBy("fold", "key").agg(F.sum(1 / (k + F.col("place"))).alias("v")), "v", "rrf")
 
 
-def leave_one_out(domains: DataFrame, default: dict[str, float], names: tuple[str, ...] = FEATURES) -> DataFrame:
+def leave_one_out(domains: DataFrame, default: dict[str, float], names: tuple[str, ...] = SELECTED) -> DataFrame:
     """(fold, method, alpha, weights) of all base methods and both blends; 'searched' is the domain's own weights."""
     spark = domains.sparkSession
     near = [knn(domains, k, names) for k in (1, 2, 3)]
-    fitted = regression_weights(regressions(domains, names)).persist()
+    path = scratch(spark, "regressions")  # stored: four members read them
+    regression_weights(regressions(domains, names)).write.parquet(path)
+    fitted = spark.read.parquet(path)
     members = near[0].union(near[1]).union(near[2]).union(fitted.where("method = 'bayes'"))
     own = domains.select(F.col("domain_id").alias("fold"), *W)
     base = spark.createDataFrame([tuple(float(default[k]) for k in KEYS)], ", ".join(f"{w} double" for w in W))

@@ -29,10 +29,10 @@ def evaluate(ranking: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (10, 15)
     Precision divides by the rows that are in the top k; ideal DCG, recall and map count gold rows that
     aren't ranked. Without relevant gold, or without ranked rows, a measure is 0.
     """
-    graded = with_grades(ranking, gold)
-    hit = (F.col("grade") >= least).cast("int")
-    so_far = F.sum(hit).over(Window.partitionBy("domain_id", "method").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    rows = graded.withColumns({"hit": hit, "so_far": so_far})
+    most = max(*ks, *precision_ks, recall_k)
+    graded = with_grades(ranking, gold).withColumn("hit", (F.col("grade") >= least).cast("int")).where((F.col("rank") <= most) | (F.col("hit") == 1))
+    # only hits and the top are left: the window's tasks grow with the gold rows, not with the ranking
+    rows = graded.withColumn("so_far", F.sum("hit").over(Window.partitionBy("domain_id", "method").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))
     term = gain(F.col("grade")) / F.log2(F.col("rank") + 1)
     top = lambda k, c: F.when(F.col("rank") <= k, c)
     found = rows.groupBy("domain_id", "method").agg(
@@ -84,6 +84,12 @@ def winner(table: DataFrame, methods: list[str], band: float = 0.001) -> DataFra
     return table.withColumn("__o", ordered).withColumn("winner", F.when(F.col("__o")[0]["v"] - F.col("__o")[1]["v"] <= band, "tie").otherwise(F.col("__o")[0]["m"])).drop("__o")
 
 
+def comparison(results: DataFrame, methods: list[str], value: str = "ndcg15", band: float = 0.001) -> DataFrame:
+    """One row a domain with a column for each method, one of their means (domain_id MEAN), and winner()."""
+    wide = results.rollup("domain_id").agg(*(F.avg(F.when(F.col("method") == m, F.col(value))).alias(m) for m in methods))
+    return winner(wide.withColumn("domain_id", F.coalesce("domain_id", F.lit("MEAN"))), methods, band)
+
+
 def best_alpha(results: DataFrame, baseline: DataFrame, value: str = "ndcg15") -> DataFrame:
     """Per alpha: wins over the baseline, mean, and its place (more wins, then higher mean, then lower alpha).
 

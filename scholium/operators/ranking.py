@@ -25,6 +25,23 @@ def rank(scored: DataFrame, by: Column, key: str = "domain_id", position: str =
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(by.desc(), F.col(position))))
 
 
+def rank_all(scored: DataFrame, by: Column, key: str = "domain_id", position: str = "id", name: str = "rank", steps: int = 4096, width: int = 1 << 16) -> DataFrame:
+    """rank() for whole rankings: a key's rows are dealt by stripes of the score, and of a numeric position, with the rows before each stripe counted first.
+
+    No task sorts more than a stripe, however many rows a key has. Null scores come last; rows with a null key
+    are ranked among themselves.
+    """
+    numeric = scored.schema[position].dataType.typeName() in ("byte", "short", "integer", "long")
+    stripe = {"__s": F.coalesce(F.floor(by * steps), F.lit(-(2**62))), "__p": F.floor(F.col(position) / width) if numeric else F.lit(0)}
+    striped = scored.withColumns(stripe)
+    earlier = Window.partitionBy(key).orderBy(F.desc("__s"), F.asc("__p")).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = striped.groupBy(key, "__s", "__p").agg(F.count("*").alias("__n"))
+    before = sizes.select(F.col(key).alias("__k"), F.col("__s").alias("__s2"), F.col("__p").alias("__p2"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    joined = striped.join(before, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__s") == F.col("__s2")) & F.col("__p").eqNullSafe(F.col("__p2")))
+    own = F.row_number().over(Window.partitionBy(key, "__s", "__p").orderBy(by.desc(), F.col(position)))
+    return joined.withColumn(name, (F.col("__before") + own).cast("int")).drop("__s", "__p", "__k", "__s2", "__p2", "__before")
+
+
 def top_n(scored: DataFrame, by: Column, n: int, key: str = "domain_id", position: str = "id") -> DataFrame:
     return rank(scored, by, key, position).where(F.col("rank") <= n)
 
@@ -61,16 +78,20 @@ def productive_queries(queries: DataFrame, hits: DataFrame) -> DataFrame:
 
 def rank_changes(scored: DataFrame, a: Column, b: Column, least: int = 2, key: str = "domain_id", position: str = "id") -> DataFrame:
     """Ranks by two scores, their difference, and whether the second promotes or demotes a work by at least ``least``."""
-    wa = Window.partitionBy(key).orderBy(a.desc(), position)
-    wb = Window.partitionBy(key).orderBy(b.desc(), position)
-    both = scored.withColumns({"rank_a": F.row_number().over(wa), "rank_b": F.row_number().over(wb)}).withColumn("delta", F.col("rank_a") - F.col("rank_b"))
+    both = rank_all(rank_all(scored, a, key, position, "rank_a"), b, key, position, "rank_b").withColumn("delta", F.col("rank_a") - F.col("rank_b"))
     return both.withColumn("change", F.when(F.col("delta") >= least, "promoted").when(F.col("delta") <= -least, "demoted").otherwise("same"))
 
 
 def select_by_index(works: DataFrame, indices: list[int], key: str = "domain_id") -> DataFrame:
-    """Works at the given 1-based places by falling citations; places beyond the end have no row."""
+    """Works at the given 1-based places by falling citations; out_of_range() tells of places beyond the end."""
     n = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("citation_count"), "id"))
-    return works.withColumn("place", n).where(F.col("place").isin(indices))
+    return works.withColumn("place", n).where((F.col("place") <= max(indices, default=0)) & F.col("place").isin(indices))
+
+
+def out_of_range(works: DataFrame, indices: list[int], key: str = "domain_id") -> DataFrame:
+    """(key, place, n): the given places that a key's n works don't reach, or that are below 1."""
+    n = works.groupBy(key).agg(F.count("*").alias("n"))
+    return n.select(key, F.explode(F.array(*(F.lit(i) for i in indices))).alias("place"), "n").where((F.col("place") > F.col("n")) | (F.col("place") < 1))
 
 
 def promotion_score(survey_like: Column, citations: Column, most: Column, bonus: float = 3.0) -> Column:
@@ -84,3 +105,14 @@ def promote(gold: DataFrame, works: DataFrame, survey_like: Column, n: int = 5)
     scored = pool.withColumn("score", promotion_score(survey_like, F.col("citation_count"), most))
     chosen = top_n(scored, F.col("score"), n, position="article_id").select("domain_id", "article_id", F.lit(2).alias("__up"))
     return gold.join(chosen, ["domain_id", "article_id"], "left").withColumn("new_grade", F.coalesce("__up", "grade")).drop("__up")
+
+
+def promotion_plan(promoted: DataFrame) -> DataFrame:
+    """What promote() would change, and nothing else: a dry run to look at before the new grades are stored."""
+    return promoted.where(F.col("new_grade") != F.col("grade")).select("domain_id", "article_id", "grade", "new_grade")
+
+
+def promotion_counts(promoted: DataFrame) -> DataFrame:
+    """Per domain: gold rows of grade 1 and 2 before and after, and how many rise."""
+    n = lambda c, g: F.count_if(F.col(c) == g)
+    return promoted.groupBy("domain_id").agg(n("grade", 2).alias("grade2_before"), n("new_grade", 2).alias("grade2_after"), n("grade", 1).alias("grade1_before"), n("new_grade", 1).alias("grade1_after"), F.count_if(F.col("new_grade") != F.col("grade")).alias("promoted"))

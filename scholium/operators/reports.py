@@ -13,9 +13,10 @@ def run_log(logs: DataFrame) -> DataFrame:
     return out.withColumn("agent_name", F.coalesce("agent_name", F.lit("TOTAL")))
 
 
-def run_stats(logs: DataFrame, n_fetched: DataFrame, n_selected: DataFrame) -> DataFrame:
-    """One row: fetched, selected, tokens, calls and elapsed seconds of a run."""
-    own = logs.agg(F.sum("tokens_used").alias("tokens"), F.sum("api_calls").alias("calls"), F.timestamp_diff("SECOND", F.min("started_at"), F.max("completed_at")).alias("elapsed_s"))
+def run_stats(logs: DataFrame, n_fetched: DataFrame, n_selected: DataFrame, critic: str = "critic") -> DataFrame:
+    """One row: fetched, selected, iterations (runs of the critic), tokens, calls, cost and elapsed seconds of a run."""
+    cost = F.floor(F.sum(F.coalesce("cost_usd", F.lit(0.0))) * 1e6 + 0.5) / 1e6
+    own = logs.agg(F.count_if(F.col("agent_name") == critic).alias("iterations"), F.sum("tokens_used").alias("tokens"), F.sum("api_calls").alias("calls"), cost.alias("cost_usd"), F.timestamp_diff("SECOND", F.min("started_at"), F.max("completed_at")).alias("elapsed_s"))
     return own.crossJoin(n_fetched.agg(F.count("*").alias("fetched"))).crossJoin(n_selected.agg(F.count("*").alias("selected")))  # three single rows
 
 
@@ -48,6 +49,38 @@ def top_concepts(hits: DataFrame, works: DataFrame, first: int = 4, k: int = 5)
     return n.withColumn("place", F.row_number().over(Window.partitionBy("query_pos").orderBy(F.desc("n"), "concept"))).where(F.col("place") <= k)
 
 
+def top_cited(hits: DataFrame, works: DataFrame, k: int = 3, longest: int = 65) -> DataFrame:
+    """Per query: its k most cited works, with the beginnings of their titles."""
+    found = hits.join(works.select(F.col("id").alias("article_id"), "year", "title", "citation_count"), "article_id")
+    place = F.row_number().over(Window.partitionBy("query_pos").orderBy(F.desc("citation_count"), "result_pos"))
+    return found.withColumn("place", place).where(F.col("place") <= k).select("query_pos", "place", "article_id", "year", F.substring("title", 1, longest).alias("title"), "citation_count")
+
+
+def experiment_totals(experiments: DataFrame, least: float = 0.5) -> DataFrame:
+    """One row: runs, their mean improvement, and how many improved by more than ``least`` percent."""
+    return experiments.agg(F.count("*").alias("runs"), F.avg("improvement_pct").alias("mean_improvement_pct"), F.count_if(F.col("improvement_pct") > least).alias("runs_improved"))
+
+
+def cover(logs: DataFrame, fetched: DataFrame, selected: DataFrame, summaries: DataFrame, feedback: DataFrame) -> DataFrame:
+    """A report's first page as (item, value): counts of works, summaries, iterations and critiques, the last quality, tokens."""
+    count = lambda df, name: df.agg(F.count("*").cast("string").alias("value")).select(F.lit(name).alias("item"), "value")
+    last = feedback.agg(F.upper(F.max_by("quality", F.struct("iteration", "id"))).alias("value")).select(F.lit("final quality").alias("item"), F.coalesce("value", F.lit("N/A")).alias("value"))
+    rounds = feedback.agg(F.coalesce(F.max("iteration"), F.lit(1)).cast("string").alias("value")).select(F.lit("iterations").alias("item"), "value")
+    tokens = logs.agg(F.coalesce(F.sum("tokens_used"), F.lit(0)).cast("string").alias("value")).select(F.lit("tokens").alias("item"), "value")
+    parts = [count(fetched, "works fetched"), count(selected, "works selected"), count(summaries, "summaries"), rounds, count(feedback, "critiques"), last, tokens]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def feedback_table(feedback: DataFrame) -> DataFrame:
+    """Critiques (id, iteration, quality, needs_revision, issues, suggestions) for display; without both lists, a note."""
+    n = F.coalesce(F.size("issues"), F.lit(0)) + F.coalesce(F.size("suggestions"), F.lit(0))
+    verdict = F.when(F.col("needs_revision"), "REVISION REQUESTED").otherwise("APPROVED")
+    return feedback.select("id", "iteration", F.upper("quality").alias("quality"), verdict.alias("verdict"), F.array_join(F.coalesce("issues", F.array().cast("array<string>")), "; ").alias("issues"), F.array_join(F.coalesce("suggestions", F.array().cast("array<string>")), "; ").alias("suggestions"), F.when(n <= 0, "No issues identified").alias("note"))
+
+
 def experiment_summary(experiments: DataFrame) -> DataFrame:
     """Experiments by final composite, with deltas and minutes."""
     place = F.row_number().over(Window.orderBy(F.desc("final_composite"), "run_name"))  # one row a run

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.features import KEYS
 from ..functions.generation import relative_improvement
+from ..sources.shared import scratch
 from .metrics import gain, ideal
 
 LOW, HIGH = 0.05, 0.60
@@ -35,15 +35,14 @@ def _blocks(vectors: DataFrame) -> list[DataFrame]:
 def apply_weights(scores: DataFrame, vectors: DataFrame) -> DataFrame:
     """(domain_id, method, article_id, score): every method's vector on every work of its domain.
 
-    ``vectors`` has (method, w_<key>) and, if vectors differ by domain, domain_id. Vectors for all domains
-    are broadcast in blocks of MOST_CANDIDATES; vectors by domain are joined by it.
+    ``vectors`` has (method, w_<key>) and, if vectors differ by domain, domain_id. They are broadcast in
+    blocks of MOST_CANDIDATES, so that works stay where they are, however many a domain has.
     """
     cols = [f"w_{k}" for k in KEYS]
     narrow = scores.select("domain_id", F.col("id").alias("article_id"), *(f"{k}_score" for k in KEYS))
-    if "domain_id" in vectors.columns:
-        joined = narrow.join(vectors.select("domain_id", "method", *cols), "domain_id")
-    else:
-        joined = reduce(DataFrame.union, (narrow.crossJoin(F.broadcast(v)) for v in _blocks(vectors.select("method", *cols))))
+    own = ["domain_id"] if "domain_id" in vectors.columns else []
+    blocks = _blocks(vectors.select(*own, "method", *cols))
+    joined = reduce(DataFrame.union, (narrow.join(F.broadcast(v), own) if own else narrow.crossJoin(F.broadcast(v)) for v in blocks))
     return _weighted(joined).select("domain_id", "method", "article_id", "score")
 
 
@@ -67,16 +66,28 @@ def grid(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "method string, " + ", ".join(f"w_{k} double" for k in KEYS))
 
 
-def sampled(spark: SparkSession, n: int, seed: int = 42, around: list[tuple[float, ...]] | None = None, spread: float = 0.05) -> DataFrame:
-    """n random candidates with each weight in [LOW, HIGH] before they are normalised; or near the given ones, in turn."""
-    rng = np.random.default_rng(seed)
-    if around:
-        w = np.array(around)[np.arange(n) % len(around)] + rng.normal(0, spread, (n, 6))
-    else:
-        w = rng.uniform(LOW, HIGH, (n, 6))
-    w = np.clip(w, LOW, HIGH)
-    w /= w.sum(axis=1, keepdims=True)
-    return spark.createDataFrame([(f"c{seed}_{i}", *map(float, r)) for i, r in enumerate(w)], "method string, " + ", ".join(f"w_{k} double" for k in KEYS))
+#: The fractional parts of the square roots of the first six primes; multiples of them spread evenly.
+STRIDES = (0.41421356237309515, 0.7320508075688772, 0.2360679774997898, 0.6457513110645907, 0.3166247903553998, 0.6055512754639891)
+
+
+def _normal(raw: dict[str, Column]) -> list[Column]:
+    total = reduce(lambda a, b: a + b, raw.values())
+    return [(F.floor(c / total * 1e9 + 0.5) / 1e9).alias(f"w_{k}") for k, c in raw.items()]
+
+
+def spread_candidates(spark: SparkSession, n: int) -> DataFrame:
+    """n vectors spread evenly over [LOW, HIGH] in each weight before they are normalised: multiples of STRIDES, modulo 1."""
+    i = F.col("id")
+    raw = {k: LOW + (HIGH - LOW) * (i * F.lit(a) - F.floor(i * F.lit(a))) for k, a in zip(KEYS, STRIDES)}
+    return spark.range(1, n + 1).select(F.concat(F.lit("r0_"), F.lpad(i.cast("string"), 5, "0")).alias("method"), *_normal(raw))
+
+
+def near_candidates(best: DataFrame, n: int, round_: int, spread: float) -> DataFrame:
+    """For each domain n vectors within ``spread`` of its best ones (domain_id, w_<key>), clipped to [LOW, HIGH]."""
+    i = F.col("id") + n * round_
+    around = best.select("domain_id", *(F.col(f"w_{k}").alias(f"b_{k}") for k in KEYS)).crossJoin(F.broadcast(best.sparkSession.range(1, n + 1)))  # n rows
+    moved = {k: F.greatest(F.lit(LOW), F.least(F.lit(HIGH), F.col(f"b_{k}") + spread * (2 * (i * F.lit(a) - F.floor(i * F.lit(a))) - 1))) for k, a in zip(KEYS, STRIDES)}
+    return around.select("domain_id", F.concat(F.lit(f"r{round_}_"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("method"), *_normal(moved))
 
 
 def best_of(results: DataFrame, baseline: str, least_gain_pct: float = 1.0) -> DataFrame:
@@ -87,23 +98,30 @@ def best_of(results: DataFrame, baseline: str, least_gain_pct: float = 1.0) -> D
     return best.withColumn("improvement_pct", relative_improvement(F.col("best"), F.col("baseline"))).withColumn("saved", F.col("improvement_pct") >= least_gain_pct)
 
 
-def search(scores: DataFrame, gold: DataFrame, default: dict[str, float], n: int = 60, rounds: int = 2, seed: int = 42) -> DataFrame:
-    """Population search for all domains at once: random candidates, then rounds near the best one of each domain.
+def search(scores: DataFrame, gold: DataFrame, default: dict[str, float], n: int = 75, rounds: int = 2, spread: float = 0.1) -> DataFrame:
+    """Population search for all domains at once: n candidates a round and domain, the first round's spread evenly, the
+    others' near the domain's own best so far.
 
     Candidates of every round stay in the running, with the default as baseline. Returns best_of() with
-    the winning weights. The loop keeps only candidates on the driver, never works.
+    the winning weights. Sub-scores and each round's results are stored, so that later rounds don't compute them again.
     """
     spark = scores.sparkSession
-    narrow = scores.select("domain_id", "id", *(f"{k}_score" for k in KEYS)).persist()
     cols = [f"w_{k}" for k in KEYS]
+
+    def stored(df: DataFrame, what: str) -> DataFrame:
+        path = scratch(spark, what)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    narrow = stored(scores.select("domain_id", "id", *(f"{k}_score" for k in KEYS)), "sub-scores")
     base = spark.createDataFrame([("default", *(float(default[k]) for k in KEYS))], "method string, " + ", ".join(f"{c} double" for c in cols))
-    pool = base.union(sampled(spark, n, seed))
-    results = ndcg(narrow, pool, gold)
+    first = base.union(spread_candidates(spark, n))
+    pool = narrow.select("domain_id").distinct().crossJoin(F.broadcast(first))  # n + 1 rows are broadcast
+    results = stored(ndcg(narrow, first, gold), "ndcg")
     for r in range(1, rounds):
-        place = F.row_number().over(Window.partitionBy("domain_id").orderBy(F.desc("ndcg15"), "method"))
-        good = results.withColumn("p", place).where("p = 1").select("method").distinct()
-        around = [tuple(x[c] for c in cols) for x in pool.join(good, "method").orderBy("method").collect()]  # at most one a domain, of the pool's candidates
-        more = sampled(spark, max(n, len(around)), seed + r, around)
-        results = results.union(ndcg(narrow, more, gold))
-        pool = pool.union(more)
-    return best_of(results, "default").join(pool.withColumnRenamed("method", "best_method"), "best_method")
+        order = F.row_number().over(Window.partitionBy("domain_id").orderBy(F.desc(F.floor(F.col("ndcg15") * 1e9 + 0.5)), "method"))
+        best = results.withColumn("__p", order).where("__p = 1").select("domain_id", "method").join(pool, ["domain_id", "method"])
+        more = stored(near_candidates(best, n, r, spread), "candidates")
+        results = results.union(stored(ndcg(narrow, more, gold), "ndcg"))
+        pool = pool.union(more.select(pool.columns))
+    return best_of(results, "default").join(pool.withColumnRenamed("method", "best_method"), ["domain_id", "best_method"])

@@ -85,11 +85,13 @@ def gold(spark: SparkSession, d: str) -> DataFrame:
 
 
 def domain_weights(spark: SparkSession, d: str) -> DataFrame:
-    """(domain_id, w_<key>): a weight vector for each nation, from its number."""
-    n = F.col("n_nationkey")
+    """(domain_id, w_<key>): a weight vector for each nation, from the numbers of its orders."""
+    c, names = table(spark, d, "customer").select("c_custkey", "c_nationkey"), table(spark, d, "nation").select("n_nationkey", "n_name")
+    own = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.sum("o_orderkey").alias("n"))
+    n = F.col("n")
     raw = {k: (n * (i + 3) + i * i) % 11 + 1 for i, k in enumerate(KEYS)}
     total = sum((c for c in raw.values()), F.lit(0))
-    return table(spark, d, "nation").select(F.col("n_name").alias("domain_id"), *((c / total).alias(f"w_{k}") for k, c in raw.items()))
+    return own.join(names, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("domain_id"), *((c / total).alias(f"w_{k}") for k, c in raw.items()))
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -112,6 +114,7 @@ def agent_logs(spark: SparkSession, d: str) -> DataFrame:
         F.floor(F.col("value") * 100).cast("long").alias("tokens_used"),
         F.get_json_object("props", "$.k").cast("long").alias("api_calls"),
         F.when(F.col("event_type") == "error", F.lit("failed")).alias("error"),
+        F.when(F.col("event_id") % 5 != 0, F.floor(F.col("value") * 100) * 0.00000015).alias("cost_usd"),
     )
 
 
@@ -126,7 +129,7 @@ def hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TOPIC_CASE = "CASE n_nationkey % 4 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(TOPICS)) + " END"
-_RAW = {k: f"((n_nationkey * {i + 3} + {i * i}) % 11 + 1)" for i, k in enumerate(KEYS)}
+_RAW = {k: f"((n * {i + 3} + {i * i}) % 11 + 1)" for i, k in enumerate(KEYS)}
 _TOTAL = " + ".join(_RAW.values())
 
 #: The bindings in SQL; with_sql() puts the ones a query needs before it.
@@ -140,9 +143,9 @@ SQL = {
         o_orderstatus = 'P' AS is_preprint, {_TOPIC_CASE} AS topic
         FROM orders LEFT JOIN per_order ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey""",
     "gold": "SELECT n_name AS domain_id, o_orderkey AS article_id, CAST(least(n, 2) AS INTEGER) AS grade FROM (SELECT l_orderkey, count(DISTINCT (l_linenumber, l_partkey, l_suppkey)) AS n FROM lineitem WHERE l_returnflag = 'A' AND l_discount >= 0.08 GROUP BY l_orderkey) JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey",
-    "dweights": "SELECT n_name AS domain_id, " + ", ".join(f"{c} / ({_TOTAL}) AS w_{k}" for k, c in _RAW.items()) + " FROM nation",
+    "dweights": "SELECT n_name AS domain_id, " + ", ".join(f"{c} / ({_TOTAL}) AS w_{k}" for k, c in _RAW.items()) + " FROM (SELECT n_name, CAST(sum(o_orderkey) AS BIGINT) AS n FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name)",
     "pairs": "SELECT u.conv_id * 1000 + a.turn AS id, u.text AS generated, a.text AS reference FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'",
-    "logs": "SELECT event_id AS id, user_id AS run_id, event_type AS agent_name, ts AS started_at, CASE WHEN event_id % 10 <> 0 THEN ts + to_seconds(CAST(floor(value) AS BIGINT)) END AS completed_at, CAST(floor(value * 100) AS BIGINT) AS tokens_used, CAST(json_extract_string(props, '$.k') AS BIGINT) AS api_calls, CASE WHEN event_type = 'error' THEN 'failed' END AS error FROM events",
+    "logs": "SELECT event_id AS id, user_id AS run_id, event_type AS agent_name, ts AS started_at, CASE WHEN event_id % 10 <> 0 THEN ts + to_seconds(CAST(floor(value) AS BIGINT)) END AS completed_at, CAST(floor(value * 100) AS BIGINT) AS tokens_used, CAST(json_extract_string(props, '$.k') AS BIGINT) AS api_calls, CASE WHEN event_type = 'error' THEN 'failed' END AS error, CASE WHEN event_id % 5 <> 0 THEN floor(value * 100) * 0.00000015::DOUBLE END AS cost_usd FROM events",
     "hits": "SELECT CAST(list_position(['ECONOMY','LARGE','MEDIUM','PROMO','SMALL','STANDARD'], p_type) AS INTEGER) AS query_pos, row_number() OVER (PARTITION BY p_type ORDER BY price DESC, l_orderkey) AS result_pos, p_type AS query, l_orderkey AS article_id FROM (SELECT p_type, l_orderkey, max(l_extendedprice) AS price FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY p_type, l_orderkey)",
 }
 NEEDS = {"lines": ["metrics"], "per_order": ["lines"], "works": ["per_order"]}

@@ -9,7 +9,7 @@ from ..operators import corpus_stats, generation, meta, metrics, ranking, report
 from ..sources import stores
 from . import bindings as b
 from .bindings import DEFAULT_WEIGHTS, RECENT_YEAR
-from .registry import RANKED, SCORED, _SCORE, query, r6, ranked, s6, scored
+from .registry import RANKED, SCORED, _SCORE, query, r6, ranked, ranked_all, s6, scored
 
 FEATS = corpus_stats.FEATURES
 
@@ -37,11 +37,16 @@ def d1_d13_domain_features(spark, d):
     return _features(spark, d).select("domain_id", "corpus_size", *(r6(f).alias(f) for f in FEATS))
 
 
-@query("SELECT domain_id, corpus_size FROM stats WHERE domain_id = 'NATION_5'", ["works", "gold"], _STATS)
+_ALL = "domain_id, corpus_size, " + ", ".join(f"{s6(f)} AS {f}" for f in FEATS)
+
+
+@query(f"SELECT 'all' AS loaded, {_ALL} FROM stats UNION ALL SELECT 'one', {_ALL} FROM stats WHERE domain_id = 'NATION_5'", ["works", "gold"], _STATS)
 def a10_feature_store(spark, d):
     path = stores.scratch(spark, "features")
     stores.save_features(_features(spark, d), path)
-    return stores.load_features(spark, path, "NATION_5").select("domain_id", "corpus_size")
+    every, one = stores.load_features(spark, path), stores.load_features(spark, path, "NATION_5")
+    both = every.withColumn("loaded", F.lit("all")).union(one.withColumn("loaded", F.lit("one")))
+    return both.select("loaded", "domain_id", "corpus_size", *(r6(f).alias(f) for f in FEATS))
 
 
 @query("SELECT w.domain_id, count(*) FILTER (grade = 2) AS grade2, count(*) FILTER (grade = 1) AS grade1, count(*) FILTER (grade IS NULL) AS background FROM works w LEFT JOIN gold g ON g.domain_id = w.domain_id AND g.article_id = w.id GROUP BY w.domain_id", ["works", "gold"])
@@ -80,8 +85,8 @@ _NAMES = ("ndcg10", "ndcg15", "p5", "p10", "recall30", "map")
 
 
 def _rankings(spark, d):
-    r = ranked(spark, d).select("domain_id", F.col("id").alias("article_id"), "rank", "impact_score")
-    other = ranking.rank(r.drop("rank"), F.col("impact_score"), position="article_id").select("domain_id", F.lit("impact").alias("method"), "article_id", "rank")
+    r = ranked_all(spark, d).select("domain_id", F.col("id").alias("article_id"), "rank", "impact_score")
+    other = ranking.rank_all(r.drop("rank"), F.col("impact_score"), position="article_id").select("domain_id", F.lit("impact").alias("method"), "article_id", "rank")
     return r.select("domain_id", F.lit("final").alias("method"), "article_id", "rank").union(other)
 
 
@@ -137,6 +142,44 @@ def d34_four_way_comparison(spark, d):
     return metrics.winner(wide, names).select("domain_id", *(r6(n).alias(n) for n in names), "winner")
 
 
+#: Relevance by keywords or by embeddings, weights by default or learned.
+_VARIANTS = ["keyword_default", "keyword_learned", "embedding_default", "embedding_learned"]
+_DOTE = "list_sum(list_transform(list_zip(e.embedding, t.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
+
+
+def _variant_sql() -> dict[str, str]:
+    learned = "SELECT domain_id, 'learned' AS method, " + ", ".join(_W) + " FROM dweights UNION ALL SELECT domain_id, 'default', " + ", ".join(repr(float(DEFAULT_WEIGHTS[k])) + "::DOUBLE" for k in fx.KEYS) + " FROM dweights"
+    other = {}
+    keys = [f"{k}_score" if k != "relevance" else "sem.r AS relevance_score" for k in fx.KEYS]
+    other["two"] = "SELECT 'keyword' AS variant, domain_id, id, " + ", ".join(f"{k}_score" for k in fx.KEYS) + " FROM scored UNION ALL SELECT 'embedding', domain_id, id, " + ", ".join(keys) + " FROM scored s JOIN sem ON sem.vec_id = s.id % 500"
+    loo = _loo_sql(learned)
+    return SCORED | {"sem": f"SELECT e.vec_id, {s6(f'greatest(({_DOTE} + 1) / 2, 0.05)')} AS r FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) t"} | other | {
+        "vec": learned,
+        "app": f"SELECT s.domain_id, variant || '_' || method AS method, id AS article_id, {_SCORE} AS score FROM two s JOIN vec w ON w.domain_id = s.domain_id",
+    } | {k: loo[k] for k in ("placed", "dcg_", "ideal_", "loo")} | {
+        "wide": "SELECT coalesce(domain_id, 'MEAN') AS domain_id, " + ", ".join(f"avg(ndcg15) FILTER (method = '{m}') AS {m}" for m in _VARIANTS) + " FROM loo GROUP BY ROLLUP (domain_id)",
+    }
+
+
+_BEST = "list_sort([" + ", ".join(f"{{'v': {m}, 'm': '{m}'}}" for m in _VARIANTS) + "], 'DESC')"
+
+
+@query("SELECT domain_id, " + ", ".join(f"{s6(m)} AS {m}" for m in _VARIANTS) + f", CASE WHEN {_BEST}[1].v - {_BEST}[2].v <= 0.001 THEN 'tie' ELSE {_BEST}[1].m END AS winner FROM wide", ["works", "gold", "dweights"], _variant_sql())
+def d34_relevance_by_weights(spark, d):
+    """Two relevance variants, each with default and with learned weights, per domain and on average."""
+    keyword = scored(spark, d)
+    e = b.table(spark, d, "embeddings")
+    topic = e.where("vec_id = 0").select(F.col("embedding").alias("topic"))
+    sem = e.crossJoin(F.broadcast(topic)).select("vec_id", r6(fx.semantic_relevance(F.col("embedding"), F.col("topic"))).alias("__r"))  # one topic vector
+    other = keyword.join(sem, F.col("id") % 500 == F.col("vec_id")).withColumn("relevance_score", F.col("__r")).drop("vec_id", "__r")
+    learned = b.domain_weights(spark, d)
+    default = learned.select("domain_id", *(F.lit(float(DEFAULT_WEIGHTS[k])).alias(f"w_{k}") for k in fx.KEYS))
+    vectors = learned.withColumn("method", F.lit("learned")).union(default.withColumn("method", F.lit("default")))
+    of = lambda s, name: weights.ndcg(s, vectors.withColumn("method", F.concat(F.lit(name), "method")), b.gold(spark, d))
+    wide = metrics.comparison(of(keyword, "keyword_").union(of(other, "embedding_")), _VARIANTS)
+    return wide.select("domain_id", *(r6(m).alias(m) for m in _VARIANTS), "winner")
+
+
 _WINS = _LOO | {"won": "SELECT a.method, count(*) FILTER (a.ndcg15 - z.ndcg15 > 1e-9) AS wins, count(*) FILTER (a.ndcg15 - z.ndcg15 < -1e-9) AS losses, count(*) FILTER (abs(a.ndcg15 - z.ndcg15) <= 1e-9) AS ties, count(*) AS n FROM loo a JOIN loo z ON z.domain_id = a.domain_id AND z.method = 'default' WHERE a.method <> 'default' GROUP BY a.method"}
 
 
@@ -192,6 +235,11 @@ def e4_select_by_index(spark, d):
     return ranking.select_by_index(b.works(spark, d), [1, 3, 7]).select("domain_id", "place", "id")
 
 
+@query("SELECT domain_id, place, n FROM (SELECT domain_id, count(*) AS n FROM works GROUP BY domain_id), (SELECT CAST(unnest([0, 3, 60, 100000000]) AS INTEGER) AS place) WHERE place > n OR place < 1", ["works"])
+def e4_out_of_range(spark, d):
+    return ranking.out_of_range(b.works(spark, d), [0, 3, 60, 100_000_000])
+
+
 # --- several queries
 
 
@@ -222,6 +270,11 @@ def d20_top_concepts(spark, d):
     return reports.top_concepts(b.hits(spark, d), b.works(spark, d)).select("query_pos", "concept", "n", F.col("place").cast("long").alias("place"))
 
 
+@query("SELECT query_pos, place, article_id, year, title, citation_count FROM (SELECT query_pos, article_id, year, substr(title, 1, 65) AS title, citation_count, row_number() OVER (PARTITION BY query_pos ORDER BY citation_count DESC, result_pos) AS place FROM hits JOIN works ON id = article_id) WHERE place <= 3", ["hits", "works"])
+def d20_top_cited(spark, d):
+    return reports.top_cited(b.hits(spark, d), b.works(spark, d)).withColumn("place", F.col("place").cast("long"))
+
+
 # --- weights: search and prediction
 
 
@@ -231,9 +284,39 @@ def h1_weight_search_grid(spark, d):
     return weights.best_of(loo, "even").select("domain_id", "best_method", r6("best").alias("best"), r6("baseline").alias("baseline"))
 
 
-@query()
+def _spread_sql(i: str, stride: float) -> str:
+    return f"({i} * {stride!r}::DOUBLE - floor({i} * {stride!r}::DOUBLE))"
+
+
+def _search_sql(n: int, spread: float = 0.1) -> dict[str, str]:
+    norm = lambda: ", ".join(f"floor(v_{k} / ({' + '.join(f'v_{x}' for x in fx.KEYS)}) * 1e9 + 0.5) / 1e9 AS w_{k}" for k in fx.KEYS)
+    first = f"SELECT 'default' AS method, " + ", ".join(f"{float(DEFAULT_WEIGHTS[k])!r}::DOUBLE AS w_{k}" for k in fx.KEYS) + f" UNION ALL SELECT 'r0_' || lpad(CAST(i AS VARCHAR), 5, '0'), {norm()} FROM (SELECT i, " + ", ".join(f"{weights.LOW}::DOUBLE + {weights.HIGH - weights.LOW!r}::DOUBLE * {_spread_sql('i', a)} AS v_{k}" for k, a in zip(fx.KEYS, weights.STRIDES)) + f" FROM range(1, {n + 1}) t(i))"
+    rest = lambda r, vec, on: {
+        f"app{r}": f"SELECT s.domain_id, method, id AS article_id, {_SCORE} AS score FROM scored s JOIN {vec} w ON {on}",
+        f"placed{r}": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain_id, method ORDER BY score DESC, article_id) AS rank FROM app{r}) WHERE rank <= 15",
+        f"dcg{r}": f"SELECT p.domain_id, method, sum((2.0::DOUBLE ** coalesce(grade, 0) - 1) / log2(rank + 1)) AS dcg FROM placed{r} p LEFT JOIN gold g ON g.domain_id = p.domain_id AND g.article_id = p.article_id GROUP BY p.domain_id, method",
+        f"loo{r}": f"SELECT d.domain_id, method, CASE WHEN coalesce(i15, 0) = 0 THEN 0.0 ELSE dcg / i15 END AS ndcg15 FROM dcg{r} d LEFT JOIN ideal_ i ON i.domain_id = d.domain_id",
+    }
+    moved = ", ".join(f"greatest({weights.LOW}::DOUBLE, least({weights.HIGH}::DOUBLE, w_{k} + {spread}::DOUBLE * (2 * {_spread_sql(f'(i + {n})', a)} - 1))) AS v_{k}" for k, a in zip(fx.KEYS, weights.STRIDES))
+    return SCORED | {"vec0": first, "ideal_": _METRICS["ideal_"]} | rest(0, "vec0", "true") | {
+        "best0": "SELECT domain_id, w.* FROM (SELECT domain_id, method, row_number() OVER (PARTITION BY domain_id ORDER BY floor(ndcg15 * 1e9 + 0.5) DESC, method) AS p FROM loo0) JOIN vec0 w USING (method) WHERE p = 1",
+        "vec1": f"SELECT domain_id, 'r1_' || lpad(CAST(i AS VARCHAR), 5, '0') AS method, {norm()} FROM (SELECT domain_id, i, {moved} FROM best0, range(1, {n + 1}) t(i))",
+    } | rest(1, "vec1", "w.domain_id = s.domain_id") | {
+        "both_": "SELECT * FROM loo0 UNION ALL SELECT * FROM loo1",
+        "pool": "SELECT d.domain_id, v.* FROM (SELECT DISTINCT domain_id FROM scored) d, vec0 v UNION ALL SELECT * FROM vec1",
+        "won": "SELECT domain_id, arg_max(method, (floor(ndcg15 * 1e9 + 0.5), -n)) AS best_method, max(ndcg15) AS best, max(ndcg15) FILTER (method = 'default') AS baseline FROM (SELECT *, row_number() OVER (PARTITION BY domain_id ORDER BY method) AS n FROM both_) GROUP BY domain_id",
+        "gained": "SELECT *, CASE WHEN baseline = 0 THEN CASE WHEN best > 0 THEN 100.0 ELSE 0.0 END ELSE (best - baseline) / baseline * 100 END AS pct FROM won",
+    }
+
+
+#: Candidates of each of the two rounds: 150 tried for each domain.
+_EACH = 75
+
+
+@query(f"SELECT g.domain_id, best_method, {s6('best')} AS best, {s6('baseline')} AS baseline, {s6('pct')} AS improvement_pct, pct >= 1 AS saved, " + ", ".join(f"{s6(w)} AS {w}" for w in _W) + " FROM gained g JOIN pool p ON p.domain_id = g.domain_id AND p.method = g.best_method", ["works", "gold"], _search_sql(_EACH))
 def h1_weight_search_sampled(spark, d):
-    return weights.search(scored(spark, d), b.gold(spark, d), DEFAULT_WEIGHTS, n=75)
+    found = weights.search(scored(spark, d), b.gold(spark, d), DEFAULT_WEIGHTS, n=_EACH)
+    return found.select("domain_id", "best_method", r6("best").alias("best"), r6("baseline").alias("baseline"), r6("improvement_pct").alias("improvement_pct"), "saved", *(r6(w).alias(w) for w in _W))
 
 
 def _domains(spark, d):
@@ -245,8 +328,8 @@ def _domains(spark, d):
 
 _KNN = _STATS | {
     "dom": "SELECT domain_id, " + ", ".join(f"{s6(f)} AS {f}" for f in FEATS) + ", " + ", ".join(_W) + " FROM stats JOIN dweights USING (domain_id)",
-    "lim": "SELECT a.domain_id AS fold, " + ", ".join(f"min(t.{f}) AS lo_{f}, max(t.{f}) AS hi_{f}" for f in FEATS) + " FROM dom a JOIN dom t ON t.domain_id <> a.domain_id GROUP BY a.domain_id",
-    "dist": "SELECT fold, t.domain_id, floor(sqrt(" + " + ".join(f"((t.{f} - a.{f}) / CASE WHEN hi_{f} = lo_{f} THEN 1.0 ELSE hi_{f} - lo_{f} END) ** 2" for f in FEATS) + ") * 1e12 + 0.5) / 1e12 AS distance, " + ", ".join(f"t.{w}" for w in _W) + " FROM lim JOIN dom a ON a.domain_id = fold JOIN dom t ON t.domain_id <> fold",
+    "lim": "SELECT a.domain_id AS fold, " + ", ".join(f"min(t.{f}) AS lo_{f}, max(t.{f}) AS hi_{f}" for f in meta.SELECTED) + " FROM dom a JOIN dom t ON t.domain_id <> a.domain_id GROUP BY a.domain_id",
+    "dist": "SELECT fold, t.domain_id, floor(sqrt(" + " + ".join(f"((t.{f} - a.{f}) / CASE WHEN hi_{f} = lo_{f} THEN 1.0 ELSE hi_{f} - lo_{f} END) ** 2" for f in meta.SELECTED) + ") * 1e12 + 0.5) / 1e12 AS distance, " + ", ".join(f"t.{w}" for w in _W) + " FROM lim JOIN dom a ON a.domain_id = fold JOIN dom t ON t.domain_id <> fold",
     "near": "SELECT *, row_number() OVER (PARTITION BY fold ORDER BY distance, domain_id) AS place, min(distance) OVER (PARTITION BY fold) AS least FROM dist",
 }
 for _k in (1, 2, 3):
@@ -325,6 +408,30 @@ def h8_blend(spark, d):
     return meta.blend(meta.knn(dom, 1), meta.transfer_direct(dom), "blend").select("fold", "alpha", *(r6(w).alias(w) for w in _W))
 
 
+def _regressed(spark, d):
+    """The domains and the regressions' weights, stored."""
+    dom, path = _domains(spark, d), stores.scratch(spark, "regressions")
+    meta.regression_weights(meta.regressions(dom)).write.parquet(path)
+    return dom, spark.read.parquet(path)
+
+
+@query(python=True)
+def h8_blend_regressions(spark, d):
+    """kNN(1) with ridge and with Bayesian ridge."""
+    dom, fitted = _regressed(spark, d)
+    near = meta.knn(dom, 1)
+    both = [meta.blend(near, fitted.where(F.col("method") == m), f"blend_{m}") for m in ("ridge", "bayes")]
+    return both[0].union(both[1]).select("fold", "method", "alpha", *(r6(w).alias(w) for w in _W))
+
+
+@query(python=True)
+def h9_h10_votes_with_bayes(spark, d):
+    """Mean and median of the four members."""
+    dom, fitted = _regressed(spark, d)
+    members = meta.knn(dom, 1).union(meta.knn(dom, 2)).union(meta.knn(dom, 3)).union(fitted.where("method = 'bayes'"))
+    return meta.soft_vote(members).union(meta.hard_vote(members)).select("fold", "method", *(r6(w).alias(w) for w in _W))
+
+
 @query(python=True)
 def h13_a11_leave_one_out(spark, d):
     predicted = stores.scratch(spark, "predicted")
@@ -345,9 +452,9 @@ def d15_run_log(spark, d):
     return reports.run_log(b.agent_logs(spark, d))
 
 
-@query("SELECT (SELECT count(*) FROM hits) AS fetched, (SELECT count(*) FROM works WHERE year >= 2000) AS selected, CAST(sum(tokens_used) AS BIGINT) AS tokens, CAST(sum(api_calls) AS BIGINT) AS calls, CAST(floor(epoch(max(completed_at) - min(started_at))) AS BIGINT) AS elapsed_s FROM logs", ["logs", "hits", "works"])
+@query("SELECT (SELECT count(*) FROM hits) AS fetched, (SELECT count(*) FROM works WHERE year >= 2000) AS selected, CAST(sum(tokens_used) AS BIGINT) AS tokens, CAST(sum(api_calls) AS BIGINT) AS calls, count(*) FILTER (agent_name = 'click') AS iterations, floor(sum(coalesce(cost_usd, 0)) * 1e6 + 0.5) / 1e6 AS cost_usd, CAST(floor(epoch(max(completed_at) - min(started_at))) AS BIGINT) AS elapsed_s FROM logs", ["logs", "hits", "works"])
 def d16_run_stats(spark, d):
-    return reports.run_stats(b.agent_logs(spark, d), b.hits(spark, d), b.works(spark, d).where("year >= 2000"))
+    return reports.run_stats(b.agent_logs(spark, d), b.hits(spark, d), b.works(spark, d).where("year >= 2000"), critic="click")
 
 
 @query(f"SELECT count(*) AS works, count(*) FILTER (id % 2 = 0) AS with_doi, count(*) FILTER (id % 3 = 0) AS open_access, count(*) FILTER (is_preprint) AS preprints, {s6('avg(citation_count)')} AS mean_citations FROM works", ["works"])
@@ -375,6 +482,12 @@ def d21_experiment_summary(spark, d):
     return s.select("run_name", F.col("place").cast("long").alias("place"), r6("delta").alias("delta"), "improvement_pct", "improved", r6("minutes").alias("minutes"))
 
 
+@query(f"SELECT count(*) AS runs, {s6('avg(p)')} AS mean_improvement_pct, count(*) FILTER (p > 0.5) AS runs_improved FROM (SELECT (user_id % 20 - 10) / 4.0 AS p FROM events GROUP BY user_id)")
+def d21_experiment_totals(spark, d):
+    e = b.table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n")).withColumn("improvement_pct", (F.col("user_id") % 20 - 10) / F.lit(4.0))
+    return reports.experiment_totals(e).withColumn("mean_improvement_pct", r6("mean_improvement_pct"))
+
+
 @query(f"SELECT event_type AS prompt_id, 'validation' AS split, {s6('avg(CASE WHEN event_id % 9 = 0 THEN 0 ELSE value END)')} AS composite, count(*) AS n, count(*) FILTER (event_id % 9 = 0) AS errors FROM events GROUP BY event_type")
 def d22_mean_by_prompt(spark, d):
     i = F.col("event_id")

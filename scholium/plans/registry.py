@@ -100,6 +100,13 @@ def ranked(spark: SparkSession, d: str) -> DataFrame:
     return ranking.rank(s, F.col("final_score"))
 
 
+def ranked_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same for readers of whole rankings."""
+    s = scored(spark, d)
+    s = s.withColumn("final_score", _final(s))
+    return ranking.rank_all(s, F.col("final_score"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return ranked(spark, d).where(F.col("rank") <= 15).select("domain_id", "rank", "id", "year", "citation_count", *SUB, "final_score")
 
@@ -184,14 +191,14 @@ def b11_relevance_fallback(spark, d):
     return docs.join(sem, "doc_id", "left").select("doc_id", r6(fx.relevance_with_fallback(F.col("s"), keyword)).alias("relevance"), F.col("s").isNotNull().alias("semantic"))
 
 
-_ODD = {"odd": "SELECT n_name AS topic, CASE WHEN n_nationkey % 5 = 1 THEN NULL ELSE n_nationkey * 1.0 END AS w_venue, n_nationkey % 3 * 1.0 AS w_authors, CASE WHEN n_nationkey % 7 = 3 THEN -1.0 ELSE 0.0 END AS w_impact, CASE WHEN n_nationkey = 0 THEN 0.0 ELSE 2.0 END AS w_relevance, CASE WHEN n_nationkey % 2 = 0 THEN 1.0 * (n_nationkey > 0)::INT END AS w_velocity FROM nation"}
+_ODD = {"odd": "SELECT c_name AS topic, CASE WHEN c_custkey % 5 = 1 THEN NULL ELSE c_custkey * 1.0 END AS w_venue, c_custkey % 3 * 1.0 AS w_authors, CASE WHEN c_custkey % 7 = 3 THEN -1.0 ELSE 0.0 END AS w_impact, CASE WHEN c_custkey = 0 THEN 0.0 ELSE 2.0 END AS w_relevance, CASE WHEN c_custkey % 2 = 0 THEN 1.0 * (c_custkey > 0)::INT END AS w_velocity FROM customer"}
 _ODD_ROWS = "SELECT *, CASE WHEN w_venue IS NULL THEN 'missing key' WHEN w_impact < 0 THEN 'negative weight' WHEN w_venue + w_authors + w_impact + w_relevance + coalesce(w_velocity, 0) = 0 THEN 'all zero' END AS reason, w_venue + w_authors + w_impact + w_relevance + coalesce(w_velocity, 0) AS total FROM odd"
 
 
 def _odd_weights(spark, d):
-    n = F.col("n_nationkey")
-    return b.table(spark, d, "nation").select(
-        F.col("n_name").alias("topic"),
+    n = F.col("c_custkey")
+    return b.table(spark, d, "customer").select(
+        F.col("c_name").alias("topic"),
         F.when(n % 5 != 1, n * 1.0).alias("w_venue"),
         (n % 3 * 1.0).alias("w_authors"),
         F.when(n % 7 == 3, -1.0).otherwise(0.0).alias("w_impact"),
@@ -206,11 +213,11 @@ def b12_weight_validation(spark, d):
     return good.select("topic", F.lit(None).cast("string").alias("reason"), r6("w_venue").alias("w_venue"), r6("w_velocity").alias("w_velocity")).union(bad.select("topic", "reason", F.lit(None).cast("double"), F.lit(None).cast("double")))
 
 
-@query(f"SELECT topic, {', '.join(s6(f'CASE WHEN t < 1e-10 THEN 1.0 / 3 ELSE greatest({c}, 0) / t END') + f' AS {c}' for c in ('a', 'b', 'c'))} FROM (SELECT *, greatest(a, 0) + greatest(b, 0) + greatest(c, 0) AS t FROM (SELECT n_name AS topic, (n_nationkey % 5 - 2) * 1.0 AS a, (n_nationkey % 4 - 2) * 1.0 AS b, (n_nationkey % 3 - 2) * 1.0 AS c FROM nation))")
+@query(f"SELECT topic, {', '.join(s6(f'CASE WHEN t < 1e-10 THEN 1.0 / 3 ELSE greatest({c}, 0) / t END') + f' AS {c}' for c in ('a', 'b', 'c'))} FROM (SELECT *, greatest(a, 0) + greatest(b, 0) + greatest(c, 0) AS t FROM (SELECT c_name AS topic, (c_custkey % 5 - 2) * 1.0 AS a, (c_custkey % 4 - 2) * 1.0 AS b, (c_custkey % 3 - 2) * 1.0 AS c FROM customer))")
 def b15_clip_and_normalise(spark, d):
-    n = F.col("n_nationkey")
+    n = F.col("c_custkey")
     cols = fx.clip_and_normalise({"a": (n % 5 - 2) * 1.0, "b": (n % 4 - 2) * 1.0, "c": (n % 3 - 2) * 1.0})
-    return b.table(spark, d, "nation").select(F.col("n_name").alias("topic"), *(r6(c).alias(k) for k, c in cols.items()))
+    return b.table(spark, d, "customer").select(F.col("c_name").alias("topic"), *(r6(c).alias(k) for k, c in cols.items()))
 
 
 @query("SELECT item_id, CASE WHEN s = '' THEN 'unknown_topic' ELSE s END AS slug FROM (SELECT item_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '_') AS s FROM benchmark)")
@@ -355,12 +362,12 @@ def b30_quality_threshold(spark, d):
     return b.table(spark, d, "events").select("event_id", gx.below_quality(q, "good").alias("below"))
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'narrative+rouge' WHEN n_nationkey % 3 = 1 THEN 'narrative' ELSE 'structured' END AS mode, CASE WHEN n_nationkey % 4 = 0 THEN 'v0' ELSE 'mixed' END AS provider, CASE WHEN p > 1 THEN '(+) +' || printf('%.1f', p) WHEN p < -0.5 THEN '(-) ' || printf('%.1f', p) ELSE '(=) ' || CASE WHEN p < 0 THEN '' ELSE '+' END || printf('%.1f', p) END || '%' AS label, CASE WHEN length(name) <= 12 THEN name ELSE substr(name, 1, 11) || '…' END AS short FROM (SELECT n_nationkey, (n_nationkey - 10) / 3.0 AS p, CASE WHEN n_nationkey % 3 = 1 THEN 'Narrative-' ELSE 'run-' END || n_name AS name FROM nation)")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'narrative+rouge' WHEN c_custkey % 3 = 1 THEN 'narrative' ELSE 'structured' END AS mode, CASE WHEN c_custkey % 4 = 0 THEN 'v0' ELSE 'mixed' END AS provider, CASE WHEN p > 1 THEN '(+) +' || printf('%.1f', p) WHEN p < -0.5 THEN '(-) ' || printf('%.1f', p) ELSE '(=) ' || CASE WHEN p < 0 THEN '' ELSE '+' END || printf('%.1f', p) END || '%' AS label, CASE WHEN length(name) <= 12 THEN name ELSE substr(name, 1, 11) || '…' END AS short FROM (SELECT c_custkey, (c_custkey % 25 - 10) / 3.0 AS p, CASE WHEN c_custkey % 3 = 1 THEN 'Narrative-' ELSE 'run-' END || c_name AS name FROM customer)")
 def b31_run_labels(spark, d):
-    n = F.col("n_nationkey")
-    name = F.concat(F.when(n % 3 == 1, "Narrative-").otherwise("run-"), F.col("n_name"))
+    n = F.col("c_custkey")
+    name = F.concat(F.when(n % 3 == 1, "Narrative-").otherwise("run-"), F.col("c_name"))
     models = F.array(F.lit("v0/a"), F.concat(F.lit("v"), (n % 4).cast("string"), F.lit("/b")), F.lit("plain"))
-    return b.table(spark, d, "nation").select("n_nationkey", gx.run_mode(n % 3 == 0, name).alias("mode"), gx.run_provider(models).alias("provider"), gx.improvement_label((n - 10) / F.lit(3.0)).alias("label"), gx.short_name(name, 12).alias("short"))
+    return b.table(spark, d, "customer").select("c_custkey", gx.run_mode(n % 3 == 0, name).alias("mode"), gx.run_provider(models).alias("provider"), gx.improvement_label((n % 25 - 10) / F.lit(3.0)).alias("label"), gx.short_name(name, 12).alias("short"))
 
 
 @query("SELECT event_id, CASE WHEN abs(r) >= 0.5 THEN 'large' WHEN abs(r) >= 0.3 THEN 'medium' ELSE 'small' END AS effect FROM (SELECT event_id, event_id % 21 / 10.0 - 1 AS r FROM events)")
@@ -374,10 +381,10 @@ def b33_relative_improvement(spark, d):
     return b.table(spark, d, "events").select("event_id", r6(p).alias("improvement_pct"), (p >= 1).alias("saved"))
 
 
-@query("SELECT doc_id, concat_ws(' ', CASE WHEN trim(a) <> '' THEN a END, CASE WHEN doc_id % 3 <> 0 THEN 'Dataset: ' || source END, CASE WHEN doc_id % 2 = 0 THEN 'Limitations: ' || lang END, lang || ' ' || source) AS flat FROM (SELECT doc_id, source, lang, substr(text, 1, 40) AS a FROM documents)")
+@query("SELECT doc_id, concat_ws(' ', CASE WHEN trim(a) <> '' AND lower(trim(a)) <> 'not specified' THEN a END, CASE WHEN doc_id % 3 <> 0 THEN 'Dataset: ' || source END, CASE WHEN doc_id % 2 = 0 THEN 'Limitations: ' || lang END, lang || ' ' || source) AS flat FROM (SELECT doc_id, source, lang, text AS a FROM documents)")
 def b22_flatten_summary(spark, d):
     i = F.col("doc_id")
-    flat = gx.flatten_summary(F.substring("text", 1, 40), F.lit("Not specified"), F.when(i % 3 != 0, F.col("source")), F.lit(None).cast("string"), F.when(i % 2 == 0, F.col("lang")), F.array("lang", "source"))
+    flat = gx.flatten_summary(F.col("text"), F.lit("Not specified"), F.when(i % 3 != 0, F.col("source")), F.lit(None).cast("string"), F.when(i % 2 == 0, F.col("lang")), F.array("lang", "source"))
     return b.table(spark, d, "documents").select("doc_id", flat.alias("flat"))
 
 
@@ -396,7 +403,7 @@ def b21_summary_coercion(spark, d):
 @query("SELECT id, query, result_pos FROM (SELECT w.id, h.query, h.result_pos, row_number() OVER (PARTITION BY h.query ORDER BY h.result_pos) AS n FROM works w JOIN hits h ON h.article_id = w.id WHERE year >= 1996 AND year <= 2000) WHERE n <= 50", ["works", "hits"])
 def a4_g2_search(spark, d):
     h = b.hits(spark, d).join(b.works(spark, d).select(F.col("id").alias("article_id"), "year", "title"), "article_id")
-    return sources.search(h, 1996, 2000, per_query=50).select(F.col("article_id").alias("id"), "query", "result_pos")
+    return sources.search(h, 1996, 2000, per_query=ranking.per_query_quota(300, 6)).select(F.col("article_id").alias("id"), "query", "result_pos")
 
 
 @query("SELECT DISTINCT lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS issn, CASE k % 5 WHEN 0 THEN 'Q1' WHEN 1 THEN 'Q2' WHEN 2 THEN 'Q3' ELSE 'Q4' END AS quartile FROM (SELECT p_partkey, CAST(substr(p_brand, 7) AS INTEGER) AS k FROM part) WHERE k % 5 < 4")
@@ -426,9 +433,14 @@ def _raw_works(spark, d):
     )
 
 
+#: Works on a landed page, by their numbers: as many pages as the works need.
+PAGE = 1_000
+
+
 def _landed(spark, d):
     path = stores.scratch(spark, "pages")
-    pages = _raw_works(spark, d).groupBy((F.xxhash64("id") % 64).alias("k")).agg(F.to_json(F.struct(F.collect_list(F.struct("*")).alias("results"))).alias("value")).select("value")
+    number = F.regexp_extract("id", "([0-9]+)$", 1).cast("long")
+    pages = _raw_works(spark, d).groupBy(F.floor(number / PAGE).alias("k")).agg(F.to_json(F.struct(F.collect_list(F.struct("*")).alias("results"))).alias("value")).select("value")
     pages.union(spark.createDataFrame([("{broken",)], "value string")).write.text(path)
     return sources.scan_pages(spark, path)
 
@@ -458,14 +470,15 @@ def a3_rebuild_abstract(spark, d):
 @query("SELECT domain_id, CAST(article_id AS VARCHAR) AS article_id, grade FROM gold", ["gold"])
 def a7_gold_corpus(spark, d):
     path = stores.scratch(spark, "gold")
-    g = b.gold(spark, d).groupBy("domain_id", (F.xxhash64("article_id") % 16).alias("k")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("article_id").cast("string"), "grade"))).alias("relevance"))
+    g = b.gold(spark, d).groupBy("domain_id", F.floor(F.col("article_id") / 20_000).alias("k")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("article_id").cast("string"), "grade"))).alias("relevance"))
     g.select("domain_id", "relevance").write.option("maxRecordsPerFile", 1).json(path)
     return sources.read_gold(spark, path)
 
 
-@query("SELECT n_name AS domain_id, n_regionkey FROM nation WHERE n_name NOT IN ('NATION_3', 'NATION_7')")
+@query("SELECT domain_id, count(*) AS n, max(topic) AS topic FROM works WHERE domain_id NOT IN ('NATION_3', 'NATION_7') GROUP BY domain_id", ["works"])
 def a8_domain_config(spark, d):
-    return sources.exclude_domains(b.table(spark, d, "nation").select(F.col("n_name").alias("domain_id"), "n_regionkey"), ["NATION_3", "NATION_7"])
+    config = b.works(spark, d).groupBy("domain_id").agg(F.count("*").alias("n"), F.max("topic").alias("topic"))
+    return sources.exclude_domains(config, ["NATION_3", "NATION_7"])
 
 
 @query(f"SELECT domain_id AS topic, {s6('w_venue')} AS w_venue, {s6('w_relevance')} AS w_relevance FROM dweights WHERE domain_id <> 'NATION_4'", ["dweights"])
@@ -477,10 +490,10 @@ def a9_weight_store(spark, d):
     return stores.load_weights(spark, path).select("topic", r6("w_venue").alias("w_venue"), r6("w_relevance").alias("w_relevance"))
 
 
-@query("SELECT 'run ' || event_id AS run_name, value AS final_composite, value / 2 AS baseline_composite, event_id % 2 = 0 AS use_rouge FROM events WHERE event_id % 100 < 3")
+@query("SELECT 'run ' || event_id AS run_name, value AS final_composite, value / 2 AS baseline_composite, event_id % 2 = 0 AS use_rouge FROM events")
 def a12_experiment_log(spark, d):
     path = stores.scratch(spark, "experiments")
-    e = b.table(spark, d, "events").where("event_id % 100 < 3")
+    e = b.table(spark, d, "events")
     rec = e.select(F.concat(F.lit("run "), F.col("event_id")).alias("run_name"), F.struct((F.col("event_id") % 2 == 0).alias("use_rouge")).alias("params"), F.struct((F.col("value") / 2).alias("composite")).alias("baseline"), F.struct(F.col("value").alias("composite")).alias("final"))
     stores.append_experiments(rec.where("params.use_rouge"), path)
     stores.append_experiments(rec.where("not params.use_rouge"), path)
@@ -492,12 +505,19 @@ def a13_text_pairs(spark, d):
     return sources.text_pairs(b.pairs(spark, d), "generated", "reference", "id", "pair", 200)
 
 
-@query("SELECT run_id, n, tokens FROM (SELECT run_id, count(*) AS n, CAST(sum(tokens_used) AS BIGINT) AS tokens FROM logs GROUP BY run_id)", ["logs"])
+@query("SELECT 'pair_' || id AS example_id, substr(generated, 1, 200) AS article_text, reference FROM (SELECT * FROM pairs WHERE trim(generated) <> '' AND trim(reference) <> '' ORDER BY md5('42-' || id), id LIMIT 100)", ["pairs"])
+def a13_seeded_sample(spark, d):
+    return sources.text_pairs(b.pairs(spark, d), "generated", "reference", "id", "pair", 200, n=100)
+
+
+@query("SELECT run_id, n, tokens, best_prompt FROM (SELECT run_id, count(*) AS n, CAST(sum(tokens_used) AS BIGINT) AS tokens, 'prompt ' || arg_max(id, (tokens_used, id)) AS best_prompt FROM logs GROUP BY run_id)", ["logs"])
 def a14_run_persistence(spark, d):
     path = stores.scratch(spark, "run")
     it = b.agent_logs(spark, d).groupBy("run_id").agg(F.count("*").alias("n"), F.sum("tokens_used").alias("tokens")).withColumns({"gradient": F.lit("text"), "candidates": F.lit("text")})
-    stores.save_run(it, path)
-    return spark.read.schema("run_id long, n long, tokens long").json(f"{path}/summary")
+    best = b.agent_logs(spark, d).groupBy("run_id").agg(F.concat(F.lit("prompt "), F.max_by("id", F.struct("tokens_used", "id")).cast("string")).alias("best_prompt"))
+    stores.save_run(it, path, best=best)
+    summary = spark.read.schema("run_id long, n long, tokens long").json(f"{path}/summary")
+    return summary.join(spark.read.schema("run_id long, best_prompt string").json(f"{path}/best"), "run_id")
 
 
 @query("SELECT domain_id, rank, id, CASE WHEN length(title) <= 40 THEN title ELSE substr(title, 1, 39) || '…' END AS title, year, citation_count, floor(final_score * 1e3 + 0.5) / 1e3 AS final_score FROM ranked WHERE rank <= 15", ["works"], RANKED)
@@ -505,6 +525,43 @@ def a15_report_articles(spark, d):
     return reports.ranked_articles(ranked(spark, d).where("rank <= 15"))
 
 
+_FEEDBACK = {"feedback": "SELECT event_id AS id, user_id % 4 AS iteration, CASE event_type WHEN 'view' THEN 'poor' WHEN 'click' THEN 'acceptable' WHEN 'signup' THEN 'good' ELSE 'excellent' END AS quality, value > 50 AS needs_revision, CASE WHEN event_id % 2 = 0 THEN ['issue ' || event_type, 'k'] ELSE [] END AS issues, CASE WHEN event_id % 3 = 0 THEN ['try ' || user_id] END AS suggestions FROM events"}
+
+
+def _feedback(spark, d):
+    t, i = F.col("event_type"), F.col("event_id")
+    quality = F.when(t == "view", "poor").when(t == "click", "acceptable").when(t == "signup", "good").otherwise("excellent")
+    issues = F.when(i % 2 == 0, F.array(F.concat(F.lit("issue "), t), F.lit("k"))).otherwise(F.array().cast("array<string>"))
+    suggestions = F.when(i % 3 == 0, F.array(F.concat(F.lit("try "), F.col("user_id").cast("string"))))
+    return b.table(spark, d, "events").select(i.alias("id"), (F.col("user_id") % 4).alias("iteration"), quality.alias("quality"), (F.col("value") > 50).alias("needs_revision"), issues.alias("issues"), suggestions.alias("suggestions"))
+
+
+@query("SELECT id, iteration, upper(quality) AS quality, CASE WHEN needs_revision THEN 'REVISION REQUESTED' ELSE 'APPROVED' END AS verdict, array_to_string(issues, '; ') AS issues, coalesce(array_to_string(suggestions, '; '), '') AS suggestions, CASE WHEN len(issues) + coalesce(len(suggestions), 0) = 0 THEN 'No issues identified' END AS note FROM feedback", None, _FEEDBACK)
+def a15_report_feedback(spark, d):
+    return reports.feedback_table(_feedback(spark, d))
+
+
+@query("SELECT 'works fetched' AS item, CAST(count(*) AS VARCHAR) AS value FROM hits UNION ALL SELECT 'works selected', CAST(count(*) AS VARCHAR) FROM works WHERE year >= 2000 UNION ALL SELECT 'summaries', CAST(count(*) AS VARCHAR) FROM documents UNION ALL SELECT 'iterations', CAST(max(iteration) AS VARCHAR) FROM feedback UNION ALL SELECT 'critiques', CAST(count(*) AS VARCHAR) FROM feedback UNION ALL SELECT 'final quality', upper(arg_max(quality, (iteration, id))) FROM feedback UNION ALL SELECT 'tokens', CAST(CAST(sum(tokens_used) AS BIGINT) AS VARCHAR) FROM logs", ["works", "hits", "logs"], _FEEDBACK)
+def a15_report_cover(spark, d):
+    return reports.cover(b.agent_logs(spark, d), b.hits(spark, d), b.works(spark, d).where("year >= 2000"), b.table(spark, d, "documents"), _feedback(spark, d))
+
+
+@query("SELECT id, agent_name, coalesce(CAST(epoch(completed_at - started_at) AS BIGINT), 0) AS seconds, tokens_used, error FROM logs", ["logs"])
+def a15_report_logs(spark, d):
+    seconds = F.coalesce(F.timestamp_diff("SECOND", "started_at", "completed_at"), F.lit(0))
+    return b.agent_logs(spark, d).select("id", "agent_name", seconds.alias("seconds"), "tokens_used", "error")
+
+
+@query("SELECT domain_id, count(*) FILTER (grade = 2) AS grade2_before, count(*) FILTER (new_grade = 2) AS grade2_after, count(*) FILTER (grade = 1) AS grade1_before, count(*) FILTER (new_grade = 1) AS grade1_after, count(*) FILTER (new_grade <> grade) AS promoted FROM (SELECT g.domain_id, grade, CASE WHEN place <= 5 THEN 2 ELSE grade END AS new_grade FROM gold g LEFT JOIN placed p ON p.domain_id = g.domain_id AND p.article_id = g.article_id) GROUP BY domain_id", ["works", "gold"], _PROMO)
+def f3_promotion_counts(spark, d):
+    return ranking.promotion_counts(ranking.promote(b.gold(spark, d), b.works(spark, d), _survey_like(), 5))
+
+
+@query("SELECT domain_id, article_id, 1 AS grade, 2 AS new_grade FROM placed WHERE place <= 5", ["works", "gold"], _PROMO)
+def f3_promotion_dry_run(spark, d):
+    return ranking.promotion_plan(ranking.promote(b.gold(spark, d), b.works(spark, d), _survey_like(), 5))
+
+
 # --- joins
 
 
@@ -533,15 +590,17 @@ def c4_venue_quartile(spark, d):
     return enrich.with_quartile(w, QUERIES["a6_issn_quartiles"](spark, d)).select("id", "quartile")
 
 
-@query("SELECT r.domain_id, r.id AS article_id, rank, coalesce(grade, 0) AS grade FROM ranked r LEFT JOIN gold g ON g.domain_id = r.domain_id AND g.article_id = r.id WHERE rank <= 50", ["works", "gold"], RANKED)
+@query("SELECT r.domain_id, r.id AS article_id, rank, coalesce(grade, 0) AS grade FROM ranked r LEFT JOIN gold g ON g.domain_id = r.domain_id AND g.article_id = r.id", ["works", "gold"], RANKED)
 def c5_ranking_with_gold(spark, d):
-    r = ranked(spark, d).where("rank <= 50").select("domain_id", F.col("id").alias("article_id"), "rank")
+    r = ranked_all(spark, d).select("domain_id", F.col("id").alias("article_id"), "rank")
     return metrics.with_grades(r, b.gold(spark, d)).select("domain_id", "article_id", "rank", "grade")
 
 
 @query("SELECT c_custkey AS trend_id, n - 1 AS pos, o_orderkey AS article_id, title, CASE WHEN o_orderkey % 2 = 0 THEN 'summary ' || o_orderkey END AS summary FROM (SELECT c_custkey, o_orderkey, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) AS n FROM customer JOIN orders ON o_custkey = c_custkey) LEFT JOIN (SELECT id, title FROM works WHERE id % 3 <> 0) ON id = o_orderkey WHERE n <= 4 AND (title IS NOT NULL OR o_orderkey % 2 = 0)", ["works"])
 def c6_trend_evidence(spark, d):
-    trends = b.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("trend_id")).agg(F.sort_array(F.collect_list("o_orderkey")).alias("evidence"))
+    first = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    few = b.table(spark, d, "orders").select("o_custkey", "o_orderkey", first.alias("n")).where("n <= 4")  # what trend_evidence shows
+    trends = few.groupBy(F.col("o_custkey").alias("trend_id")).agg(F.sort_array(F.collect_list("o_orderkey")).alias("evidence"))
     ids = b.table(spark, d, "orders").select(F.col("o_orderkey").alias("article_id"))
     summaries = ids.where("article_id % 2 = 0").withColumn("summary", F.concat(F.lit("summary "), F.col("article_id").cast("string")))
     got = enrich.trend_evidence(trends, b.works(spark, d).where("id % 3 <> 0"), summaries)
@@ -574,10 +633,10 @@ def c10_folds(spark, d):
     return meta.folds(b.domain_weights(spark, d), ()).select("fold", "domain_id")
 
 
-@query("SELECT n_name AS domain_id, CASE WHEN n_nationkey % 4 = 0 THEN 'no features' WHEN n_nationkey % 5 = 0 THEN 'no weights' END AS reason FROM nation")
+@query("SELECT domain_id, CASE WHEN n % 4 = 0 THEN 'no features' WHEN n % 5 = 0 THEN 'no weights' END AS reason FROM (SELECT domain_id, count(*) AS n FROM works GROUP BY domain_id)", ["works"])
 def c11_dataset_assembly(spark, d):
-    n = b.table(spark, d, "nation").select(F.col("n_name").alias("domain_id"), "n_nationkey")
-    full, skipped = corpus_stats.assemble(n.select("domain_id"), n.where("n_nationkey % 4 <> 0").select("domain_id"), n.where("n_nationkey % 5 <> 0").select("domain_id"))
+    n = b.works(spark, d).groupBy("domain_id").agg(F.count("*").alias("n"))
+    full, skipped = corpus_stats.assemble(n.select("domain_id"), n.where("n % 4 <> 0").select("domain_id"), n.where("n % 5 <> 0").select("domain_id"))
     return full.select("domain_id", F.lit(None).cast("string").alias("reason")).union(skipped)
 
 

@@ -67,7 +67,9 @@ def read_experiments(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def save_run(iterations: DataFrame, path: str, bulky: tuple[str, ...] = ("gradient", "candidates")) -> None:
-    """A run's iterations twice: a summary without the bulky columns, and in full."""
+def save_run(iterations: DataFrame, path: str, bulky: tuple[str, ...] = ("gradient", "candidates"), best: DataFrame | None = None) -> None:
+    """A run's iterations twice: a summary without the bulky columns, and in full; and ``best``, the best prompt of each run."""
+    if best is not None:
+        best.write.mode("overwrite").json(f"{path}/best")
     iterations.drop(*bulky).write.mode("overwrite").json(f"{path}/summary")
     iterations.write.mode("overwrite").json(f"{path}/detail")

@@ -115,5 +115,5 @@ def text_pairs(rows: DataFrame, article: str, abstract: str, key: str, prefix: s
     """
     full = rows.where((F.trim(F.coalesce(article, F.lit(""))) != "") & (F.trim(F.coalesce(abstract, F.lit(""))) != ""))
     if n is not None:
-        full = full.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+        full = full.orderBy(F.md5(F.concat_ws("-", F.lit(seed).cast("string"), F.col(key).cast("string"))), key).limit(n)
     return full.select(F.concat(F.lit(f"{prefix}_"), F.col(key).cast("string")).alias("example_id"), F.substring(article, 1, longest).alias("article_text"), F.col(abstract).alias("reference"))
