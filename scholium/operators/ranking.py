@@ -25,21 +25,25 @@ def rank(scored: DataFrame, by: Column, key: str = "domain_id", position: str =
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(by.desc(), F.col(position))))
 
 
-def rank_all(scored: DataFrame, by: Column, key: str = "domain_id", position: str = "id", name: str = "rank", steps: int = 4096, width: int = 1 << 16) -> DataFrame:
-    """rank() for whole rankings: a key's rows are dealt by stripes of the score, and of a numeric position, with the rows before each stripe counted first.
+def rank_all(scored: DataFrame, by: Column, key: str = "domain_id", position: str = "id", name: str = "rank", steps: int = 1_000_000, width: int = 1 << 22) -> DataFrame:
+    """rank() for whole rankings: a key's rows are dealt by stripes of the score, with the rows before each stripe counted first.
 
-    No task sorts more than a stripe, however many rows a key has. Null scores come last; rows with a null key
-    are ranked among themselves.
+    A stripe of one score only is dealt further by stripes of a numeric position. So no task sorts a whole key,
+    however many rows it has. Null scores come last; rows with a null key are ranked among themselves.
     """
     numeric = scored.schema[position].dataType.typeName() in ("byte", "short", "integer", "long")
-    stripe = {"__s": F.coalesce(F.floor(by * steps), F.lit(-(2**62))), "__p": F.floor(F.col(position) / width) if numeric else F.lit(0)}
+    stripe = {"__s": F.coalesce(F.floor(by * steps), F.lit(-(2**62))), "__p": F.coalesce(F.floor(F.col(position) / width), F.lit(0)) if numeric else F.lit(0)}
     striped = scored.withColumns(stripe)
-    earlier = Window.partitionBy(key).orderBy(F.desc("__s"), F.asc("__p")).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = striped.groupBy(key, "__s", "__p").agg(F.count("*").alias("__n"))
-    before = sizes.select(F.col(key).alias("__k"), F.col("__s").alias("__s2"), F.col("__p").alias("__p2"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    joined = striped.join(before, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__s") == F.col("__s2")) & F.col("__p").eqNullSafe(F.col("__p2")))
-    own = F.row_number().over(Window.partitionBy(key, "__s", "__p").orderBy(by.desc(), F.col(position)))
-    return joined.withColumn(name, (F.col("__before") + own).cast("int")).drop("__s", "__p", "__k", "__s2", "__p2", "__before")
+    sizes = striped.groupBy(key, "__s", "__p").agg(F.count("*").alias("__n"), F.min(by).alias("__lo"), F.max(by).alias("__hi"))
+    same = Window.partitionBy(key, "__s")
+    tied = F.coalesce(F.min("__lo").over(same) == F.max("__hi").over(same), F.lit(True))  # all null: tied as well
+    sizes = sizes.withColumn("__part", F.when(tied, F.col("__p")).otherwise(0))
+    order = Window.partitionBy(key).orderBy(F.desc("__s"), F.asc("__part"))
+    earlier = F.sum("__n").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.sum("__n").over(Window.partitionBy(key, "__s", "__part"))
+    before = sizes.select(F.col(key).alias("__k"), F.col("__s").alias("__s2"), F.col("__p").alias("__p2"), "__part", earlier.alias("__before"))
+    joined = striped.join(before, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__s") == F.col("__s2")) & (F.col("__p") == F.col("__p2")))
+    own = F.row_number().over(Window.partitionBy(key, "__s", "__part").orderBy(by.desc(), F.col(position)))
+    return joined.withColumn(name, (F.col("__before") + own).cast("int")).drop("__s", "__p", "__k", "__s2", "__p2", "__part", "__before")
 
 
 def top_n(scored: DataFrame, by: Column, n: int, key: str = "domain_id", position: str = "id") -> DataFrame:

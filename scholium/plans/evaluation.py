@@ -218,9 +218,18 @@ def h14_h15_e3_signed_ranks(spark, d):
     return significance.signed_rank_test(_loo(spark, d), "default").select("method", "n", "w_plus", "w_minus", r6("r_biserial").alias("r_biserial"))
 
 
-@query(python=True)
+#: All sign patterns counted by their positive rank sum, one rank after another (ranks times two are whole).
+_EXACT = _SIGNED | {
+    "sums_": "SELECT method, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0.0 END)::DOUBLE AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0.0 END)::DOUBLE AS w_minus, list(CAST(2 * r AS BIGINT) ORDER BY r) AS ranks FROM rk GROUP BY method",
+    "ways_": "WITH RECURSIVE dp AS (SELECT method, 0 AS k, ranks, list_transform(range(0, CAST(list_sum(ranks) AS BIGINT) + 1), lambda i: CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS ways FROM sums_ UNION ALL SELECT method, k + 1, ranks, list_transform(range(0, len(ways)), lambda i: ways[i + 1] + CASE WHEN i >= ranks[k + 1] THEN ways[i - ranks[k + 1] + 1] ELSE 0.0::DOUBLE END) FROM dp WHERE k < len(ranks)) SELECT method, ways FROM dp WHERE k = len(ranks)",
+    "exact_": "SELECT *, (w_plus - w_minus) / (w_plus + w_minus) AS rb, CASE WHEN n >= 5 THEN list_sum(ways[CAST(2 * w_plus AS BIGINT) + 1 :]) / 2.0::DOUBLE ** n END AS p FROM sums_ JOIN ways_ USING (method)",
+}
+
+
+@query(f"SELECT method, n, w_plus, w_minus, {s6('rb')} AS r_biserial, {s6('p')} AS p, CASE WHEN abs(rb) >= 0.5 THEN 'large' WHEN abs(rb) >= 0.3 THEN 'medium' ELSE 'small' END AS effect FROM exact_", ["works", "gold"], _EXACT, python=True)
 def h14_f4_signed_rank_p(spark, d):
-    return significance.signed_rank_test(_loo(spark, d), "default")
+    tested = significance.signed_rank_test(_loo(spark, d), "default")
+    return tested.withColumns({"r_biserial": r6("r_biserial"), "p": r6("p")})
 
 
 @query(f"SELECT a.domain_id, {s6('a.ndcg15 - z.ndcg15')} AS delta FROM loo a JOIN loo z ON z.domain_id = a.domain_id AND z.method = 'default' WHERE a.method = 'only_impact'", ["works", "gold"], _LOO)
@@ -408,6 +417,26 @@ def h8_blend(spark, d):
     return meta.blend(meta.knn(dom, 1), meta.transfer_direct(dom), "blend").select("fold", "alpha", *(r6(w).alias(w) for w in _W))
 
 
+_COLS = ", ".join(_W)
+_RULES = SCORED | _KNN | {
+    "transfer_": "SELECT a.domain_id AS fold, 'transfer' AS method, " + ", ".join(f"avg(t.{w}) AS {w}" for w in _W) + " FROM dweights a JOIN dweights t ON t.domain_id <> a.domain_id GROUP BY a.domain_id",
+    "rules": f"SELECT * FROM knn1 UNION ALL SELECT * FROM knn2 UNION ALL SELECT * FROM knn3 UNION ALL SELECT * FROM transfer_ UNION ALL SELECT domain_id, 'searched', {_COLS} FROM dweights UNION ALL SELECT domain_id, 'default', " + ", ".join(f"{float(DEFAULT_WEIGHTS[k])!r}::DOUBLE" for k in fx.KEYS) + " FROM dweights",
+} | {k: v for k, v in _loo_sql(f"SELECT fold AS domain_id, method, {_COLS} FROM rules", "w.domain_id = s.domain_id").items() if k not in SCORED}
+
+
+@query(f"SELECT domain_id, method, {s6('ndcg15')} AS ndcg15 FROM loo", ["works", "gold", "dweights"], _RULES)
+def h13_leave_one_out_by_rules(spark, d):
+    """The evaluation of those methods that no regression is fitted for."""
+    dom = _domains(spark, d)
+    own = dom.select(F.col("domain_id").alias("fold"), *_W)
+    base = own.select("fold", F.lit("default").alias("method"), *(F.lit(float(DEFAULT_WEIGHTS[k])).alias(f"w_{k}") for k in fx.KEYS))
+    rules = meta.knn(dom, 1).union(meta.knn(dom, 2)).union(meta.knn(dom, 3)).union(meta.transfer_direct(dom)).union(own.select("fold", F.lit("searched"), *_W)).union(base)
+    path = stores.scratch(spark, "rules")
+    stores.save_features(rules.withColumnRenamed("fold", "domain_id"), path)
+    loo = weights.ndcg(scored(spark, d), stores.load_features(spark, path), b.gold(spark, d))
+    return loo.select("domain_id", "method", r6("ndcg15").alias("ndcg15"))
+
+
 def _regressed(spark, d):
     """The domains and the regressions' weights, stored."""
     dom, path = _domains(spark, d), stores.scratch(spark, "regressions")

@@ -311,7 +311,14 @@ def b23_b24_rouge(spark, d):
     return p.select("id", tx.rouge_1(g, r).alias("rouge1"), tx.rouge_2(g, r).alias("rouge2"))
 
 
-@query(python=True)
+#: The longest common subsequence, one token of the generated text after another: each row of the table from the one before.
+_LCS = {
+    "toks_": _ROUGE["toks_"],
+    "lcs_": "WITH RECURSIVE dp AS (SELECT id, 0 AS k, g, r, list_transform(range(0, len(r) + 1), lambda j: 0) AS row_ FROM toks_ WHERE len(g) > 0 AND len(r) > 0 UNION ALL SELECT id, k + 1, g, r, list_concat([0], list_transform(range(1, len(r) + 1), lambda j: list_max(t[1:j]))) FROM (SELECT *, list_transform(range(1, len(r) + 1), lambda j: CASE WHEN r[j] = g[k + 1] THEN row_[j] + 1 ELSE row_[j + 1] END) AS t FROM dp WHERE k < len(g))) SELECT id, row_[len(r) + 1] AS n FROM dp WHERE k = len(g)",
+}
+
+
+@query("SELECT t.id, CASE WHEN coalesce(n, 0) = 0 THEN 0.0 ELSE floor(2.0::DOUBLE * n / (len(g) + len(r)) * 1e4 + 0.5) / 1e4 END AS rouge_l FROM toks_ t LEFT JOIN lcs_ USING (id)", ["pairs"], _LCS, python=True)
 def b25_j3_rouge_l(spark, d):
     return b.pairs(spark, d).select("id", tx.rouge_l(F.col("generated"), F.col("reference")).alias("rouge_l"))
 
