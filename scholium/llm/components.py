@@ -14,7 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star rounds (Kiveris et al., 2014), each a minimum by key
     and a join by key, so that no node's neighbours are ever gathered in one place. Rounds end
     when every edge leads to a root; each round's edges are written to the shared folder.
-    Empty edges give no rows; self edges and repeats don't matter; null ends are ignored.
+    A node with very many neighbours is a hot key of the joins, which adaptive execution splits; nodes are numbers,
+    so texts of any length don't matter here. Empty edges give no rows; self edges and repeats don't matter; null ends are ignored.
     """
     spark = edges.sparkSession
 

@@ -319,7 +319,8 @@ class _Cleaned:
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of ``docs``.
 
-    Null or empty texts have no words and no hits; so have all texts if the benchmark has no words.
+    Null or empty texts have no words and no hits; so have all texts if the benchmark has no words. A very long
+    text is a shard of its own; other columns of ``docs`` are not read.
     Repeated rows and null ids get a result like any other. Items with a null id hit words but aren't
     counted or listed; several items with one id are one item.
     """
@@ -330,7 +331,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", length_col: str | None = None, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` without the benchmark's passages: every merged span of hit words is cut from its text.
 
-    All rows and columns stay; texts without hits, null and empty ones too, are unchanged.
+    All rows and columns stay, whatever the columns are called; texts without hits, null and empty ones too, are
+    unchanged. A very long text is a shard of its own.
     """
     renamed = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     at = docs.columns.index(text_col)

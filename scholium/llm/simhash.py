@@ -303,7 +303,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id is the smallest id among all documents that links of at most ``max_bits`` differing
     bits reach, the document's own included. Repeated rows give repeated result rows. A null id takes
     part (its component_id is the smallest id that is not null, or null). Texts without words have
-    fingerprint zero and link like any other. Other columns of ``docs`` are not read.
+    fingerprint zero and link like any other. A very long text is a chunk of its own, and its shingles are
+    counted in turns; other columns of ``docs`` are not read. An empty table gives an empty one.
     """
     own = materialize(fingerprints(docs, id_col, text_col, words_per_shingle), "fingerprints")
     distinct = own.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("size"))
