@@ -31,6 +31,8 @@ SAMPLE_ROWS = 60_000
 MOST_LANGUAGES = 1_000
 #: Pieces cut from each row of the sample, and their least and greatest length in characters.
 PIECES, SHORTEST, LONGEST = 4, 20, 400
+#: A small sample is gone through more often, until so many steps are made.
+LEAST_STEPS = 600
 #: Languages with fewer rows are learned from all of them: none is held back for calibration.
 CALIBRATED_FROM = 50
 #: Share of the calibration rows (all of known language) that may be rejected.
@@ -131,6 +133,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7, dim: int = 16, epochs: int
     y = np.array(ys)
     table = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
     weights, bias = np.zeros((dim, len(languages))), np.zeros(len(languages))
+    epochs = max(epochs, -(-LEAST_STEPS * batch // len(own)))
     steps, done = epochs * (-(-len(own) // batch)), 0
     for _ in range(epochs):
         for part in np.array_split(rng.permutation(len(own)), -(-len(own) // batch)):
