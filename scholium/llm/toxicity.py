@@ -6,7 +6,7 @@ drift makes the walk over a clean text fall. A linear-time scan finds every maxi
 of a text. Its score S becomes a significance by the extreme-value law of such walks,
 P(best >= S) = 1 - exp(-K n exp(-lambda S)) for n words; a text's evidence is the sum of the
 significant segments' normalised scores lambda S - ln(K n), and a logistic curve fitted on labelled
-texts that the token scores haven't seen turns it into a score between 0 and 1.
+texts by token scores that haven't seen them turns it into a score between 0 and 1.
 
 A token is a run of letters, lower-cased; a rare word falls back on its first letters, so that
 inflected forms share their evidence.
@@ -131,67 +131,83 @@ def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit on about SAMPLE_PER_CLASS labelled rows of either class, none of them held out, by their whole texts.
 
-    Half of the sample, by a hash of id and text, gives token scores, the other half the extreme-value
-    constants and the logistic curve. Null ids, texts and labels are left out, repeated rows count once; an id with
-    several labels counts as toxic if one of them says so. Without rows of both classes every score is 0.5 or less.
+    The sample is halved by a hash of id and text. Token scores come from all of it; the extreme-value constant and
+    the logistic curve come from either half by the scores of the other. Null ids, texts and labels are left out,
+    repeated rows count once; an id with several labels counts as toxic if one of them says so. Without rows of both
+    classes every score is 0.5 or less.
     """
     spark, before = docs.sparkSession, stored()
-    sample = sampled(docs, labels, id_col, text_col, label_col).withColumn("for_scores", F.pmod(F.shiftright("key", 40), F.lit(2)) == 0)
+    sample = sampled(docs, labels, id_col, text_col, label_col).withColumn("half", F.pmod(F.shiftright("key", 40), F.lit(2)).cast("int"))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("h", pa.int64()), ("toxic", pa.int64()), ("clean", pa.int64()), ("used", pa.int64())])
+        schema = pa.schema([("h", pa.int64()), ("half", pa.int32()), ("toxic", pa.int64()), ("clean", pa.int64()), ("used", pa.int64())])
         for rows, data, offsets in chunks(batches, "text"):
             whole, begin, first = words(data, offsets)
             doc = np.repeat(np.arange(len(rows)), np.diff(first))
-            y = np.array(rows.column(0).to_pylist())
+            y, half = (np.array(rows.column(i).to_pylist(), np.int64) for i in (0, 1))
             pair = np.stack([np.concatenate([whole, begin[begin > 0]]), np.concatenate([doc, doc[begin > 0]]).astype(np.uint64)], axis=1)
             pair, uses = np.unique(pair, axis=0, return_counts=True)
-            toxic = y[pair[:, 1].astype(np.int64)] == 1
-            h, of = np.unique(pair[:, 0], return_inverse=True)
-            t = np.bincount(of, weights=toxic, minlength=len(h)).astype(np.int64)
-            used = np.bincount(of, weights=uses * ~toxic, minlength=len(h)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(t), pa.array(np.bincount(of, minlength=len(h)) - t), pa.array(used)], schema=schema)
-
-    counts = sample.where("for_scores").select("y", "text").mapInArrow(count, "h long, toxic long, clean long, used long").groupBy("h").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.sum("used").alias("used"))
-    n1, n0, used = (float(x or 0) for x in counts.agg(F.sum("toxic"), F.sum("clean"), F.sum("used")).first())
-    if not n1 or not n0:
+            of_doc = pair[:, 1].astype(np.int64)
+            toxic = y[of_doc] == 1
+            key, of = np.unique(np.stack([pair[:, 0], half[of_doc].astype(np.uint64)], axis=1), axis=0, return_inverse=True)
+            t = np.bincount(of, weights=toxic, minlength=len(key)).astype(np.int64)
+            used = np.bincount(of, weights=uses * ~toxic, minlength=len(key)).astype(np.int64)
+            columns = (np.ascontiguousarray(key[:, 0]).view(np.int64), key[:, 1].astype(np.int32), t, np.bincount(of, minlength=len(key)) - t, used)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+
+    halves = sample.select("y", "half", "text").mapInArrow(count, "h long, half int, toxic long, clean long, used long")
+    #: Which rows of the sample a model's scores come from: one half, the other, all.
+    parts = {"a": F.col("half") == 0, "b": F.col("half") == 1, "all": F.lit(True)}
+    named = [f"{c}_{p}" for p in parts for c in ("toxic", "clean", "used")]
+    counts = materialize(halves.groupBy("h").agg(*(F.sum(F.when(own, F.col(c)).otherwise(0)).alias(f"{c}_{p}") for p, own in parts.items() for c in ("toxic", "clean", "used"))), "toxicity-counts")
+    totals = {c: float(x or 0) for c, x in counts.agg(*(F.sum(c).alias(c) for c in named)).first().asDict().items()}
+    if any(not totals[f"{c}_{p}"] for p in parts for c in ("toxic", "clean")):
+        sweep(spark, [p for p in stored() if p not in before])
         return Model(np.zeros(0, np.uint64), np.zeros(0), 1.0, 1.0, 1.0, -3.0)
-    prior = LEAST_PRIOR + (F.col("toxic") + F.col("clean")) * (PRIOR / (n1 + n0))
-    odds = lambda c, n: F.log((F.col(c) + prior) / (n + PRIOR - F.col(c) - prior))
-    scored = counts.select("h", "toxic", "clean", "used", (odds("toxic", n1) - odds("clean", n0)).alias("delta"), F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior)).alias("sd"))
-    rows = scored.where(F.abs("delta") >= LEAST_Z * F.col("sd")).toPandas()
-    rows = rows.assign(u=rows.h.to_numpy().view(np.uint64)).sort_values("u")
-    scores = rows.delta.to_numpy() - DRIFT
-    # lambda: the positive root of E[exp(lambda s)] = 1 over the words of clean texts
-    p = (rows.used.to_numpy() + LEAST_PRIOR) / (used + PRIOR)
-    rest = max(0.0, 1 - p.sum())
-    low, high = 1e-3, 20.0
-    for _ in range(60):
-        mid = (low + high) / 2
-        grown = float((p * np.exp(np.minimum(mid * scores, 600))).sum()) + rest * np.exp(-mid * DRIFT)
-        low, high = (mid, high) if grown < 1 else (low, mid)
-    model = Model(rows.u.to_numpy(), scores, low, 1.0, 1.0, -3.0)
-    shared = spark.sparkContext.broadcast(model)
+
+    def scored(p: str) -> Model:
+        n1, n0, used = (totals[f"{c}_{p}"] for c in ("toxic", "clean", "used"))
+        toxic, clean = F.col(f"toxic_{p}"), F.col(f"clean_{p}")
+        prior = LEAST_PRIOR + (toxic + clean) * (PRIOR / (n1 + n0))
+        odds = lambda c, n: F.log((c + prior) / (n + PRIOR - c - prior))
+        table = counts.where(toxic + clean > 0).select("h", F.col(f"used_{p}").alias("used"), (odds(toxic, n1) - odds(clean, n0)).alias("delta"), F.sqrt(1 / (toxic + prior) + 1 / (clean + prior)).alias("sd"))
+        rows = table.where(F.abs("delta") >= LEAST_Z * F.col("sd")).toPandas()  # the significant tokens of a bounded sample
+        rows = rows.assign(u=rows.h.to_numpy().view(np.uint64)).sort_values("u")
+        scores = rows.delta.to_numpy() - DRIFT
+        # lambda: the positive root of E[exp(lambda s)] = 1 over the words of clean texts
+        share = (rows.used.to_numpy() + LEAST_PRIOR) / (used + PRIOR)
+        rest = max(0.0, 1 - share.sum())
+        low, high = 1e-3, 20.0
+        for _ in range(60):
+            mid = (low + high) / 2
+            grown = float((share * np.exp(np.minimum(mid * scores, 600))).sum()) + rest * np.exp(-mid * DRIFT)
+            low, high = (mid, high) if grown < 1 else (low, mid)
+        return Model(rows.u.to_numpy(), scores, low, 1.0, 1.0, -3.0)
+
+    model = scored("all")
+    shared = spark.sparkContext.broadcast({0: scored("b"), 1: scored("a")})  # a half by the scores of the other
 
     def measure(batches: Iterable[pa.RecordBatch], k: float | None = None) -> Iterator[pa.RecordBatch]:
-        """For each text its number of words and its best segment's score, or with k its evidence."""
+        """For each text its number of words and its best segment's score times lambda, or with k its evidence."""
         schema = pa.schema([("key", pa.int64()), ("y", pa.int32()), ("n", pa.int64()), ("x", pa.float64())])
-        own = shared.value
         for rows, data, offsets in chunks(batches, "text"):
-            scores, first = own.walk(data, offsets)
-            found = [np.array([x for _, _, x in segments(scores[a:b])]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-            n = np.diff(first)
-            x = [f.max(initial=0.0) if k is None else np.maximum(0.0, own.lam * f - np.log(k * max(1, m))).sum() for f, m in zip(found, n.tolist())]
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(n), pa.array(x, pa.float64())], schema=schema)
+            x: list[float] = []
+            for i, half in enumerate(rows.column(2).to_pylist()):
+                own = shared.value[half]
+                scores, _ = own.walk(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))
+                found = own.lam * np.array([s for *_, s in segments(scores)])
+                x.append(float(found.max(initial=0.0) if k is None else np.maximum(0.0, found - np.log(k * max(1, len(scores)))).sum()))
+            _, _, first = words(data, offsets)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.diff(first)), pa.array(x, pa.float64())], schema=schema)
 
     def measured(k: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        rows = sample.where(~F.col("for_scores")).select("key", "y", "text")
+        rows = sample.select("key", "y", "half", "text")
         seen = rows.mapInArrow(lambda it: measure(it, k), "key long, y int, n long, x double").toPandas().sort_values(["key", "y"])
         return seen.y.to_numpy(float), np.maximum(1, seen.n.to_numpy(float)), seen.x.to_numpy(float)
 
     y, n, best = measured()
     if (y == 0).any():
-        model.k = float(np.clip((y == 0).sum() / np.sum((n * np.exp(-model.lam * best))[y == 0]), 1e-6, 1.0))
+        model.k = float(np.clip((y == 0).sum() / np.sum((n * np.exp(-best))[y == 0]), 1e-6, 1.0))
     x = np.log1p(measured(model.k)[2])
     w = np.array([1.0, -3.0])
     a = np.stack([x, np.ones(len(x))], axis=1)

@@ -148,17 +148,25 @@ def test_op5(spark):
     assert all(n == len(t) for *_, t, n in got)
     model = html_extract.fit(spark.read.parquet(f"{SF}/pages.parquet"))
     by = {i: t for i, _, t, _ in got}
-    changed = same = 0
+    same = 0
     for i, _, source in pages:
         page = html_extract.parse(source or "")
         assert by[i] == model.extract([source or ""])[0]
         y = html_extract.markup_labels(page)
         if y is not None:
             same += by[i] == "\n".join(t for e, t, _ in page.blocks if y[e])
-            bare = re.sub(r"(?i)(</?)(article|main)\b", r"\1div", source)
-            changed += model.extract([bare])[0] != by[i]
     assert same >= 0.98 * len(pages)
-    assert changed <= 0.05 * len(pages)  # without the telling tags
+
+
+@pytest.mark.skipif(not os.path.isdir(SF + "/../sf0.01"), reason="the provided tables aren't here")
+def test_op5_without_telling_tags(spark):
+    """Pages whose article and main elements are renamed: few extractions change."""
+    model = html_extract.fit(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    sources = [h or "" for (h,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()]
+    bare = [re.sub(r"(?i)(</?)(article|main)\b", r"\1div", h) for h in sources]
+    changed = sum(a != b for a, b in zip(model.extract(sources), model.extract(bare)))
+    print(changed, "of", len(sources))
+    assert changed <= 0.05 * len(sources)
 
 
 def test_digests_are_of_known_values(spark, documents):
