@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ragged import NUMBER, SPACE, chunks, codepoints, distinct, gather, library_classes, owners, slice_hashes
+from .ragged import NUMBER, SPACE, chunks, distinct, gather, library_classes, owners, slice_hashes
 
 NO_RANK = np.int32(2**31 - 1)
 #: The parts after an apostrophe that are pre-tokens of their own.
