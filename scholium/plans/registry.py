@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from ..functions import features as fx
 from ..functions import generation as gx
 from ..functions import text as tx
-from ..operators import corpus_stats, enrich, generation, meta, metrics, ranking, reports, significance, weights
+from ..operators import corpus_stats, enrich, generation, meta, metrics, ranking, reports, weights
 from ..sources import stores
 from ..sources.shared import ship
 from ..sources import works as sources
 from . import bindings as b
-from .bindings import DEFAULT_WEIGHTS, NOW, RECENT_YEAR, with_sql
+from .bindings import DEFAULT_WEIGHTS, NOW, with_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
