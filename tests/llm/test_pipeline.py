@@ -8,7 +8,7 @@ from .test_bpe import expect
 from .test_fm_index import brute as brute_hits
 from .test_fm_index import words as bench_words
 from .test_recompression import brute as brute_repeats
-from .test_simhash import brute as brute_groups
+from .test_simhash import brute_similar
 
 
 def tables(spark, tmp_path):
@@ -44,7 +44,7 @@ def test_stages_and_run(spark, tmp_path):
     now = [(r[0], r[1]) for r in rows if r[0] not in lost]
     got = corpus_pipeline.STAGES[0][1](spark, docs, d)
     assert got.columns == docs.columns and {r.doc_id for r in got.collect()} == {i for i, _ in now}
-    keep = {c for _, _, c in brute_groups(now, 5, corpus_pipeline.NEAR_BITS)}
+    keep = {c for _, c in brute_similar(now, corpus_pipeline.NEAR_LEAST)}
     now = [(i, t) for i, t in now if i in keep]
     assert 200 not in keep
     import hashlib
