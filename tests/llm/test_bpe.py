@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 from scholium.llm import bpe, token_counts
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+LIBRARY = Tokenizer.from_file(PATH)
 TEXTS = [
     None, "", "   \n\t", "Hello, world! It's they'LL we've ''s !'s 'd've 'RE i'm you'd don't can'there x'llama 'r 'v '",
     "123 ½ ⅷ 4th 10,000.5", "Straße İstanbul ΣΊΣΥΦΟΣ ΌΔΟΣ naïve étude Å ﬁ", "日本語のテキスト 中文 العربية हिन्दी ไทย",
@@ -53,7 +54,7 @@ def test_same_as_library(spark):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("abel'sdmrtv tL \n1!. ΣİéÅ"), st.characters(exclude_categories=["Cs", "Cn", "Co"], max_codepoint=0x2FFF)), max_size=60), min_size=1, max_size=6))
 def test_any_text(texts):
-    vocab, t = bpe.vocabulary(PATH), Tokenizer.from_file(PATH)
+    vocab, t = bpe.vocabulary(PATH), LIBRARY
     data, offsets = flat(texts)
     ids, counts = bpe.encode_chunk(data, offsets, vocab)
     want = [t.encode(x, add_special_tokens=False).ids for x in texts]
