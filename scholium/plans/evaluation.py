@@ -9,7 +9,7 @@ from ..operators import corpus_stats, generation, meta, metrics, ranking, report
 from ..sources import stores
 from . import bindings as b
 from .bindings import DEFAULT_WEIGHTS, RECENT_YEAR
-from .registry import RANKED, SCORED, _SCORE, query, r6, ranked, ranked_all, s6, scored
+from .registry import RANKED, SCORED, _SCORE, query, r6, ranked, s6, scored, stored_scores
 
 FEATS = corpus_stats.FEATURES
 
@@ -85,9 +85,9 @@ _NAMES = ("ndcg10", "ndcg15", "p5", "p10", "recall30", "map")
 
 
 def _rankings(spark, d):
-    r = ranked_all(spark, d).select("domain_id", F.col("id").alias("article_id"), "rank", "impact_score")
-    other = ranking.rank_all(r.drop("rank"), F.col("impact_score"), position="article_id").select("domain_id", F.lit("impact").alias("method"), "article_id", "rank")
-    return r.select("domain_id", F.lit("final").alias("method"), "article_id", "rank").union(other)
+    own = stored_scores(spark, d).select("domain_id", F.col("id").alias("article_id"), "final_score", "impact_score")
+    by = lambda score, name: ranking.rank_all(own, F.col(score), position="article_id").select("domain_id", F.lit(name).alias("method"), "article_id", "rank")
+    return by("final_score", "final").union(by("impact_score", "impact"))
 
 
 @query("SELECT domain_id, method, " + ", ".join(f"{s6(m)} AS {m}" for m in _NAMES) + " FROM evaluated", ["works", "gold"], _METRICS)

@@ -100,11 +100,17 @@ def ranked(spark: SparkSession, d: str) -> DataFrame:
     return ranking.rank(s, F.col("final_score"))
 
 
+def stored_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Keys and scores of all works, stored: whole rankings read them more than once."""
+    s = scored(spark, d)
+    path = stores.scratch(spark, "scores")
+    s.withColumn("final_score", _final(s)).select("domain_id", "id", *SUB, "final_score").write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def ranked_all(spark: SparkSession, d: str) -> DataFrame:
     """The same for readers of whole rankings."""
-    s = scored(spark, d)
-    s = s.withColumn("final_score", _final(s))
-    return ranking.rank_all(s, F.col("final_score"))
+    return ranking.rank_all(stored_scores(spark, d), F.col("final_score"))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -649,4 +655,4 @@ def c11_dataset_assembly(spark, d):
 
 @query("SELECT domain_id, id, rank_a, rank_b, rank_a - rank_b AS delta, CASE WHEN rank_a - rank_b >= 2 THEN 'promoted' WHEN rank_a - rank_b <= -2 THEN 'demoted' ELSE 'same' END AS change FROM (SELECT domain_id, id, row_number() OVER (PARTITION BY domain_id ORDER BY impact_score DESC, id) AS rank_a, row_number() OVER (PARTITION BY domain_id ORDER BY velocity_score DESC, id) AS rank_b FROM scored)", ["works"], SCORED)
 def c12_rank_changes(spark, d):
-    return ranking.rank_changes(scored(spark, d), F.col("impact_score"), F.col("velocity_score")).select("domain_id", "id", "rank_a", "rank_b", "delta", "change")
+    return ranking.rank_changes(stored_scores(spark, d), F.col("impact_score"), F.col("velocity_score")).select("domain_id", "id", "rank_a", "rank_b", "delta", "change")
