@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-from .ragged import chunks, mix, slice_hashes, spans
+from .common import HOT_SHARE, materialize
+from .ragged import CHUNK_BYTES, chunks, mix, slice_hashes, spans
 
 WINDOW = 20
 ROUNDS = 3
@@ -122,14 +122,24 @@ def _first_of_each(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, many
 
 
+def _once(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Chunks without the rows whose id and hash an earlier row of the chunk has: such rows are one place."""
+    for rows, data, offsets in chunks(batches, "text", limit):
+        first, _ = _first_of_each(*(rows.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)))
+        if first.all():
+            yield rows, data, offsets
+        else:
+            yield from chunks([rows.filter(pa.array(first))], "text", limit)
+
+
 def _symbols(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Rows (route, id, h, ix, known) for each certain symbol and each whole text (ix below 0: bits of its second hash).
+    """Rows (route, id, h, what) for each certain symbol and each whole text; what is 4 ix + known (ix below 0: bits of a text's second hash).
 
     Rows of one name have one route; a name seen twice in the chunk sends one row with known = 2 there,
     and its other rows, known = 1, go anywhere.
     """
-    schema = pa.schema([("route", pa.int64()), ("id", pa.int64()), ("h", pa.int32()), ("ix", pa.int32()), ("known", pa.int8())])
-    for rows, data, offsets in chunks(batches, "text"):
+    schema = pa.schema([("route", pa.int64()), ("id", pa.int64()), ("h", pa.int64()), ("what", pa.int64())])
+    for rows, data, offsets in _once(batches):
         names, first, _, _ = _names(data, offsets)
         p = parse(names, first)
         at = certain(p, window)
@@ -154,8 +164,7 @@ def _symbols(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.Reco
                 pa.array(np.concatenate([route, np.where(lead, whole, mix(whole + full.astype(np.uint64)))]).view(np.int64)),
                 pa.array(np.concatenate([ids[p.doc[at]], ids[full]])),
                 pa.array(np.concatenate([hs[p.doc[at]], hs[full]])),
-                pa.array(np.concatenate([ix, second]).astype(np.int32)),
-                pa.array(np.concatenate([known, np.where(lead, 0, 1)]).astype(np.int8)),
+                pa.array(np.concatenate([ix, second]) * 4 + np.concatenate([known, np.where(lead, 0, 1)])),
             ],
             schema=schema,
         )
@@ -166,13 +175,14 @@ def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     A group's last row is held until the next batch shows whether the group goes on.
     """
-    schema = pa.schema([("id", pa.int64()), ("h", pa.int32()), ("ix", pa.int32())])
+    schema = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("ix", pa.int32())])
     waiting: tuple | None = None  # route, id, h, ix, known of the last row so far, and whether it is known to be repeated
     lead: tuple | None = None  # route, second hash and id of the first whole text of the last group
     for rows in batches:
         if not rows.num_rows:
             continue
-        route, ids, hs, ix, known = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        route, ids, hs, what = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        ix, known = (what >> 2).astype(np.int32), what & 3
         if waiting is not None:
             route, ids, hs, ix, known = (np.concatenate([[w], x]).astype(x.dtype) for w, x in zip(waiting, (route, ids, hs, ix, known)))
         whole, kind = ix < 0, np.minimum(ix, 0)
@@ -201,13 +211,15 @@ def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Rows (route, check, id, h, pos, known) for the windows to verify: those without a symbol that occurs once.
+    """Rows (route, at, id, h, known) for the windows to verify: those without a symbol that occurs once; at is check * 2^32 + pos.
 
     Of equal windows in a chunk only the earliest is sent; the others are known to be repeats and go as
-    one list for each text. A text that an earlier one equals has nothing to verify.
+    one list for each text (at -1). A text that an earlier one equals has nothing to verify, nor has one whose
+    id and hash the task has seen before.
     """
-    schema = pa.schema([("route", pa.int64()), ("check", pa.int32()), ("id", pa.int64()), ("h", pa.int32()), ("pos", pa.int32()), ("known", pa.list_(pa.int32()))])
-    for rows, data, offsets in chunks(batches, "text"):
+    schema = pa.schema([("route", pa.int64()), ("at", pa.int64()), ("id", pa.int64()), ("h", pa.int64()), ("known", pa.list_(pa.int32()))])
+    met: set[tuple[int, int]] = set()  # all rows of an id and hash are in few tasks: without this each would send its windows
+    for rows, data, offsets in _once(batches):
         names, first, _, _ = _names(data, offsets)
         p = parse(names, first)
         at = certain(p, window)
@@ -216,6 +228,8 @@ def _windows(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.Reco
         size = np.array([len(x) if x.is_valid else 0 for x in seen], np.int64)
         which = seen.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         owner = np.repeat(np.arange(len(size)), size)
+        ids = rows.column(0).to_numpy(zero_copy_only=False)
+        hs = rows.column(1).to_numpy(zero_copy_only=False)
         skip = np.zeros(len(size), bool)
         skip[owner[which < 0]] = True
         often = np.zeros(len(at), bool)
@@ -226,9 +240,11 @@ def _windows(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.Reco
         np.add.at(change, p.ca[alone] + 1, -1)
         doc = np.repeat(np.arange(len(size)), np.diff(first))
         open_ = (np.cumsum(change)[:-1] == 0) & (np.arange(len(names)) + window <= first[doc + 1]) & ~skip[doc]
-        pos = np.flatnonzero(open_)
-        ids = rows.column(0).to_numpy(zero_copy_only=False)
-        hs = rows.column(1).to_numpy(zero_copy_only=False)
+        for i in np.unique(doc[open_]).tolist():
+            key = (int(ids[i]), int(hs[i]))
+            skip[i] = key in met
+            met.add(key)
+        pos = np.flatnonzero(open_ & ~skip[doc])
         doc = doc[pos]
         order = np.lexsort((pos, ids[doc]))
         pos, doc = pos[order], doc[order]
@@ -255,10 +271,9 @@ def _windows(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.concatenate([route[lead], mix(of.astype(np.uint64) + route[known][cut])]).view(np.int64)),
-                pa.array(np.concatenate([check[lead], np.full(len(of), -1, np.int32)])),
+                pa.array(np.concatenate([(check[lead].astype(np.int64) << 32) | local[lead], np.full(len(of), -1, np.int64)])),
                 pa.array(np.concatenate([ids[doc[lead]], ids[of]])),
                 pa.array(np.concatenate([hs[doc[lead]], hs[of]])),
-                pa.array(np.concatenate([local[lead], np.full(len(of), -1, np.int32)])),
                 pa.concat_arrays([pa.nulls(n, schema.field("known").type), lists]),
             ],
             schema=schema,
@@ -267,12 +282,13 @@ def _windows(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.Reco
 
 def _later(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows in order (route, check, id, pos): windows that an equal one precedes, and the lists of known ones."""
-    schema = pa.schema([("id", pa.int64()), ("h", pa.int32()), ("pos", pa.list_(pa.int32()))])
+    schema = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("pos", pa.list_(pa.int32()))])
     lead: tuple | None = None
     for rows in batches:
         if not rows.num_rows:
             continue
-        route, check, ids, hs, pos = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        route, at, ids, hs = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+        check, pos = at >> 32, (at & 0xFFFFFFFF).astype(np.int32)
         same = np.zeros(len(route), bool)
         same[1:] = (route[1:] == route[:-1]) & (check[1:] == check[:-1])
         start = np.maximum.accumulate(np.where(same, 0, np.arange(len(route))))
@@ -284,7 +300,7 @@ def _later(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = np.flatnonzero(check < 0)
         one = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32)), pa.array(pos[out]))
         both = np.concatenate([out, lists])
-        yield pa.RecordBatch.from_arrays([pa.array(ids[both]), pa.array(hs[both]), pa.concat_arrays([one, rows.column(5).take(pa.array(lists))])], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[both]), pa.array(hs[both]), pa.concat_arrays([one, rows.column(4).take(pa.array(lists))])], schema=schema)
 
 
 def _covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
@@ -300,20 +316,33 @@ def with_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     pos lists the starts (in words) of windows whose words also start earlier, in a row with a smaller id
     or in the same row; null if none. copy: an earlier text equals this one, so that all of its windows
-    repeat; they aren't listed. h tells apart rows that share an id; a null id counts as the smallest.
+    repeat; they aren't listed. A null id counts as the smallest. Rows are told apart by id and a hash of 64 bits of their
+    text: rows that agree in both are taken for equal, so two unlike texts are confused only if they share an id and a hash
+    (odds of 1 in 10^7 for a million rows of one id).
     """
-    own = [F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("id"), F.hash(F.col(text_col)).alias("h"), F.col(text_col).alias("text")]
+    own = [F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text")]
     rest = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c != text_col]
-    texts = docs.select(*own, *rest).repartition("id", "h")  # moved once: both joins below read it
-    symbols = docs.select(*own).mapInArrow(lambda it: _symbols(it, window), "route long, id long, h int, ix int, known byte")
-    seen = symbols.repartition("route").sortWithinPartitions("route", F.least("ix", F.lit(0)), "id").mapInArrow(_repeated, "id long, h int, ix int")
+    hot = _hot(docs.select(*own[:2]))
+    salted = docs.select(*own, *rest).join(F.broadcast(hot), ["id", "h"], "left")
+    salt = F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.spark_partition_id(), F.col("salts"))).cast("int")
+    texts = salted.withColumn("salt", salt).drop("salts").repartition("id", "h", "salt")  # moved once: both joins below read it
+    each = lambda found: found.join(F.broadcast(hot), ["id", "h"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    symbols = docs.select(*own).mapInArrow(lambda it: _symbols(it, window), "route long, id long, h long, what long")
+    seen = symbols.repartition("route").sortWithinPartitions("route", F.least(F.shiftright("what", 2), F.lit(0)), "id").mapInArrow(_repeated, "id long, h long, ix int")
     # stored: both joins below read it, and Spark would otherwise parse all texts once for each
     seen = materialize(seen.groupBy("id", "h").agg(F.collect_list("ix").alias("seen")), "repeated-symbols")
-    marked = texts.join(seen.hint("shuffle_hash"), ["id", "h"], "left")
-    windows = marked.mapInArrow(lambda it: _windows(it, window), "route long, check int, id long, h int, pos int, known array<int>")
-    later = windows.repartition("route", "check").sortWithinPartitions("route", "check", "id", "pos").mapInArrow(_later, "id long, h int, pos array<int>")
-    later = later.groupBy("id", "h").agg(F.flatten(F.collect_list("pos")).alias("pos")).hint("shuffle_hash")
-    return marked.withColumn("copy", F.coalesce(F.exists("seen", lambda x: x < 0), F.lit(False))).drop("seen").join(later, ["id", "h"], "left")
+    marked = texts.join(each(seen).hint("shuffle_hash"), ["id", "h", "salt"], "left")
+    windows = marked.select("id", "h", "text", "seen").mapInArrow(lambda it: _windows(it, window), "route long, at long, id long, h long, known array<int>")
+    later = windows.repartition("route").sortWithinPartitions("route", F.shiftright("at", 32), "id", "at").mapInArrow(_later, "id long, h long, pos array<int>")
+    later = each(later.groupBy("id", "h").agg(F.flatten(F.collect_list("pos")).alias("pos"))).hint("shuffle_hash")
+    return marked.withColumn("copy", F.coalesce(F.exists("seen", lambda x: x < 0), F.lit(False))).drop("seen").join(later, ["id", "h", "salt"], "left").drop("salt")
+
+
+def _hot(keys: DataFrame) -> DataFrame:
+    """(id, h, salts), stored: keys of over a HOT_SHARE-th of all rows, fewer than HOT_SHARE, and over how many tasks to spread their rows."""
+    limit = keys.count() // HOT_SHARE + 1
+    found = keys.groupBy("id", "h").count().where(F.col("count") > limit)
+    return materialize(found.select("id", "h", F.ceil(F.col("count") / limit).cast("int").alias("salts")), "hot-rows")
 
 
 def _removed(rows: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, window: int) -> Iterator[tuple[np.ndarray, list[bytes]]]:

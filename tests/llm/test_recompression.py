@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from scholium.llm import recompression as R
 
@@ -93,3 +94,46 @@ def test_equal_windows_have_equal_certain_symbols(seed):
         for w in range(first[doc], first[doc + 1] - 19):
             k = names[w : w + 20].tobytes()
             assert seen.setdefault(k, by.get(w, set())) == by.get(w, set())
+
+
+def _word(rng):
+    return "".join(rng.choices("abcdefgh", k=3))
+
+
+def test_null_ids_with_equal_32_bit_hashes(spark):
+    """Rows of one id are told apart by 64 bits of hash: pairs of texts with equal F.hash() once got each other's windows."""
+    rng = random.Random(4)
+    texts = [" ".join(_word(rng) for _ in range(30)) for _ in range(300_000)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    pairs = df.withColumn("h", F.hash("text")).groupBy("h").agg(F.collect_set("text").alias("t")).where(F.size("t") > 1).collect()
+    assert pairs
+    a, b = pairs[0].t[:2]
+    # one of the two has a repeat at a place that the other doesn't have
+    long = lambda t, n: " ".join([t] * n)
+    rows = [(None, a), (None, b), (None, long(a, 3)), (None, long(b, 2)), (5, a), (6, long(b, 4)), (7, " ".join(texts[:2]))]
+    for own in (rows, rows[:2], rows[:4]):
+        got = R.repeat_digests(spark.createDataFrame(own, "doc_id long, text string")).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute(own)))
+        left = R.remove_repeats(spark.createDataFrame(own, "doc_id long, text string")).collect()
+        want = [(n, gone) for _, n, gone, _ in brute(own)]
+        assert len(left) == sum(not gone or gone < n for n, gone in want)
+
+
+def test_one_id_and_text_in_a_third_of_the_rows(spark):
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choices([f"v{i}" for i in range(60)], k=n))
+    same = text(30)
+    hot = [(None, f"{same} {same} x {same}"), (None, ""), (None, None)] * 300
+    rows = [*hot, *((i, text(50) + (" " + same if i % 3 else "")) for i in range(900))]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, salts int").repartition(8)
+    got = R.repeat_digests(df).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute(rows)))
+    keys = R._hot(df.select(F.coalesce("doc_id", F.lit(R._LOWEST)).alias("id"), F.xxhash64("text").alias("h"))).collect()
+    assert len(keys) == 3 and min(r.salts for r in keys) > 50
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = R.with_repeats(df).where("id < 0").groupBy(F.spark_partition_id()).count().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tasks == 4  # all of them hold rows of the three hot keys
