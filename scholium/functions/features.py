@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -52,6 +53,12 @@ def recency_score(year: Column, now: int, half_life: float = 3.0) -> Column:
     return F.exp(-F.ln(F.lit(2.0)) / half_life * F.greatest(now - year, F.lit(0)))
 
 
+def _let(values: dict[str, Column], then: Callable[[dict[str, Column]], Column]) -> Column:
+    """``then`` of the values, each evaluated once a row, also where ``then`` uses it several times or inside lambdas."""
+    bound = F.array(F.struct(*(c.alias(k) for k, c in values.items())))
+    return F.get(F.transform(bound, lambda s: then({k: s[k] for k in values})), F.lit(0))
+
+
 def _found(wanted: Column, words: Column) -> Column:
     return F.size(F.filter(wanted, lambda x: F.array_contains(words, x)))
 
@@ -61,20 +68,22 @@ def relevance_score(topic: Column, title: Column, abstract: Column, concepts_tex
 
     Works row by row, so the topic may be a literal or a joined column.
     """
-    t = tokens(topic)
-    pairs = bigrams(t)
-    many = F.size(t) > 1
-    matched, paired, most, most_paired = [], [], 0.0, 0.0
-    for name, field in (("title", title), ("abstract", abstract), ("concepts", concepts_text)):
-        own = tokens(F.coalesce(field, F.lit("")))
-        own_pairs = bigrams(own)
-        w, wb = FIELD_WEIGHTS[name]
-        matched.append(_found(t, own) / F.size(t) * w)
-        paired.append(_found(pairs, own_pairs) / F.size(pairs) * wb)
-        most, most_paired = most + w, most_paired + wb
-    words = reduce(lambda a, b: a + b, matched)
-    both = words + reduce(lambda a, b: a + b, paired)
-    return F.when(F.size(t) == 0, FLOOR).otherwise(F.greatest(F.when(many, both / (most + most_paired)).otherwise(words / most), F.lit(FLOOR)))
+    fields = {"title": title, "abstract": abstract, "concepts": concepts_text}
+
+    def weighed(v: dict[str, Column]) -> Column:
+        t, pairs = v["topic"], v["topic_pairs"]
+        matched, paired, most, most_paired = [], [], 0.0, 0.0
+        for name in fields:
+            w, wb = FIELD_WEIGHTS[name]
+            matched.append(_found(t, v[name]) / F.size(t) * w)
+            paired.append(_found(pairs, v[f"{name}_pairs"]) / F.size(pairs) * wb)
+            most, most_paired = most + w, most_paired + wb
+        words = reduce(lambda a, b: a + b, matched)
+        both = words + reduce(lambda a, b: a + b, paired)
+        return F.when(F.size(t) == 0, FLOOR).otherwise(F.greatest(F.when(F.size(t) > 1, both / (most + most_paired)).otherwise(words / most), F.lit(FLOOR)))
+
+    own = {"topic": tokens(topic)} | {name: tokens(F.coalesce(field, F.lit(""))) for name, field in fields.items()}
+    return _let(own, lambda v: _let(v | {f"{k}_pairs": bigrams(c) for k, c in v.items()}, weighed))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,8 +21,7 @@ SURVEY_WORDS = "survey review overview systematic comprehensive literature taxon
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits of any script, without stop words and single characters."""
     found = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    stop = F.array(*(F.lit(w) for w in STOP_WORDS))
-    return F.filter(found, lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    return F.filter(found, lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS))
 
 
 def bigrams(words: Column) -> Column:
@@ -121,3 +122,21 @@ def response_json(raw: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(raw, "(?s)<think>.*?</think>", ""), "```(?:json)?", "")
     found = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
     return F.when(found != "", found)
+
+
+# --- probability
+
+#: The rational approximation of the normal distribution's tail (Hart, 1968; West, 2005), highest power first.
+TAIL_ABOVE = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
+TAIL_BELOW = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
+TAIL_TO, TAIL_FAR, ROOT_TWO_PI = 7.07106781186547, 37.0, 2.506628274631
+
+
+def normal_tail(z: Column) -> Column:
+    """P(Z > z) of the standard normal distribution, to some 14 digits; null for null."""
+    x = F.abs(z)
+    horner = lambda cs: reduce(lambda a, c: a * x + F.lit(c), cs[1:], F.lit(cs[0]))
+    near = F.exp(-x * x / 2) * horner(TAIL_ABOVE) / horner(TAIL_BELOW)
+    far = F.exp(-x * x / 2) / (x + 1 / (x + 2 / (x + 3 / (x + 4 / (x + 0.65))))) / ROOT_TWO_PI
+    upper = F.when(x > TAIL_FAR, 0.0).when(x < TAIL_TO, near).otherwise(far)
+    return F.when(z.isNull(), F.lit(None).cast("double")).when(z > 0, upper).otherwise(1 - upper)

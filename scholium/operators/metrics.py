@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,12 +17,21 @@ def with_grades(ranking: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def ideal(gold: DataFrame, ks: tuple[int, ...] = (10, 15)) -> DataFrame:
-    """Per domain: ideal DCG at each k over all gold rows, and the numbers of relevant ones."""
-    place = F.row_number().over(Window.partitionBy("domain_id").orderBy(F.desc("grade"), "article_id"))
-    ranked = gold.withColumn("n", place)
-    term = gain(F.col("grade")) / F.log2(F.col("n") + 1)
-    cols = [F.sum(F.when(F.col("n") <= k, term)).alias(f"idcg{k}") for k in ks]
-    return ranked.groupBy("domain_id").agg(*cols, F.count_if(F.col("grade") >= 1).alias("relevant"))
+    """Per domain: ideal DCG at each k over all gold rows, and the numbers of relevant ones.
+
+    The ideal order puts equal grades side by side, so the numbers of rows by grade say which places each grade takes; sums
+    of 1 / log2(place + 1) up to any place stand in a table of max(ks) + 1 numbers.
+    """
+    sums = [0.0]
+    for place in range(1, max(ks) + 1):
+        sums.append(sums[-1] + 1 / math.log2(place + 1))
+    table = F.array(*map(F.lit, sums))
+    discounts = lambda upto, k: F.get(table, F.least(upto, F.lit(k)).cast("int"))
+    counts = gold.groupBy("domain_id", "grade").agg(F.count("*").alias("m"))
+    last = F.sum("m").over(Window.partitionBy("domain_id").orderBy(F.desc("grade")).rowsBetween(Window.unboundedPreceding, 0))  # a row for each grade
+    placed = counts.withColumn("last", last).withColumn("before", F.col("last") - F.col("m"))
+    cols = [F.sum(gain(F.col("grade")) * (discounts(F.col("last"), k) - discounts(F.col("before"), k))).alias(f"idcg{k}") for k in ks]
+    return placed.groupBy("domain_id").agg(*cols, F.coalesce(F.sum(F.when(F.col("grade") >= 1, F.col("m"))), F.lit(0)).alias("relevant"))
 
 
 def evaluate(ranking: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (10, 15), precision_ks: tuple[int, ...] = (5, 10), recall_k: int = 30, least: int = 1) -> DataFrame:

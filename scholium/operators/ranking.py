@@ -25,7 +25,7 @@ def rank(scored: DataFrame, by: Column, key: str = "domain_id", position: str =
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(by.desc(), F.col(position))))
 
 
-def rank_all(scored: DataFrame, by: Column, key: str = "domain_id", position: str = "id", name: str = "rank", steps: int = 1_000_000, width: int = 1 << 22) -> DataFrame:
+def rank_all(scored: DataFrame, by: Column, key: str = "domain_id", position: str = "id", name: str = "rank", steps: float = 1_000_000, width: int = 1 << 22) -> DataFrame:
     """rank() for whole rankings: a key's rows are dealt by stripes of the score, with the rows before each stripe counted first.
 
     A stripe of one score only is dealt further by stripes of a numeric position. So no task sorts a whole key,
@@ -102,11 +102,19 @@ def promotion_score(survey_like: Column, citations: Column, most: Column, bonus:
     return F.when(survey_like, bonus).otherwise(0.0) + F.when(most > 0, F.coalesce(citations, F.lit(0)) / most).otherwise(0.0)
 
 
+def promotion_pool(gold: DataFrame, works: DataFrame, survey_like: Column) -> DataFrame:
+    """The grade-1 works in the corpus (domain_id, article_id, title, citation_count) with their promotion score.
+
+    A domain's most citations come from an aggregate that is joined back, so that no task gathers a domain.
+    """
+    pool = gold.where("grade = 1").join(works.select("domain_id", F.col("id").alias("article_id"), "title", "citation_count"), ["domain_id", "article_id"])
+    most = pool.groupBy("domain_id").agg(F.max("citation_count").alias("__most"))
+    return pool.join(most, "domain_id").withColumn("score", promotion_score(survey_like, F.col("citation_count"), F.col("__most"))).drop("__most")
+
+
 def promote(gold: DataFrame, works: DataFrame, survey_like: Column, n: int = 5) -> DataFrame:
     """gold (domain_id, article_id, grade) with new_grade: the best n of a domain's grade-1 works in the corpus become 2."""
-    pool = gold.where("grade = 1").join(works.select("domain_id", F.col("id").alias("article_id"), "title", "citation_count"), ["domain_id", "article_id"])
-    most = F.max("citation_count").over(Window.partitionBy("domain_id"))
-    scored = pool.withColumn("score", promotion_score(survey_like, F.col("citation_count"), most))
+    scored = promotion_pool(gold, works, survey_like)
     chosen = top_n(scored, F.col("score"), n, position="article_id").select("domain_id", "article_id", F.lit(2).alias("__up"))
     return gold.join(chosen, ["domain_id", "article_id"], "left").withColumn("new_grade", F.coalesce("__up", "grade")).drop("__up")
 

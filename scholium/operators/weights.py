@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.features import KEYS
 from ..functions.generation import relative_improvement
-from ..sources.shared import scratch
+from ..sources.shared import scratch, ship
 from .metrics import gain, ideal
 
 LOW, HIGH = 0.05, 0.60
@@ -23,13 +26,12 @@ def _weighted(scores: DataFrame) -> DataFrame:
 
 
 def _blocks(vectors: DataFrame) -> list[DataFrame]:
-    """All rows of ``vectors`` in tables of at most MOST_CANDIDATES."""
-    n = vectors.count()
-    if n <= MOST_CANDIDATES:
+    """All rows of ``vectors`` in tables of about MOST_CANDIDATES, dealt by a hash of their content."""
+    n = -(-vectors.count() // MOST_CANDIDATES)
+    if n <= 1:
         return [vectors]
-    at = F.row_number().over(Window.orderBy(*vectors.columns)) - 1
-    placed = vectors.withColumn("__block", F.floor(at / MOST_CANDIDATES))
-    return [placed.where(F.col("__block") == i).drop("__block") for i in range(-(-n // MOST_CANDIDATES))]
+    placed = vectors.withColumn("__block", F.pmod(F.xxhash64(*vectors.columns), F.lit(n)))
+    return [placed.where(F.col("__block") == i).drop("__block") for i in range(n)]
 
 
 def apply_weights(scores: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -46,10 +48,111 @@ def apply_weights(scores: DataFrame, vectors: DataFrame) -> DataFrame:
     return _weighted(joined).select("domain_id", "method", "article_id", "score")
 
 
+#: Works and candidates that are multiplied at once, and numbers that a task keeps before it hands its best rows on.
+BLOCK_WORKS, BLOCK_CANDIDATES, KEEP = 8_192, 512, 4_000_000
+_UNKNOWN = -(2**42)  # stands for a null score: after all others
+
+
+def _best_rows(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each column the k largest entries and their rows, largest first, equal ones in row order.
+
+    Entry and row are packed into one integer, so that one partition of each column settles ties as well.
+    """
+    m = len(scores)
+    packed = scores * m + np.arange(m - 1, -1, -1)[:, None]
+    if m > k:
+        packed = np.partition(packed, m - k, axis=0)[m - k :]
+    packed = -np.sort(-packed, axis=0)
+    return packed // m, m - 1 - packed % m
+
+
+def _products(features: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Scores of all rows under all vectors in billionths, rounded half up; keys are added in order, as Spark's expression does."""
+    out = np.zeros((len(features), len(vectors)))
+    for j in range(features.shape[1]):
+        out += features[:, j, None] * vectors[None, :, j]
+    low = np.floor(out * 1e9 + 0.5)
+    return np.where(np.isnan(low), _UNKNOWN, np.clip(low, _UNKNOWN, -_UNKNOWN)).astype(np.int64)
+
+
+def top_rows(scores: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(domain_id, method, article_id, score, rank): the k best works of each domain under every vector, ties by article_id.
+
+    The same as ranking apply_weights(), but no row is made for a work and a vector: a task multiplies blocks of works
+    by all vectors of a broadcast block and keeps k rows of each (domain, vector), so that what is shuffled and sorted grows with
+    tasks x vectors x k. A task whose kept rows exceed KEEP numbers (very many domains) hands them on and starts anew.
+    Scores lie within +-4,398; null scores come last.
+    """
+    cols = [f"w_{key}" for key in KEYS]
+    own = ["domain_id"] if "domain_id" in vectors.columns else []
+    narrow = scores.select("domain_id", F.col("id").alias("article_id"), *(f"{key}_score" for key in KEYS))
+    id_type = narrow.schema["article_id"].dataType.simpleString()
+    domain_type = narrow.schema["domain_id"].dataType.simpleString()
+    spark = scores.sparkSession
+    ship(spark)
+
+    def of(block: DataFrame) -> DataFrame:
+        table = block.toPandas()  # at most about MOST_CANDIDATES rows
+        if own:
+            groups = {key: (part["method"].to_numpy(object), part[cols].to_numpy(float)) for key, part in table.groupby("domain_id")}
+        else:
+            groups = None
+        shared = spark.sparkContext.broadcast((groups, table["method"].to_numpy(object), table[cols].to_numpy(float)))
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            by_domain, methods, matrix = shared.value
+            kept: dict = {}  # domain: scores and ids, k x vectors each
+            size = 0
+
+            def out() -> Iterator[pa.RecordBatch]:
+                for domain, (best, ids) in kept.items():
+                    names = methods if by_domain is None else by_domain[domain][0]
+                    score = best.ravel(order="F") / 1e9
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([domain] * best.size, kinds[0]), pa.array(np.repeat(names, len(best)), pa.string()), pa.array(ids.ravel(order="F"), kinds[1]), pa.array(score, mask=best.ravel(order="F") == _UNKNOWN)],
+                        names=["domain_id", "method", "article_id", "score"],
+                    )
+
+            kinds: tuple = ()
+            for batch in batches:
+                kinds = kinds or (batch.schema.field(0).type, batch.schema.field(1).type)
+                for at in range(0, batch.num_rows, BLOCK_WORKS):
+                    part = batch.slice(at, BLOCK_WORKS).to_pandas().sort_values(["domain_id", "article_id"], kind="stable")
+                    for domain, rows in part.groupby("domain_id", sort=False):
+                        if by_domain is not None and domain not in by_domain:
+                            continue
+                        x, ids = rows.iloc[:, 2:].to_numpy(float), rows["article_id"].to_numpy()
+                        w = matrix if by_domain is None else by_domain[domain][1]
+                        found = []
+                        for c in range(0, len(w), BLOCK_CANDIDATES):
+                            best, row = _best_rows(_products(x, w[c : c + BLOCK_CANDIDATES]), k)
+                            found.append((best, ids[row]))
+                        best, own_ids = (np.concatenate(parts, axis=1) for parts in zip(*found))
+                        if domain in kept:
+                            size -= kept[domain][0].size
+                            best, own_ids = np.concatenate([kept[domain][0], best]), np.concatenate([kept[domain][1], own_ids])
+                            order = np.argsort(own_ids, axis=0, kind="stable")
+                            best, own_ids = np.take_along_axis(best, order, 0), np.take_along_axis(own_ids, order, 0)
+                            best, row = _best_rows(best, k)
+                            own_ids = np.take_along_axis(own_ids, row, 0)
+                        kept[domain] = best, own_ids
+                        size += best.size
+                    if size > KEEP:
+                        yield from out()
+                        kept.clear()
+                        size = 0
+            yield from out()
+
+        return narrow.mapInArrow(run, f"domain_id {domain_type}, method string, article_id {id_type}, score double")
+
+    found = reduce(DataFrame.union, map(of, _blocks(vectors.select(*own, "method", *cols))))
+    place = F.row_number().over(Window.partitionBy("domain_id", "method").orderBy(F.desc("score"), "article_id"))
+    return found.withColumn("rank", place).where(F.col("rank") <= k)
+
+
 def ndcg(scores: DataFrame, vectors: DataFrame, gold: DataFrame, k: int = 15) -> DataFrame:
-    """(domain_id, method, ndcg15) of each vector; only the top k of a ranking travel beyond its window."""
-    ranked = apply_weights(scores, vectors).withColumn("rank", F.row_number().over(Window.partitionBy("domain_id", "method").orderBy(F.desc("score"), "article_id"))).where(F.col("rank") <= k)
-    graded = ranked.join(gold.select("domain_id", "article_id", "grade"), ["domain_id", "article_id"], "left")
+    """(domain_id, method, ndcg15) of each vector, from the k best works under it."""
+    graded = top_rows(scores, vectors, k).join(gold.select("domain_id", "article_id", "grade"), ["domain_id", "article_id"], "left")
     dcg = graded.groupBy("domain_id", "method").agg(F.sum(gain(F.coalesce("grade", F.lit(0))) / F.log2(F.col("rank") + 1)).alias("dcg"))
     top = ideal(gold, (k,))
     return dcg.join(top, "domain_id", "left").select("domain_id", "method", F.when(F.coalesce(f"idcg{k}", F.lit(0.0)) == 0, 0.0).otherwise(F.col("dcg") / F.col(f"idcg{k}")).alias("ndcg15"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import features as fx
+from ..functions import text as tx
 from ..operators import corpus_stats, generation, meta, metrics, ranking, reports, significance, weights
 from ..sources import stores
 from . import bindings as b
@@ -207,29 +208,57 @@ def d38_alpha_sweep(spark, d):
     return metrics.best_alpha(swept, loo.where("method = 'only_venue'")).select("alpha", "wins", r6("mean").alias("mean"), F.col("place").cast("long").alias("place"))
 
 
-_SIGNED = _LOO | {
-    "diff": "SELECT a.method, a.domain_id, round(a.ndcg15 - z.ndcg15, 12) AS d FROM loo a JOIN loo z ON z.domain_id = a.domain_id AND z.method = 'default' WHERE a.method <> 'default'",
-    "rk": "SELECT *, rank() OVER (PARTITION BY method ORDER BY abs(d)) + (count(*) OVER (PARTITION BY method, abs(d)) - 1) / 2 AS r FROM diff WHERE abs(d) > 1e-9",
-}
+def _horner(cs: tuple[float, ...]) -> str:
+    out = repr(cs[0]) + "::DOUBLE"
+    for c in cs[1:]:
+        out = f"({out} * abs(z) + {c!r}::DOUBLE)"
+    return out
+
+
+#: The normal distribution's tail beyond z, by the same approximation as in Spark.
+_TAIL = f"CASE WHEN abs(z) > {tx.TAIL_FAR} THEN 0.0 WHEN abs(z) < {tx.TAIL_TO!r} THEN exp(-abs(z) * abs(z) / 2) * {_horner(tx.TAIL_ABOVE)} / {_horner(tx.TAIL_BELOW)} ELSE exp(-abs(z) * abs(z) / 2) / (abs(z) + 1 / (abs(z) + 2 / (abs(z) + 3 / (abs(z) + 4 / (abs(z) + 0.65::DOUBLE))))) / {tx.ROOT_TWO_PI} END"
+
+
+def _signed_sql(loo: dict[str, str], value: str = "a.ndcg15 - z.ndcg15") -> dict[str, str]:
+    """All sign patterns are counted by their positive rank sum, one rank after another (ranks times two are whole)."""
+    return loo | {
+        "diff": f"SELECT a.method, a.domain_id, CASE WHEN abs(round({value}, 12)) <= 1e-9 THEN 0.0 ELSE round({value}, 12) END AS d FROM loo a JOIN loo z ON z.domain_id = a.domain_id AND z.method = 'default' WHERE a.method <> 'default'",
+        "rk": "SELECT *, rank() OVER (PARTITION BY method ORDER BY abs(d)) + (count(*) OVER (PARTITION BY method, abs(d)) - 1) / 2 AS r FROM diff",
+        "own_": "SELECT method, sum(CASE WHEN d > 0 THEN q ELSE 0.0 END) AS a, sum(CASE WHEN d < 0 THEN q ELSE 0.0 END) AS b FROM (SELECT *, rank() OVER (PARTITION BY method ORDER BY abs(d)) + (count(*) OVER (PARTITION BY method, abs(d)) - 1) / 2 AS q FROM diff WHERE d <> 0) GROUP BY method",
+        "tied_": "SELECT method, sum(t * t * t - t)::DOUBLE AS tied FROM (SELECT method, abs(d), count(*) AS t FROM diff GROUP BY 1, 2) GROUP BY method",
+        "sums_": "SELECT method, count(*)::DOUBLE AS k, count(*) FILTER (d <> 0) AS n, count(*) FILTER (d = 0) AS zeros, sum(CASE WHEN d > 0 THEN r WHEN d = 0 THEN r / 2 ELSE 0.0 END)::DOUBLE AS w_plus, sum(CASE WHEN d < 0 THEN r WHEN d = 0 THEN r / 2 ELSE 0.0 END)::DOUBLE AS w_minus, sum(CASE WHEN d > 0 THEN r ELSE 0.0 END)::DOUBLE AS up, coalesce(list(CAST(2 * r AS BIGINT) ORDER BY r) FILTER (d <> 0), []) AS ranks FROM rk GROUP BY method",
+        "ways_": "WITH RECURSIVE dp AS (SELECT method, 0 AS i, ranks, list_transform(range(0, CAST(coalesce(list_sum(ranks), 0) AS BIGINT) + 1), lambda i: CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS ways FROM sums_ UNION ALL SELECT method, i + 1, ranks, list_transform(range(0, len(ways)), lambda j: ways[j + 1] + CASE WHEN j >= ranks[dp.i + 1] THEN ways[j - ranks[dp.i + 1] + 1] ELSE 0.0::DOUBLE END) FROM dp WHERE dp.i < len(ranks)) SELECT method, ways FROM dp WHERE i = len(ranks)",
+        "z_": "SELECT *, CASE WHEN n >= 5 THEN (w_plus - k * (k + 1) / 4) / sqrt((k * (k + 1) * (2 * k + 1) - tied / 2) / 24) END AS z FROM sums_ JOIN tied_ USING (method)",
+        "exact_": f"SELECT z_.*, CASE WHEN n = 0 THEN 0.0 ELSE (a - b) / (a + b) END AS rb, CASE WHEN z > 0 THEN {_TAIL} ELSE 1 - {_TAIL} END AS p_normal, CASE WHEN n BETWEEN 5 AND 50 THEN list_sum(ways[CAST(2 * up AS BIGINT) + 1 :]) / 2.0::DOUBLE ** n END AS p_exact FROM z_ JOIN ways_ USING (method) LEFT JOIN own_ USING (method)",
+    }
+
+
+_SIGNED = _signed_sql(_LOO)
+_TESTED = f"SELECT method, n, zeros, w_plus, w_minus, {s6('rb')} AS r_biserial, {s6('z')} AS z, {s6('p_normal')} AS p_normal, {s6('p_exact')} AS p_exact, CASE WHEN zeros = 0 AND n <= 50 THEN {s6('p_exact')} ELSE {s6('p_normal')} END AS p, CASE WHEN abs(rb) >= 0.5 THEN 'large' WHEN abs(rb) >= 0.3 THEN 'medium' ELSE 'small' END AS effect FROM exact_"
 
 
-@query(f"SELECT method, n, w_plus, w_minus, {s6('(w_plus - w_minus) / (w_plus + w_minus)')} AS r_biserial FROM (SELECT method, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0.0 END)::DOUBLE AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0.0 END)::DOUBLE AS w_minus FROM rk GROUP BY method)", ["works", "gold"], _SIGNED, python=True)
+def _tested(loo):
+    tested = significance.signed_rank_test(loo, "default")
+    return tested.withColumns({c: r6(c) for c in ("r_biserial", "z", "p_normal", "p_exact", "p")})
+
+
+@query(f"SELECT method, n, w_plus, w_minus, {s6('rb')} AS r_biserial FROM exact_", ["works", "gold"], _SIGNED, python=True)
 def h14_h15_e3_signed_ranks(spark, d):
     return significance.signed_rank_test(_loo(spark, d), "default").select("method", "n", "w_plus", "w_minus", r6("r_biserial").alias("r_biserial"))
 
 
-#: All sign patterns counted by their positive rank sum, one rank after another (ranks times two are whole).
-_EXACT = _SIGNED | {
-    "sums_": "SELECT method, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0.0 END)::DOUBLE AS w_plus, sum(CASE WHEN d < 0 THEN r ELSE 0.0 END)::DOUBLE AS w_minus, list(CAST(2 * r AS BIGINT) ORDER BY r) AS ranks FROM rk GROUP BY method",
-    "ways_": "WITH RECURSIVE dp AS (SELECT method, 0 AS k, ranks, list_transform(range(0, CAST(list_sum(ranks) AS BIGINT) + 1), lambda i: CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS ways FROM sums_ UNION ALL SELECT method, k + 1, ranks, list_transform(range(0, len(ways)), lambda i: ways[i + 1] + CASE WHEN i >= ranks[k + 1] THEN ways[i - ranks[k + 1] + 1] ELSE 0.0::DOUBLE END) FROM dp WHERE k < len(ranks)) SELECT method, ways FROM dp WHERE k = len(ranks)",
-    "exact_": "SELECT *, (w_plus - w_minus) / (w_plus + w_minus) AS rb, CASE WHEN n >= 5 THEN list_sum(ways[CAST(2 * w_plus AS BIGINT) + 1 :]) / 2.0::DOUBLE ** n END AS p FROM sums_ JOIN ways_ USING (method)",
-}
+@query(_TESTED, ["works", "gold"], _SIGNED, python=True)
+def h14_f4_signed_rank_p(spark, d):
+    return _tested(_loo(spark, d))
 
 
-@query(f"SELECT method, n, w_plus, w_minus, {s6('rb')} AS r_biserial, {s6('p')} AS p, CASE WHEN abs(rb) >= 0.5 THEN 'large' WHEN abs(rb) >= 0.3 THEN 'medium' ELSE 'small' END AS effect FROM exact_", ["works", "gold"], _EXACT, python=True)
-def h14_f4_signed_rank_p(spark, d):
-    tested = significance.signed_rank_test(_loo(spark, d), "default")
-    return tested.withColumns({"r_biserial": r6("r_biserial"), "p": r6("p")})
+_COARSE = "floor(a.ndcg15 * 10 + 0.5) / 10 - floor(z.ndcg15 * 10 + 0.5) / 10"
+
+
+@query(_TESTED, ["works", "gold"], _signed_sql(_LOO, _COARSE), python=True)
+def h14_signed_rank_zeros(spark, d):
+    """On results of one decimal: many differences are zero, and many are equal."""
+    return _tested(_loo(spark, d).withColumn("ndcg15", fx.half_up(F.col("ndcg15"), 1)))
 
 
 @query(f"SELECT a.domain_id, {s6('a.ndcg15 - z.ndcg15')} AS delta FROM loo a JOIN loo z ON z.domain_id = a.domain_id AND z.method = 'default' WHERE a.method = 'only_impact'", ["works", "gold"], _LOO)

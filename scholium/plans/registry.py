@@ -276,9 +276,7 @@ def _survey_like() -> Column:
 
 @query(f"SELECT domain_id, article_id, {s6('score')} AS score FROM pool", ["works", "gold"], _PROMO)
 def b20_promotion_score(spark, d):
-    pool = b.gold(spark, d).where("grade = 1").join(b.works(spark, d).select("domain_id", F.col("id").alias("article_id"), "title", "citation_count"), ["domain_id", "article_id"])
-    most = F.max("citation_count").over(Window.partitionBy("domain_id"))
-    return pool.select("domain_id", "article_id", r6(ranking.promotion_score(_survey_like(), F.col("citation_count"), most)).alias("score"))
+    return ranking.promotion_pool(b.gold(spark, d), b.works(spark, d), _survey_like()).select("domain_id", "article_id", r6("score").alias("score"))
 
 
 @query("SELECT g.domain_id, g.article_id, grade, CAST(CASE WHEN place <= 5 THEN 2 ELSE grade END AS INTEGER) AS new_grade FROM gold g LEFT JOIN placed p ON p.domain_id = g.domain_id AND p.article_id = g.article_id", ["works", "gold"], _PROMO)

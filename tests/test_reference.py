@@ -1,7 +1,9 @@
 """Hand-computed values and invariants of the operators over works, rankings, domains and summaries."""
 
+import itertools
 import json
 import math
+import random
 
 import numpy as np
 import pytest
@@ -170,11 +172,44 @@ def test_signed_rank(spark):
     diffs = [0.1, 0.2, -0.05, 0.3, 0.15, 0.0, 0.25]
     rows = [(f"d{i}", "base", 0.5) for i in range(7)] + [(f"d{i}", "m", 0.5 + x) for i, x in enumerate(diffs)] + [(f"d{i}", "few", 0.5 + (i == 0)) for i in range(7)]
     got = {r.method: r for r in significance.signed_rank_test(spark.createDataFrame(rows, "domain_id string, method string, ndcg15 double"), "base").collect()}
-    assert (got["m"].n, got["m"].w_plus, got["m"].w_minus) == (6, 20.0, 1.0)
-    assert got["m"].p == pytest.approx(2 / 64) and got["m"].effect == "large" and got["few"].p is None
+    # the zero ranks first and gives half a rank to either side
+    assert (got["m"].n, got["m"].zeros, got["m"].w_plus, got["m"].w_minus) == (6, 1, 25.5, 2.5)
+    assert got["m"].r_biserial == pytest.approx(19 / 21) and got["m"].effect == "large"
+    assert got["m"].p_exact == pytest.approx(2 / 64) and got["m"].z == pytest.approx(11.5 / math.sqrt(35)) and got["m"].p == got["m"].p_normal
+    assert got["m"].p_normal == pytest.approx(math.erfc(11.5 / math.sqrt(70)) / 2, abs=1e-13)
+    few = got["few"]
+    assert (few.n, few.zeros, few.w_plus, few.w_minus, few.p, few.p_normal, few.p_exact) == (1, 6, 17.5, 10.5, None, None, None)
     tied = [(f"d{i}", "base", 0.0) for i in range(5)] + [(f"d{i}", "m", x) for i, x in enumerate([0.1, -0.1, 0.1, 0.2, 0.2])]
     r = significance.signed_rank_test(spark.createDataFrame(tied, "domain_id string, method string, ndcg15 double"), "base").first()
-    assert (r.w_plus, r.w_minus) == (13.0, 2.0)
+    assert (r.w_plus, r.w_minus, r.zeros) == (13.0, 2.0, 0) and r.p == r.p_exact == pytest.approx(sum(2 * a + 4.5 * b >= 13 for a in range(4) for b in range(3) for _ in range(math.comb(3, a) * math.comb(2, b))) / 32)
+    assert r.z == pytest.approx((13 - 7.5) / math.sqrt((5 * 6 * 11 - ((27 - 3) + (8 - 2)) / 2) / 24))
+    same = [(f"d{i}", m, 0.5) for i in range(7) for m in ("base", "m")]
+    r = significance.signed_rank_test(spark.createDataFrame(same, "domain_id string, method string, ndcg15 double"), "base").first()
+    assert (r.n, r.zeros, r.w_plus, r.w_minus, r.r_biserial, r.p) == (0, 7, 14.0, 14.0, 0.0, None)
+
+
+def test_signed_rank_of_the_stored_results(spark):
+    """Nineteen domains with five zeros, as the stored results have for one method: all values by the definition."""
+    rng = random.Random(1)
+    d = [0.0] * 5 + [round(rng.choice([-1, 1]) * rng.choice([0.01, 0.02, 0.03, 0.05, 0.08]), 2) for _ in range(14)]
+    rows = [(f"d{i:02}", "base", 0.5) for i in range(19)] + [(f"d{i:02}", "m", 0.5 + x) for i, x in enumerate(d)]
+    r = significance.signed_rank_test(spark.createDataFrame(rows, "domain_id string, method string, ndcg15 double"), "base").first()
+    sizes = sorted(map(abs, d))
+    rank = {x: sum(i + 1 for i, y in enumerate(sizes) if y == x) / sizes.count(x) for x in sizes}
+    zero = 5 * rank[0.0]
+    plus, minus = (sum(rank[abs(x)] for x in d if x * s > 0) + zero / 2 for s in (1, -1))
+    assert (r.n, r.zeros, r.w_plus, r.w_minus) == (14, 5, plus, minus) and plus + minus == 190
+    var = (19 * 20 * 39 - sum(sizes.count(x) ** 3 - sizes.count(x) for x in set(sizes)) / 2) / 24
+    assert r.p == r.p_normal == pytest.approx(math.erfc((plus - 95) / math.sqrt(2 * var)) / 2, abs=1e-12)
+    ups = [rank[abs(x)] for x in d if x]
+    reached = sum(sum(u for u, s in zip(ups, signs) if s) >= plus - zero / 2 for signs in itertools.product((0, 1), repeat=14))
+    assert r.p_exact == pytest.approx(reached / 2**14)
+
+
+def test_normal_tail(spark):
+    zs = [-40.0, -8.0, -3.3, -1.0, 0.0, 0.5, 1.96, 4.0, 7.0, 7.2, 12.0, 40.0]
+    got = spark.createDataFrame([(z,) for z in zs], "z double").select(tx.normal_tail(F.col("z"))).collect()
+    assert [r[0] for r in got] == pytest.approx([math.erfc(z / math.sqrt(2)) / 2 for z in zs], rel=1e-6, abs=1e-14)
 
 
 def test_enrichment(spark):
