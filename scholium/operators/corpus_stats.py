@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,34 @@ FEATURES = (
 )
 
 
+#: Counts and sums of a domain's works that add up over disjoint parts of its corpus.
+COUNTS = ("n", "recent", "high_cited", "h_sum", "h_known", "high_h", "q1", "overlapping", "golden", "grade2")
+#: Precision of the sketch of first authors: an error of about 1.6 percent, 4 KB at most.
+SKETCH_BITS = 12
+
+
+def _per_work(works: DataFrame, gold: DataFrame, recent_year: int, high_cited: int, high_h: int) -> DataFrame:
+    """One narrow row a work: what each statistic needs of it. Repeated (domain, article) gold rows count once, by their highest grade."""
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    first = F.get("authors", F.lit(0))
+    topic_words = F.filter(F.split(F.lower("topic"), r"\s+"), lambda w: F.length(w) > 2)
+    graded = gold.groupBy("domain_id", F.col("article_id").alias("id")).agg(F.max("grade").alias("__grade"))
+    return works.join(graded, ["domain_id", "id"], "left").select(
+        "domain_id",
+        "year",
+        "citation_count",
+        first["name"].alias("first_name"),
+        first["h_index"].alias("first_h"),
+        flag(F.col("year") >= recent_year).alias("recent"),
+        flag(F.col("citation_count") > high_cited).alias("high_cited"),
+        flag(F.exists("authors", lambda a: a["h_index"] >= high_h)).alias("high_h"),
+        flag(F.col("quartile") == "Q1").alias("q1"),
+        flag(F.exists(topic_words, lambda w: F.contains(F.lower("concepts_text"), w))).alias("overlapping"),
+        F.col("__grade").isNotNull().cast("int").alias("golden"),
+        flag(F.col("__grade") == 2).alias("grade2"),
+    )
+
+
 def domain_features(works: DataFrame, gold: DataFrame, recent_year: int = RECENT_YEAR, high_cited: int = HIGH_CITED, high_h: int = HIGH_H) -> DataFrame:
     """One row a domain with corpus_size and the 13 features.
 
@@ -22,30 +52,103 @@ def domain_features(works: DataFrame, gold: DataFrame, recent_year: int = RECENT
     divide by all of a domain's works; gold rows outside the corpus don't count; null years don't enter
     the year statistics. Repeated (domain, article) gold rows count once.
     """
-    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    first = F.get("authors", F.lit(0))
-    topic_words = F.filter(F.split(F.lower("topic"), r"\s+"), lambda w: F.length(w) > 2)
-    graded = gold.groupBy("domain_id", F.col("article_id").alias("id")).agg(F.max("grade").alias("__grade"))
-    rows = works.join(graded, ["domain_id", "id"], "left")
+    rows = _per_work(works, gold, recent_year, high_cited, high_h)
     n = F.count("*")
+    share = lambda c: F.avg(F.col(c).cast("double"))
     out = rows.groupBy("domain_id").agg(
         n.alias("corpus_size"),
         F.median("year").alias("median_year"),
-        share(F.col("year") >= recent_year).alias("pct_recent"),
+        share("recent").alias("pct_recent"),
         F.when(F.count("year") < 2, 0.0).otherwise(F.stddev_pop("year")).alias("year_std"),
         F.median("citation_count").alias("citation_median"),
-        share(F.col("citation_count") > high_cited).alias("pct_high_cited"),
-        (F.countDistinct(first["name"]) / n).alias("unique_author_ratio"),
-        F.coalesce(F.avg(first["h_index"]), F.lit(0.0)).alias("mean_h_index"),
-        share(F.exists("authors", lambda a: a["h_index"] >= high_h)).alias("pct_high_hindex"),
-        share(F.col("quartile") == "Q1").alias("pct_q1"),
-        share(F.exists(topic_words, lambda w: F.contains(F.lower("concepts_text"), w))).alias("topic_concept_overlap"),
-        share(F.col("__grade").isNotNull()).alias("gold_ratio"),
-        share(F.col("__grade") == 2).alias("grade2_ratio"),
+        share("high_cited").alias("pct_high_cited"),
+        (F.countDistinct("first_name") / n).alias("unique_author_ratio"),
+        F.coalesce(F.avg("first_h"), F.lit(0.0)).alias("mean_h_index"),
+        share("high_h").alias("pct_high_hindex"),
+        share("q1").alias("pct_q1"),
+        share("overlapping").alias("topic_concept_overlap"),
+        share("golden").alias("gold_ratio"),
+        share("grade2").alias("grade2_ratio"),
     )
     return out.join(citation_gini(works), "domain_id").select("domain_id", "corpus_size", *FEATURES)
 
 
+def corpus_state(works: DataFrame, gold: DataFrame, recent_year: int = RECENT_YEAR, high_cited: int = HIGH_CITED, high_h: int = HIGH_H) -> DataFrame:
+    """What the features of a part of a corpus come from, so that parts can be merged: rows (domain_id, kind, value, m, counts, authors).
+
+    kind 'year' and 'citations' are counted histograms (value, m), which medians, deviation and gini follow from exactly; kind 'sums'
+    is one row a domain with the sums COUNTS and a HyperLogLog sketch of first authors' names.
+    One pass over the works: a narrow row of each is counted for its year, its citations and its domain within the task, so
+    what is shuffled grows with tasks x distinct values, not with works.
+    """
+    rows = _per_work(works, gold, recent_year, high_cited, high_h)
+    seen = {"n": F.lit(1), "h_sum": F.coalesce("first_h", F.lit(0)), "h_known": F.col("first_h").isNotNull().cast("int")}
+    kind = lambda name, value, author: F.struct(F.lit(name).alias("kind"), value.cast("long").alias("value"), author.cast("string").alias("author"))
+    nothing = F.lit(None)
+    kinds = F.explode(F.array(kind("year", F.col("year"), nothing), kind("citations", F.col("citation_count"), nothing), kind("sums", nothing, F.col("first_name"))))
+    each = rows.select("domain_id", *(seen.get(c, F.col(c)).alias(c) for c in COUNTS), kinds.alias("k"))
+    summed = each.groupBy("domain_id", F.col("k.kind").alias("kind"), F.col("k.value").alias("value")).agg(F.count("*").alias("m"), *(F.sum(c).cast("long").alias(c) for c in COUNTS), F.hll_sketch_agg("k.author", SKETCH_BITS).alias("authors"))
+    return _state_rows(summed)
+
+
+def _state_rows(summed: DataFrame) -> DataFrame:
+    own = F.col("kind") == "sums"
+    return summed.select("domain_id", "kind", "value", "m", F.when(own, F.struct(*COUNTS)).alias("counts"), F.when(own, F.col("authors")).alias("authors"))
+
+
+def merge_states(*states: DataFrame) -> DataFrame:
+    """The state of the parts together; parts must not share works. Equal for any order of parts, and for a merge of merges."""
+    every = reduce(DataFrame.unionByName, states)
+    sums = [F.sum(f"counts.{c}").alias(c) for c in COUNTS]
+    return _state_rows(every.groupBy("domain_id", "kind", "value").agg(F.sum("m").alias("m"), *sums, F.hll_union_agg("authors").alias("authors")))
+
+
+def state_features(state: DataFrame) -> DataFrame:
+    """domain_features() of a corpus from its state; unique_author_ratio is the sketch's estimate, all else exact.
+
+    Windows go over the distinct years and citation numbers of a domain, not over its works.
+    """
+    bins = state.where((F.col("kind") != "sums") & F.col("value").isNotNull())
+    own = Window.partitionBy("domain_id", "kind")
+    upto = F.sum("m").over(own.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    placed = bins.withColumns({"upto": upto, "all": F.sum("m").over(own)}).withColumn("before", F.col("upto") - F.col("m"))
+    at = lambda place: F.min(F.when(F.col("upto") >= place, F.col("value")))
+    low, high = F.floor((F.col("all") + 1) / 2), F.floor((F.col("all") + 2) / 2)
+    m, v, x = F.col("m"), F.col("value"), F.col("value").cast("double")
+    known = placed.groupBy("domain_id", "kind").agg(
+        F.max("all").alias("n"),
+        ((at(low) + at(high)) / 2).alias("median"),
+        F.sum(m * x).alias("total"),
+        F.sum(x * (m * F.col("before") + m * (m + 1) / 2)).alias("placed"),
+        F.sum(m * (x - F.lit(2000)) * (x - F.lit(2000))).alias("squares"),
+        F.sum(m * (v - 2000)).alias("shifted"),
+    )
+    of = lambda kind, *cols: known.where(F.col("kind") == kind).select("domain_id", *(F.col(c).alias(f"{kind}_{c}") for c in cols))
+    sums = state.where("kind = 'sums'").select("domain_id", "counts.*", "authors")
+    every = sums.join(of("year", "n", "median", "squares", "shifted"), "domain_id", "left").join(of("citations", "n", "median", "total", "placed"), "domain_id", "left")
+    n, years, cited = F.col("n"), F.col("year_n"), F.col("citations_n")
+    mean = F.col("year_shifted") / years
+    share = lambda c: (F.col(c) / n)
+    total = F.col("citations_total")
+    return every.select(
+        "domain_id",
+        n.alias("corpus_size"),
+        F.col("year_median").alias("median_year"),
+        share("recent").alias("pct_recent"),
+        F.when(F.coalesce(years, F.lit(0)) < 2, 0.0).otherwise(F.sqrt(F.greatest(F.col("year_squares") / years - mean * mean, F.lit(0.0)))).alias("year_std"),
+        F.when(F.coalesce(total, F.lit(0.0)) == 0, 0.0).otherwise(2 * F.col("citations_placed") / (cited * total) - (cited + 1) / cited).alias("citation_gini"),
+        F.col("citations_median").alias("citation_median"),
+        share("high_cited").alias("pct_high_cited"),
+        (F.hll_sketch_estimate("authors") / n).alias("unique_author_ratio"),
+        F.when(F.col("h_known") == 0, 0.0).otherwise(F.col("h_sum") / F.col("h_known")).alias("mean_h_index"),
+        share("high_h").alias("pct_high_hindex"),
+        share("q1").alias("pct_q1"),
+        share("overlapping").alias("topic_concept_overlap"),
+        share("golden").alias("gold_ratio"),
+        share("grade2").alias("grade2_ratio"),
+    )
+
+
 def citation_gini(works: DataFrame) -> DataFrame:
     """(domain_id, citation_gini): each domain's works are counted by citations first, so that only distinct numbers are put in order."""
     counts = works.groupBy("domain_id", "citation_count").agg(F.count("*").alias("m"))

@@ -50,6 +50,21 @@ def a10_feature_store(spark, d):
     return both.select("loaded", "domain_id", "corpus_size", *(r6(f).alias(f) for f in FEATS))
 
 
+_EXACT_FEATS = [f for f in FEATS if f != "unique_author_ratio"]
+
+
+@query("SELECT domain_id, corpus_size, " + ", ".join(f"{s6(f)} AS {f}" for f in _EXACT_FEATS) + ", true AS authors_within_error FROM stats", ["works", "gold"], _STATS)
+def d1_d13_merged_state(spark, d):
+    """Features from a state to which the works were added in three parts; the sketch's estimate is held against the exact ratio."""
+    path, every, gold = stores.scratch(spark, "corpus-state"), b.works(spark, d), b.gold(spark, d)
+    for i in range(3):
+        stores.add_to_state(spark, path, corpus_stats.corpus_state(every.where(F.col("id") % 3 == i), gold, recent_year=RECENT_YEAR))
+    made = corpus_stats.state_features(stores.load_state(spark, path))
+    exact = every.groupBy("domain_id").agg((F.countDistinct(F.get("authors", F.lit(0))["name"]) / F.count("*")).alias("exact"))
+    near = F.abs(F.col("unique_author_ratio") - F.col("exact")) <= 0.05 * F.col("exact")
+    return made.join(exact, "domain_id").select("domain_id", "corpus_size", *(r6(f).alias(f) for f in _EXACT_FEATS), near.alias("authors_within_error"))
+
+
 @query("SELECT w.domain_id, count(*) FILTER (grade = 2) AS grade2, count(*) FILTER (grade = 1) AS grade1, count(*) FILTER (grade IS NULL) AS background FROM works w LEFT JOIN gold g ON g.domain_id = w.domain_id AND g.article_id = w.id GROUP BY w.domain_id", ["works", "gold"])
 def d14_grade_counts(spark, d):
     return corpus_stats.grade_counts(b.works(spark, d), b.gold(spark, d))

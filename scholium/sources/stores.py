@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.features import KEYS, REQUIRED
 from ..functions.text import slug
-from .shared import scratch  # noqa: F401  stores lie there unless a path is given
+from .shared import children, exists, scratch  # noqa: F401  stores lie in scratch() unless a path is given
 
 
 def save_weights(weights: DataFrame, path: str) -> None:
@@ -33,6 +33,32 @@ def load_features(spark: SparkSession, path: str, domain_id: str | None = None)
     return rows if domain_id is None else rows.where(F.col("domain_id") == domain_id)
 
 
+def save_state(state: DataFrame, path: str) -> int:
+    """A new generation of a corpus state beside the earlier ones, which readers may still hold; its number."""
+    n = (generations(state.sparkSession, path) or [0])[-1] + 1
+    state.write.parquet(f"{path}/generation={n:06}")
+    return n
+
+
+def load_state(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest complete generation, or None."""
+    done = generations(spark, path)
+    return spark.read.parquet(f"{path}/generation={done[-1]:06}") if done else None
+
+
+def add_to_state(spark: SparkSession, path: str, part: DataFrame) -> int:
+    """Merge the state of new works into the stored one without reading the old works again; the new generation's number."""
+    from ..operators.corpus_stats import merge_states
+
+    old = load_state(spark, path)
+    return save_state(part if old is None else merge_states(old, part), path)
+
+
+def generations(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the generations whose writers came to an end, in order."""
+    return sorted(int(name.split("=")[1]) for name in children(spark, path) if name.startswith("generation=") and exists(spark, f"{path}/{name}/_SUCCESS"))
+
+
 def save_results(results: DataFrame, path: str) -> None:
     """Long results (domain_id, method, ndcg15, alpha or null), by method."""
     results.write.mode("overwrite").partitionBy("method").parquet(path)

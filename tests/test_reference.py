@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scholium.functions import features as fx
@@ -415,3 +416,58 @@ def test_scratch_is_refused_on_a_cluster(spark):
     fake = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(ValueError):
         scratch(fake, "x")
+
+
+def test_merged_corpus_state(spark, tmp_path):
+    """Two halves merged, stored in generations, against the features of the whole; nulls, a domain in one half only, an empty part."""
+    kind = "domain_id string, id long, year int, citation_count long, authors array<struct<name:string,h_index:int>>, quartile string, concepts_text string, topic string"
+    rng = random.Random(3)
+    rows = [(rng.choice("abc"), i, rng.choice([None, *range(1990, 2025)]), rng.choice([0, 5, 5, 150, 9000]), rng.choice([None, [], [(f"n{rng.randrange(60)}", rng.choice([None, 3, 25]))], [(None, 30), ("x", 4)]]), rng.choice([None, "Q1", "Q2"]), rng.choice([None, "deep nets", "red ink"]), "the Red net") for i in range(400)]
+    rows += [("only", 1000, None, 0, None, None, None, None), ("one", 1001, 2000, 7, [("n", 1)], "Q1", "red", "red")]
+    whole = spark.createDataFrame(rows, kind)
+    gold = spark.createDataFrame([(d, i, g) for d in "abc" for i in range(0, 400, 7) for g in (1, 2)] + [("a", 99999, 2)], "domain_id string, article_id long, grade int")
+    path = f"file://{tmp_path}/state"
+    assert stores.load_state(spark, path) is None
+    for part in (whole.where("id % 2 = 0"), whole.where("id % 2 = 1"), whole.where("false")):
+        stores.add_to_state(spark, path, corpus_stats.corpus_state(part, gold))
+    assert stores.generations(spark, path) == [1, 2, 3]
+    (tmp_path / "state" / "generation=000004").mkdir()  # a writer that was lost
+    read = lambda df: {r.domain_id: r.asDict() for r in df.collect()}
+    got, want = read(corpus_stats.state_features(stores.load_state(spark, path))), read(corpus_stats.domain_features(whole, gold))
+    assert got.keys() == want.keys()
+    for d, row in want.items():
+        for k, v in row.items():
+            assert got[d][k] == (pytest.approx(v, abs=1e-9) if k != "unique_author_ratio" and v is not None and k != "domain_id" else pytest.approx(v, rel=0.05) if k == "unique_author_ratio" else v), (d, k)
+    once = read(corpus_stats.state_features(corpus_stats.corpus_state(whole, gold)))
+    assert all(got[d][k] == pytest.approx(once[d][k]) for d in once for k in ("citation_gini", "median_year", "mean_h_index", "unique_author_ratio") if once[d][k] is not None)
+
+
+def test_best_rows_by_products(spark, monkeypatch):
+    """Against ranking all rows: ties by id, null scores last, fewer works than k, ids as strings, blocks and early hand-over."""
+    rng = random.Random(7)
+    keys = fx.KEYS
+    rows = [(rng.choice(["a", "b", "c"]), f"w{rng.randrange(10**6):06}", *(rng.choice([None, 0.0]) if rng.random() < 0.01 else rng.randrange(4) / 4 for _ in keys)) for _ in range(300)] + [("few", "w1", *[0.5] * 6)]
+    s = spark.createDataFrame(rows, "domain_id string, id string, " + ", ".join(f"{k}_score double" for k in keys)).dropDuplicates(["id"]).repartition(5)
+    v = [(f"m{i}", *(rng.randrange(3) / 7 for _ in keys)) for i in range(30)]
+    vectors = spark.createDataFrame(v, "method string, " + ", ".join(f"w_{k} double" for k in keys))
+    own = vectors.withColumn("domain_id", F.explode(F.array(F.lit("a"), F.lit("few")))).where("domain_id = 'a' or method < 'm2'")
+    for limits in ({}, {"BLOCK_WORKS": 7, "BLOCK_CANDIDATES": 4, "KEEP": 500, "MOST_CANDIDATES": 8}):
+        for name, value in limits.items():
+            monkeypatch.setattr(weights, name, value)
+        for vec in (vectors, own):
+            every = weights.apply_weights(s, vec)
+            n = F.row_number().over(Window.partitionBy("domain_id", "method").orderBy(F.desc("score"), "article_id"))
+            want = every.withColumn("rank", n).where("rank <= 5")
+            got = weights.top_rows(s, vec, 5)
+            assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_ideal_in_closed_form(spark):
+    rng = random.Random(2)
+    rows = [(d, i, g) for d in "abc" for i in range(30) if (g := rng.choice([0, 0, 1, 2, 3])) or d == "a"] + [("z", 1, 0)]
+    got = {r.domain_id: r for r in metrics.ideal(spark.createDataFrame(rows, "domain_id string, article_id long, grade int"), (3, 10)).collect()}
+    for d in {r[0] for r in rows}:
+        grades = sorted((g for x, _, g in rows if x == d), reverse=True)
+        for k in (3, 10):
+            assert got[d][f"idcg{k}"] == pytest.approx(sum((2**g - 1) / math.log2(i + 2) for i, g in enumerate(grades[:k])))
+        assert got[d].relevant == sum(g >= 1 for g in grades)
