@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import features as fx
+from ..functions import generation as gx
 from ..functions import text as tx
 from ..operators import corpus_stats, generation, meta, metrics, ranking, reports, significance, weights
 from ..sources import stores
 from . import bindings as b
 from .bindings import DEFAULT_WEIGHTS, RECENT_YEAR
-from .registry import RANKED, SCORED, _SCORE, query, r6, ranked, s6, scored, stored_scores
+from .registry import _F1, _LCS, _ROUGE, RANKED, SCORED, _SCORE, query, r6, ranked, s6, scored, stored_scores
 
 FEATS = corpus_stats.FEATURES
 
@@ -561,11 +562,14 @@ def d21_experiment_totals(spark, d):
     return reports.experiment_totals(e).withColumn("mean_improvement_pct", r6("mean_improvement_pct"))
 
 
-@query(f"SELECT event_type AS prompt_id, 'validation' AS split, {s6('avg(CASE WHEN event_id % 9 = 0 THEN 0 ELSE value END)')} AS composite, count(*) AS n, count(*) FILTER (event_id % 9 = 0) AS errors FROM events GROUP BY event_type")
+_D22 = {"composite": "value", "rouge1": "value / 2", "rouge2": "value / 3", "rouge_l": "value / 4", "faithfulness": "CASE WHEN event_id % 4 > 0 THEN value / 5 END", "coverage": "event_id % 7"}
+
+
+@query("SELECT event_type AS prompt_id, CASE WHEN user_id % 2 = 0 THEN 'train' ELSE 'validation' END AS split, " + ", ".join(s6(f"avg(CASE WHEN event_id % 9 = 0 THEN 0 ELSE coalesce({e}, 0) END)") + f" AS {m}" for m, e in _D22.items()) + ", count(*) AS n, count(*) FILTER (event_id % 9 = 0) AS errors FROM events GROUP BY ALL")
 def d22_mean_by_prompt(spark, d):
-    i = F.col("event_id")
-    r = b.table(spark, d, "events").select(F.col("event_type").alias("prompt_id"), F.lit("validation").alias("split"), F.when(i % 9 == 0, 0.0).otherwise(F.col("value")).alias("composite"), F.when(i % 9 == 0, "failed").alias("error"))
-    return generation.mean_by_prompt(r).withColumn("composite", r6("composite"))
+    r = b.table(spark, d, "events").selectExpr("event_type AS prompt_id", "CASE WHEN user_id % 2 = 0 THEN 'train' ELSE 'validation' END AS split", "CASE WHEN event_id % 9 = 0 THEN 'failed' END AS error", *(f"{e} AS {m}" for m, e in _D22.items()))
+    means = generation.mean_by_prompt(r)
+    return means.withColumns({m: r6(m) for m in _D22})
 
 
 def _echo(prompts: list[str]) -> list[tuple[str | None, int, int, str | None]]:
@@ -581,8 +585,47 @@ def j1_batch_completion(spark, d):
     return generation.complete(rows, _echo).select("id", "input_tokens", F.col("error").isNotNull().alias("failed"))
 
 
-@query(python=True)
+_START = ("start", "Summarise:\n{abstract}")
+_TRIED = {1: [("short", "Short:\n{abstract}"), ("after", "Read this text. {abstract}")], 2: [("ended", "{abstract}\nEnd of text"), ("plain", "{abstract}")]}
+
+
+def _search_steps_sql() -> dict[str, str]:
+    """Every prompt on every example; which of them counts in which iteration comes after."""
+    prompts = [(0, 0, *_START)] + [(i, k, *p) for i, tried in _TRIED.items() for k, p in enumerate(tried)]
+    text = lambda t: " || ".join(x for x in ("replace('" + t.replace("\n", "' || chr(10) || '") + "', '{abstract}', generated)",))
+    tall = " UNION ALL ".join(f"SELECT {i} AS iteration, {k} AS place, '{name}' AS prompt_id, id AS example, CASE WHEN id % 3 = 0 THEN 'train' ELSE 'validation' END AS split, {text(t)} AS prompt, reference AS ref FROM pairs" for i, k, name, t in prompts)
+    first = "array_to_string(list_filter(regexp_split_to_array(list_extract(string_split(prompt, chr(10)), -1), '\\s+'), lambda x: x <> '')[1:20], ' ')"
+    measures = ("composite", "rouge1", "rouge2", "rouge_l", "faithfulness", "coverage")
+    renamed = lambda parts: {k: v.replace("FROM pairs", "FROM answers_") for k, v in parts.items()}
+    return {
+        "tall_": tall,
+        "answers_": f"SELECT *, prompt_id || '/' || example AS id, length(prompt) % 5 = 1 AS failed, CASE WHEN length(prompt) % 5 <> 1 THEN {first} END AS generated, ref AS reference FROM tall_",
+        **renamed(_ROUGE),
+        "lcs_": _LCS["lcs_"],
+        "one_f": f"SELECT one.id, {_F1} AS v FROM one LEFT JOIN c1 USING (id)",
+        "two_f": f"SELECT two.id, {_F1} AS v FROM two LEFT JOIN c2 USING (id)",
+        "measured_": "SELECT a.*, coalesce(o.v, 0) AS rouge1, coalesce(t.v, 0) AS rouge2, CASE WHEN coalesce(n, 0) = 0 THEN 0.0 ELSE floor(2.0::DOUBLE * n / (len(g) + len(r)) * 1e4 + 0.5) / 1e4 END AS rouge_l, CASE WHEN example % 4 = 0 THEN 0.5 ELSE example % 10 / 10.0 END::DOUBLE AS faithfulness, CASE WHEN example % 4 = 0 THEN 0.5 ELSE example % 7 / 7.0 END::DOUBLE AS coverage FROM answers_ a LEFT JOIN one_f o USING (id) LEFT JOIN two_f t USING (id) LEFT JOIN toks_ k USING (id) LEFT JOIN lcs_ l USING (id)",
+        "composed_": "SELECT *, CASE WHEN failed THEN 0 ELSE floor((0.4 * ((rouge1 + rouge2 + rouge_l) / 3) + 0.4 * faithfulness + 0.2 * coverage) * 1e4 + 0.5) / 1e4 END AS composite FROM measured_",
+        "means_": "SELECT iteration, place, prompt_id, split, count(*) AS n, count(*) FILTER (failed) AS errors, " + ", ".join(f"avg(CASE WHEN failed THEN 0 ELSE {m} END) AS {m}" for m in measures) + " FROM composed_ GROUP BY ALL",
+        "valid_": "SELECT *, row_number() OVER (PARTITION BY iteration ORDER BY floor(composite * 1e9 + 0.5) DESC, place) AS f, max(floor(composite * 1e9 + 0.5)) OVER (ORDER BY iteration RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM means_ WHERE split = 'validation'",
+        "bests_": "SELECT iteration, place, prompt_id, f = 1 AND (before IS NULL OR floor(composite * 1e9 + 0.5) > before) AS is_best FROM valid_",
+        "trained_": "SELECT i.iteration, arg_max(v.prompt_id, v.iteration) AS prompt_id FROM (SELECT unnest([1, 2]) AS iteration) i JOIN bests_ v ON v.iteration < i.iteration AND v.is_best GROUP BY i.iteration",
+        "worst_": "SELECT t.iteration, string_agg(example::VARCHAR, ',' ORDER BY k) AS worst FROM trained_ t JOIN (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY composite, example::VARCHAR) AS k FROM composed_ WHERE split = 'train') c USING (prompt_id) WHERE k <= 5 GROUP BY t.iteration",
+    }
+
+
+_HISTORY = "prompt_id, split, n, errors, " + ", ".join(f"{s6(m)} AS {m}" for m in generation.MEASURES)
+
+
+@query(f"SELECT iteration, {_HISTORY}, is_best, NULL AS worst FROM means_ JOIN bests_ USING (iteration, place, prompt_id) WHERE split = 'validation' UNION ALL SELECT t.iteration, {_HISTORY}, false, worst FROM trained_ t JOIN (SELECT * EXCLUDE (iteration) FROM means_ WHERE split = 'train') m USING (prompt_id) JOIN worst_ w USING (iteration)", ["pairs"], _search_steps_sql(), python=True)
 def j2_prompt_selection(spark, d):
-    examples = b.pairs(spark, d).select(F.col("id").cast("string").alias("example_id"), F.col("generated").alias("article_text"), "reference")
-    _, history = generation.run_iterations(examples, [[("short", "Short:\n{abstract}")], [("plain", "{abstract}")]], _echo, ("start", "Summarise:\n{abstract}"))
-    return spark.createDataFrame([(h["iteration"], h["best"], h["improved"]) for h in history], "iteration int, best string, improved boolean")
+    """The history of a search, interrupted after its first iteration and gone on with."""
+    i = F.col("id")
+    examples = b.pairs(spark, d).select(i.cast("string").alias("example_id"), F.when(i % 3 == 0, "train").otherwise("validation").alias("split"), F.col("generated").alias("article_text"), "reference")
+    judged = b.pairs(spark, d).where(i % 4 != 0).select(i.cast("string").alias("example_id"), (i % 10 / F.lit(10.0)).alias("faithfulness"), (i % 7 / F.lit(7.0)).alias("coverage"))
+    search = lambda: generation.PromptSearch(examples, _echo, path, lambda r: gx.attach_judge(r, judged, ["example_id"]))
+    path = stores.scratch(spark, "prompt-search")
+    search().run(_START, lambda k, best, bad: _TRIED[k], 1)
+    search().run(_START, lambda k, best, bad: _TRIED[k], 2)
+    h = search().history()
+    return h.select(F.col("iteration").cast("int").alias("iteration"), "prompt_id", "split", "n", "errors", *(r6(m).alias(m) for m in generation.MEASURES), "is_best", "worst")

@@ -394,18 +394,61 @@ def test_gini_counts_equal_numbers(spark):
     assert got["zero"] == 0
 
 
-def test_prompt_selection(spark):
-    """The chosen prompt is the one whose answers overlap most, by the same formulas in plain Python; ties keep the current one."""
-    examples = spark.createDataFrame([("e1", "alpha beta gamma", "alpha beta gamma"), ("e2", "one two", "two three")], "example_id string, article_text string, reference string")
+def test_prompt_selection(spark, tmp_path):
+    """The chosen prompt is the one whose answers overlap most; ties keep the current one; a rerun asks for nothing again."""
+    kind = "example_id string, split string, article_text string, reference string"
+    examples = spark.createDataFrame([("e1", "validation", "alpha beta gamma", "alpha beta gamma"), ("e2", "validation", "one two", "two three"), ("t1", "train", "red", "red"), ("t2", "train", "blue", "green"), ("t3", "train", "x y", "x z")], kind)
 
     def fn(prompts):
         if any("broken" in p for p in prompts):
             raise ValueError("no")
         return [("nothing alike" if p.startswith("bad") else p.split("\n")[-1], 1, 1, None) for p in prompts]
 
-    best, history = generation.run_iterations(examples, [[("same", "again\n{abstract}"), ("broken", "broken {abstract}")], [("good", "good\n{abstract}")]], fn, ("start", "bad\n{abstract}"))
-    assert [h["best"] for h in history] == ["same", "same"] and best == "same"
-    assert [h["improved"] for h in history] == [True, False] and history[0]["tried"] == ["start", "same", "broken"]
+    asked = []
+
+    def propose(i, best, bad):
+        asked.append((i, best, [(r.example_id, r.reference) for r in bad]))
+        return [[("same", "again\n{abstract}"), ("broken", "broken {abstract}"), ("equal", "{abstract}")], [("good", "good\n{abstract}")], []][i - 1]
+
+    path = f"file://{tmp_path}/search"
+    search = generation.PromptSearch(examples, fn, path)
+    assert search.run(("start", "bad\n{abstract}"), propose, 1, n_worst=2) == ("same", "again\n{abstract}")
+    (tmp_path / "search" / "results" / "iteration=2" / "step=train").mkdir(parents=True)  # a step that was lost
+    assert search.run(("start", "bad\n{abstract}"), propose, 1, n_worst=2) == ("same", "again\n{abstract}")
+    assert asked == [(1, "bad\n{abstract}", [("t1", "red"), ("t2", "green")])]
+
+
+def test_prompt_search_goes_on(spark, tmp_path):
+    kind = "example_id string, split string, article_text string, reference string"
+    rows = [(f"e{i}", "validation" if i % 2 else "train", f"w{i} common words", f"w{i} common end") for i in range(8)]
+    examples = spark.createDataFrame(rows, kind)
+    fn = lambda prompts: [(None, 0, 0, "refused") if "w1 " in p and p.startswith("f") else (p.split(":")[1], 1, 1, None) for p in prompts]
+    steps = {1: [("fails", "f:{abstract}"), ("whole", "w:{abstract}"), ("twin", "v:{abstract}")], 2: [("later", "l:{abstract}")]}
+    asked = []
+
+    def propose(i, best, bad):
+        asked.append(i)
+        return steps[i]
+
+    path = f"file://{tmp_path}/search"
+    judge = lambda r: r.withColumns({"faithfulness": F.lit(0.5), "coverage": F.lit(1.0)})
+    first = generation.PromptSearch(examples, fn, path, judge)
+    assert first.run(("start", "s:nothing"), propose, 1)[0] == "whole"
+
+    def refuses(prompts):
+        raise AssertionError("asked again")
+
+    assert generation.PromptSearch(examples, refuses, path, judge).run(("start", "s:nothing"), propose, 1)[0] == "whole" and asked == [1]
+    assert generation.PromptSearch(examples, fn, path, judge).run(("start", "s:nothing"), propose, 2)[0] == "whole" and asked == [1, 2]
+    got = {(r.iteration, r.prompt_id, r.split): r for r in first.history(n_worst=2).collect()}
+    assert sorted(k for k, r in got.items() if r.is_best) == [(0, "start", "validation"), (1, "whole", "validation")]
+    whole, fails = got[1, "whole", "validation"], got[1, "fails", "validation"]
+    # four validation answers "w_ common words" against "w_ common end": two of three words, one of two pairs
+    assert (whole.n, whole.errors, fails.errors) == (4, 0, 1)
+    assert (whole.rouge1, whole.rouge2, whole.rouge_l, whole.faithfulness, whole.coverage) == (0.6667, 0.5, 0.6667, 0.5, 1.0)
+    assert whole.composite == pytest.approx(round(0.4 * (0.6667 + 0.5 + 0.6667) / 3 + 0.2 + 0.2, 4))
+    assert fails.composite == pytest.approx(whole.composite * 3 / 4) and fails.faithfulness == pytest.approx(0.375)
+    assert got[2, "whole", "train"].worst == "e0,e2" and got[1, "start", "train"].worst == "e0,e2"
 
 
 def test_scratch_is_refused_on_a_cluster(spark):
