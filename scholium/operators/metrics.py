@@ -109,3 +109,17 @@ def best_alpha(results: DataFrame, baseline: DataFrame, value: str = "ndcg15") -
     base = baseline.select("domain_id", F.col(value).alias("base"))
     swept = results.join(base, "domain_id").groupBy("alpha").agg(F.count_if(F.col(value) > F.col("base")).alias("wins"), F.avg(value).alias("mean"))
     return swept.withColumn("place", F.row_number().over(Window.orderBy(F.desc("wins"), F.desc("mean"), "alpha")))  # a dozen alphas
+
+
+def blend_sweep(results: DataFrame, blends: tuple[str, ...], baseline: str = "transfer") -> DataFrame:
+    """(blend, alpha, wins, mean, best) of stored results (domain_id, method, ndcg15, alpha) of blends, each against the baseline method.
+
+    A blend's methods are named <blend>_<alpha>. best marks each blend's own alpha with most wins, then the highest mean, then the lowest alpha;
+    as it is chosen on the folds it is reported on, its mean is optimistic.
+    """
+    base = results.where(F.col("method") == baseline).select("domain_id", F.col("ndcg15").alias("base"))
+    named = F.coalesce(*(F.when(F.startswith("method", F.lit(f"{b}_")), b) for b in blends))
+    swept = results.where(F.col("alpha").isNotNull()).withColumn("blend", named).where(F.col("blend").isNotNull()).join(base, "domain_id")
+    each = swept.groupBy("blend", "alpha").agg(F.count_if(F.col("ndcg15") > F.col("base")).alias("wins"), F.avg("ndcg15").alias("mean"))
+    order = Window.partitionBy("blend").orderBy(F.desc("wins"), F.desc(F.floor(F.col("mean") * 1e9 + 0.5)), "alpha")  # a dozen alphas
+    return each.withColumn("best", F.row_number().over(order) == 1)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import rank_all
+
 
 def run_log(logs: DataFrame) -> DataFrame:
     """Per agent and in total: runs, seconds (unfinished count 0), tokens, calls, errors."""
@@ -82,12 +84,68 @@ def feedback_table(feedback: DataFrame) -> DataFrame:
 
 
 def experiment_summary(experiments: DataFrame) -> DataFrame:
-    """Experiments by final composite, with deltas and minutes."""
-    place = F.row_number().over(Window.orderBy(F.desc("final_composite"), "run_name"))  # one row a run
-    return experiments.select("run_name", place.alias("place"), (F.col("final_composite") - F.col("baseline_composite")).alias("delta"), "improvement_pct", (F.col("improvement_pct") > 0.5).alias("improved"), (F.col("duration_seconds") / 60).alias("minutes"))
+    """Experiments by final composite, with the deltas of composite, faithfulness and coverage, and minutes.
+
+    Places are counted by stripes of the composite, so that runs aren't sorted in one task.
+    """
+    placed = rank_all(experiments.withColumn("__all", F.lit(1)), F.col("final_composite"), "__all", "run_name", "place", steps=1_000)
+    delta = lambda m: (F.col(f"final_{m}") - F.col(f"baseline_{m}")).alias("delta" if m == "composite" else f"delta_{m}")
+    return placed.select("run_name", "place", *(delta(m) for m in ("composite", "faithfulness", "coverage")), "improvement_pct", (F.col("improvement_pct") > 0.5).alias("improved"), (F.col("duration_seconds") / 60).alias("minutes"))
+
+
+#: Shown for what is absent.
+ABSENT = "—"
+
+
+def _short(text: Column, longest: int, mark: str) -> Column:
+    return F.when(F.length(text) <= longest, text).otherwise(F.concat(F.substring(text, 1, longest), F.lit(mark)))
+
+
+def ranked_articles(ranked: DataFrame, longest: int = 78, venue_longest: int = 42) -> DataFrame:
+    """Ranked works for display: short titles, the venue with (pp) for preprints, and the score to two places."""
+    venue = F.concat(F.substring(F.when(F.coalesce("journal_name", F.lit("")) == "", ABSENT).otherwise(F.col("journal_name")), 1, venue_longest), F.when(F.coalesce("is_preprint", F.lit(False)), " (pp)").otherwise(""))
+    return ranked.select("domain_id", "rank", "id", _short(F.col("title"), longest, "…").alias("title"), venue.alias("venue"), "year", "citation_count", _two(F.col("final_score")).alias("final_score"))
+
+
+def _two(x: Column) -> Column:
+    return F.floor(x * 100 + 0.5) / 100
+
+
+def score_breakdown(ranked: DataFrame, longest: int = 42) -> DataFrame:
+    """The scores for venue, authors, impact and relevance behind each ranked work's final score, to two places."""
+    parts = [_two(F.col(f"{k}_score")).alias(k) for k in ("venue", "authors", "impact", "relevance")]
+    return ranked.select("domain_id", "rank", "id", _short(F.col("title"), longest, "...").alias("title"), *parts, _two(F.col("final_score")).alias("final"))
+
+
+def trend_table(trends: DataFrame, shown: int = 3) -> DataFrame:
+    """Trends (trend_id, name, maturity, description, evidence) for display: maturity in capitals, the first ids of evidence joined."""
+    few = F.array_join(F.slice("evidence", 1, shown), ", ")
+    return trends.select("trend_id", "name", F.upper("maturity").alias("maturity"), "description", F.when(F.coalesce(few, F.lit("")) == "", ABSENT).otherwise(few).alias("evidence"))
+
+
+def digest(problem: Column, method: Column, results: Column, narrative: Column, least: int = 20) -> Column:
+    """A few sentences on a work: problem, method and the first sentence of the results where they are specified, or the first two long
+    sentences of a narrative; sentences of ``least`` characters or fewer don't count. Null where nothing is left."""
+    said = lambda c: F.when(~F.lower(F.trim(F.coalesce(c, F.lit("")))).isin("", "not specified"), c)
+    first = F.trim(F.get(F.split(said(results), r"\."), F.lit(0)))
+    structured = F.array(said(problem), said(method), F.when(F.length(first) > least, F.concat(first, F.lit("."))))
+    sentences = F.filter(F.transform(F.split(narrative, r"\."), lambda x: F.trim(x)), lambda x: F.length(x) > least)
+    prose = F.transform(F.slice(sentences, 1, 2), lambda x: F.concat(x, F.lit(".")))
+    text = F.array_join(F.when(narrative.isNotNull(), prose).otherwise(F.filter(structured, lambda x: x.isNotNull())), "  ")
+    return F.when(text != "", text)
+
 
+def emerging_trends(trends: DataFrame, articles: DataFrame, summaries: DataFrame, most: int = 4) -> DataFrame:
+    """(trend_id, name, pos, article_id, heading, digest): the first evidence of emerging trends that has an article or a summary.
 
-def ranked_articles(ranked: DataFrame, longest: int = 40) -> DataFrame:
-    """Ranked works with short titles and rounded scores, for display."""
-    short = F.when(F.length("title") <= longest, F.col("title")).otherwise(F.concat(F.substring("title", 1, longest - 1), F.lit("…")))
-    return ranked.select("domain_id", "rank", "id", short.alias("title"), "year", "citation_count", (F.floor(F.col("final_score") * 1e3 + 0.5) / 1e3).alias("final_score"))
+    ``summaries`` has (article_id, problem, method, results, narrative), narrative null for structured ones. An emerging trend
+    without any such evidence has one row with null pos.
+    """
+    rising = trends.where("maturity = 'emerging'")
+    each = rising.select("trend_id", F.posexplode(F.slice("evidence", 1, most)).alias("pos", "article_id"))
+    a = articles.select(F.col("id").alias("article_id"), F.col("title").alias("__title"), "year")
+    s = summaries.select("article_id", "problem", "method", "results", "narrative", F.lit(True).alias("__summary"))
+    found = each.join(a, "article_id", "left").join(s, "article_id", "left").where("__title is not null or __summary")
+    heading = F.coalesce(F.concat(F.col("__title"), F.lit(" ("), F.col("year").cast("string"), F.lit(")")), F.col("__title"), F.col("article_id").cast("string"))
+    shown = found.select("trend_id", "pos", "article_id", heading.alias("heading"), digest(*(F.col(c) for c in ("problem", "method", "results", "narrative"))).alias("digest"))
+    return rising.select("trend_id", "name").join(shown, "trend_id", "left")

@@ -506,16 +506,34 @@ def h9_h10_votes_with_bayes(spark, d):
     return meta.soft_vote(members).union(meta.hard_vote(members)).select("fold", "method", *(r6(w).alias(w) for w in _W))
 
 
-@query(python=True)
-def h13_a11_leave_one_out(spark, d):
-    predicted = stores.scratch(spark, "predicted")
+def _loo_store(spark, d, methods: str | None = None) -> str:
+    """Leave-one-out results in the store: all of them, or those whose method meets a condition. Some folds are saved first and replaced."""
+    predicted, path = stores.scratch(spark, "predicted"), stores.scratch(spark, "loo")
     stores.save_features(meta.leave_one_out(_domains(spark, d), DEFAULT_WEIGHTS), predicted)
     v = stores.load_features(spark, predicted)
+    v = v.where(methods) if methods else v
     vectors = v.select(F.col("fold").alias("domain_id"), "method", *_W)
     loo = weights.ndcg(scored(spark, d), vectors, b.gold(spark, d))
-    path = stores.scratch(spark, "loo")
+    early = v.select(F.col("fold").alias("domain_id"), "method", F.lit(-1.0).alias("ndcg15"), "alpha").where("domain_id in ('NATION_2', 'NATION_5')")
+    stores.save_results(early, path)
     stores.save_results(loo.join(v.select("method", "alpha").distinct(), "method", "left"), path)
-    return spark.read.schema("domain_id string, ndcg15 double, alpha double, method string").parquet(path)
+    return path
+
+
+@query(python=True)
+def h13_a11_leave_one_out(spark, d):
+    return stores.load_results(spark, _loo_store(spark, d))
+
+
+_BLENDS = ("blend_ridge", "blend_bayes")
+
+
+@query(python=True)
+def d38_a11_blend_sweep(spark, d):
+    """Both blends' alphas against transfer, from the store; only their partitions are read."""
+    path = _loo_store(spark, d, "method like 'blend%' or method = 'transfer'")
+    wanted = ["transfer", *(f"{blend}_{x:.1f}" for blend in _BLENDS for x in meta.BLEND)]
+    return metrics.blend_sweep(stores.load_results(spark, path, wanted), _BLENDS)
 
 
 # --- operations and reports
@@ -548,14 +566,6 @@ def d19_h_index_summary(spark, d):
     return s.withColumns({c: r6(c) for c in ("mean_h", "share_zero", "share_high")})
 
 
-@query(f"SELECT run_name, place, {s6('delta')} AS delta, improvement_pct, improvement_pct > 0.5 AS improved, {s6('secs / 60')} AS minutes FROM (SELECT 'run ' || user_id AS run_name, row_number() OVER (ORDER BY max(value) DESC, 'run ' || user_id) AS place, max(value) - min(value) AS delta, (user_id % 20 - 10) / 4.0 AS improvement_pct, count(*) * 1.0 AS secs FROM events GROUP BY user_id)")
-def d21_experiment_summary(spark, d):
-    e = b.table(spark, d, "events").groupBy("user_id").agg(F.max("value").alias("final_composite"), F.min("value").alias("baseline_composite"), (F.count("*") * F.lit(1.0)).alias("duration_seconds"))
-    e = e.withColumns({"run_name": F.concat(F.lit("run "), F.col("user_id")), "improvement_pct": (F.col("user_id") % 20 - 10) / F.lit(4.0)})
-    s = reports.experiment_summary(e)
-    return s.select("run_name", F.col("place").cast("long").alias("place"), r6("delta").alias("delta"), "improvement_pct", "improved", r6("minutes").alias("minutes"))
-
-
 @query(f"SELECT count(*) AS runs, {s6('avg(p)')} AS mean_improvement_pct, count(*) FILTER (p > 0.5) AS runs_improved FROM (SELECT (user_id % 20 - 10) / 4.0 AS p FROM events GROUP BY user_id)")
 def d21_experiment_totals(spark, d):
     e = b.table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n")).withColumn("improvement_pct", (F.col("user_id") % 20 - 10) / F.lit(4.0))

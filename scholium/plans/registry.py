@@ -465,9 +465,36 @@ def a1_a2_a3_works_scan(spark, d):
     return a.select("id", "doi", "title", "abstract", F.size("authors").cast("long").alias("n_authors"), "year", "citation_count", "is_preprint", "open_access", "url", F.size("concepts").cast("long").alias("n_concepts"))
 
 
-@query("SELECT reason, n FROM (SELECT 'missing id or title' AS reason, count(*) AS n FROM works WHERE id % 11 = 0 UNION ALL SELECT 'not JSON', 1)", ["works"])
+@query("SELECT reason, n, true AS all_have_places FROM (SELECT 'missing id or title' AS reason, count(*) AS n FROM works WHERE id % 11 = 0 UNION ALL SELECT 'not JSON', 1)", ["works"])
 def a5_rejects(spark, d):
-    return _landed(spark, d)[1].groupBy("reason").agg(F.count("*").alias("n"))
+    return _landed(spark, d)[1].groupBy("reason").agg(F.count("*").alias("n"), F.bool_and(F.col("file").isNotNull() & F.col("block").isNotNull()).alias("all_have_places"))
+
+
+#: Results asked for of each topic; a page has at most 100.
+N_RESULTS = 450
+_PAGES = {
+    "placed_": "SELECT *, 1 + (row_number() OVER (PARTITION BY domain_id ORDER BY id) - 1) // 100 AS page FROM works",
+    "paged_": "SELECT *, row_number() OVER (PARTITION BY domain_id, page ORDER BY id) AS on_page, count(*) OVER (PARTITION BY domain_id, page) AS size FROM placed_ WHERE NOT (n_nationkey % 5 = 0 AND page = 2 AND id % 7 = 0)",
+    "short_": "SELECT domain_id, min(page) AS last FROM paged_ WHERE size < 100 GROUP BY domain_id",
+    "taken_": f"SELECT p.*, row_number() OVER (PARTITION BY p.domain_id ORDER BY page, on_page) AS result_pos FROM paged_ p LEFT JOIN short_ s USING (domain_id) WHERE page <= coalesce(last, page)",
+}
+
+
+@query(f"SELECT domain_id AS topic, result_pos, 'openalex_W' || id AS id FROM taken_ WHERE result_pos <= {N_RESULTS} AND id % 11 <> 0", ["works"], _PAGES)
+def a1_first_results(spark, d):
+    """Each topic's pages up to its first short one or to N_RESULTS; some topics have a short page before their last."""
+    path = stores.scratch(spark, "topic-pages")
+    number = F.regexp_extract("id", "([0-9]+)$", 1).cast("long")
+    placed = ranking.rank_all(b.works(spark, d).select("id", "domain_id"), -F.col("id").cast("double"), steps=1e-3)
+    page = F.floor((F.col("rank") - 1) / 100).cast("int") + 1
+    own = placed.select(F.col("id").alias("number"), F.col("domain_id").alias("topic"), page.alias("page")).where(~((F.regexp_extract("topic", "([0-9]+)$", 1).cast("int") % 5 == 0) & (F.col("page") == 2) & (F.col("number") % 7 == 0)))
+    records = _raw_works(spark, d).withColumn("number", number).join(own, "number")
+    of_work = [c for c in records.columns if c not in ("number", "topic", "page")]
+    lists = records.groupBy("topic", "page").agg(F.sort_array(F.collect_list(F.struct("number", F.to_json(F.struct(*of_work)).alias("w")))).alias("ws"))  # 100 records at most
+    value = F.concat(F.lit('{"meta":{"page":'), F.col("page").cast("string"), F.lit('},"results":['), F.array_join(F.transform("ws", lambda x: x["w"]), ","), F.lit("]}"))
+    lists.select("topic", value.alias("value")).repartition("topic").write.partitionBy("topic").text(path)
+    good, _ = sources.scan_pages(spark, path, N_RESULTS)
+    return good.select("topic", "result_pos", F.concat(F.lit("openalex_"), F.element_at(F.split("id", "/"), -1)).alias("id"))
 
 
 @query("SELECT doc_id, trim(regexp_replace(text, '[ \\n]+', ' ', 'g'), ' ') AS abstract FROM documents WHERE trim(regexp_replace(text, '[ \\n]+', ' ', 'g'), ' ') <> ''")
@@ -486,10 +513,28 @@ def a7_gold_corpus(spark, d):
     return sources.read_gold(spark, path)
 
 
+@query("SELECT w.domain_id, 'W' || id AS article_id, title, year, citation_count, grade FROM works w LEFT JOIN gold g ON g.domain_id = w.domain_id AND g.article_id = w.id WHERE w.domain_id NOT IN ('NATION_1', 'NATION_2')", ["works", "gold"])
+def a7_gold_articles(spark, d):
+    """Articles beside their grades, both landed as JSON; of two domains one half is missing."""
+    path = stores.scratch(spark, "gold-corpus")
+    name = F.concat(F.lit("W"), F.col("id").cast("string"))
+    part = F.floor(F.col("id") / PAGE)
+    w = b.works(spark, d).where("domain_id <> 'NATION_1'").select("domain_id", part.alias("k"), F.struct(name.alias("id"), "title", "abstract", "year", "citation_count", "journal_name", "is_preprint").alias("a"))
+    w.groupBy("domain_id", "k").agg(F.to_json(F.collect_list("a")).alias("value")).select("domain_id", "value").repartition("domain_id").write.partitionBy("domain_id").text(f"{path}/articles")
+    g = b.gold(spark, d).where("domain_id <> 'NATION_2'").groupBy("domain_id", F.floor(F.col("article_id") / PAGE).alias("k")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("W"), F.col("article_id").cast("string")), "grade")))).alias("value"))
+    g.select("domain_id", "value").repartition("domain_id").write.partitionBy("domain_id").text(f"{path}/relevance")
+    articles, gold, _ = sources.read_gold_corpus(spark, path)
+    return articles.withColumnRenamed("id", "article_id").join(gold, ["domain_id", "article_id"], "left").select("domain_id", "article_id", "title", "year", "citation_count", "grade")
+
+
 @query("SELECT domain_id, count(*) AS n, max(topic) AS topic FROM works WHERE domain_id NOT IN ('NATION_3', 'NATION_7') GROUP BY domain_id", ["works"])
 def a8_domain_config(spark, d):
-    config = b.works(spark, d).groupBy("domain_id").agg(F.count("*").alias("n"), F.max("topic").alias("topic"))
-    return sources.exclude_domains(config, ["NATION_3", "NATION_7"])
+    """The works of each configured domain; the configuration is landed as JSON and read again."""
+    path = stores.scratch(spark, "config")
+    listed = b.works(spark, d).groupBy("domain_id").agg(F.max("topic").alias("topic"))
+    listed.groupBy(F.pmod(F.xxhash64("domain_id"), F.lit(4))).agg(F.collect_list(F.struct(F.col("domain_id").alias("id"), "topic", F.lit("note").alias("comment"))).alias("domains")).select("domains").write.option("maxRecordsPerFile", 1).json(path)
+    config = sources.read_domain_config(spark, f"{path}/*.json", ["NATION_3", "NATION_7"])
+    return b.works(spark, d).select("domain_id").join(config, "domain_id").groupBy("domain_id").agg(F.count("*").alias("n"), F.max("topic").alias("topic"))
 
 
 @query(f"SELECT domain_id AS topic, {s6('w_venue')} AS w_venue, {s6('w_relevance')} AS w_relevance FROM dweights WHERE domain_id <> 'NATION_4'", ["dweights"])
@@ -501,14 +546,50 @@ def a9_weight_store(spark, d):
     return stores.load_weights(spark, path).select("topic", r6("w_venue").alias("w_venue"), r6("w_relevance").alias("w_relevance"))
 
 
-@query("SELECT 'run ' || event_id AS run_name, value AS final_composite, value / 2 AS baseline_composite, event_id % 2 = 0 AS use_rouge FROM events")
-def a12_experiment_log(spark, d):
+_MEASURED = {"composite": "value", "rouge1": "value / 3", "rouge2": "value / 5", "rougeL": "value / 7", "faithfulness": "CASE WHEN event_id % 4 > 0 THEN value / 9 END", "coverage": "event_id % 10 / 10.0"}
+
+
+def _experiment_log(spark, d):
+    """Records of runs in two appends, and some lines that aren't JSON."""
     path = stores.scratch(spark, "experiments")
-    e = b.table(spark, d, "events")
-    rec = e.select(F.concat(F.lit("run "), F.col("event_id")).alias("run_name"), F.struct((F.col("event_id") % 2 == 0).alias("use_rouge")).alias("params"), F.struct((F.col("value") / 2).alias("composite")).alias("baseline"), F.struct(F.col("value").alias("composite")).alias("final"))
+    scores = lambda f: F.struct(*(F.expr(f"({e}) * {f}D").alias(k) for k, e in _MEASURED.items()))
+    i = F.col("event_id")
+    rec = b.table(spark, d, "events").select(
+        F.concat(F.lit("run "), i).alias("run_name"),
+        F.concat(F.lit("2026-01-"), F.lpad((i % 28 + 1).cast("string"), 2, "0")).alias("timestamp"),
+        F.struct(F.lit("small").alias("summarize"), F.when(i % 3 > 0, "large").alias("critic")).alias("models"),
+        F.struct((i % 2 == 0).alias("use_rouge"), (i % 50).cast("int").alias("n_train")).alias("params"),
+        scores(0.5).alias("baseline"),
+        scores(1.0).alias("final"),
+        F.expr("(user_id % 20 - 10) / 4D").alias("improvement_pct"),
+        F.expr("event_id % 90 * 1D").alias("duration_seconds"),
+    )
     stores.append_experiments(rec.where("params.use_rouge"), path)
     stores.append_experiments(rec.where("not params.use_rouge"), path)
-    return stores.read_experiments(spark, path).select("run_name", "final_composite", "baseline_composite", "use_rouge")
+    b.table(spark, d, "events").where("event_id % 40 = 7").select(F.concat(F.lit('{"run_name": "cut off '), F.col("event_id"))).write.mode("append").text(path)
+    return path
+
+
+_LOGGED = "'run ' || event_id AS run_name, " + ", ".join(f"coalesce(({e}) * {f}, 0)::DOUBLE AS {name}_{stores.EXPERIMENT_MEASURES[k]}" for name, f in (("baseline", 0.5), ("final", 1.0)) for k, e in _MEASURED.items())
+_LOGGED_NAMES = [f"{name}_{v}" for name in ("baseline", "final") for v in stores.EXPERIMENT_MEASURES.values()]
+
+
+@query("SELECT run_name, timestamp, critic_model, judge_model, use_rouge, n_train, n_val, " + ", ".join(f"{s6(c)} AS {c}" for c in _LOGGED_NAMES) + f" FROM (SELECT {_LOGGED}, '2026-01-' || lpad((event_id % 28 + 1)::VARCHAR, 2, '0') AS timestamp, CASE WHEN event_id % 3 > 0 THEN 'large' ELSE '?' END AS critic_model, '?' AS judge_model, event_id % 2 = 0 AS use_rouge, CAST(event_id % 50 AS INTEGER) AS n_train, CAST(0 AS INTEGER) AS n_val FROM events)")
+def a12_experiment_log(spark, d):
+    e = stores.read_experiments(spark, _experiment_log(spark, d))
+    return e.select("run_name", "timestamp", "critic_model", "judge_model", "use_rouge", "n_train", "n_val", *(r6(c).alias(c) for c in _LOGGED_NAMES))
+
+
+@query("SELECT count(*) AS n, true AS all_have_places, min('{\"run_name\": \"cut off ' || event_id) AS first FROM events WHERE event_id % 40 = 7")
+def a12_experiment_rejects(spark, d):
+    bad = stores.experiment_rejects(spark, _experiment_log(spark, d))
+    return bad.agg(F.count("*").alias("n"), F.coalesce(F.bool_and(F.col("file").isNotNull() & F.col("block").isNotNull()), F.lit(True)).alias("all_have_places"), F.min("record").alias("first"))
+
+
+@query(f"SELECT run_name, row_number() OVER (ORDER BY final_composite DESC, run_name) AS place, {s6('final_composite - baseline_composite')} AS delta, {s6('final_faithfulness - baseline_faithfulness')} AS delta_faithfulness, {s6('final_coverage - baseline_coverage')} AS delta_coverage, improvement_pct, improvement_pct > 0.5 AS improved, {s6('seconds / 60')} AS minutes FROM (SELECT {_LOGGED}, ((user_id % 20 - 10) / 4)::DOUBLE AS improvement_pct, (event_id % 90)::DOUBLE AS seconds FROM events)")
+def d21_experiment_summary(spark, d):
+    s = reports.experiment_summary(stores.read_experiments(spark, _experiment_log(spark, d)))
+    return s.select("run_name", F.col("place").cast("long").alias("place"), *(r6(c).alias(c) for c in ("delta", "delta_faithfulness", "delta_coverage")), "improvement_pct", "improved", r6("minutes").alias("minutes"))
 
 
 @query("SELECT 'pair_' || id AS example_id, substr(generated, 1, 200) AS article_text, reference FROM pairs WHERE trim(generated) <> '' AND trim(reference) <> ''", ["pairs"])
@@ -531,11 +612,56 @@ def a14_run_persistence(spark, d):
     return summary.join(spark.read.schema("run_id long, best_prompt string").json(f"{path}/best"), "run_id")
 
 
-@query("SELECT domain_id, rank, id, CASE WHEN length(title) <= 40 THEN title ELSE substr(title, 1, 39) || '…' END AS title, year, citation_count, floor(final_score * 1e3 + 0.5) / 1e3 AS final_score FROM ranked WHERE rank <= 15", ["works"], RANKED)
+_TWO = lambda e: f"floor({e} * 100 + 0.5) / 100"
+
+
+@query(f"SELECT domain_id, rank, r.id, CASE WHEN length(r.title) <= 78 THEN r.title ELSE substr(r.title, 1, 78) || '…' END AS title, journal_name || CASE WHEN w.is_preprint THEN ' (pp)' ELSE '' END AS venue, r.year, r.citation_count, {_TWO('final_score')} AS final_score FROM ranked r JOIN (SELECT id, journal_name, is_preprint FROM works) w ON w.id = r.id WHERE rank <= 15", ["works"], RANKED)
 def a15_report_articles(spark, d):
     return reports.ranked_articles(ranked(spark, d).where("rank <= 15"))
 
 
+@query("SELECT domain_id, rank, id, CASE WHEN length(title) <= 42 THEN title ELSE substr(title, 1, 42) || '...' END AS title, " + ", ".join(f"{_TWO(k + '_score')} AS {k}" for k in ("venue", "authors", "impact", "relevance")) + f", {_TWO('final_score')} AS final FROM ranked WHERE rank <= 15", ["works"], RANKED)
+def a15_score_breakdown(spark, d):
+    return reports.score_breakdown(ranked(spark, d).where("rank <= 15"))
+
+
+#: Customers as trends, whose evidence is their first orders.
+_TRENDS = {
+    "few_": "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders",
+    "trend_": "SELECT c_custkey AS trend_id, c_name AS name, CASE c_custkey % 3 WHEN 0 THEN 'emerging' WHEN 1 THEN 'growing' ELSE 'mature' END AS maturity, c_mktsegment AS description FROM customer",
+}
+
+
+def _trends(spark, d):
+    first = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    few = b.table(spark, d, "orders").select("o_custkey", "o_orderkey", first.alias("n")).where("n <= 5")  # more than is shown
+    evidence = few.groupBy(F.col("o_custkey").alias("trend_id")).agg(F.sort_array(F.collect_list("o_orderkey")).alias("evidence"))
+    k = F.col("c_custkey")
+    own = b.table(spark, d, "customer").select(k.alias("trend_id"), F.col("c_name").alias("name"), F.when(k % 3 == 0, "emerging").when(k % 3 == 1, "growing").otherwise("mature").alias("maturity"), F.col("c_mktsegment").alias("description"))
+    return own.join(evidence, "trend_id", "left")
+
+
+@query("SELECT trend_id, name, upper(maturity) AS maturity, description, coalesce(ids, '—') AS evidence FROM trend_ LEFT JOIN (SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ', ' ORDER BY n) AS ids FROM few_ WHERE n <= 3 GROUP BY o_custkey) ON o_custkey = trend_id", None, _TRENDS)
+def a15_trend_table(spark, d):
+    return reports.trend_table(_trends(spark, d))
+
+
+_SUMMARY = {
+    "problem": "CASE WHEN o_orderkey % 4 > 0 THEN 'Problem ' || o_orderkey ELSE 'Not specified' END",
+    "method": "CASE WHEN o_orderkey % 3 > 0 THEN 'method of ' || o_custkey END",
+    "results": "CASE WHEN o_orderkey % 2 = 0 THEN 'A result that is long enough ' || o_orderkey || '. And more.' ELSE 'Short. And a longer sentence here.' END",
+    "narrative": "CASE WHEN o_orderkey % 6 = 0 THEN 'Too short. A first sentence that counts ' || o_orderkey || '. no. A second one of such a length. A third one that is not shown.' END",
+}
+_DIGEST = "CASE WHEN narrative IS NOT NULL THEN 'A first sentence that counts ' || s.o_orderkey || '.  A second one of such a length.' ELSE nullif(array_to_string(list_filter([CASE WHEN problem <> 'Not specified' THEN problem END, method, CASE WHEN s.o_orderkey % 2 = 0 THEN 'A result that is long enough ' || s.o_orderkey || '.' END], lambda x: x IS NOT NULL), '  '), '') END"
+
+
+@query(f"SELECT t.trend_id, name, pos, article_id, heading, digest FROM (SELECT * FROM trend_ WHERE maturity = 'emerging') t LEFT JOIN (SELECT o_custkey AS trend_id, n - 1 AS pos, f.o_orderkey AS article_id, CASE WHEN title IS NOT NULL THEN title || ' (' || year || ')' ELSE f.o_orderkey::VARCHAR END AS heading, {_DIGEST} AS digest FROM few_ f LEFT JOIN (SELECT id, title, year FROM works WHERE id % 5 <> 0) a ON a.id = f.o_orderkey LEFT JOIN (SELECT o_orderkey, {', '.join(f'{e} AS {k}' for k, e in _SUMMARY.items())} FROM orders WHERE o_orderkey % 7 <> 0) s ON s.o_orderkey = f.o_orderkey WHERE n <= 4 AND (title IS NOT NULL OR results IS NOT NULL)) e USING (trend_id)", ["works"], _TRENDS)
+def a15_emerging_trends(spark, d):
+    summaries = b.table(spark, d, "orders").where("o_orderkey % 7 <> 0").selectExpr("o_orderkey AS article_id", *(f"{e} AS {k}" for k, e in _SUMMARY.items()))
+    got = reports.emerging_trends(_trends(spark, d), b.works(spark, d).where("id % 5 <> 0"), summaries)
+    return got.select("trend_id", "name", F.col("pos").cast("long").alias("pos"), "article_id", "heading", "digest")
+
+
 _FEEDBACK = {"feedback": "SELECT event_id AS id, user_id % 4 AS iteration, CASE event_type WHEN 'view' THEN 'poor' WHEN 'click' THEN 'acceptable' WHEN 'signup' THEN 'good' ELSE 'excellent' END AS quality, value > 50 AS needs_revision, CASE WHEN event_id % 2 = 0 THEN ['issue ' || event_type, 'k'] ELSE [] END AS issues, CASE WHEN event_id % 3 = 0 THEN ['try ' || user_id] END AS suggestions FROM events"}
 
 

@@ -17,15 +17,50 @@ PAGE = f"meta struct<count:long,page:int>, results array<struct<{', '.join(':'.j
 MOST_CONCEPTS = 5
 
 
-def scan_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(works, rejects): the records of all pages under a path, and what isn't a page or lacks id or title."""
+#: Results on a page at most; a page with fewer is its topic's last one.
+PER_PAGE = 100
+
+
+def scan_pages(spark: SparkSession, path: str, n_results: int | None = None, per_page: int = PER_PAGE) -> tuple[DataFrame, DataFrame]:
+    """(works, rejects): the records of all pages under a path, and what isn't a page or lacks id or title, with its file and block.
+
+    With n_results, ``path`` has a folder topic=<topic> for each topic, and first_results() decides which records are taken, before
+    those without id or title are set aside; works then have topic and result_pos.
+    """
     parsed = F.from_json("value", PAGE, {"columnNameOfCorruptRecord": "_corrupt_record"})
-    pages = spark.read.text(path).select(parsed.alias("p"), "value").select("p.results", F.when(F.col("p._corrupt_record").isNotNull(), F.col("value")).alias("_corrupt_record"))
-    works = pages.where("_corrupt_record is null").select(F.explode("results").alias("w")).select("w.*")
+    raw = spark.read.text(path)
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    own = ["topic"] if "topic" in raw.columns else []
+    pages = raw.select(parsed.alias("p"), "value", *own, *at)
+    broken = pages.where("p._corrupt_record is not null").select(F.col("value").alias("record"), F.lit("not JSON").alias("reason"), "file", "block")
+    whole = pages.where("p._corrupt_record is null")
+    if n_results is None:
+        works = whole.select(F.explode("p.results").alias("w"), *own, "file", "block").select("w.*", *own, "file", "block")
+    else:
+        numbered = whole.select("topic", F.col("p.meta.page").alias("page"), F.coalesce("p.results", F.array().cast(whole.schema["p"].dataType["results"].dataType)).alias("results"), "file", "block")
+        works = first_results(numbered, n_results, per_page).select("w.*", "topic", "result_pos", "file", "block")
     fine = F.col("id").isNotNull() & F.col("title").isNotNull()
-    broken = pages.where("_corrupt_record is not null").select(F.col("_corrupt_record").alias("record"), F.lit("not JSON").alias("reason"))
-    partial = works.where(~fine).select(F.to_json(F.struct("*")).alias("record"), F.lit("missing id or title").alias("reason"))
-    return works.where(fine), broken.union(partial)
+    partial = works.where(~fine).select(F.to_json(F.struct(*(c for c in works.columns if c not in ("file", "block")))).alias("record"), F.lit("missing id or title").alias("reason"), "file", "block")
+    return works.where(fine).drop("file", "block"), broken.union(partial)
+
+
+def first_results(pages: DataFrame, n_results: int, per_page: int = PER_PAGE) -> DataFrame:
+    """Each topic's first n_results records w with their result_pos from 1, page after page up to the first page that isn't full.
+
+    ``pages`` has (topic, page, results) and further columns, which are kept. A page asks for min(n_results, per_page) records. Pages before the
+    first short one are full, so a page's place among its topic's pages says how many records precede it: only numbers of short
+    pages are aggregated, and only the first pages of a topic are ranked. A page of more records than asked for counts as full and is cut.
+    """
+    full = max(1, min(n_results, per_page))
+    sized = pages.withColumn("__n", F.least(F.size("results"), F.lit(full)))
+    last = sized.where(F.col("__n") < full).groupBy("topic").agg(F.min("page").alias("__last"))
+    heard = sized.join(last, "topic", "left").where(F.col("__last").isNull() | (F.col("page") <= F.col("__last")))
+    place = F.row_number().over(Window.partitionBy("topic").orderBy("page"))
+    taken = heard.withColumn("__place", place).where(F.col("__place") <= -(-n_results // full))
+    before = (F.col("__place") - 1) * full
+    cut = F.slice("results", F.lit(1), F.greatest(F.lit(0), F.least(F.col("__n"), n_results - before)))
+    rows = taken.select(*(c for c in pages.columns if c != "results"), before.alias("__before"), F.posexplode(cut).alias("__i", "w"))
+    return rows.withColumn("result_pos", F.col("__before") + F.col("__i") + 1).drop("__before", "__i")
 
 
 def rebuild_abstract(index: Column) -> Column:
@@ -90,6 +125,32 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
     return docs.select("domain_id", F.explode("relevance").alias("article_id", "grade"))
 
 
+#: An article of a gold corpus.
+GOLD_ARTICLE = "id string, title string, abstract string, year int, citation_count long, journal_name string, is_preprint boolean"
+
+
+def read_gold_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(articles, gold, missing) of a corpus with folders articles/domain_id=<domain> and relevance/domain_id=<domain>.
+
+    Article files hold JSON arrays of articles, one or several to a domain and one to a line; relevance files hold a JSON object of grades by article id
+    to a line. articles has (domain_id, GOLD_ARTICLE), gold (domain_id, article_id, grade); missing names domains of which
+    either half isn't there, with what is missing; they stay out of the other two.
+    """
+    articles = spark.read.schema(f"{GOLD_ARTICLE}, domain_id string").json(f"{path}/articles").where(F.col("id").isNotNull())
+    maps = spark.read.schema("value string, domain_id string").text(f"{path}/relevance")
+    gold = maps.select("domain_id", F.explode(F.from_json("value", "map<string,int>")).alias("article_id", "grade"))
+    have, judged = articles.select("domain_id").distinct(), gold.select("domain_id").distinct()
+    missing = have.join(judged, "domain_id", "left_anti").withColumn("missing", F.lit("relevance")).union(judged.join(have, "domain_id", "left_anti").withColumn("missing", F.lit("articles")))
+    return articles.join(judged, "domain_id", "left_semi"), gold.join(have, "domain_id", "left_semi"), missing
+
+
+def read_domain_config(spark: SparkSession, path: str, exclude: list[str] | None = None) -> DataFrame:
+    """(domain_id, topic) of the domains listed in JSON files {"domains": [{"id", "topic"}]}, without those to exclude; of repeated ids the smallest topic."""
+    files = spark.read.schema("domains array<struct<id:string,topic:string>>").option("multiLine", True).json(path)
+    rows = files.select(F.explode("domains").alias("x")).where("x.id is not null").groupBy(F.col("x.id").alias("domain_id")).agg(F.min("x.topic").alias("topic"))
+    return exclude_domains(rows, exclude or [])
+
+
 def exclude_domains(config: DataFrame, weak: list[str]) -> DataFrame:
     return config.where(~F.col("domain_id").isin(weak)) if weak else config
 

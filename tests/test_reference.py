@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from scholium.functions import features as fx
 from scholium.functions import generation as gx
 from scholium.functions import text as tx
-from scholium.operators import corpus_stats, enrich, generation, meta, metrics, ranking, significance, weights
+from scholium.operators import corpus_stats, enrich, generation, meta, metrics, ranking, reports, significance, weights
 from scholium.sources import stores, works
 
 
@@ -514,3 +514,90 @@ def test_ideal_in_closed_form(spark):
         for k in (3, 10):
             assert got[d][f"idcg{k}"] == pytest.approx(sum((2**g - 1) / math.log2(i + 2) for i, g in enumerate(grades[:k])))
         assert got[d].relevant == sum(g >= 1 for g in grades)
+
+
+def test_first_results_of_topics(spark, tmp_path):
+    """Pages end at n_results, at a short page, at an empty one and where none is left; broken records count before they are set aside."""
+    record = lambda i: {"id": f"https://w/W{i}", "title": f"t{i}"} if i % 4 else {"id": f"https://w/W{i}"}
+    pages = {"full": [[1, 2, 3], [4, 5, 6], [7, 8, 9]], "short": [[11, 12], [13, 14, 15]], "empty": [[21, 22, 23], [], [24, 25, 26]], "null": [None, [31]], "large": [[41, 42, 43, 44, 45], [46]]}
+    for topic, listed in pages.items():
+        (tmp_path / f"topic={topic}").mkdir()
+        for k, ids in reversed(list(enumerate(listed, 1))):
+            page = {"meta": {"page": k}, "results": None if ids is None else [record(i) for i in ids]}
+            (tmp_path / f"topic={topic}" / f"{k}.json").write_text(json.dumps(page))
+    (tmp_path / "topic=full" / "bad.json").write_text("{broken")
+    good, bad = works.scan_pages(spark, str(tmp_path), 5, per_page=3)
+    got = {}
+    for r in good.orderBy("topic", "result_pos").collect():
+        got.setdefault(r.topic, []).append((r.result_pos, int(r.id[11:])))
+    assert got == {"full": [(1, 1), (2, 2), (3, 3), (5, 5)], "short": [(1, 11)], "empty": [(1, 21), (2, 22), (3, 23)], "large": [(1, 41), (2, 42), (3, 43), (4, 46)]}
+    assert sorted((r.reason, r.file.split("/")[-1], r.block) for r in bad.collect()) == [("missing id or title", "1.json", 0), ("missing id or title", "2.json", 0), ("not JSON", "bad.json", 0)]
+    few, _ = works.scan_pages(spark, str(tmp_path), 2, per_page=3)
+    assert sorted(r.result_pos for r in few.where("topic = 'full'").collect()) == [1, 2]
+
+
+def test_json_lines_with_rejects(spark, tmp_path):
+    full = {"run_name": "a", "timestamp": "t", "baseline": {"composite": 0.5, "faithfulness": 0.4, "coverage": 0.3, "rougeL": 0.2}, "final": {"composite": 0.7, "faithfulness": 0.6}, "params": {"n_train": 3}, "models": {"judge": "j"}, "duration_seconds": 90}
+    (tmp_path / "x.jsonl").write_text(json.dumps(full) + '\n\n{"run_name": "cut\nnot json\n' + json.dumps({"run_name": "bare"}) + "\n")
+    (tmp_path / "y.jsonl").write_text('[1, 2\n')
+    rows = {r.run_name: r for r in stores.read_experiments(spark, str(tmp_path)).collect()}
+    assert set(rows) == {"a", "bare"}
+    a, bare = rows["a"], rows["bare"]
+    assert (a.baseline_rouge_l, a.baseline_coverage, a.final_faithfulness, a.final_coverage, a.timestamp, a.judge_model, a.critic_model, a.n_train, a.use_rouge) == (0.2, 0.3, 0.6, 0.0, "t", "j", "?", 3, False)
+    assert (bare.final_composite, bare.n_val, bare.improvement_pct) == (0.0, 0, 0.0)
+    bad = sorted((r.file.split("/")[-1], r.record, r.block) for r in stores.experiment_rejects(spark, str(tmp_path)).collect())
+    assert bad == [("x.jsonl", "not json", 0), ("x.jsonl", '{"run_name": "cut', 0), ("y.jsonl", "[1, 2", 0)]
+    s = {r.run_name: r for r in reports.experiment_summary(stores.read_experiments(spark, str(tmp_path))).collect()}
+    assert (s["a"].place, s["bare"].place, s["a"].minutes) == (1, 2, 1.5) and s["a"].delta_faithfulness == pytest.approx(0.2) and s["a"].delta_coverage == pytest.approx(-0.3)
+
+
+def test_gold_corpus_and_config(spark, tmp_path):
+    for kind, domain, text in (("articles", "a", '[{"id": "x", "title": "t", "year": 2000}, {"id": "y", "extra": 1}]\n[{"id": "z"}]'), ("articles", "b", '[{"id": "q"}]'), ("relevance", "a", '{"x": 2, "gone": 1}'), ("relevance", "c", '{"x": 1}')):
+        (tmp_path / "g" / kind / f"domain_id={domain}").mkdir(parents=True)
+        (tmp_path / "g" / kind / f"domain_id={domain}" / "gold.json").write_text(text)
+    articles, gold, missing = works.read_gold_corpus(spark, str(tmp_path / "g"))
+    assert sorted((r.domain_id, r.id, r.year) for r in articles.collect()) == [("a", "x", 2000), ("a", "y", None), ("a", "z", None)]
+    assert sorted(map(tuple, gold.collect())) == [("a", "gone", 1), ("a", "x", 2)]
+    assert sorted(map(tuple, missing.collect())) == [("b", "relevance"), ("c", "articles")]
+    (tmp_path / "c.json").write_text(json.dumps({"domains": [{"id": "a", "topic": "t", "k": 1}, {"id": "weak", "topic": "w"}, {"topic": "none"}, {"id": "a", "topic": "u"}]}, indent=2))
+    assert [tuple(r) for r in works.read_domain_config(spark, str(tmp_path / "c.json"), ["weak"]).collect()] == [("a", "t")]
+
+
+def test_results_store_and_sweep(spark, tmp_path):
+    """Folds are replaced, others stay; reads of some methods are pruned; the sweep's best alphas by hand."""
+    path = f"file://{tmp_path}/loo"
+    rng = random.Random(9)
+    folds = [f"d{i}" for i in range(12)]
+    named = [("transfer", None)] + [(f"{n}_{a / 10:.1f}", a / 10) for n in ("blend_ridge", "blend_bayes") for a in range(0, 11, 5)] + [("blend_ridge_old", None)]
+    kind = "domain_id string, method string, ndcg15 double, alpha double"
+    first = [(f, m, rng.randrange(5) / 4, a) for f in folds for m, a in named]
+    again = [(f, m, rng.randrange(5) / 4, a) for f in folds[:3] + ["new"] for m, a in named[:4]]
+    stores.save_results(spark.createDataFrame(first, kind), path)
+    stores.save_results(spark.createDataFrame(again, kind), path)
+    want = {(f, m): (v, a) for f, m, v, a in first} | {(f, m): (v, a) for f, m, v, a in again}
+    rows = stores.load_results(spark, path)
+    assert {(r.domain_id, r.method): (r.ndcg15, r.alpha) for r in rows.collect()} == want and rows.count() == len(want)
+    some = stores.load_results(spark, path, ["transfer", "blend_ridge_0.5"])
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [method" in plan and {r.method for r in some.select("method").distinct().collect()} == {"transfer", "blend_ridge_0.5"}
+    assert len(some.inputFiles()) == len(rows.inputFiles())  # which files are left out is decided when it runs
+    got = {(r.blend, r.alpha): (r.wins, r["mean"], r.best) for r in metrics.blend_sweep(rows, ("blend_ridge", "blend_bayes")).collect()}
+    for blend in ("blend_ridge", "blend_bayes"):
+        each = {}
+        for a in (0.0, 0.5, 1.0):
+            pairs = [(v, want[f, "transfer"][0]) for (f, m), (v, _) in want.items() if m == f"{blend}_{a:.1f}" and (f, "transfer") in want]
+            each[a] = sum(v > t for v, t in pairs), sum(v for v, _ in pairs) / len(pairs)
+        best = min(each, key=lambda a: (-each[a][0], -round(each[a][1], 9), a))
+        for a, (wins, mean) in each.items():
+            assert got[blend, a] == (wins, pytest.approx(mean), a == best)
+    assert len(got) == 6
+
+
+def test_digest(spark):
+    kind = "p string, m string, r string, n string"
+    rows = [
+        ("P", "M", "A sentence of more than twenty. B", None), ("Not specified", None, "Short. A sentence of more than twenty.", None), (" not Specified ", "", None, None),
+        ("P", "M", None, "Tiny. This one is long enough to count. no. And so is this second one. Third one that is long."), (None, None, None, ""),
+    ]
+    got = spark.createDataFrame(rows, kind).select(reports.digest(*(F.col(c) for c in "pmrn"))).collect()
+    assert [r[0] for r in got] == ["P  M  A sentence of more than twenty.", None, None, "This one is long enough to count.  And so is this second one.", None]
