@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import remove, scratch
 from .ragged import chunks, distinct, gather, slice_hashes, spans
 
 WINDOW = 10
@@ -227,15 +227,28 @@ class Benchmark:
 
 
 def n_blocks(benchmark: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
-    """How many blocks of about ``block_bytes`` the benchmark's distinct rows make."""
-    return max(1, -(-int(benchmark.distinct().agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // block_bytes))
+    """How many blocks of about ``block_bytes`` the benchmark's rows make."""
+    return max(1, -(-int(benchmark.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // block_bytes))
 
 
-def block(benchmark: DataFrame, k: int, n: int, id_col: str = "item_id", text_col: str = "text") -> Benchmark:
-    """The k-th of n blocks: rows by a hash of id and text, so that neither one id nor null ids gather in one."""
-    own = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    rows = own.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).distinct().collect()  # about BLOCK_BYTES
-    return Benchmark.of(sorted(((r.item, r.text) for r in rows), key=str))
+def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Benchmark]:
+    """The benchmark's distinct rows in blocks of about BLOCK_BYTES, one after another.
+
+    Rows are dealt by a hash of id and text, so that neither one id nor null ids gather in one; several blocks are stored
+    first, so that each is read without the others.
+    """
+    spark = benchmark.sparkSession
+    own = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).distinct()
+    n = n_blocks(own)
+    path = None
+    if n > 1:
+        path = scratch(spark, "benchmark")
+        own.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n))).repartition("block").write.partitionBy("block").parquet(path)
+    for k in range(n):
+        rows = (spark.read.parquet(path).where(F.col("block") == k) if path else own).select("item", "text").collect()  # about BLOCK_BYTES
+        yield Benchmark.of(sorted(((r.item, r.text) for r in rows), key=str))
+    if path:
+        remove(spark, path)
 
 
 def _spans_of(hit: np.ndarray) -> list[int]:
@@ -253,36 +266,51 @@ def _unhit(raw: bytes, starts: np.ndarray, ends: np.ndarray, spans_: list[int])
     return b"".join([*out, raw[at:]]).decode()
 
 
+#: Text that a task holds while it goes through several blocks.
+GROUP_BYTES = 32 << 20
+
+
+def _groups(pieces: Iterable[tuple[pa.RecordBatch, np.ndarray, np.ndarray]], limit: int) -> Iterator[list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]]:
+    """Chunks in lists of about so many bytes, at least one in each."""
+    group, size = [], 0
+    for piece in pieces:
+        group.append(piece)
+        size += len(piece[1])
+        if size >= limit:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def _marked(docs: DataFrame, benchmark: DataFrame, last) -> DataFrame:
-    """Search every block; ``last`` turns (batch, text spans, items, first words, word borders) into the result of a chunk."""
+    """Search every block; ``last`` turns (batch, text spans, items, first words, word borders) into the result of a chunk.
+
+    One pass over the texts, however many blocks there are: each is a broadcast of its own, of which a task loads one at a time.
+    With several, a task goes through a block for all chunks of a group before it takes the next one.
+    """
     spark: SparkSession = docs.sparkSession
-    n = n_blocks(benchmark)
-    now = docs.withColumns({"__spans": F.lit(None).cast("array<int>"), "__items": F.lit(None).cast("array<string>")})
-    for k in range(n):  # one block after another on the driver and in the executors
-        shared = spark.sparkContext.broadcast(block(benchmark, k, n))
-        final = k == n - 1
-        schema = last.schema if final else now.schema
-        at = now.columns.index("__spans")
-
-        def run(batches: Iterable[pa.RecordBatch], shared=shared, final=final, at=at) -> Iterator[pa.RecordBatch]:
-            for rows, data, offsets in chunks(batches, last.text):
-                hit, first, _, items, (starts, ends) = shared.value.search(data, offsets)
-                before = rows.column(at).to_pylist()
-                for i, s in enumerate(before):
-                    for a, b in zip((s or [])[::2], (s or [])[1::2]):
-                        hit[first[i] + a : first[i] + b] = True
+    shared = [spark.sparkContext.broadcast(b) for b in blocks(benchmark)]
+    several = len(shared) > 1
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(chunks(batches, last.text), GROUP_BYTES if several else 1):
+            hits: list[np.ndarray | None] = [None] * len(group)
+            items: list[list[set]] = [[] for _ in group]
+            borders: list[tuple] = [()] * len(group)
+            for own in shared:
+                for j, (_, data, offsets) in enumerate(group):
+                    hit, first, _, found, ends = own.value.search(data, offsets)
+                    hits[j] = hit if hits[j] is None else hits[j] | hit
+                    items[j] = [set(x) for x in found] if not items[j] else [a.union(x) for a, x in zip(items[j], found)]
+                    borders[j] = (first, *ends)
+                if several and getattr(own, "_path", None) and hasattr(own, "_value"):
+                    del own._value  # it is loaded again from the executor's copy for the next group
+            for (rows, data, offsets), hit, found, (first, starts, ends) in zip(group, hits, items, borders):
                 spans_ = [_spans_of(hit[a:b]) if hit[a:b].any() else [] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-                items = [sorted({*(old or []), *new}) for old, new in zip(rows.column(at + 1).to_pylist(), items)]
-                if final:
-                    yield last(rows, data, offsets, first, starts, ends, spans_, items)
-                else:
-                    yield pa.RecordBatch.from_arrays([*rows.columns[:at], pa.array(spans_, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=rows.schema.names)
-
-        now = now.mapInArrow(run, schema)
-        if not final:
-            now = materialize(now, "decontaminated")
-            shared.destroy()
-    return now
+                yield last(rows, data, offsets, first, starts, ends, spans_, [sorted(x) for x in found])
+
+    return docs.mapInArrow(run, last.schema)
 
 
 class _Digests:

@@ -71,6 +71,23 @@ def test_matches_brute_force(spark, monkeypatch):
     assert sorted(map(str, map(tuple, M.contamination(df, bench).collect()))) == sorted(map(str, want))
 
 
+def test_many_blocks_in_one_pass(spark, monkeypatch, tmp_path):
+    """Some 64 blocks, null ids in several of them: the texts are read once and no copy of them is stored."""
+    docs, items = corpus()
+    spark.createDataFrame([(d, t) for d, t in docs], "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/docs")
+    items = items + [(None, " ".join(items[k][1].split()[:12])) for k in (5, 6, 7, 9)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    real = M.n_blocks
+    monkeypatch.setattr(M, "n_blocks", lambda b: real(b, block_bytes=25))
+    monkeypatch.setattr(M, "GROUP_BYTES", 2_000)
+    assert M.n_blocks(bench.distinct()) > 60
+    df = spark.read.parquet(f"{tmp_path}/docs")
+    for made in (M.contamination(df, bench), M.decontaminate(df, bench)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == plan.count("MapInArrow") == 1 and f"{tmp_path}/docs" in plan
+    assert sorted(map(str, map(tuple, M.contamination(df, bench).collect()))) == sorted(map(str, brute(docs, items)))
+
+
 def test_empty_tables(spark):
     docs, items = corpus()
     df = spark.createDataFrame(docs, "doc_id long, text string")
