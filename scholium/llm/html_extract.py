@@ -14,7 +14,9 @@ this module whose blocks are labelled by hand, for what the sample may lack.
 
 from __future__ import annotations
 
+import bisect
 import html
+import itertools
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -26,9 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import spread, within
 
-#: Bound of the training sample: pages, and the longest page taken.
+#: Bound of the training sample: pages, and their characters in all.
 SAMPLE_PAGES = 300
-SAMPLE_LONGEST = 200_000
+SAMPLE_CHARS = 32_000_000
 _BATCH_PAGES, _BATCH_CHARS = 400, 4 << 20
 #: Elements nested deeper than this hang on the one at this depth, as browsers have it.
 DEEPEST = 512
@@ -43,7 +45,8 @@ _NAMES = re.compile(r"\b(?:class|id|role|aria-label|data-testid)\s*=\s*(?:\"([^\
 _HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _LABEL = re.compile(r"\bdata-main\b")
 
-RAW = {"script", "style", "title", "textarea", "noscript", "template", "svg", "iframe", "xmp", "noembed", "math", "canvas", "object"}
+#: Elements whose content isn't text of the page. What stands in math, or for readers without scripts, canvas or plug-ins, is.
+RAW = {"script", "style", "title", "textarea", "template", "svg", "iframe", "xmp", "noembed"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 MAIN = {"article", "main"}
@@ -61,8 +64,17 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 AWAY = "ad ads advert advertisement banner breadcrumb breadcrumbs byline cookie cookies comment comments consent copyright disclaimer disqus dropdown footer gdpr header login menu meta modal nav navbar navigation newsletter notice overlay pager pagination popup promo promoted recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar tracking widget".split()
 HERE = "article body content entry main maincontent post story text".split()
 
+#: Headings of what readers write: the whole heading, in a few languages.
+_TALK = re.compile(
+    r"\W*(?:(?:\d+|no|all|latest|recent|newest|top|readers?'?s?|users?'?s?|visitors?'?|show|view|hide|the)\s+)*"
+    r"(?:comments?|responses?|replies|reactions?|reader feedback|thoughts on .{1,80}|kommentare?|leserkommentare|antworten|commentaires?|réponses|réactions|comentarios?|respuestas|reacciones)"
+    r"(?:\s+(?:from|by|by our|of)\s+(?:our\s+)?readers)?\W*\d*\W*"
+    r"|\W*(?:leave|post|write|add)\s+a\s+(?:comment|reply|response)\W*|\W*join the (?:conversation|discussion)\W*|\W*what (?:our )?readers say\W*",
+    re.I,
+)
+
 KINDS = [PROSE, HEADINGS, MAIN, ASIDE, FORM, LIST, TABLE, {"body", "html"}]
-UNARY = 1 + len(KINDS) + 3 + 7 + 1
+UNARY = 1 + len(KINDS) + 4 + 7 + 1
 PAIRS = 3  # parent's kind: main, aside or form, other
 
 
@@ -248,6 +260,47 @@ def parse(source: str) -> Page:
     return page
 
 
+def talk(page: Page) -> np.ndarray:
+    """Elements under a heading that says readers' comments follow: the heading, what stands after it up to a heading of no lower level, and
+    the element around them if it begins with that heading."""
+    n = len(page.tag)
+    out = np.zeros(n, bool)
+    heads = [(i, text) for i, text, _ in page.blocks if page.tag[i] in HEADINGS and len(text) <= 120 and _TALK.fullmatch(text)]
+    if not heads:
+        return out
+    children: dict[int, list[int]] = {}
+    last = list(range(n))  # the last element of each subtree
+    for i in range(n - 1, -1, -1):
+        if (p := page.parent[i]) >= 0:
+            last[p] = max(last[p], last[i])
+    for i, p in enumerate(page.parent):
+        children.setdefault(p, []).append(i)
+    with_text = np.zeros(n + 1, np.int64)
+    for i, *_ in page.blocks:
+        with_text[i + 1] += 1
+    with_text = np.cumsum(with_text)
+    blocks = lambda a, b: int(with_text[b] - with_text[a])  # noqa: E731  in elements a to b - 1, which stand in document order
+    for head, _ in reversed(heads):  # later ones first: where an earlier one meets what they have marked, all is done
+        level, at = page.tag[head], head
+        while (p := page.parent[at]) >= 0 and page.tag[p] not in MAIN and blocks(p, last[p] + 1) == blocks(head, last[head] + 1):
+            at = p  # an element around the heading alone
+        out[at] = True
+        if (p := page.parent[at]) < 0:
+            continue
+        whole = not blocks(p, at)
+        beside = children[p]
+        for x in itertools.islice(beside, bisect.bisect_right(beside, at), None):
+            if out[x] or (page.tag[x] in HEADINGS and page.tag[x] <= level):
+                whole = False
+                break
+            out[x] = True
+        if whole and page.tag[p] not in MAIN and page.tag[p] not in ("body", "html"):
+            out[p] = True
+    for i, p in enumerate(page.parent):  # parents come first
+        out[i] |= p >= 0 and out[p]
+    return out
+
+
 def _kind(tags: list[str], hidden: np.ndarray) -> np.ndarray:
     names = {t: i for i, t in enumerate(dict.fromkeys(tags))}
     rows = np.array([[t in kind for kind in KINDS] for t in names], np.float64).reshape(len(names), len(KINDS))
@@ -302,7 +355,8 @@ class Forest:
             (own[:, 0] > 80).astype(float),
             rank,
         ]
-        self.x = np.column_stack([np.ones(n), kind, away, here, shy, *shape, (below[:, 0] == 0).astype(float)])
+        said = np.concatenate([talk(p) for p in pages] + [np.zeros(0, bool)]).astype(float)
+        self.x = np.column_stack([np.ones(n), kind, away, here, shy, said, *shape, (below[:, 0] == 0).astype(float)])
         self.pair = np.where(self.parent < 0, 0, np.where(kind[self.parent, 2] > 0, 0, np.where(kind[self.parent, 3] + kind[self.parent, 4] + away[self.parent] > 0, 1, 2)))
 
     def marginals(self, unary: np.ndarray, pairwise: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -381,17 +435,17 @@ def _inside(page: Page, roots: set[int], out: set[str]) -> np.ndarray:
 
 
 def markup_labels(page: Page) -> np.ndarray | None:
-    """Labels of a page that marks exactly one article; None of any other page."""
+    """Labels of a page that marks exactly one article, without readers' comments inside it; None of any other page."""
     for tag in ("article", "main"):
         found = {i for i, t in enumerate(page.tag) if t == tag}
         if len(found) == 1:
-            return _inside(page, found, {"nav", "aside", "footer", "form", "button", "dialog"})
+            return _inside(page, found, {"nav", "aside", "footer", "form", "button", "dialog"}) & ~talk(page)
         if found:
             return None
     return None
 
 
-#: Labelled layouts: what data-main marks, and all below it, is article; {p} a paragraph, {s} a short text, {l} a link.
+#: Labelled layouts: what data-main marks, and all below it, is article; {p} a paragraph, {s} a short text, {l} a link, {t} a heading of comments.
 LAYOUTS = (
     "<body><header class='site-header'><a href=/>{s}</a><p>{s}</p></header><nav><ul><li>{l}<li>{l}<li>{l}</ul></nav><div id=content><div class=post data-main><h1>{s}</h1><p>{p}<p>{p}<p>{p}<ul><li>{p}<li>{s}</ul><p>{p}</div><div class=comments><h3>{s}</h3><div class=comment><p>{p}</div><div class=comment><p>{p}</div></div></div><aside class=sidebar><h4>{s}</h4><p>{p}</p><ul><li>{l}<li>{l}</ul></aside><footer><p>{p}</p>{l}</footer></body>",
     "<body><div class=cookie-notice><p>{p}</p><button>{s}</button></div><div class=menu>{l}{l}{l}{l}</div><main><article data-main><h1>{s}</h1><h2>{s}</h2><p>{p}</p><blockquote>{p}</blockquote><p>{p}</p><table><tr><td>{s}<td>{s}</table><p>{s}</p></article><section id=comments><h2>{s}</h2><article class=comment><p>{p}</p></article><article class=comment><p>{p}</p></article><form><label>{s}</label><textarea></textarea><button>{s}</button></form></section></main><div id=footer>{s} {l} {l}</div></body>",
@@ -399,12 +453,16 @@ LAYOUTS = (
     "<body><div id=nav>{l} {l} {l}</div><div class=wrap><div class='entry-content' data-main><p>{p}</p><div class=x><p>{p}</p><p>{s}</p></div><h3>{s}</h3><p>{p}</p><pre>{p}</pre><figure><figcaption>{s}</figcaption></figure></div><div class='share-buttons'>{l}{l}</div><div class='newsletter'><p>{p}</p><form>{s}</form></div></div><div class=legal><p>{p}</p></div></body>",
     "<body><p class=notice>{p}</p><div class='ad'>{p}</div><section data-main><h1>{s}</h1><p>{p}</p><p>{p}</p><p>{p}</p></section><ol class=commentlist><li><p>{p}</p><li><p>{p}</p></ol><footer>{p}</footer></body>",
     "<body><div class=top><ul><li>{l}<li>{l}<li>{l}</ul></div><div><div><h1 data-main>{s}</h1><p data-main>{p}</p><p data-main>{p}</p><p data-main>{p}</p><div class=sponsored><p>{p}</p></div><p data-main>{p}</p></div><div><p>{l} {l} {l}</p><p>{s}</p></div></div></body>",
+    "<body><nav>{l}{l}</nav><article data-main><h1>{s}</h1><p>{p}</p><p>{p}</p><section><h3>{t}</h3><div><b>{s}</b><p>{p}</p></div><div><b>{s}</b><p>{p}</p></div></section></article><footer>{p}</footer></body>",
+    "<body><div>{l}{l}{l}</div><div><div data-main><h1>{s}</h1><p>{p}</p><h2>{s}</h2><p>{p}</p><p>{p}</p><h2>{t}</h2><ul><li><p>{s}</p><p>{p}</p><li><p>{s}</p><p>{p}</p></ul></div></div><div>{s}</div></body>",
+    "<body><div>{l}{l}</div><article data-main><h2>{s}</h2><p>{p}</p><p>{p}</p><h2>{s}</h2><p>{p}</p><h2>{t}</h2><div>{p}</div><div>{p}</div><h2>{t}</h2></article><div>{s}</div></body>",
+    "<body><main data-main><h1>{s}</h1><div>{p}</div><div>{p}</div><div><div><h4>{t}</h4></div><div><div>{s} {l}</div><div>{p}</div></div><div><div>{s} {l}</div><div>{p}</div></div></div></main><div>{l} {l}</div></body>",
     "<body><nav>{l}{l}</nav><article data-main><header><h1>{s}</h1></header><p>{p}</p><p>{p}</p><aside data-out><p>{p}</p></aside><p>{p}</p></article><footer>{p}</footer></body>",
 )
 
 
 def layouts(seed: int = 3, copies: int = 12) -> tuple[list[Page], list[np.ndarray]]:
-    """The labelled layouts, filled with nonsense of natural lengths."""
+    """The labelled layouts, filled with nonsense of natural lengths; what stands under a heading {t} isn't article."""
     rng = np.random.default_rng(seed)
     word = lambda: "".join(rng.choice(list("aeionrstlu"), rng.integers(1, 9)))
     words = lambda n: " ".join(word() + ("," if rng.random() < 0.1 else "") for _ in range(n))
@@ -414,23 +472,31 @@ def layouts(seed: int = 3, copies: int = 12) -> tuple[list[Page], list[np.ndarra
             fill = {
                 "{p}": lambda: ". ".join(words(int(rng.integers(5, 18))).capitalize() for _ in range(int(rng.integers(1, 7)))) + ".",
                 "{s}": lambda: words(int(rng.integers(1, 8))).capitalize() + ("." if rng.random() < 0.3 else ""),
+                "{t}": lambda: str(rng.choice(("Comments", "3 responses", "Comments (12)", "Reader comments", "7 replies", "Leave a reply", "Kommentare", "2 comentarios"))),
                 "{l}": lambda: f"<a href=/x>{words(int(rng.integers(1, 4)))}</a>",
             }
-            page = parse(re.sub(r"\{[psl]\}", lambda m: fill[m[0]](), source))
+            page = parse(re.sub(r"\{[pslt]\}", lambda m: fill[m[0]](), source))
             pages.append(page)
-            labels.append(_inside(page, {i for i, x in enumerate(page.labelled) if x}, {"aside"}))
+            labels.append(_inside(page, {i for i, x in enumerate(page.labelled) if x}, {"aside"}) & ~talk(page))
     return pages, labels
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> Model:
-    """Train on the labelled layouts and on at most SAMPLE_PAGES pages that mark their article.
+    """Train on the labelled layouts and on about SAMPLE_PAGES pages that mark their article.
 
-    The sample is by a hash of the id, of pages of at most SAMPLE_LONGEST characters; an empty table
-    leaves the layouts.
+    The sample is by a hash of id and page among pages that have an article or main element, whatever their length; in the order of the hash they are
+    taken while they make no more than SAMPLE_CHARS together, so a page beyond what is left of that is passed over. An empty
+    table leaves the layouts.
     """
-    own = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).where(F.col("html").rlike("(?i)<(article|main)[\\s>]") & (F.length("html") <= SAMPLE_LONGEST))
-    few = own.where(spread("id", "html") < within(4 * SAMPLE_PAGES, max(1, pages.count())))  # so that tasks send little
-    rows = few.orderBy(spread("id", "html"), "id", "html").limit(SAMPLE_PAGES).collect()
+    own = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).where(F.col("html").rlike("(?i)<(article|main)[\\s>]")).withColumns({"at": spread("id", "html"), "size": F.length("html")})
+    few = own.where(F.col("at") < within(2 * SAMPLE_PAGES, max(1, own.count())))
+    left = SAMPLE_CHARS
+    taken: list[int] = []
+    for r in few.select("at", "size").orderBy("at", "size").limit(2 * SAMPLE_PAGES).collect():  # numbers only
+        if len(taken) < SAMPLE_PAGES and r.size <= left:
+            taken.append(r.at)
+            left -= r.size
+    rows = few.where(F.col("at").isin(taken)).dropDuplicates(["at"]).orderBy("at").select("html").collect() if taken else []
     found, labels = layouts()
     hide = [i % 3 == 2 for i in range(len(found))]
     for r in rows:

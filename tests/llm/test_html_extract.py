@@ -110,3 +110,43 @@ def test_extraction_is_the_marginals_by_enumeration(model):
             total += e
             ones += e * np.array(y)
         assert model.extract([source]) == ["\n".join(t for i, t, _ in page.blocks if ones[i] / total >= 0.5)]
+
+
+ARTICLE = ["A heading of it", *P]
+#: Comments inside the article, in layouts that training hasn't seen; in most no name gives them away.
+TALKS = {
+    "responses": "<section class=responses><h3>3 responses</h3><div><cite>Ann</cite><p>{0}</p></div><div><cite>Bob</cite><p>{1}</p></div></section>",
+    "c-list": "<div class=c-list><h3>Reader comments</h3><div class=c-item><p>{0}</p></div><div class=c-item><p>{1}</p></div></div>",
+    "no class": "<div><h2>Comments (2)</h2><ol><li><b>Ann</b> <p>{0}</p><li><b>Bob</b> <p>{1}</p></ol></div>",
+    "no wrapper": "<h3>2 Comments</h3><p>Ann: {0}</p><p>Bob: {1}</p>",
+    "wrapped heading": "<section><div><span><h4>Latest comments</h4></span></div><div><div>Ann</div><div>{0}</div></div><div><div>Bob</div><div>{1}</div></div></section>",
+    "definition list": "<section><h3>Leave a reply</h3></section><dl><dt>Ann<dd>{0}<dt>Bob<dd>{1}</dl>",
+}
+
+
+@pytest.mark.parametrize("name", TALKS)
+def test_comments_inside_the_article(model, name):
+    talk = TALKS[name].format("I never thought of it in that way, but it is true. Thank you for that.", "They said so before, and nobody listened to them at all.")
+    for tag in ("article", "main"):
+        source = f"<body><nav><ul><li><a href=/>Home</a><li><a href=/a>About</a></ul></nav><{tag}><h1>{ARTICLE[0]}</h1>" + "".join(f"<p>{x}</p>" for x in P) + f"{talk}</{tag}><footer><p>All of it is ours.</p></footer></body>"
+        assert model.extract([source]) == ["\n".join(ARTICLE)], tag
+
+
+def test_headings_that_only_sound_like_comments(model):
+    source = f"<body><article><h1>T</h1><p>{P[0]}</p><h2>Comments on the treaty of 1850</h2><p>{P[1]}</p><h2>Responses of plants to light</h2><p>{P[2]}</p></article></body>"
+    assert model.extract([source]) == ["\n".join(["T", P[0], "Comments on the treaty of 1850", P[1], "Responses of plants to light", P[2]])]
+
+
+def test_formulas_and_fallbacks_stay(model):
+    inner = "The sum <math><mi>x</mi><mo>+</mo><mi>y</mi></math> of both<noscript>, as said,</noscript> is <object data=a>a drawing</object> of <canvas>a curve</canvas><svg><text>no</text></svg>."
+    source = f"<body><article><h1>T</h1><p>{P[0]}</p><p>{inner}</p></article></body>"
+    assert model.extract([source]) == ["\n".join(["T", P[0], "The sum x+y of both, as said, is a drawing of a curve."])]
+
+
+def test_talk_is_linear():
+    import time
+
+    for piece in ("<div><h3>Comments</h3></div>", "<h3>Comments</h3>", "<h1>Comments</h1><h2>Replies</h2><p>x", "<div><h6>3 comments</h6>"):
+        page = H.parse(piece * 20_000)
+        began = time.time()
+        assert H.talk(page).any() and time.time() - began < 5
