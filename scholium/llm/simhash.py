@@ -41,16 +41,21 @@ HOT_BUCKET = 50_000
 CHUNK = 8_192
 SMALL = 48
 _SHINGLES = 1 << 17
-#: Groups of candidates are dealt in pieces of so many sets, but at most GROUP_PIECES unless those exceed GROUP_CHUNK.
+#: Groups of candidates are dealt in pieces of so many sets, but at most GROUP_PIECES, which meet pairwise; groups of more
+#: than GROUP_PIECES * GROUP_CHUNK sets are first shrunk in pieces of about GROUP_CHUNK that don't meet (large_links).
 GROUP_PIECE = 64
 GROUP_PIECES = 8
 GROUP_CHUNK = 1_024
+#: Slots of the table of shingle counts by which large_links puts rare shingles first.
+COUNT_SLOTS = 1 << 16
 #: Share of the pairs at the least similarity that may meet under no key of sampled bits; nearer pairs are missed far more rarely.
 MISSED = 0.05
 #: Differing bits of 128 up to which texts are candidates: at a similarity of 0.8 about 19 are expected, give or take 4.
 FAR_BITS = 28
-#: Bits of the tables that tell which rows may be representatives.
-_MARKS = 1 << 24
+#: The tables that tell which rows may be representatives have MARK_BITS bits a representative, within these bounds (128 KB to 128 MB).
+MARK_BITS = 16
+FEWEST_MARKS, MOST_MARKS = 1 << 20, 1 << 30
+_BITMAP = 1 << 15  # bits of a bitmap of Spark's
 
 
 def _majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -342,24 +347,31 @@ def set_keys(docs: DataFrame, id_col: str, text_col: str, words_per_shingle: int
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long, fp2 long, set long, tag long")
 
 
-def _marks(hashes: DataFrame) -> np.ndarray:
-    """A table of _MARKS bits with those of the low bits of the hashes (h) set."""
-    bit = F.col("h").bitwiseAND(F.lit(_MARKS - 1))
-    words = hashes.groupBy(F.shiftright(bit, 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 31 as int))")).alias("bits")).collect()  # at most _MARKS / 32 rows
-    table = np.zeros(_MARKS // 32, np.uint32)
-    table[[r.w for r in words]] = [r.bits for r in words]
-    return table
+def marks(n: int) -> int:
+    """The bits of a table for n hashes, a power of two. Beyond MOST_MARKS / MARK_BITS hashes more rows are marked in vain, none is missed."""
+    return min(max(1 << int(np.ceil(np.log2(max(1, MARK_BITS * n)))), FEWEST_MARKS), MOST_MARKS)
+
+
+def _marks(hashes: DataFrame, bits: int) -> np.ndarray:
+    """A table of ``bits`` bits, as bytes, with those of the low bits of the hashes (h) set; Spark makes it in pieces of 4 KB."""
+    bit = F.col("h").bitwiseAND(F.lit(bits - 1))
+    pieces = hashes.groupBy(F.floor(bit / _BITMAP).cast("int").alias("piece")).agg(F.bitmap_construct_agg(bit % _BITMAP).alias("bitmap"))
+    table = np.zeros((bits // _BITMAP, _BITMAP // 8), np.uint8)
+    for r in pieces.toLocalIterator():  # bits / _BITMAP rows at most
+        table[r.piece] = np.frombuffer(r.bitmap, np.uint8)
+    return table.ravel()
 
 
 def _marked(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = (hashes & np.uint64(_MARKS - 1)).astype(np.int64)
-    return (table[at >> 5] >> (at & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
+    at = (hashes & np.uint64(8 * len(table) - 1)).astype(np.int64)
+    return (table[at >> 3] >> (at & 7).astype(np.uint8) & np.uint8(1)).astype(bool)
 
 
 def _marked_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words_per_shingle: int) -> DataFrame:
     """(set, shingles binary) of the rows that wanted (id, tag) names, and of few others; only rows with marked ids are cut into shingles."""
     of_id = F.xxhash64(F.coalesce(F.col("id"), F.lit(-1)))
-    shared = docs.sparkSession.sparkContext.broadcast((_marks(wanted.select(of_id.alias("h"))), _marks(wanted.select(F.col("tag").alias("h")))))
+    bits = marks(wanted.count())
+    shared = docs.sparkSession.sparkContext.broadcast((_marks(wanted.select(of_id.alias("h")), bits), _marks(wanted.select(F.col("tag").alias("h")), bits)))
     schema = pa.schema([("set", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,32 +399,24 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 
 
 def link_sets(keys: list[int], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets that are similar by ``least`` or more."""
+    """(head, other) for each set that links of similarity ``least`` or more connect with an earlier one, the head being the first it is connected with."""
     size = np.array([len(x) for x in sets])
     left = np.arange(len(sets))
     out = []
     while len(left) > 1:
-        queue, left = [left[0]], left[1:]
+        head, queue, left = left[0], [left[0]], left[1:]
         while queue and len(left):
             x = queue.pop()
             near = np.flatnonzero((size[left] >= least * size[x]) & (size[x] >= least * size[left]))
             found = [i for i in near if similar(sets[x], sets[left[i]], least)]
-            out += [(keys[x], keys[left[i]]) for i in found]
+            out += [(keys[head], keys[left[i]]) for i in found]
             queue.extend(left[found].tolist())
             left = np.delete(left, found)
     return out
 
 
-def set_links(sets: DataFrame, least: float) -> DataFrame:
-    """(u, v): edges among the sets (root, set, shingles) of a root that give the same components as all similar pairs."""
-    n = F.col("n")
-    pieces = F.greatest(F.least(F.ceil(n / GROUP_PIECE), F.lit(GROUP_PIECES)), F.ceil(n / GROUP_CHUNK)).cast("int")
-    cut = (
-        sets.withColumn("pieces", pieces)
-        .withColumn("own", F.pmod(F.xxhash64("set"), F.col("pieces")).cast("int"))
-        .select("root", "set", "shingles", F.explode(F.expr("transform(sequence(0, pieces - 1), i -> named_struct('a', least(i, own), 'b', greatest(i, own)))")).alias("pair"))
-        .select("root", "pair.a", "pair.b", "set", "shingles")
-    )
+def _met(cut: DataFrame, least: float) -> DataFrame:
+    """(u, v): link_sets() of the sets (root, a, b, set, shingles) that share root, a and b."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -433,7 +437,111 @@ def set_links(sets: DataFrame, least: float) -> DataFrame:
                 own.append(np.frombuffer(shingles.as_py(), np.uint64))
         yield from emit()
 
-    return cut.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b", "set").mapInArrow(run, "u long, v long").distinct()
+    return cut.repartition("root", "a", "b").sortWithinPartitions("root", "a", "b", "set").mapInArrow(run, "u long, v long")
+
+
+_PAIRS = "transform(sequence(0, pieces - 1), i -> named_struct('a', least(i, own), 'b', greatest(i, own)))"
+
+
+def set_links(sets: DataFrame, least: float) -> DataFrame:
+    """(u, v): edges among the sets (root, n, set, shingles) of a root that give the same components as all similar pairs.
+
+    Each set moves at most GROUP_PIECES times; roots of more than GROUP_PIECES * GROUP_CHUNK sets are for large_links().
+    """
+    pieces = F.least(F.ceil(F.col("n") / GROUP_PIECE), F.lit(GROUP_PIECES)).cast("int")
+    dealt = sets.withColumn("pieces", pieces).withColumn("own", F.pmod(F.xxhash64("set"), F.col("pieces")).cast("int"))
+    cut = dealt.select("root", "set", "shingles", F.explode(F.expr(_PAIRS)).alias("pair"))
+    return _met(cut.select("root", "pair.a", "pair.b", "set", "shingles"), least).distinct()
+
+
+def _slots(shingles: np.ndarray, slots: int) -> np.ndarray:
+    return (shingles & np.uint64(slots - 1)).astype(np.int64)
+
+
+def _shingle_counts(sets: DataFrame, slots: int) -> np.ndarray:
+    """How often shingles occur, by slots of their hashes: a table of fixed size. Clashes only change what counts as rare."""
+    schema = pa.schema([("slot", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(slots, np.int64)
+        for batch in batches:
+            total += np.bincount(_slots(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64), slots), minlength=slots)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], schema=schema)
+
+    out = np.zeros(slots, np.int64)
+    for r in sets.select("shingles").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # a row a slot at most
+        out[r.slot] = r.n
+    return out
+
+
+def _open(sets: DataFrame, least: float, slots: int) -> DataFrame:
+    """(root, set) of those sets (root, head, set, shingles) that may be similar to one of another head in their root; it leaves no such set out.
+
+    With the shingles in any common order, similar sets share one among the first (1 - least) of each: so only sets that share
+    one there with another head's remain, and of these only those that have enough shingles from there on.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(_shingle_counts(sets, slots))
+    schema = pa.schema([("root", pa.int64()), ("head", pa.int64()), ("set", pa.int64()), ("shingle", pa.int64()), ("size", pa.int32()), ("room", pa.int32())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = shared.value
+        for batch in batches:
+            for root, head, key, x in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
+                own = np.frombuffer(x.as_py(), np.uint64)
+                first = len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1 if len(own) else 0
+                own = own[np.lexsort((own, count[_slots(own, len(count))]))[:first]]
+                size = len(x.as_py()) // 8
+                columns = [np.full(len(own), c, np.int64) for c in (root, head, key)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(own.view(np.int64)), pa.array(np.full(len(own), size, np.int32)), pa.array((size - np.arange(len(own))).astype(np.int32))], schema=schema)
+
+    by = ["root", "shingle"]
+    rare = sets.select("root", "head", "set", "shingles").mapInArrow(run, "root long, head long, set long, shingle long, size int, room int")
+    lists = rare.groupBy(*by).agg(F.min("head").alias("low"), F.max("head").alias("high"), F.min("size").alias("fewest")).where("low <> high")
+    both = least / (1 + least) * (F.col("size") + F.greatest(F.col("fewest"), F.lit(least) * F.col("size")))  # shingles that a similar pair shares at least
+    return rare.join(lists.select(*by, "fewest"), by).where(F.col("room") >= both - 1e-6).select("root", "set").distinct()
+
+
+def large_links(sets: DataFrame, least: float, slots: int = COUNT_SLOTS) -> DataFrame:
+    """(u, v): what set_links() gives, for roots of very many sets (root, set, shingles); ``sets`` is read several times.
+
+    In rounds the sets of a root are dealt by a hash into pieces of about GROUP_CHUNK, and what is connected in a piece goes on
+    as its head, until all heads of a root fit in a piece or no longer half of them go: near copies end under one head, each having moved
+    twice or so. Then links between sets of different heads are looked for, among those that _open() leaves: sets under
+    the root's largest head meet all others, which also meet one another. Only if many sets of a root stay under different
+    heads and yet share rare shingles does what moves grow with their number times that of the others over GROUP_CHUNK.
+    """
+    found, heads, before = [], sets.select("root", "set", "shingles"), sets.count()
+    while True:
+        sizes = heads.groupBy("root").agg(F.count("*").alias("n"))
+        whole = sizes.where(F.col("n") > GROUP_CHUNK).isEmpty()
+        piece = F.pmod(F.xxhash64("set", F.lit(len(found))), F.ceil(F.col("n") / GROUP_CHUNK)).cast("int")
+        found.append(materialize(_met(heads.join(sizes, "root").select("root", piece.alias("a"), F.lit(0).alias("b"), "set", "shingles"), least), "heads"))
+        gone = found[-1].select(F.col("v").alias("set"))
+        heads = heads.join(gone, "set", "left_anti").select("root", "set", "shingles")
+        left = heads.count()
+        if whole or left > before / 2:
+            break
+        before = left
+    named = sets.select("root", "set", F.col("set").alias("head"))
+    for edges in found:
+        named = named.join(edges, F.col("head") == F.col("v"), "left").select("root", "set", F.coalesce("u", "head").alias("head"))
+    named = materialize(named, "headed")
+    several = named.groupBy("root").agg(F.min("head").alias("low"), F.max("head").alias("high")).where("low <> high").select("root")
+    unlike = sets.select("set", "shingles").join(named.join(several, "root"), "set")
+    kept = materialize(_open(unlike, least, slots).join(named.select("set", "head"), "set"), "open")
+    sizes = kept.groupBy("root", "head").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("root").agg(F.max(F.struct("n", "head")).alias("m"), F.sum("n").alias("n"))
+    parts = most.where("n > m.n").select("root", F.col("m.head").alias("most"), *(F.ceil(c / GROUP_CHUNK).cast("int").alias(p) for c, p in ((F.col("m.n"), "others"), (F.col("n") - F.col("m.n"), "pieces"))))
+    dealt = kept.join(parts, "root").withColumn("own", F.pmod(F.xxhash64("set"), F.when(F.col("head") == F.col("most"), F.col("others")).otherwise(F.col("pieces"))).cast("int"))
+    across = "transform(sequence(0, {0} - 1), i -> named_struct('a', {1}, 'b', {2}))"
+    alone = f"transform({_PAIRS}, p -> named_struct('a', -1 - p.a, 'b', p.b))"  # others among themselves, in tasks below zero
+    tasks = F.expr(f"if(head = most, {across.format('pieces', 'own', 'i')}, concat({across.format('others', 'i', 'own')}, {alone}))")
+    cut = dealt.select("set", "root", F.explode(tasks).alias("pair")).join(sets.select("set", "shingles"), "set")
+    out = _met(cut.select("root", "pair.a", "pair.b", "set", "shingles"), least).distinct()
+    for edges in found:
+        out = out.union(edges)
+    return out
 
 
 def verified_groups(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, max_bits: int = FAR_BITS) -> DataFrame:
@@ -450,8 +558,15 @@ def verified_groups(docs: DataFrame, least: float, id_col: str = "doc_id", text_
     grouped = each.join(roots, each.node == F.col("__node")).select("root", F.col("node").alias("set"), "row.id", "row.tag")  # sets without a candidate are alone
     many = grouped.groupBy("root").agg(F.count("*").alias("n"))
     wanted = materialize(grouped.join(many, "root"), "candidates")
-    shingles = _marked_sets(docs, wanted.select("id", "tag"), id_col, text_col, words_per_shingle)
-    edges = set_links(wanted.drop("id", "tag").join(shingles.dropDuplicates(["set"]), "set"), least)
+
+    def with_shingles(part: DataFrame) -> DataFrame:
+        shingles = _marked_sets(docs, part.select("id", "tag"), id_col, text_col, words_per_shingle)
+        return part.drop("id", "tag").join(shingles.dropDuplicates(["set"]), "set")
+
+    large = F.col("n") > GROUP_PIECES * GROUP_CHUNK
+    edges = set_links(with_shingles(wanted.where(~large)), least)
+    if not wanted.where(large).isEmpty():
+        edges = edges.union(large_links(materialize(with_shingles(wanted.where(large)), "large-groups"), least))
     found = components(edges).withColumnRenamed("node", "__node")
     linked = each.join(found, each.node == F.col("__node"), "left").select("node", "least", "size", F.coalesce("root", "node").alias("group"))
     lowest = linked.groupBy("group").agg(F.min("least").alias("component_id"))

@@ -159,8 +159,10 @@ def test_verified_groups(spark, monkeypatch):
     changed = [(i, c) for (i, _, c), w in zip(brute(rows, 5, 5), want) if (i, c) != w]
     assert changed  # 5 of 64 bits wouldn't do
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for piece in (64, 3):
+    for piece, pieces, chunk in ((64, 8, 1024), (3, 8, 1024), (3, 1, 3)):
         monkeypatch.setattr(simhash, "GROUP_PIECE", piece)
+        monkeypatch.setattr(simhash, "GROUP_PIECES", pieces)
+        monkeypatch.setattr(simhash, "GROUP_CHUNK", chunk)
         got = simhash.verified_groups(df, 0.8).collect()
         assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     kept = simhash.drop_near_duplicates(df, least=0.8)
@@ -168,6 +170,94 @@ def test_verified_groups(spark, monkeypatch):
     assert simhash.verified_groups(df.limit(0), 0.8).collect() == []
 
 
+def grouped(nodes, edges):
+    root = {x: x for x in nodes}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for u, v in edges:
+        root[find(u)] = find(v)
+    out = {}
+    for x in nodes:
+        out.setdefault(find(x), set()).add(x)
+    return {frozenset(x) for x in out.values()}
+
+
+def as_sets(spark, groups):
+    """(root, set, shingles) of lists of shingle numbers; sets are numbered from 1."""
+    rows, n = [], 0
+    for root, sets in groups:
+        for x in sets:
+            n += 1
+            rows.append((root, n, np.unique(simhash.mix(np.array(sorted(x), np.uint64))).tobytes()))
+    return spark.createDataFrame(rows, "root long, set long, shingles binary")
+
+
+def counted(monkeypatch):
+    """How many sets each meeting deals."""
+    out, met = [], simhash._met
+
+    def count(cut, least):
+        out.append(cut.count())
+        return met(cut, least)
+
+    monkeypatch.setattr(simhash, "_met", count)
+    return out
+
+
+def test_large_links_agree_with_brute_force(spark, monkeypatch):
+    rng = random.Random(4)
+    groups = []
+    for root, (families, each, own) in enumerate([(1, 90, 4), (30, 3, 6), (60, 1, 12), (8, 10, 11), (2, 1, 0)]):
+        template = [rng.randrange(10**9) for _ in range(80)]
+        sets = []
+        for _ in range(families):
+            base = template + [rng.randrange(10**9) for _ in range(own)]
+            for _ in range(each):  # similarities around 0.8, and sizes that differ
+                sets.append(set(rng.sample(base, len(base) - rng.randint(0, 6))) | {rng.randrange(10**9) for _ in range(rng.randint(0, 14))})
+        groups.append((root, sets + [set()] * (root == 1)))
+    monkeypatch.setattr(simhash, "GROUP_CHUNK", 16)
+    want = []
+    for root, sets in groups:
+        first = sum(len(s) for _, s in groups[:root]) + 1
+        want += [(first + i, first + j) for i in range(len(sets)) for j in range(i) if sets[i] | sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    nodes = range(1, sum(len(s) for _, s in groups) + 1)
+    expected = grouped(nodes, want)
+    assert 20 < len(expected) < len(nodes) - 100  # some alone, some together
+    for slots in (1 << 16, 4):  # shingles that clash in their counts change no link
+        got = [(r.u, r.v) for r in simhash.large_links(as_sets(spark, groups), 0.8, slots).collect()]
+        assert grouped(nodes, got) == expected
+    assert simhash.large_links(as_sets(spark, groups).limit(0), 0.8).collect() == []
+
+
+def test_large_groups_move_a_few_times_their_size(spark, monkeypatch):
+    """20,000 near copies of a text in one group, and 8,000 texts that share only a template with each other."""
+    rng = np.random.default_rng(6)
+    base = list(range(100))
+    copies = [set(base[:100]) - {int(i)} | {1000 + 3 * k, 1001 + 3 * k} for k, i in enumerate(rng.integers(0, 100, 20_000))]
+    alone = [set(range(200, 260)) | set(range(10**6 + 40 * k, 10**6 + 40 * k + 40)) for k in range(8_000)]
+    dealt = counted(monkeypatch)
+    for sets, groups in ((copies, 1), (alone, 8_000)):
+        dealt.clear()
+        edges = [(r.u, r.v) for r in simhash.large_links(as_sets(spark, [(1, sets)]), 0.8).collect()]
+        assert len(grouped(range(1, len(sets) + 1), edges)) == groups
+        assert sum(dealt) <= 2 * len(sets)
+
+
+def test_marks_grow_with_what_is_marked(spark):
+    assert simhash.marks(0) == simhash.marks(1000) == 1 << 20 and simhash.marks(10**6) == 1 << 24 and simhash.marks(10**12) == 1 << 30
+    rng = np.random.default_rng(2)
+    h = rng.integers(-(2**63), 2**63, 4000)
+    table = simhash._marks(spark.createDataFrame([(int(x),) for x in h[:2000]], "h long"), 1 << 20)
+    marked = simhash._marked(table, h.view(np.uint64))
+    assert marked[:2000].all() and marked[2000:].sum() < 20
+    assert not simhash._marked(simhash._marks(spark.createDataFrame([], "h long"), 1 << 20), h.view(np.uint64)).any()
+
+
 def test_sampled_keys_meet():
     rng = np.random.default_rng(9)
     keys = simhash.sampled_keys(1000, 0.8)
