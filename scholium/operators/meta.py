@@ -156,7 +156,7 @@ def _gauss(x: np.ndarray, y: np.ndarray, t: np.ndarray) -> tuple[float, float, f
     return float(my + v @ z), float(length), float(np.sqrt(max(0.0, amplitude + noise - v @ v)))
 
 
-def regressions(domains: DataFrame, names: tuple[str, ...] = SELECTED) -> DataFrame:
+def regressions(domains: DataFrame, names: tuple[str, ...] = SELECTED, methods: tuple[str, ...] = ("ridge", "bayes", "gpr")) -> DataFrame:
     """(fold, key, method, value, chosen, std): ridge, Bayesian ridge and Gaussian process for each key of each fold.
 
     Each fits deviations of a weight from the training mean (both are centred). chosen is ridge's alpha, the
@@ -165,13 +165,15 @@ def regressions(domains: DataFrame, names: tuple[str, ...] = SELECTED) -> DataFr
     x = [f"x_{n}" for n in names]
     long = _scaled(domains, names).select("fold", "is_test", *x, F.explode(F.array(*(F.struct(F.lit(k).alias("key"), F.col(f"w_{k}").alias("w")) for k in KEYS))).alias("e")).select("fold", "is_test", *x, "e.key", "e.w")
 
+    fits = {"ridge": _ridge, "bayes": _bayes, "gpr": _gauss}
+
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         test = rows.is_test.to_numpy()
         train = rows[~test].sort_values(x)
         a, y, t = train[x].to_numpy(float), train.w.to_numpy(float), rows[test][x].to_numpy(float)[0]
         out = []
-        for name, f in (("ridge", _ridge), ("bayes", _bayes), ("gpr", _gauss)):
-            value, chosen, std = f(a, y, t)
+        for name in methods:
+            value, chosen, std = fits[name](a, y, t)
             out.append((rows.fold.iloc[0], rows.key.iloc[0], name, value, chosen, std))
         return pd.DataFrame(out, columns=["fold", "key", "method", "value", "chosen", "std"])
 

@@ -451,6 +451,45 @@ def h10_hard_vote(spark, d):
     return meta.hard_vote(_members(spark, d)).select("fold", "method", *(r6(w).alias(w) for w in _W))
 
 
+_COLS = ", ".join(_W)
+
+
+def _ridge_sql() -> dict[str, str]:
+    """Ridge in closed form: the inverse of each fold's and alpha's normal equations by elimination, a feature a step; errors by leverage."""
+    n = range(len(meta.SELECTED))
+    cs = ", ".join(f"c_{i}" for i in n)
+    out = {
+        "scaled_": "SELECT fold, domain_id, domain_id = fold AS is_test, " + ", ".join(f"(t.{f} - lo_{f}) / CASE WHEN hi_{f} = lo_{f} THEN 1.0 ELSE hi_{f} - lo_{f} END AS x_{i}" for i, f in enumerate(meta.SELECTED)) + f", {_COLS} FROM lim CROSS JOIN dom t",
+        "cent_": "SELECT fold, is_test, " + ", ".join(f"x_{i} - avg(x_{i}) FILTER (NOT is_test) OVER (PARTITION BY fold) AS c_{i}" for i in n) + f", {_COLS} FROM scaled_",
+        "inv0_": "SELECT fold, alpha, " + ", ".join(f"g_{min(i, j)}_{max(i, j)} + {'alpha' if i == j else '0'} AS a_{i}_{j}" for i in n for j in n) + " FROM (SELECT fold, " + ", ".join(f"sum(c_{i} * c_{j}) AS g_{i}_{j}" for i in n for j in n if i <= j) + f" FROM cent_ WHERE NOT is_test GROUP BY fold), (SELECT unnest([{', '.join(map(repr, meta.ALPHAS))}])::DOUBLE AS alpha)",
+    }
+
+    def step(k: int, i: int, j: int) -> str:
+        if i == k:
+            return f"1 / a_{k}_{k}" if j == k else f"a_{k}_{j} / a_{k}_{k}"
+        return f"-a_{i}_{k} / a_{k}_{k}" if j == k else f"a_{i}_{j} - a_{i}_{k} * a_{k}_{j} / a_{k}_{k}"
+
+    for k in n:
+        out[f"inv{k + 1}_"] = "SELECT fold, alpha, " + ", ".join(f"{step(k, i, j)} AS a_{i}_{j}" for i in n for j in n) + f" FROM inv{k}_"
+    last = f"inv{len(meta.SELECTED)}_"
+    keys = " UNION ALL ".join(f"SELECT fold, is_test, {cs}, '{k}' AS key, w_{k} AS y FROM cent_" for k in fx.KEYS)
+    fitted = " + ".join(f"c_{i} * w_{i}" for i in n)
+    leverage = " + ".join(f"c_{i} * a_{i}_{j} * c_{j}" for i in n for j in n)
+    return _KNN | out | {
+        "long_": f"SELECT *, avg(y) FILTER (NOT is_test) OVER (PARTITION BY fold, key) AS mean FROM ({keys})",
+        "coef_": "SELECT fold, key, alpha, mean, n, " + ", ".join("(" + " + ".join(f"a_{i}_{j} * r_{j}" for j in n) + f") AS w_{i}" for i in n) + " FROM (SELECT fold, key, max(mean) AS mean, count(*) AS n, " + ", ".join(f"sum(c_{i} * (y - mean)) AS r_{i}" for i in n) + f" FROM long_ WHERE NOT is_test GROUP BY fold, key) JOIN {last} USING (fold)",
+        "err_": f"SELECT l.fold, l.key, c.alpha, avg(((y - l.mean - ({fitted})) / (1 - 1.0::DOUBLE / n - ({leverage}))) ** 2) AS e FROM long_ l JOIN coef_ c ON c.fold = l.fold AND c.key = l.key JOIN {last} v ON v.fold = l.fold AND v.alpha = c.alpha WHERE NOT is_test GROUP BY l.fold, l.key, c.alpha",
+        "best_": "SELECT fold, key, alpha, row_number() OVER (PARTITION BY fold, key ORDER BY floor(e * 1e14), alpha) AS place FROM err_",
+        "ridge_": f"SELECT fold, key, c.mean + {fitted} AS value, alpha AS chosen FROM best_ JOIN coef_ c USING (fold, key, alpha) JOIN long_ l USING (fold, key) WHERE place = 1 AND is_test",
+    }
+
+
+@query(f"SELECT fold, key, {s6('value')} AS value, chosen FROM ridge_", ["works", "gold", "dweights"], _ridge_sql(), python=True)
+def h5_ridge(spark, d):
+    """Ridge's raw predictions and alphas."""
+    return meta.regressions(_domains(spark, d), methods=("ridge",)).select("fold", "key", r6("value").alias("value"), "chosen")
+
+
 @query(python=True)
 def h5_h6_h7_regressions(spark, d):
     return meta.regressions(_domains(spark, d))
@@ -462,7 +501,6 @@ def h8_blend(spark, d):
     return meta.blend(meta.knn(dom, 1), meta.transfer_direct(dom), "blend").select("fold", "alpha", *(r6(w).alias(w) for w in _W))
 
 
-_COLS = ", ".join(_W)
 _RULES = SCORED | _KNN | {
     "transfer_": "SELECT a.domain_id AS fold, 'transfer' AS method, " + ", ".join(f"avg(t.{w}) AS {w}" for w in _W) + " FROM dweights a JOIN dweights t ON t.domain_id <> a.domain_id GROUP BY a.domain_id",
     "rules": f"SELECT * FROM knn1 UNION ALL SELECT * FROM knn2 UNION ALL SELECT * FROM knn3 UNION ALL SELECT * FROM transfer_ UNION ALL SELECT domain_id, 'searched', {_COLS} FROM dweights UNION ALL SELECT domain_id, 'default', " + ", ".join(f"{float(DEFAULT_WEIGHTS[k])!r}::DOUBLE" for k in fx.KEYS) + " FROM dweights",
