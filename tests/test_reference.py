@@ -158,6 +158,24 @@ def test_meta_learning(spark):
     assert t["d0"].w_impact == pytest.approx(np.mean([r[16] for r in rows[1:]]))
 
 
+def test_ridge_agrees_with_refits():
+    rng = np.random.default_rng(12)
+    for _ in range(20):
+        x, t = rng.random((12, 7)), rng.random(7)
+        y = x @ rng.normal(size=7) + rng.normal(size=12) * rng.choice([0.01, 1.0])
+
+        def fit(a, b, at, alpha):
+            m = a.mean(axis=0)
+            return b.mean() + (at - m) @ np.linalg.solve((a - m).T @ (a - m) + alpha * np.eye(7), (a - m).T @ (b - b.mean()))
+
+        def error(alpha):  # one row left out, the ridge fitted anew
+            return np.mean([(y[i] - fit(np.delete(x, i, 0), np.delete(y, i), x[i], alpha)) ** 2 for i in range(12)])
+
+        value, alpha, _ = meta._ridge(x, y, t)
+        assert alpha == min(meta.ALPHAS, key=error)
+        assert abs(value - fit(x, y, t, alpha)) < 1e-9
+
+
 def test_regressions_without_signal_give_the_mean():
     rng = np.random.default_rng(0)
     x, y = rng.random((12, 3)), np.full(12, 0.2)
