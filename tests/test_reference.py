@@ -187,6 +187,45 @@ def test_regressions_without_signal_give_the_mean():
         assert f(x, y, t)[0] == pytest.approx(t @ [0.5, -0.2, 0.1] + 0.3, abs=0.02)
 
 
+def test_bayesian_ridge_agrees_with_its_covariance_form():
+    rng = np.random.default_rng(7)
+    for n, d in ((12, 3), (24, 7), (6, 7)):  # fewer rows than features, too
+        x, t = rng.normal(size=(n, d)), rng.normal(size=d)
+        y = x @ rng.normal(size=d) * 0.1 + 0.05 * rng.normal(size=n)
+        a, b = x - x.mean(axis=0), y - y.mean()
+        noise, prior = 1 / np.var(y), 1.0
+        for _ in range(300):  # no decomposition: weights from the covariance of y, the number of fitted weights from the posterior's
+            w = a.T @ np.linalg.inv(np.eye(n) / noise + a @ a.T / prior) @ b / prior
+            fitted = d - prior * np.trace(np.linalg.inv(prior * np.eye(d) + noise * a.T @ a))
+            prior, noise = (fitted + 2e-6) / (w @ w + 2e-6), (n - fitted + 2e-6) / (((b - a @ w) ** 2).sum() + 2e-6)
+        value, ratio, _ = meta._bayes(x, y, t)
+        assert value == pytest.approx(y.mean() + (t - x.mean(axis=0)) @ w, abs=1e-3)
+        assert ratio == pytest.approx(prior / noise, rel=0.05)
+
+
+def test_process_agrees_with_a_grid_of_kernels():
+    rng = np.random.default_rng(3)
+    for d in (1, 2, 3):
+        x, t = rng.random((18, d)), rng.random(d)
+        y = np.sin(3 * x.sum(axis=1)) + 0.1 * rng.normal(size=18)
+        b, points = y - y.mean(), np.vstack([x, t])
+        squared = ((points[:, None] - points[None]) ** 2).sum(axis=-1)
+        axes = [np.linspace(lo, hi, 26) for lo, hi in zip(meta.GPR_LOW, meta.GPR_HIGH)]
+        for _ in range(5):  # all kernels of a grid, then of a finer one about the best
+            theta = np.stack([g.ravel() for g in np.meshgrid(*axes, indexing="ij")])
+            amplitude, length, noise = np.exp(theta)[:, :, None, None]
+            k = amplitude * np.exp(-squared / (2 * length**2)) + noise * np.eye(19)  # of the rows and the target together
+            inverse = np.linalg.inv(k[:, :18, :18] + 1e-10 * np.eye(18))
+            likelihood = -0.5 * np.einsum("i,kij,j->k", b, inverse, b) - 0.5 * np.linalg.slogdet(k[:, :18, :18])[1]
+            best = int(likelihood.argmax())
+            axes = [np.clip(np.linspace(c - 1.5 * (a[1] - a[0]), c + 1.5 * (a[1] - a[0]), 26), lo, hi) for c, a, lo, hi in zip(theta[:, best], axes, meta.GPR_LOW, meta.GPR_HIGH)]
+        towards = k[best, 18, :18] @ inverse[best]
+        value, scale, std = meta._gauss(x, y, t)
+        assert value == pytest.approx(y.mean() + towards @ b, abs=2e-3)
+        assert scale == pytest.approx(np.exp(theta[1, best]), rel=0.02)
+        assert std == pytest.approx(math.sqrt(k[best, 18, 18] - towards @ k[best, 18, :18]), rel=0.02)
+
+
 def test_signed_rank(spark):
     diffs = [0.1, 0.2, -0.05, 0.3, 0.15, 0.0, 0.25]
     rows = [(f"d{i}", "base", 0.5) for i in range(7)] + [(f"d{i}", "m", 0.5 + x) for i, x in enumerate(diffs)] + [(f"d{i}", "few", 0.5 + (i == 0)) for i in range(7)]
