@@ -102,13 +102,13 @@ def comparison(results: DataFrame, methods: list[str], value: str = "ndcg15", ba
 
 
 def best_alpha(results: DataFrame, baseline: DataFrame, value: str = "ndcg15") -> DataFrame:
-    """Per alpha: wins over the baseline, mean, and its place (more wins, then higher mean, then lower alpha).
+    """Per alpha: wins over the baseline, mean, and its place (more wins, then higher mean in billionths, then lower alpha).
 
     The best alpha is chosen on the folds it is reported on, so its mean is optimistic.
     """
     base = baseline.select("domain_id", F.col(value).alias("base"))
     swept = results.join(base, "domain_id").groupBy("alpha").agg(F.count_if(F.col(value) > F.col("base")).alias("wins"), F.avg(value).alias("mean"))
-    return swept.withColumn("place", F.row_number().over(Window.orderBy(F.desc("wins"), F.desc("mean"), "alpha")))  # a dozen alphas
+    return swept.withColumn("place", F.row_number().over(Window.orderBy(F.desc("wins"), F.desc(F.floor(F.col("mean") * 1e9 + 0.5)), "alpha")))  # a dozen alphas
 
 
 def blend_sweep(results: DataFrame, blends: tuple[str, ...], baseline: str = "transfer") -> DataFrame:

@@ -153,7 +153,9 @@ def top_rows(scores: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
 def ndcg(scores: DataFrame, vectors: DataFrame, gold: DataFrame, k: int = 15) -> DataFrame:
     """(domain_id, method, ndcg15) of each vector, from the k best works under it."""
     graded = top_rows(scores, vectors, k).join(gold.select("domain_id", "article_id", "grade"), ["domain_id", "article_id"], "left")
-    dcg = graded.groupBy("domain_id", "method").agg(F.sum(gain(F.coalesce("grade", F.lit(0))) / F.log2(F.col("rank") + 1)).alias("dcg"))
+    term = F.struct("rank", (gain(F.coalesce("grade", F.lit(0))) / F.log2(F.col("rank") + 1)).alias("x"))
+    # k terms, added in the order of their ranks: equal rankings get equal sums, to the last bit
+    dcg = graded.groupBy("domain_id", "method").agg(F.aggregate(F.sort_array(F.collect_list(term)), F.lit(0.0), lambda s, t: s + t["x"]).alias("dcg"))
     top = ideal(gold, (k,))
     return dcg.join(top, "domain_id", "left").select("domain_id", "method", F.when(F.coalesce(f"idcg{k}", F.lit(0.0)) == 0, 0.0).otherwise(F.col("dcg") / F.col(f"idcg{k}")).alias("ndcg15"))
 

@@ -518,6 +518,13 @@ def test_scratch_is_refused_on_a_cluster(spark):
         scratch(fake, "x")
 
 
+def test_best_alpha_settles_ties_by_billionths(spark):
+    """Means that differ by the order of their summands only are ties, which the lower alpha wins."""
+    rows = [("a", 0.1, 0.3), ("a", 0.2, 0.1 + 0.2), ("a", 0.3, 0.4)]
+    swept, base = spark.createDataFrame(rows, "domain_id string, alpha double, ndcg15 double"), spark.createDataFrame([("a", 0.0)], "domain_id string, ndcg15 double")
+    assert {r.alpha: r.place for r in metrics.best_alpha(swept, base).collect()} == {0.3: 1, 0.1: 2, 0.2: 3}
+
+
 def test_merged_corpus_state(spark, tmp_path):
     """Two halves merged, stored in generations, against the features of the whole; nulls, a domain in one half only, an empty part."""
     kind = "domain_id string, id long, year int, citation_count long, authors array<struct<name:string,h_index:int>>, quartile string, concepts_text string, topic string"
