@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import bigrams, tokens
+from .text import bigrams, spaced_tokens, tokens
 
 KEYS = ("venue", "authors", "impact", "velocity", "recency", "relevance")
 REQUIRED = ("venue", "authors", "impact", "relevance")
@@ -59,8 +59,9 @@ def _let(values: dict[str, Column], then: Callable[[dict[str, Column]], Column])
     return F.get(F.transform(bound, lambda s: then({k: s[k] for k in values})), F.lit(0))
 
 
-def _found(wanted: Column, words: Column) -> Column:
-    return F.size(F.filter(wanted, lambda x: F.array_contains(words, x)))
+def _found(wanted: Column, spaced: Column) -> Column:
+    """How many of the words or word pairs are in spaced_tokens()."""
+    return F.size(F.filter(wanted, lambda x: F.contains(spaced, F.concat(F.lit(" "), x, F.lit(" ")))))
 
 
 def relevance_score(topic: Column, title: Column, abstract: Column, concepts_text: Column) -> Column:
@@ -76,14 +77,14 @@ def relevance_score(topic: Column, title: Column, abstract: Column, concepts_tex
         for name in fields:
             w, wb = FIELD_WEIGHTS[name]
             matched.append(_found(t, v[name]) / F.size(t) * w)
-            paired.append(_found(pairs, v[f"{name}_pairs"]) / F.size(pairs) * wb)
+            paired.append(_found(pairs, v[name]) / F.size(pairs) * wb)
             most, most_paired = most + w, most_paired + wb
         words = reduce(lambda a, b: a + b, matched)
         both = words + reduce(lambda a, b: a + b, paired)
         return F.when(F.size(t) == 0, FLOOR).otherwise(F.greatest(F.when(F.size(t) > 1, both / (most + most_paired)).otherwise(words / most), F.lit(FLOOR)))
 
-    own = {"topic": tokens(topic)} | {name: tokens(F.coalesce(field, F.lit(""))) for name, field in fields.items()}
-    return _let(own, lambda v: _let(v | {f"{k}_pairs": bigrams(c) for k, c in v.items()}, weighed))
+    own = {"topic": tokens(topic)} | {name: spaced_tokens(F.coalesce(field, F.lit(""))) for name, field in fields.items()}
+    return _let(own, lambda v: _let(v | {"topic_pairs": bigrams(v["topic"])}, weighed))
 
 
 def dot(a: Column, b: Column) -> Column:

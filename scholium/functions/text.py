@@ -24,6 +24,11 @@ def tokens(text: Column) -> Column:
     return F.filter(found, lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS))
 
 
+def spaced_tokens(text: Column) -> Column:
+    """tokens() as one string, a space before, between and after them: what is among them, or side by side, can be looked up without a list."""
+    return F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" "))
+
+
 def bigrams(words: Column) -> Column:
     """Neighbouring tokens joined by a space; empty for fewer than two."""
     shorter = F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0)))

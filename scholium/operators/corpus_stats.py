@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.features import KEYS
+from ..sources.shared import scratch
 
 RECENT_YEAR, HIGH_CITED, HIGH_H = 2024, 100, 20
 #: The canonical order of the features.
@@ -52,17 +53,17 @@ def domain_features(works: DataFrame, gold: DataFrame, recent_year: int = RECENT
     divide by all of a domain's works; gold rows outside the corpus don't count; null years don't enter
     the year statistics. Repeated (domain, article) gold rows count once.
     """
-    rows = _per_work(works, gold, recent_year, high_cited, high_h)
+    found = _per_work(works, gold, recent_year, high_cited, high_h)
+    path = scratch(works.sparkSession, "per-work")  # stored: works may be costly, and four aggregates read them
+    found.write.parquet(path)
+    rows = works.sparkSession.read.schema(found.schema).parquet(path)
     n = F.count("*")
     share = lambda c: F.avg(F.col(c).cast("double"))
     out = rows.groupBy("domain_id").agg(
         n.alias("corpus_size"),
-        F.median("year").alias("median_year"),
         share("recent").alias("pct_recent"),
         F.when(F.count("year") < 2, 0.0).otherwise(F.stddev_pop("year")).alias("year_std"),
-        F.median("citation_count").alias("citation_median"),
         share("high_cited").alias("pct_high_cited"),
-        (F.countDistinct("first_name") / n).alias("unique_author_ratio"),
         F.coalesce(F.avg("first_h"), F.lit(0.0)).alias("mean_h_index"),
         share("high_h").alias("pct_high_hindex"),
         share("q1").alias("pct_q1"),
@@ -70,7 +71,16 @@ def domain_features(works: DataFrame, gold: DataFrame, recent_year: int = RECENT
         share("golden").alias("gold_ratio"),
         share("grade2").alias("grade2_ratio"),
     )
-    return out.join(citation_gini(works), "domain_id").select("domain_id", "corpus_size", *FEATURES)
+    authors = rows.where(F.col("first_name").isNotNull()).select("domain_id", "first_name").distinct().groupBy("domain_id").agg(F.count("*").alias("__authors"))
+    every = out.join(_counted_median(rows, "year").withColumnRenamed("median", "median_year"), "domain_id").join(_counted_median(rows, "citation_count").withColumnRenamed("median", "citation_median"), "domain_id")
+    ratio = F.coalesce("__authors", F.lit(0)) / F.col("corpus_size")
+    return every.join(citation_gini(rows), "domain_id").join(authors, "domain_id", "left").withColumn("unique_author_ratio", ratio).select("domain_id", "corpus_size", *FEATURES)
+
+
+def _counted_median(rows: DataFrame, column: str) -> DataFrame:
+    """(domain_id, median), exact: values are counted first, so that only distinct ones are put in order."""
+    counts = rows.groupBy("domain_id", column).agg(F.count("*").alias("m"))
+    return counts.groupBy("domain_id").agg(F.percentile(column, 0.5, F.col("m")).alias("median"))
 
 
 def corpus_state(works: DataFrame, gold: DataFrame, recent_year: int = RECENT_YEAR, high_cited: int = HIGH_CITED, high_h: int = HIGH_H) -> DataFrame:

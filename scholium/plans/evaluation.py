@@ -57,7 +57,9 @@ _EXACT_FEATS = [f for f in FEATS if f != "unique_author_ratio"]
 @query("SELECT domain_id, corpus_size, " + ", ".join(f"{s6(f)} AS {f}" for f in _EXACT_FEATS) + ", true AS authors_within_error FROM stats", ["works", "gold"], _STATS)
 def d1_d13_merged_state(spark, d):
     """Features from a state to which the works were added in three parts; the sketch's estimate is held against the exact ratio."""
-    path, every, gold = stores.scratch(spark, "corpus-state"), b.works(spark, d), b.gold(spark, d)
+    path = stores.scratch(spark, "corpus-state")
+    needed = ("domain_id", "id", "year", "citation_count", "authors", "quartile", "concepts_text", "topic")
+    every, gold = stores.stored(b.works(spark, d).select(*needed), "works"), stores.stored(b.gold(spark, d), "gold")  # read four times
     for i in range(3):
         stores.add_to_state(spark, path, corpus_stats.corpus_state(every.where(F.col("id") % 3 == i), gold, recent_year=RECENT_YEAR))
     made = corpus_stats.state_features(stores.load_state(spark, path))
@@ -137,7 +139,7 @@ _LOO = _loo_sql(_values(_METHODS))
 
 def _loo(spark, d):
     v = spark.createDataFrame(_METHODS, "method string, " + ", ".join(f"{w} double" for w in _W))
-    return weights.ndcg(scored(spark, d), v, b.gold(spark, d))
+    return stores.stored(weights.ndcg(scored(spark, d), v, b.gold(spark, d)), "loo")  # a row for each domain and method; some join it with itself
 
 
 @query(f"SELECT domain_id, method, {s6('ndcg15')} AS ndcg15 FROM loo", ["works", "gold"], _LOO)
@@ -184,7 +186,8 @@ _BEST = "list_sort([" + ", ".join(f"{{'v': {m}, 'm': '{m}'}}" for m in _VARIANTS
 @query("SELECT domain_id, " + ", ".join(f"{s6(m)} AS {m}" for m in _VARIANTS) + f", CASE WHEN {_BEST}[1].v - {_BEST}[2].v <= 0.001 THEN 'tie' ELSE {_BEST}[1].m END AS winner FROM wide", ["works", "gold", "dweights"], _variant_sql())
 def d34_relevance_by_weights(spark, d):
     """Two relevance variants, each with default and with learned weights, per domain and on average."""
-    keyword = scored(spark, d)
+    keyword = stores.stored(scored(spark, d).select("domain_id", "id", *(f"{k}_score" for k in fx.KEYS)), "sub-scores")
+    gold = stores.stored(b.gold(spark, d), "gold")
     e = b.table(spark, d, "embeddings")
     topic = e.where("vec_id = 0").select(F.col("embedding").alias("topic"))
     sem = e.crossJoin(F.broadcast(topic)).select("vec_id", r6(fx.semantic_relevance(F.col("embedding"), F.col("topic"))).alias("__r"))  # one topic vector
@@ -192,7 +195,7 @@ def d34_relevance_by_weights(spark, d):
     learned = b.domain_weights(spark, d)
     default = learned.select("domain_id", *(F.lit(float(DEFAULT_WEIGHTS[k])).alias(f"w_{k}") for k in fx.KEYS))
     vectors = learned.withColumn("method", F.lit("learned")).union(default.withColumn("method", F.lit("default")))
-    of = lambda s, name: weights.ndcg(s, vectors.withColumn("method", F.concat(F.lit(name), "method")), b.gold(spark, d))
+    of = lambda s, name: weights.ndcg(s, vectors.withColumn("method", F.concat(F.lit(name), "method")), gold)
     wide = metrics.comparison(of(keyword, "keyword_").union(of(other, "embedding_")), _VARIANTS)
     return wide.select("domain_id", *(r6(m).alias(m) for m in _VARIANTS), "winner")
 
@@ -219,7 +222,7 @@ _SWEEP = _loo_sql(_values(_SWEEP_ROWS + [_METHODS[1]]))
 @query(f"SELECT alpha, wins, {s6('mean')} AS mean, row_number() OVER (ORDER BY wins DESC, floor(mean * 1e9 + 0.5) DESC, alpha) AS place FROM (SELECT CAST(substr(a.method, 2) AS INTEGER) / 10.0 AS alpha, count(*) FILTER (a.ndcg15 > z.ndcg15) AS wins, avg(a.ndcg15) AS mean FROM loo a JOIN loo z ON z.domain_id = a.domain_id AND z.method = 'only_venue' WHERE a.method <> 'only_venue' GROUP BY a.method)", ["works", "gold"], _SWEEP)
 def d38_alpha_sweep(spark, d):
     v = spark.createDataFrame(_SWEEP_ROWS + [_METHODS[1]], "method string, " + ", ".join(f"{w} double" for w in _W))
-    loo = weights.ndcg(scored(spark, d), v, b.gold(spark, d))
+    loo = stores.stored(weights.ndcg(scored(spark, d), v, b.gold(spark, d)), "loo")
     swept = loo.where("method <> 'only_venue'").select("domain_id", (F.substring("method", 2, 9).cast("int") / F.lit(10.0)).alias("alpha"), "ndcg15")
     return metrics.best_alpha(swept, loo.where("method = 'only_venue'")).select("alpha", "wins", r6("mean").alias("mean"), F.col("place").cast("long").alias("place"))
 

@@ -10,6 +10,13 @@ from ..functions.text import slug
 from .shared import children, exists, scratch  # noqa: F401  stores lie in scratch() unless a path is given
 
 
+def stored(table: DataFrame, what: str) -> DataFrame:
+    """The table written to scratch() and read again, for those who read it more than once."""
+    path = scratch(table.sparkSession, what)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
 def save_weights(weights: DataFrame, path: str) -> None:
     """Weights by topic (columns topic, w_<key>), one partition a slug; topics that are saved again are replaced."""
     out = weights.withColumn("slug", slug(F.col("topic")))
