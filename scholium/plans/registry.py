@@ -425,12 +425,12 @@ def a6_issn_quartiles(spark, d):
     return sources.issn_quartiles(rows, "Issn", "q", "p_partkey")
 
 
-def _raw_works(spark, d):
-    w = b.works(spark, d)
+def _raw_works(w):
+    """Records as they are landed, of works or of works with further columns, which stay."""
     author = lambda a: F.struct(F.struct(F.concat(F.lit("https://a/A"), a["author_id"].cast("string")).alias("id"), a["name"].alias("display_name"), F.lit(None).cast("string").alias("orcid")).alias("author"), F.array().cast("array<struct<display_name:string>>").alias("institutions"))
-    words = F.split("title", " ")
-    index = F.map_from_entries(F.transform(F.array_distinct(words), lambda x: F.struct(x, F.transform(F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda p: F.get(words, p) == x), lambda p: p))))
-    return w.select(
+    index = sources.invert_abstract(F.split("title", " "))
+    further = [c for c in ("k", "topic_", "page") if c in w.columns]
+    fields = [
         F.concat(F.lit("https://w/W"), F.col("id").cast("string")).alias("id"),
         F.when(F.col("id") % 2 == 0, F.concat(F.lit("https://doi.org/10.1/"), F.col("id").cast("string"))).alias("doi"),
         F.when(F.col("id") % 11 != 0, F.col("title")).alias("title"),
@@ -441,7 +441,8 @@ def _raw_works(spark, d):
         F.struct(F.lit(None).cast("string").alias("landing_page_url"), F.struct(F.col("journal_name").alias("display_name"), F.lit("1234-5678").alias("issn_l"), F.when(F.col("is_preprint"), "repository").otherwise("journal").alias("type")).alias("source")).alias("primary_location"),
         F.struct((F.col("id") % 3 == 0).alias("is_oa")).alias("open_access"),
         F.transform("concepts", lambda c: F.struct(c.alias("display_name"))).alias("concepts"),
-    )
+    ]
+    return w.select(*further, F.col("id").alias("number"), F.to_json(F.struct(*fields)).alias("w"))
 
 
 #: Works on a landed page, by their numbers: as many pages as the works need.
@@ -450,9 +451,10 @@ PAGE = 1_000
 
 def _landed(spark, d):
     path = stores.scratch(spark, "pages")
-    number = F.regexp_extract("id", "([0-9]+)$", 1).cast("long")
-    pages = _raw_works(spark, d).groupBy(F.floor(number / PAGE).alias("k")).agg(F.to_json(F.struct(F.collect_list(F.struct("*")).alias("results"))).alias("value")).select("value")
-    pages.union(spark.createDataFrame([("{broken",)], "value string")).write.text(path)
+    works = b.works(spark, d).withColumn("k", F.floor(F.col("id") / PAGE)).repartition("k")  # works move, not their records, which are ten times as wide
+    lists = _raw_works(works).groupBy("k").agg(F.array_join(F.collect_list("w"), ",").alias("ws"))
+    pages = lists.select(F.concat(F.lit('{"results":['), F.col("ws"), F.lit("]}")).alias("value"))
+    pages.union(spark.createDataFrame([("{broken",)], "value string")).write.option("compression", "gzip").text(path)
     return sources.scan_pages(spark, path)
 
 
@@ -484,15 +486,13 @@ _PAGES = {
 def a1_first_results(spark, d):
     """Each topic's pages up to its first short one or to N_RESULTS; some topics have a short page before their last."""
     path = stores.scratch(spark, "topic-pages")
-    number = F.regexp_extract("id", "([0-9]+)$", 1).cast("long")
-    placed = ranking.rank_all(b.works(spark, d).select("id", "domain_id"), -F.col("id").cast("double"), steps=1e-3)
+    placed = ranking.rank_all(b.work_keys(spark, d), -F.col("id").cast("double"), steps=1e-3)
     page = F.floor((F.col("rank") - 1) / 100).cast("int") + 1
-    own = placed.select(F.col("id").alias("number"), F.col("domain_id").alias("topic"), page.alias("page")).where(~((F.regexp_extract("topic", "([0-9]+)$", 1).cast("int") % 5 == 0) & (F.col("page") == 2) & (F.col("number") % 7 == 0)))
-    records = _raw_works(spark, d).withColumn("number", number).join(own, "number")
-    of_work = [c for c in records.columns if c not in ("number", "topic", "page")]
-    lists = records.groupBy("topic", "page").agg(F.sort_array(F.collect_list(F.struct("number", F.to_json(F.struct(*of_work)).alias("w")))).alias("ws"))  # 100 records at most
-    value = F.concat(F.lit('{"meta":{"page":'), F.col("page").cast("string"), F.lit('},"results":['), F.array_join(F.transform("ws", lambda x: x["w"]), ","), F.lit("]}"))
-    lists.select("topic", value.alias("value")).repartition("topic").write.partitionBy("topic").text(path)
+    own = placed.select(F.col("id"), F.col("domain_id").alias("topic_"), page.alias("page")).where(~((F.regexp_extract("topic_", "([0-9]+)$", 1).cast("int") % 5 == 0) & (F.col("page") == 2) & (F.col("id") % 7 == 0)))
+    works = b.works(spark, d).join(own, "id").repartitionByRange("topic_", "page")  # works move, not their records, which are ten times as wide
+    lists = _raw_works(works).groupBy("topic_", "page").agg(F.sort_array(F.collect_list(F.struct("number", "w"))).alias("ws"))  # 100 records at most
+    value = F.concat(F.lit('{"meta":{"page":'), F.col("page").cast("string"), F.lit('},"results":['), F.array_join(F.col("ws.w"), ","), F.lit("]}"))
+    lists.select(F.col("topic_").alias("topic"), value.alias("value")).write.partitionBy("topic").option("compression", "gzip").text(path)
     good, _ = sources.scan_pages(spark, path, N_RESULTS)
     return good.select("topic", "result_pos", F.concat(F.lit("openalex_"), F.element_at(F.split("id", "/"), -1)).alias("id"))
 
@@ -500,8 +500,7 @@ def a1_first_results(spark, d):
 @query("SELECT doc_id, trim(regexp_replace(text, '[ \\n]+', ' ', 'g'), ' ') AS abstract FROM documents WHERE trim(regexp_replace(text, '[ \\n]+', ' ', 'g'), ' ') <> ''")
 def a3_rebuild_abstract(spark, d):
     docs = b.table(spark, d, "documents").select("doc_id", F.split(F.trim(F.regexp_replace("text", "[ \n]+", " ")), " ").alias("w"))
-    words = docs.select("doc_id", F.posexplode("w").alias("p", "x")).groupBy("doc_id", "x").agg(F.collect_list("p").alias("ps"))
-    index = words.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("x", "ps"))).alias("index"))
+    index = docs.select("doc_id", sources.invert_abstract(F.col("w")).alias("index"))
     return index.select("doc_id", sources.rebuild_abstract(F.col("index")).alias("abstract")).where("abstract <> ''")
 
 

@@ -31,7 +31,7 @@ def scan_pages(spark: SparkSession, path: str, n_results: int | None = None, per
     raw = spark.read.text(path)
     at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
     own = ["topic"] if "topic" in raw.columns else []
-    pages = raw.select(parsed.alias("p"), "value", *own, *at)
+    pages = raw.select(F.explode(F.array(parsed)).alias("p"), "value", *own, *at)  # exploded, so that conditions on p don't parse a page again
     broken = pages.where("p._corrupt_record is not null").select(F.col("value").alias("record"), F.lit("not JSON").alias("reason"), "file", "block")
     whole = pages.where("p._corrupt_record is null")
     if n_results is None:
@@ -63,10 +63,25 @@ def first_results(pages: DataFrame, n_results: int, per_page: int = PER_PAGE) ->
     return rows.withColumn("result_pos", F.col("__before") + F.col("__i") + 1).drop("__before", "__i")
 
 
+def invert_abstract(words: Column) -> Column:
+    """An inverted index of a list of words: a map of each word to its positions; null for a null or empty list.
+
+    Places are sorted by word and cut where the word changes, so a row takes time as sorting does, whatever the number of its words.
+    """
+    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("p"))))
+
+    def cut(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["w"] != F.get(s, i - 1)["w"]))
+        entries = lambda b: F.zip_with(b, F.concat(F.slice(b, F.lit(2), F.size(b)), F.array(F.size(s))), lambda lo, hi: F.struct(F.get(s, lo)["w"].alias("w"), F.slice(s, lo + 1, hi - lo)["p"].alias("p")))
+        return F.get(F.transform(F.array(starts), lambda b: F.map_from_entries(entries(b))), F.lit(0))
+
+    return F.when(F.size(words) > 0, F.get(F.transform(F.array(placed), cut), F.lit(0)))  # arrays of one: each is evaluated once a row
+
+
 def rebuild_abstract(index: Column) -> Column:
     """The words of an inverted index at their positions; null for a null or empty one."""
     placed = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    return F.when(F.size(index) > 0, F.array_join(F.transform(F.array_sort(placed), lambda x: x["w"]), " "))
+    return F.when(F.size(index) > 0, F.array_join(F.transform(F.sort_array(placed), lambda x: x["w"]), " "))
 
 
 def _tail(url: Column) -> Column:

@@ -518,6 +518,34 @@ def test_scratch_is_refused_on_a_cluster(spark):
         scratch(fake, "x")
 
 
+def test_invert_abstract(spark):
+    """Words to positions and back; no shuffle, whatever a text's number of words."""
+    texts = ["b a b", "", "x", None, " ".join(f"w{i * 7919 % 5000}" for i in range(20_000))]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", works.invert_abstract(F.split("t", " ")).alias("m"))
+    got = {r.i: (r.m, r.a) for r in rows.withColumn("a", works.rebuild_abstract(F.col("m"))).collect()}
+    assert got[0] == ({"a": [1], "b": [0, 2]}, "b a b") and got[3] == (None, None)
+    assert [got[i][1] for i in (1, 2, 4)] == [texts[i] for i in (1, 2, 4)] and len(got[4][0]) == 5000
+
+
+def test_works_read_their_lines_once(spark):
+    from scholium.plans import bindings, evaluation, registry
+
+    d = "/root/testdata/sf0.001"
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    lines = plan(bindings.works(spark, d))
+    assert lines.count("FileScan parquet [l_") == 1
+    assert "lineitem" not in plan(evaluation._features(spark, d))  # four aggregates read stored rows
+    assert "Exchange" not in plan(registry.QUERIES["a3_rebuild_abstract"](spark, d))
+
+
+def test_spaced_tokens(spark):
+    got = spark.createDataFrame([("A the Big_gear, of x gears",), ("",)], "t string").select(tx.spaced_tokens(F.col("t")).alias("s")).collect()
+    assert [r.s for r in got] == [" big gear gears ", "  "]
+    rows = [("big gear", "big the gear"), ("big gear", "bigger gears"), ("big gear", "gear big")]
+    r = one(spark, rows, "topic string, title string", fx.relevance_score(F.col("topic"), F.col("title"), F.lit(None).cast("string"), F.lit("")))
+    assert [x[0] for x in r] == [0.5, 0.05, 0.3333]
+
+
 def test_best_alpha_settles_ties_by_billionths(spark):
     """Means that differ by the order of their summands only are ties, which the lower alpha wins."""
     rows = [("a", 0.1, 0.3), ("a", 0.2, 0.1 + 0.2), ("a", 0.3, 0.4)]
